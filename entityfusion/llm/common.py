@@ -46,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = f"file://{os.path.join(tempfile.gettempdir(), 'entityfusion-scratch')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/+", "file:///", uri).rstrip("/")
 
 
 def remove(spark: SparkSession, path: str) -> None:
