@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secret_scan, token_counts, warc
+from . import bpe, quality_rules, secret_scan, simhash, token_counts, warc
 from .common import read_table
 
 
@@ -15,6 +15,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op1_warc(spark, sf_dir)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op2_simhash(read_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return bpe.op4_byte_bpe(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -33,7 +37,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op4_byte_bpe, op6_quality_rules, op7_token_counts, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_byte_bpe, op6_quality_rules, op7_token_counts, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
