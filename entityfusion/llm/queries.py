@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, quality_rules, secret_scan, simhash, token_counts, warc
+from . import bpe, language_id, packing, quality_rules, secret_scan, simhash, token_counts, warc
 from .common import read_table
 
 
@@ -36,12 +36,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8_language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op9_packing(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op10_secret_scan(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
