@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, quality_rules, secret_scan, simhash, token_counts, warc
+from . import bpe, language_id, packing, quality_rules, secret_scan, simhash, token_counts, vector_search, warc
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_simhash(read_table(spark, sf_dir, "documents"))
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.op3_vector_search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return bpe.op4_byte_bpe(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -45,7 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_vector_search, op4_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
