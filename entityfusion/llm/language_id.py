@@ -154,8 +154,8 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ..
     """The kept columns with ``lang_pred`` and ``score``."""
     spark = df.sparkSession
     small_batches(spark)
-    whole = "_text_"
-    df = df.select(*keep, F.col(text).alias(whole))
+    whole = text if text in keep else "_text_"
+    df = df.select(*keep, *([] if text in keep else [F.col(text).alias(whole)]))
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     sent = spark.sparkContext.broadcast(model)
 
@@ -172,6 +172,14 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ..
     return by_batch(df, make, f"{head}lang_pred string, score double")
 
 
+def in_a_language(docs: DataFrame, scratch: Scratch, least: float = 0.3) -> DataFrame:
+    """docs whose language is recognised with a score of ``least``; all columns stay as they are."""
+    known = docs.filter(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
+    model = train(known.select("doc_id", "lang", "text"), scratch)
+    found = identify(docs, model, keep=tuple(docs.columns))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+
+
 def op8_language_id(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learned from those not held out."""
     labelled = documents.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))

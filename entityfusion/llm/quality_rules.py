@@ -35,6 +35,9 @@ GRID = {
     "repeats": (0.02, 0.05, 0.08, 0.1, 0.12, 0.15, 0.18),
 }
 
+#: Strata up to which their rules are broadcast, below 300 bytes each; beyond, they are joined by shuffle.
+STRATA = 20_000
+
 
 def _once(value: Column, use) -> Column:
     """use(value) with value computed once, though use may refer to it within a lambda."""
@@ -132,23 +135,42 @@ def safe_cutoffs(labelled: DataFrame, scratch: Scratch, risk: float, error: floa
     return best.select("stratum", "signal", "best.*")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = 0.04, error: float = 0.05, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with the base counts, ``base_failed``, ``rejected_by`` (signals above their cutoff) and ``kept``.
-
-    docs: doc_id, text, lang, and the kept columns. labels: doc_id, quality. The stratum is the language given with the
-    document; a stratum of few labels gets no cutoff, since no small sample can pass the test."""
-    counted = base_counts(docs.select(*dict.fromkeys([*keep, "doc_id", "lang", "text"]))).drop("text")
-    counted = scratch.table(counted.withColumnRenamed("lang", "stratum"), "signals")
+def rules_of(counted: DataFrame, labels: DataFrame, scratch: Scratch, risk: float, error: float) -> DataFrame:
+    """rule_stratum, rules (map from signal to cutoff), one row a stratum. counted: doc_id, stratum and the counts."""
     good = labels.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     labelled = counted.filter("not base_failed").select("doc_id", "stratum", *(c.alias(n) for n, c in signals().items())).join(good, "doc_id")
-    cutoffs = scratch.table(safe_cutoffs(labelled, scratch, risk, error), "cutoffs")
-    # one row a stratum: map from signal to cutoff
+    cutoffs = safe_cutoffs(labelled, scratch, risk, error)
     rules = cutoffs.groupBy(F.col("stratum").alias("rule_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("rules"))
-    judged = counted.join(rules, F.col("stratum").eqNullSafe(F.col("rule_stratum")), "left")
+    rules = scratch.table(rules, "rules")
+    return F.broadcast(rules) if rules.limit(STRATA + 1).count() <= STRATA else rules
+
+
+def judged(counted: DataFrame, rules: DataFrame) -> DataFrame:
+    """counted with ``rejected_by`` (signals above their cutoff) and ``kept``."""
+    found = counted.join(rules, F.col("stratum").eqNullSafe(F.col("rule_stratum")), "left")
     above = F.array_compact(F.array(*(F.when(c > F.col("rules")[n], n) for n, c in signals().items())))
-    judged = judged.withColumn("rejected_by", F.when(F.col("rules").isNull(), F.array().cast("array<string>")).otherwise(above))
-    out = judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+    found = found.withColumn("rejected_by", F.when(F.col("rules").isNull(), F.array().cast("array<string>")).otherwise(above))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("rules", "rule_stratum")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = 0.04, error: float = 0.05) -> DataFrame:
+    """doc_id with the base counts, ``base_failed``, ``rejected_by`` and ``kept``.
+
+    docs: doc_id, text, lang. labels: doc_id, quality. The stratum is the language given with the document; a stratum
+    of few labels gets no cutoff, since no small sample can pass the test."""
+    counted = base_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text")).drop("text")
+    counted = scratch.table(counted, "signals")
+    out = judged(counted, rules_of(counted, labels, scratch, risk, error))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+
+
+def passing(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = 0.04, error: float = 0.05) -> DataFrame:
+    """docs that the rules keep, with their columns. The counts are made twice, for the cutoffs and for the verdicts, so that no
+    text is shuffled or joined."""
+    stratum = docs.withColumn("stratum", F.col("lang"))
+    counted = scratch.table(base_counts(stratum.select("doc_id", "stratum", "text")).drop("text"), "signals")
+    rules = rules_of(counted, labels, scratch, risk, error)
+    return judged(base_counts(stratum), rules).filter("kept").select(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
