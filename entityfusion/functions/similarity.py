@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sequence_ratio(left: str | None, right: str | None) -> float:
@@ -15,7 +16,7 @@ def sequence_ratio(left: str | None, right: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([sequence_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

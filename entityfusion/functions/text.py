@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE_EDGES = r"(?U)^\s+|\s+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for p in parts:
         yield p.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -56,7 +56,7 @@ def union_values(items: DataFrame, key: str, confidence: Column, first: tuple[st
     out = items.filter(F.col(key).isNotNull()).groupBy(by, key).agg(
         F.min(order).alias(order), F.max(confidence).alias("confidence"), *(F.min_by(c, order).alias(c) for c in first), F.sort_array(F.collect_list(one)).alias("_all")
     )
-    return out.withColumns({c: F.array_distinct(F.flatten(F.transform("_all", lambda x, c=c: F.coalesce(x[c], F.array().cast("array<string>"))))) for c in lists}).drop("_all")
+    return out.withColumns({c: F.array_distinct(F.flatten(F.filter(F.col(f"_all.{c}"), lambda x: x.isNotNull()))) for c in lists}).drop("_all")
 
 
 def most_complete(items: DataFrame, score: Column, order: str = "ord", by: str = "cluster") -> DataFrame:
