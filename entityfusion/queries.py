@@ -1,19 +1,575 @@
-"""The engine's own queries over the driver's tables, and the SQL that each must agree with."""
+"""The engine's own queries over the driver's tables, each with the SQL that it must agree with.
+
+The tables stand in for the engine's inputs: users of ``events`` are clusters and their events the pieces of evidence, event types are sources;
+documents, pages, parts, customers and orders give texts, links, names, records and periods. Queries without SQL (text
+similarities, order-dependent scans) are tested against plain versions in tests/."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions import text as tx
+from .functions import values as vx
+from .functions.similarity import text_similarity
+from .operators import confidence, dictionary, evidence, fusion, identity, projection, report, validation
+from .plans.tables import Tables
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+#: Event types as sources.
+SOURCES = {"click": "ats_json", "view": "recruiter_csv", "purchase": "resume_pdf", "signup": "github", "error": "linkedin"}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def source_of(kind: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in SOURCES.items() for x in kv))[kind]
+
+
+def case(column: str, values: dict, otherwise: str = "null") -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v!r}" for k, v in values.items()) + f" else {otherwise} end"
+
+
+SRC = case("event_type", SOURCES)
+REL = case(f"({SRC})", fusion.RELIABILITY, "0.5")
+WS = r"[ \t\n\r\f\v]"
+SPLIT = f"list_filter(list_transform(regexp_split_to_array(text, '[;,|\\n]'), lambda x: trim(regexp_replace(x, '{WS}+', ' ', 'g'))), lambda x: x <> '')"
+
+
+def told(spark: SparkSession, sf: str) -> DataFrame:
+    """cluster, ord, source, value, k of events."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf, "events").select(F.col("user_id").alias("cluster"), F.col("event_id").alias("ord"), source_of(F.col("event_type")).alias("source"), "event_type", "value", k.alias("k"))
+
+
+# scalar functions
+
+
+@query(f"select distinct doc_id, lower(unnest(regexp_extract_all(text, '{vx.EMAIL}'))) as email from documents")
+def contacts_email(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.explode(F.array_distinct(F.transform(vx.extract_emails(F.col("text")), vx.normalize_email))).alias("email"))
+
+
+PHONE_SQL = r"""
+with raw as (select doc_id, unnest(regexp_extract_all(text, '\+?\d[\d \t\n\r\f\v().-]{{6,}}\d')) as r from documents),
+parts as (select doc_id, r, regexp_replace(replace(r, '(0)', ''), '[^0-9]', '', 'g') as d, regexp_replace(r, '[^0-9]', '', 'g') as plain from raw),
+coded as (select *, case when left(d, 1) in ({one}) then 1 when left(d, 2) in ({two}) then 2 else 3 end as c from parts)
+select distinct doc_id, case when r like '+%' and length(d) between c + 2 and 15 and d not like '0%' then '+' || d else plain end as phone from coded""".format(
+    one=", ".join(f"'{c}'" for c in vx.CALLING_1), two=", ".join(f"'{c}'" for c in vx.CALLING_2)
+)
+
+
+@query(PHONE_SQL)
+def contacts_phone(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.explode(F.array_distinct(F.transform(vx.extract_phones(F.col("text")), vx.normalize_phone))).alias("phone"))
+
+
+URL_SQL = r"""
+with t as (select page_id, case when regexp_matches(trim(url), '^https?://') then trim(url) else 'https://' || ltrim(trim(url), '/') end as u from pages where trim(url) <> ''),
+p as (select page_id, regexp_extract(u, '^(https?)://', 1) as s, regexp_replace(lower(regexp_extract(u, '^https?://([^/?#]*)', 1)), '^www\.', '') as h,
+  regexp_replace(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') as a, regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) as q, regexp_extract(u, '(#.*)$', 1) as f from t)
+select page_id, lower(s || '://' || h || a || case when q = '?' then '' else q end || case when f = '#' then '' else f end) as link from p"""
+
+
+@query(URL_SQL)
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", vx.normalize_url(F.col("url")).alias("link"))
+
+
+@query(f"select case when link like '%linkedin.com%' then 'linkedin' when link like '%github.com%' then 'github' else 'portfolio' end as slot, count(*) as n from ({URL_SQL}) group by all")
+def link_slots(spark, sf):
+    return url_normalize(spark, sf).groupBy(vx.link_slot(F.col("link")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select doc_id, md5(trim(regexp_replace(text, '{WS}+', ' ', 'g'))) as text_md5 from documents")
+def whitespace_norm(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_whitespace(F.col("text"))).alias("text_md5"))
+
+
+@query(f"select distinct doc_id, unnest({SPLIT}) as part from documents")
+def split_multivalue(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(tx.split_multivalue(F.col("text"))).alias("part"))
+
+
+@query(f"with p as (select distinct doc_id, unnest({SPLIT}) as part from documents) select * from p where length(part) >= 2 and lower(part) not in ({', '.join(repr(w) for w in tx.STOP_WORDS)}) and not regexp_matches(part, '^[a-z]{{3,15}}$')")
+def skill_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(tx.filter_skill_tokens(tx.split_multivalue(F.col("text")))).alias("part"))
+
+
+MERGED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')"
+
+
+@query(f"select doc_id, md5(trim(regexp_replace({MERGED.format('text')}, '{WS}+', ' ', 'g'))) as text_md5 from documents")
+def merged_words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_merged_words(F.col("text"), compose=False)).alias("text_md5"))
+
+
+COMPANY = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z0-9])[-–—]([A-Za-z0-9])', '\\1 \\2', 'g'), '\\s{{2,}}', ' ', 'g')))"
+
+
+@query(f"select p_partkey, {COMPANY.format("p_name || 'Co-' || p_type")} as company from part")
+def company_keys(spark, sf):
+    name = F.concat("p_name", F.lit("Co-"), "p_type")
+    return table(spark, sf, "part").select("p_partkey", tx.company_key(name).alias("company"))
+
+
+@query("select c_custkey, sha256(lower(trim(c_name)) || '::' || lower(trim(c_mktsegment))) as id from customer")
+def stable_ids(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", tx.stable_id(F.col("c_name"), F.lit("  "), F.col("c_mktsegment")).alias("id"))
+
+
+@query("select o_orderkey, case o_orderkey % 3 when 0 then o_orderdate::date when 1 then date_trunc('month', o_orderdate)::date end as day, case when o_orderkey % 3 < 2 then year(o_orderdate)::int end as year from orders")
+def parsed_dates(spark, sf):
+    k = F.col("o_orderkey") % 3
+    given = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "MMM yyyy")).otherwise("soon")
+    return table(spark, sf, "orders").select("o_orderkey", vx.parse_date(given).alias("day"), vx.parse_year(given).alias("year"))
+
+
+@query("select p_brand || ' | ' || p_type as both, count(*) as n from part where p_brand <> p_type group by all")
+def merged_texts(spark, sf):
+    both = tx.merge_text(F.concat_ws(" | ", "p_brand", "p_type"), F.concat_ws(" | ", "p_type", "p_brand"))
+    return table(spark, sf, "part").groupBy(both.alias("both")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select n_nationkey, case when regexp_matches(substr(n_name, 1, 3 + n_nationkey % 2), '^[A-Za-z]{2,3}$') then upper(substr(n_name, 1, 3)) end as code from nation")
+def country_codes(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", vx.country_code(F.substring("n_name", F.lit(1), (F.lit(3) + F.col("n_nationkey") % 2).cast("int"))).alias("code"))
+
+
+@query()
+def text_similarities(spark, sf):
+    p = table(spark, sf, "part").select("p_name").distinct()
+    other = p.select(F.lead("p_name").over(Window.orderBy("p_name")).alias("next"), "p_name")
+    return other.select("p_name", "next", text_similarity("p_name", "next").alias("ratio"))
+
+
+@query()
+def repaired_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.repair_ocr_tokens(F.col("text"))).alias("text_md5"))
+
+
+# sections, JSON trees
+
+LINES = "select doc_id, generate_subscripts(l, 1) - 1 as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)"
+
+
+@query(f"select doc_id, line_no, last_value(case when length(line) <= 20 then line end ignore nulls) over (partition by doc_id order by line_no) as section from ({LINES})")
+def section_carry(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    header = F.when(F.length("line") <= 20, F.col("line"))
+    return lines.select("doc_id", "line_no", F.last(header, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no")).alias("section"))
+
+
+@query("select event_id, json_extract(props, '$.k')::int as k from events")
+def json_first_match(spark, sf):
+    from .sources.ats_json import first_match
+
+    @F.pandas_udf(T.IntegerType())
+    def find(trees: pd.Series) -> pd.Series:
+        import json
+
+        return trees.map(lambda t: first_match(json.loads(t), frozenset(["k"])))
+
+    return table(spark, sf, "events").select("event_id", find("props").alias("k"))
+
+
+# dictionaries
+
+TYPES = (("Economy", ("economy", "eco", "small"), "low"), ("Standard", ("standard", "medium"), "mid"), ("Premium", ("promo", "large"), "high"), ("Small", ("tiny",), "low"))
+TERM_ROWS = [("types", i, j, t, t.strip().lower(), j > 0, n, c, None, [], {}) for i, (n, a, c) in enumerate(TYPES) for j, t in enumerate((n, *a))]
+TERM_SQL = "(values " + ", ".join(f"({i}, {j}, '{k}', {str(a).lower()}, '{n}', '{c}')" for _, i, j, _, k, a, n, c, *_ in TERM_ROWS) + ") t(entry, term, key, is_alias, canonical, category)"
+KEYED = f"select key, is_alias, arg_max(canonical, entry * 100 + term) as canonical, arg_max(category, entry * 100 + term) as category from {TERM_SQL} group by all"
+
+
+def terms(spark):
+    return spark.createDataFrame(TERM_ROWS, dictionary.TERMS)
+
+
+def typed(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.lit("types").alias("domain"), dictionary.lookup_key(F.col("p_type")).alias("key"))
+
+
+@query(f"select p_partkey, canonical from part left join ({KEYED}) k on k.key = lower(trim(p_type)) and is_alias")
+def dict_alias_join(spark, sf):
+    return dictionary.alias_join(typed(spark, sf), dictionary.small(terms(spark))).select("p_partkey", F.col("hit.canonical").alias("canonical"))
+
+
+@query(f"select p_partkey, canonical from part left join ({KEYED}) k on k.key = lower(trim(p_type)) and not is_alias")
+def dict_canonical_join(spark, sf):
+    return dictionary.alias_join(typed(spark, sf), dictionary.small(terms(spark)), aliases=False).select("p_partkey", F.col("hit.canonical").alias("canonical"))
+
+
+@query(
+    f"""with k as ({KEYED}), v as (select distinct p_type as value, lower(trim(p_type)) as key from part)
+select value, coalesce(a.canonical, c.canonical) as canonical, coalesce(a.category, c.category) as category,
+  case when lower(coalesce(a.canonical, c.canonical)) = v.key then 'CANONICAL_MATCH' when a.key is not null then 'EXACT_ALIAS' when c.key is not null then 'CANONICAL_MATCH' else 'UNKNOWN_VALUE' end as stage
+from v left join k a on a.key = v.key and a.is_alias left join k c on c.key = v.key and not c.is_alias"""
+)
+def dict_stage(spark, sf):
+    values = table(spark, sf, "part").select(F.lit("types").alias("domain"), F.col("p_type").alias("value"))
+    return dictionary.resolve(values, terms(spark), threshold=101).select("value", "canonical", "category", "stage")
+
+
+@query()
+def fuzzy_top1(spark, sf):
+    names = table(spark, sf, "part").select(F.lit("types").alias("domain"), F.initcap("p_name").alias("value")).distinct()
+    return dictionary.fuzzy_best(names, terms(spark), 40).select("value", "fuzzy.canonical", "fuzzy.term", "fuzzy.score")
+
+
+@query(f"select distinct category from {TERM_SQL}")
+def dict_categories(spark, sf):
+    return dictionary.categories(terms(spark), "types")
+
+
+# identity
+
+KEY_SQL = """select event_id::int as frag_ord, user_id || '@' || strftime(ts, '%Y-%m-%d') as v from events
+union select event_id::int, 'k' || (json_extract(props, '$.k')::int) || '@' || strftime(ts, '%Y-%m-%d %H') from events where event_id % 7 = 0"""
+
+
+def event_keys(spark, sf):
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int").cast("string")
+    day = F.struct(F.lit(1).alias("priority"), F.lit("email").alias("key"), F.concat(F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd")).alias("value"))
+    hour = F.when(F.col("event_id") % 7 == 0, F.struct(F.lit(2).alias("priority"), F.lit("phone").alias("key"), F.concat(F.lit("k"), k, F.lit("@"), F.date_format("ts", "yyyy-MM-dd HH")).alias("value")))
+    rows = e.select(F.col("event_id").cast("string").alias("frag_id"), F.col("event_id").cast("int").alias("frag_ord"), F.posexplode(F.array_compact(F.array(day, hour))).alias("key_ord", "x"))
+    return e.select(F.col("event_id").cast("string").alias("frag_id"), F.col("event_id").cast("int").alias("frag_ord")), rows.select("frag_id", "frag_ord", "key_ord", "x.*")
+
+
+@query(
+    f"""with recursive k as ({KEY_SQL}), e as (select distinct a.frag_ord as a, b.frag_ord as b from k a join k b using (v)),
+reach as (select a as node, a as root from e union select e.b, reach.root from reach join e on e.a = reach.node where reach.root < e.b)
+select node as frag_ord, min(root) as component from reach group by node"""
+)
+def identity_connected(spark, sf):
+    fragments, keys = event_keys(spark, sf)
+    return identity.connected(fragments, keys, Tables(spark, "connected"))
+
+
+@query()
+def identity_greedy(spark, sf):
+    fragments, keys = event_keys(spark, sf)
+    return identity.greedy_clusters(fragments, keys, Tables(spark, "greedy")).select("cluster_ord", "frag_ord", "key_used", "confidence")
+
+
+# fusion
+
+
+@query(f"select user_id as cluster, arg_max(event_type, ({REL}) * 1e9 - event_id) as event_type from events group by all")
+def best_by_reliability(spark, sf):
+    return fusion.best_by_reliability(told(spark, sf), "event_type", fusion.reliability(F.col("source")))
+
+
+@query(f"with m as (select user_id as cluster, max(value) as value from events group by all) select cluster, m.value, max({REL}) as score from m join events e on e.user_id = m.cluster and e.value = m.value group by all")
+def max_verified(spark, sf):
+    return fusion.max_verified(told(spark, sf), "value", fusion.reliability(F.col("source")))
+
+
+@query(f"select user_id as cluster, event_type, min(event_id) as ord, max({REL}) as confidence from events group by all")
+def union_dedupe(spark, sf):
+    return fusion.union_values(told(spark, sf), "event_type", fusion.reliability(F.col("source")))
+
+
+@query(
+    """with t as (select c_nationkey as cluster, c_custkey, case when c_custkey % 3 = 0 then c_name end as city, case when c_custkey % 2 = 0 then c_mktsegment end as region, case when c_custkey % 5 = 0 then n_name end as country, c_acctbal
+  from customer join nation on n_nationkey = c_nationkey),
+s as (select *, (city is not null)::int + (region is not null)::int + (country is not null)::int as completeness from t)
+select cluster, city, completeness from (select *, row_number() over (partition by cluster order by completeness desc, c_acctbal desc, c_custkey) as r from s) where r = 1"""
+)
+def most_complete(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    some = lambda n, v: F.when(F.col("c_custkey") % n == 0, F.col(v))
+    place = F.struct(some(3, "c_name").alias("city"), some(2, "c_mktsegment").alias("region"), some(5, "n_name").alias("country"), F.lit(None).cast("string").alias("country_code"), F.lit(None).cast("string").alias("raw"))
+    rows = c.select(F.col("c_nationkey").alias("cluster"), F.col("c_custkey").alias("ord"), "c_acctbal", place.alias("location"))
+    return fusion.most_complete(rows, F.col("c_acctbal")).select("cluster", "location.city", "completeness")
+
+
+@query(
+    f"""with p as (select page_id % 40 as cluster, page_id as ord, case page_id % 4 when 0 then 'linkedin' when 1 then 'github' when 2 then 'portfolio' else 'other' end as slot, url, link from pages join ({URL_SQL}) using (page_id)),
+o as (select cluster, link, arg_min(url, ord) as url, min(ord) as ord from p where slot = 'other' and not exists (select 1 from p s where s.cluster = p.cluster and s.link = p.link and s.slot <> 'other') group by all)
+select c.cluster, l.linkedin, l.github, l.portfolio, coalesce(n.other, '') as other from (select distinct cluster from p) c
+left join (select cluster, arg_min(url, ord) filter (slot = 'linkedin') as linkedin, arg_min(url, ord) filter (slot = 'github') as github, arg_min(url, ord) filter (slot = 'portfolio') as portfolio from p group by all) l using (cluster)
+left join (select cluster, string_agg(url, ' ' order by ord) as other from o group by all) n using (cluster)"""
+)
+def merged_links(spark, sf):
+    slot = F.element_at(F.array(*map(F.lit, ("linkedin", "github", "portfolio", "other"))), (F.col("page_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf, "pages").select((F.col("page_id") % 40).alias("cluster"), F.col("page_id").alias("ord"), slot.alias("slot"), "url")
+    return fusion.merge_links(rows).withColumn("other", F.array_join("other", " "))
+
+
+@query("with o as (select l_orderkey, max(l_returnflag) as best from lineitem group by all) select l_orderkey, count(*) as n_rejected from lineitem join o using (l_orderkey) where l_returnflag <> best group by all")
+def rejected_values(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("competing"), F.array(F.max("l_returnflag")).alias("selected"))
+    n = F.size(fusion.rejected_values(F.col("competing"), F.col("selected")))
+    return lines.select("l_orderkey", n.cast("long").alias("n_rejected")).filter("n_rejected > 0")
+
+
+@query("select user_id as cluster, count(*) as n_competing, count(*) filter (event_type <> best) as n_rejected, case when count(*) > 1 then 'strong_cross_source_agreement' else 'high_source_reliability' end as reason from events join (select user_id, max(event_type) as best from events group by all) using (user_id) group by all")
+def merge_decisions(spark, sf):
+    rows = told(spark, sf).withColumn("value", F.col("event_type"))
+    best = rows.groupBy("cluster").agg(F.max("value").alias("value"))
+    made = fusion.merge_decisions(rows, best, "headline")
+    return made.select("cluster", F.size("competing").cast("long").alias("n_competing"), F.size("rejected").cast("long").alias("n_rejected"), "reason")
+
+
+@query(
+    """with o as (select o_custkey, o_orderkey, o_orderdate as s, case when o_orderkey % 4 > 0 then o_orderdate + interval 30 day end as e from orders)
+select a.o_custkey, a.o_orderkey as left_key, b.o_orderkey as right_key from o a join o b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey and not coalesce(a.s > b.e, false) and not coalesce(b.s > a.e, false)"""
+)
+def period_overlap(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("s"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderdate") + F.expr("interval 30 days")).alias("e"))
+    a, b = o.select("o_custkey", F.col("o_orderkey").alias("left_key"), F.col("s").alias("s1"), F.col("e").alias("e1")), o.select("o_custkey", F.col("o_orderkey").alias("right_key"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    met = a.join(b, "o_custkey").filter((F.col("left_key") < F.col("right_key")) & vx.date_ranges_overlap(*(F.col(c) for c in ("s1", "e1", "s2", "e2"))))
+    return met.select("o_custkey", "left_key", "right_key")
+
+
+@query()
+def folded_experience(spark, sf):
+    o = table(spark, sf, "orders")
+    null = F.lit(None).cast("string")
+    job = F.struct(
+        F.col("o_orderpriority").alias("company"), null.alias("company_canonical"), F.col("o_orderstatus").alias("title"), null.alias("title_canonical"), F.col("o_orderdate").cast("date").alias("start"), F.date_add("o_orderdate", 30).alias("end"), null.alias("summary"),
+        F.lit(None).cast("struct<raw:string,city:string,region:string,country:string,country_code:string>").alias("location"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("evidence_ids"), F.lower("o_orderpriority").alias("company_key"), null.alias("company_canonical_key"),
+    )
+    made = fusion.fold_experience(o.select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("ord"), job.alias("item")))
+    return made.select("cluster", F.explode("experience").alias("x")).select("cluster", "x.company", "x.title", "x.start", "x.end")
+
+
+# evidence
+
+
+@query("select user_id as cluster, event_type, min(event_id) as ord, arg_max(value, event_id) as value from events group by all")
+def evidence_dedupe_last(spark, sf):
+    return evidence.dedupe_last(told(spark, sf).select("cluster", "ord", "event_type", "value"), "event_type")
+
+
+PROV = f"select user_id as cluster, event_id as ord, event_type as field, {SRC} as source, 'read' as method, 'r' || (event_id % 2) as rule, (json_extract(props, '$.k')::int % 5)::varchar as original, value / 100 as confidence from events"
+
+
+def trail(spark, sf):
+    t = told(spark, sf)
+    original = (F.col("k") % 5).cast("string")
+    return t.select("cluster", "ord", F.col("event_type").alias("field"), "source", F.lit("read").alias("method"), F.concat(F.lit("r"), F.col("ord") % 2).alias("rule"), original.alias("original"), original.alias("canonical"), (F.col("value") / 100).alias("confidence"))
+
+
+@query(f"select cluster, field, source, method, original, min(ord) as ord, arg_min(rule, ord) as rule, arg_min(confidence, ord) as confidence from ({PROV}) group by all")
+def provenance_distinct(spark, sf):
+    return evidence.distinct_provenance(trail(spark, sf)).drop("canonical")
+
+
+@query(
+    f"""with f as (select cluster, field, source, method, rule, original, min(ord) as first from ({PROV}) group by all),
+g as (select cluster, field, source, method, rule, case when count(*) = 1 then min(original) else '[' || string_agg('"' || original || '"', ',' order by first) || ']' end as original from f group by all)
+select g.*, min(ord) as ord, max(confidence) as confidence, count(*) as n from g join ({PROV}) p using (cluster, field, source, method, rule) group by g.cluster, g.field, g.source, g.method, g.rule, g.original"""
+)
+def provenance_compact(spark, sf):
+    return evidence.compact_provenance(trail(spark, sf)).drop("canonical")
+
+
+@query(f"select user_id as cluster, case when event_id % 2 = 0 then 'r' || (event_id % 4) else ({SRC}) || ':f' end as source_key, min(event_id) as ord, arg_min({SRC}, event_id) as source from events group by all")
+def source_summaries(spark, sf):
+    rows = told(spark, sf).select("cluster", "ord", "source", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("r"), F.col("ord") % 4)).alias("record_id"), F.lit("f").alias("source_file"), F.lit(0.9).alias("quality"))
+    return evidence.source_summaries(rows).select("cluster", "source_key", "ord", "source")
+
+
+# confidence
+
+STAGE_NAMES = tuple(dictionary.STAGES)
+FIELD = "case k % 10 " + " ".join(f"when {i} then '{f}'" for i, f in enumerate(confidence.FIELDS)) + " end"
+
+
+def scored(spark, sf):
+    t = told(spark, sf)
+    field = F.element_at(F.array(*map(F.lit, confidence.FIELDS)), F.col("k") % 10 + 1)
+    stage = F.element_at(F.array(*map(F.lit, STAGE_NAMES)), F.col("k") % 6 + 1)
+    return t.select("cluster", "ord", field.alias("field"), "source", (F.least(F.col("value"), F.lit(100.0)) / 100).alias("quality"), (F.col("k") % 7).cast("string").alias("value"), stage.alias("stage"))
+
+
+def fields_of(spark, sf):
+    s = scored(spark, sf)
+    return confidence.field_confidence(s.select("cluster"), s, s, s, s.select("cluster", "source"))
+
+
+OWN = "case (source || '/' || field) " + " ".join(f"when '{s}/{f}' then {v}" for s, o in fusion.OVERRIDES.items() for f, v in o.items()) + " end"
+SCALARS = ", ".join(f"'{f}'" for f in confidence.SCALARS)
+FIELD_SQL = f"""
+with t as (select user_id as cluster, {SRC} as source, least(value, 100) / 100 as quality, json_extract(props, '$.k')::int as k from events),
+s as (select *, {FIELD} as field, (k % 7)::varchar as value, {case("(k % 6)", {str(i): v for i, v in enumerate(dictionary.STAGES.values())})} as stage from t),
+grid as (select cluster, field from (select distinct cluster from s), (select unnest([{", ".join(f"'{f}'" for f in confidence.FIELDS)}]) as field)),
+src as (select distinct cluster, field, source from s union select distinct g.cluster, g.field, t.source from grid g join t using (cluster) where (g.cluster, g.field) not in (select (cluster, field) from s)),
+rel as (select cluster, field, coalesce(avg({OWN}), avg({case("source", fusion.RELIABILITY, "0.5")})) as r, count(*) as n from src group by all),
+ev as (select cluster, field, avg(quality) as q, avg(stage) as c, count(distinct value) as u, count(*) as m from s group by all),
+p as (select cluster, field, n, r, 1 - pow(2.0, -n) as a, coalesce(q, 0.5) as q, coalesce(c, case when coalesce(m, 0) + (field = 'location')::int > 0 then 1.0 else 0.0 end) as c, coalesce(u, 0) + 7 * (field = 'location')::int as u, coalesce(m, 0) + 7 * (field = 'location')::int as m
+  from grid join rel using (cluster, field) left join ev using (cluster, field)),
+parts as (select *, case when field in ({SCALARS}) and u > 1 then (u - 1) / u else 0 end as conflict, case when m > 0 then 0 when field in ('full_name', 'emails', 'phones', 'skills') then 0.25 else 0.1 end as missing from p),
+fields as (select cluster, field, n, conflict, greatest(0, least(1, (r * 0.30 + a * 0.25 + q * 0.20 + c * 0.20) / 0.95 - conflict * 0.05 - missing * 0.10)) as score from parts)"""
+
+
+@query(FIELD_SQL + " select cluster, field, n as source_count, round(conflict, 9) as conflict, round(score, 9) as score from fields")
+def field_confidence(spark, sf):
+    return fields_of(spark, sf).select("cluster", "field", "source_count", F.round("conflict", 9).alias("conflict"), F.round("score", 9).alias("score"))
+
+
+CATEGORY = "case " + " ".join(f"when field in ({', '.join(f"'{f}'" for f in fs)}) then '{c}'" for c, fs in confidence.CATEGORIES.items()) + " end"
+CAT_SQL = FIELD_SQL + f", cats as (select cluster, {CATEGORY} as category, sum(score * greatest(n, 1)) / sum(greatest(n, 1)) as score from fields group by all)"
+
+
+@query(CAT_SQL + " select cluster, category, round(score, 9) as score from cats")
+def category_scores(spark, sf):
+    return confidence.category_scores(fields_of(spark, sf)).select("cluster", "category", F.round("score", 9).alias("score"))
+
+
+OVER_SQL = CAT_SQL + f""", w as (select cluster, sum(score * {case("category", confidence.CATEGORY_WEIGHTS)}) / sum({case("category", confidence.CATEGORY_WEIGHTS)}) as w from cats group by all),
+f as (select cluster, max(n) as most, count(*) filter (conflict > 0) as bad, count(*) as n from fields group by all),
+overall as (select cluster, least(w, case when most <= 1 then 0.85 else 1 end, case when 2 * bad >= n then 0.78 else 1 end) as overall from w join f using (cluster))"""
+
+
+@query(OVER_SQL + " select cluster, round(overall, 9) as overall from overall")
+def overall_confidence(spark, sf):
+    return confidence.overall_confidence(fields_of(spark, sf)).select("cluster", F.round("overall", 9).alias("overall"))
+
+
+@query(FIELD_SQL + " select field, round(avg(score), 9) as mean_score, count(*) as n from fields group by all")
+def ui_field_means(spark, sf):
+    return report.field_means(fields_of(spark, sf)).select("field", F.round("mean_score", 9).alias("mean_score"), F.col("count").alias("n"))
+
+
+@query(FIELD_SQL + " select round(avg(q), 9) as quality, round(avg(c), 9) as certainty, round(avg(conflict), 9) as conflict from parts")
+def ui_component_means(spark, sf):
+    means = report.component_means(fields_of(spark, sf))
+    return means.groupBy().pivot("component", ["quality", "certainty", "conflict"]).agg(F.round(F.first("mean"), 9))
+
+
+@query(OVER_SQL + " select count(*) as candidates, round(avg(overall), 9) as mean_confidence from overall")
+def run_summary(spark, sf):
+    o = confidence.overall_confidence(fields_of(spark, sf)).select(F.col("cluster").alias("candidate_id"), F.col("overall").alias("overall_confidence"))
+    made = report.run_summary(o, o.select("candidate_id", F.lit(0).alias("errors"), F.lit(0).alias("warnings")))
+    return made.select("candidates", F.round("mean_confidence", 9).alias("mean_confidence"))
+
+
+# projection and validation
+
+
+def records(spark, sf):
+    """Customers as canonical records, with their orders as experience."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("company"), F.col("o_orderstatus").alias("title"), F.col("o_orderdate").cast("date").alias("start")))).alias("experience"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    digits = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    phone = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("+4915"), digits)).otherwise(F.concat(F.lit("0"), digits))
+    return c.select(
+        F.col("c_custkey").cast("string").alias("candidate_id"), F.col("c_name").alias("full_name"), F.array(F.struct(F.lower(F.concat("c_name", F.lit("@x.example.com"))).alias("normalized"))).alias("emails"),
+        F.array(F.struct(phone.alias("raw"), F.lit(None).cast("string").alias("e164"))).alias("phones"), F.struct(F.col("n_name").alias("raw"), F.when(F.col("c_custkey") % 3 == 0, F.substring("c_mktsegment", 1, 2)).alias("country_code")).alias("location"),
+        F.when(F.col("c_custkey") % 5 > 0, F.array(F.struct(F.col("c_mktsegment").alias("name")))).otherwise(F.array()).alias("skills"), "experience", (F.col("c_acctbal") / 10000).alias("overall_confidence"),
+    )
+
+
+CONFIG = projection.config_from({
+    "fields": ["candidate_id", {"path": "contact.email", "from": "emails[0]"}, {"path": "contact.phone", "from": "phones[0]", "normalize": "E164", "required": True}, {"path": "country", "from": "location", "normalize": "iso3166", "required": True},
+               {"path": "skill", "from": "skills[0].name", "normalize": "canonical", "required": True}, {"path": "companies", "from": "experience[].company"}, {"path": "gone", "from": "links.other[3]"}],
+    "include_provenance": False,
+})
+PHONE_OF = "case when c_custkey % 4 = 0 then '+4915' || lpad(c_custkey::varchar, 8, '0') else '0' || lpad(c_custkey::varchar, 8, '0') end"
+COUNTRY_OF = "case when c_custkey % 3 = 0 then upper(substr(c_mktsegment, 1, 2)) else upper(n_name) end"
+
+
+@query(
+    f"""select c_custkey::varchar as candidate_id, lower(c_name || '@x.example.com') as email, {PHONE_OF} as phone, {COUNTRY_OF} as country, case when c_custkey % 5 > 0 then c_mktsegment end as skill,
+coalesce(o.companies, '') as companies, null::varchar as gone, c_acctbal / 10000 as overall_confidence from customer join nation on n_nationkey = c_nationkey left join (select o_custkey, string_agg(o_orderpriority, '|' order by o_orderkey) as companies from orders group by all) o on o_custkey = c_custkey"""
+)
+def project_custom(spark, sf):
+    p = projection.project(records(spark, sf), CONFIG)
+    return p.select("candidate_id", "contact.email", "contact.phone", "country", "skill", F.coalesce(F.array_join("companies", "|"), F.lit("")).alias("companies"), "gone", "overall_confidence")
+
+
+@query("select c_custkey::varchar as candidate_id, (c_custkey % 5 > 0) as has_skill, c_custkey in (select o_custkey from orders) as has_companies from customer")
+def missing_policy(spark, sf):
+    from dataclasses import replace
+
+    config = replace(CONFIG, on_missing="omit")
+    p = projection.as_json(projection.project(records(spark, sf), config), config)
+    has = lambda f: F.get_json_object("payload", f"$.{f}").isNotNull()
+    return p.select(F.get_json_object("payload", "$.candidate_id").alias("candidate_id"), has("skill").alias("has_skill"), has("companies").alias("has_companies"))
+
+
+ISSUES = f"""
+with r as (select c_custkey::varchar as candidate_id, {PHONE_OF} as phone, {COUNTRY_OF} as country, c_custkey from customer join nation on n_nationkey = c_nationkey),
+i as (select candidate_id, 'skill' as path, 'missing_required_field' as code from r where c_custkey % 5 = 0 union all
+  select candidate_id, 'contact.phone', 'invalid_phone_format' from r where not regexp_full_match(phone, '\\+[1-9]\\d{{1,14}}') union all
+  select candidate_id, 'country', 'invalid_country_code' from r where not regexp_full_match(country, '[A-Z]{{2}}'))"""
+
+
+@query(ISSUES + " select * from i")
+def validate_custom(spark, sf):
+    return validation.validate(projection.project(records(spark, sf), CONFIG), CONFIG).select("candidate_id", "path", "code")
+
+
+@query(ISSUES + " select candidate_id, count(path) as errors, count(path) = 0 as is_valid from r left join i using (candidate_id) group by all")
+def validity(spark, sf):
+    p = projection.project(records(spark, sf), CONFIG)
+    return validation.validity(p, validation.validate(p, CONFIG)).select("candidate_id", F.col("errors").cast("long").alias("errors"), "is_valid")
+
+
+@query(ISSUES + ", n as (select count(*) as n from r), f as (select code, count(distinct candidate_id) as failed from i group by all) select c.code, coalesce(failed, 0) as failed, n - coalesce(failed, 0) as passed from (values ('missing_required_field'), ('invalid_phone_format'), ('invalid_country_code'), ('invalid_date_format')) c(code) left join f using (code), n")
+def passed_checks(spark, sf):
+    p = projection.project(records(spark, sf), CONFIG)
+    return report.passed_checks(p, validation.validate(p, CONFIG))
+
+
+# end to end
+
+
+def document_fragments(spark, sf):
+    """Documents as fragments: their contacts, and the id as name."""
+    d = table(spark, sf, "documents")
+    emails = F.transform(vx.extract_emails(F.col("text")), lambda e: F.struct(e.alias("value"), vx.normalize_email(e).alias("normalized")))
+    phones = F.transform(vx.extract_phones(F.col("text")), lambda p: F.struct(p.alias("raw"), vx.normalize_phone(p).alias("e164")))
+    null = F.lit(None).cast("string")
+    return d.select(F.col("doc_id").cast("string").alias("frag_id"), F.col("doc_id").cast("int").alias("frag_ord"), null.alias("full_name"), emails.alias("emails"), phones.alias("phones"), F.struct(null.alias("linkedin"), null.alias("github")).alias("links"), F.struct(null.alias("city"), null.alias("country"), null.alias("country_code")).alias("location"))
+
+
+@query()
+def flagship(spark, sf):
+    """Documents, their contacts, identity by contacts, and what each entity's contacts are."""
+    tables = Tables(spark, "flagship")
+    fragments = tables.keep(document_fragments(spark, sf))
+    clusters = identity.greedy_clusters(fragments, tables.keep(identity.identity_keys(fragments)), tables)
+    of = fragments.join(clusters.select("frag_id", "cluster_ord", "key_used", "confidence"), "frag_id")
+    return of.groupBy("cluster_ord").agg(F.count(F.lit(1)).alias("fragments"), F.min("key_used").alias("key_used"), F.max("confidence").alias("confidence"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("emails.normalized")))).alias("emails"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("phones.e164")))).alias("phones"))
+
 
+@query()
+def resume_records(spark, sf):
+    """Every document read as a resume, through the whole plan."""
+    from .plans import pipeline
+    from .sources import dictionaries, resume
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    texts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw"))
+    made = pipeline.run(resume.from_texts(texts, "doc_id"), dictionaries.terms(spark))
+    return made.canonical.select("candidate_id", "full_name", F.size("emails").alias("n_emails"), F.size("phones").alias("n_phones"), F.size("skills").alias("n_skills"), "overall_confidence")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
