@@ -26,7 +26,7 @@ WORD = re.compile(f"[^{WHITE_SPACE}]+")
 #: Separators that str.split() knows and the White_Space property does not.
 ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Entries that a chunk cache may hold before it starts anew, and the longest chunk it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

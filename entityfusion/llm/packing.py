@@ -21,15 +21,20 @@ rows without id; the end id counts to the length; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_table
 from .common import ChunkCache, Scratch, by_batch, small_batches, texts_of, words_by_white_space
 
 SALTS = 256
@@ -45,20 +50,48 @@ def tokenizer_at(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words whose characters stay one by one under composition and lower-casing: printable Latin-1.
+PLAIN_WORD = re.compile("[!-~\xa1-\xff]+")
+
+
+def split_pattern(tokenizer) -> regex.Pattern | None:
+    """The pattern by which the tokenizer takes pieces from lower-cased words; None if it works in another way."""
+    made = json.loads(tokenizer.to_str())
+    steps = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", ())]
+    pre = (made.get("pre_tokenizer") or {}).get("pretokenizers", ())
+    known = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+    known = known and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not made.get("post_processor") and not made["model"].get("dropout")
+    return regex.compile(pre[0]["pattern"]["Regex"]) if known else None
+
+
 class WordTokens:
-    """Ids of whole texts by a tokenizer that drops white space and encodes what stands between on its own."""
+    """Ids of whole texts by a tokenizer that drops white space and encodes what stands between on its own.
+
+    Words are looked up; of new ones, plain words are cut into pieces by the tokenizer's own pattern, and new pieces go to its
+    model, which spares a run of the whole tokenizer for each. All other words take that run."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer_at(path)
-        self.cache = ChunkCache(self._encode)
-
-    def _encode(self, words: list[str]):
-        for made in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(made.ids, "<u4").tobytes()
+        self.cut, self.model = split_pattern(self.tokenizer), self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.shown = {b: t for b in range(128, 256) if (t := "".join(byte_table()[x] for x in chr(b).encode("utf-8")))}
+        self.words, self.parts = ChunkCache(self._words), ChunkCache(self._parts)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        return [np.array([t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.shown))], "<u4").tobytes() for p in parts]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        plain = [bool(self.cut and PLAIN_WORD.fullmatch(w)) and not any(x in w for x in self.special) for w in words]
+        cut = [self.cut.findall(w.lower()) for w, p in zip(words, plain, strict=True) if p]
+        parts = self.parts.values([x for c in cut for x in c])
+        joined = iter([b"".join(itertools.islice(parts, len(c))) for c in cut])
+        self.parts.settle()
+        whole = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(joined) if p else np.array(next(whole).ids, "<u4").tobytes() for p in plain]
 
     def ids(self, text: str) -> bytes:
-        out = b"".join(self.cache.values(words_by_white_space(text)))
-        self.cache.settle()
+        out = b"".join(self.words.values(words_by_white_space(text)))
+        self.words.settle()
         return out
 
 
@@ -176,7 +209,7 @@ def best_step(source: tuple, target: tuple, room: int) -> tuple[int, tuple[int,
     return found
 
 
-def local_search(bins: Bins, capacity: int, steps: int = 20_000, targets: int = 64) -> Bins:
+def local_search(bins: Bins, capacity: int, steps: int = 4_000, targets: int = 64) -> Bins:
     """Empties bins by moves and exchanges between underfull bins, each of which raises the sum of squared fills."""
     bins = dict(bins)
     least = -(-sum(fill_of(b) * n for b, n in bins.items()) // capacity)
