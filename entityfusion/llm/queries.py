@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, quality_rules, secret_scan, simhash, token_counts, vector_search, warc
+from . import bpe, language_id, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, vector_search, warc
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4_byte_bpe(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.op5_quality_classifier(spark, sf_dir)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op6_quality_rules(spark, sf_dir)
 
@@ -49,7 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_vector_search, op4_byte_bpe, op6_quality_rules, op7_token_counts, op8_language_id, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_vector_search, op4_byte_bpe, op5_quality_classifier, op6_quality_rules, op7_token_counts, op8_language_id, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
