@@ -96,7 +96,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 6) -> DataFrame:
                         if out is not None:
                             out.close()
                         done.append([name := f"{uuid.uuid4().hex}.warc.gz", 0])
-                        out = store.open_output_stream(f"{root}/{name}")
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                     left = row["length"]
                     done[-1][1] += 1
@@ -162,7 +162,7 @@ def read_archives(manifest: DataFrame, size: int = CHUNK_BYTES, with_data: bool
             for path in batch.column("path").to_pylist():
                 store, at = fs.FileSystem.from_uri(path)
                 held = []
-                with store.open_input_stream(at) as stream:
+                with store.open_input_stream(at, compression=None) as stream:
                     for row in read_records(stream, size, with_data):
                         held.append(row)
                         if len(held) == per_batch:
