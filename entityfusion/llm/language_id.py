@@ -176,8 +176,10 @@ def in_a_language(docs: DataFrame, scratch: Scratch, least: float = 0.3) -> Data
     """docs whose language is recognised with a score of ``least``; all columns stay as they are."""
     known = docs.filter(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
     model = train(known.select("doc_id", "lang", "text"), scratch)
-    found = identify(docs, model, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    # columns of the input may have the names of the prediction's
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    found = identify(inner, model, text=f"c{docs.columns.index('text')}", keep=tuple(inner.columns))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*inner.columns).toDF(*docs.columns)
 
 
 def op8_language_id(documents: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ overlaps a strong span gives way to it; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -71,11 +71,11 @@ def weak_spans(data: bytes, strong: list[Span]) -> list[Span]:
         if _mixed(m[0], 3) and UPPER.search(m[0]) and LOWER.search(m[0]):
             found.append(Span(*m.span(), "key"))
     held = Cover(strong)
-    return [s for s in found if not (held if s.kind == "endpoint" else taken).meets(s.start + 1, s.end - 1)]
+    return [s for s in found if not (held if s.kind == "endpoint" else taken).meets(s.start, s.end)]
 
 
 class Cover:
-    """Sorted intervals for interval joins: does any meet [low, high]?"""
+    """Sorted intervals for interval joins: does any share a place with [low, high)?"""
 
     def __init__(self, spans: list[Span]):
         spans = sorted(spans)
@@ -83,8 +83,8 @@ class Cover:
         self.reach = list(accumulate((s.end for s in spans), max))
 
     def meets(self, low: int, high: int) -> bool:
-        i = bisect_right(self.starts, high)
-        return i > 0 and self.reach[i - 1] >= low
+        i = bisect_left(self.starts, high)
+        return i > 0 and self.reach[i - 1] > low
 
 
 def linked(data: bytes, strong: list[Span], weak: list[Span], reach: int) -> list[Span]:
