@@ -157,9 +157,8 @@ def country_codes(spark, sf):
 
 @query()
 def text_similarities(spark, sf):
-    p = table(spark, sf, "part").select("p_name").distinct()
-    other = p.select(F.lead("p_name").over(Window.orderBy("p_name")).alias("next"), "p_name")
-    return other.select("p_name", "next", text_similarity("p_name", "next").alias("ratio"))
+    p = table(spark, sf, "part").select("p_name", "p_type").distinct()
+    return p.select("p_name", "p_type", text_similarity("p_name", "p_type").alias("ratio"))
 
 
 @query()

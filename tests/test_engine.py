@@ -210,3 +210,14 @@ def test_yaml_dictionary(spark, tmp_path):
         dictionaries.read_yaml(spark, "d", str(tmp_path / "bad.yml"))
     with pytest.raises(FileNotFoundError):
         dictionaries.read_yaml(spark, "d", str(tmp_path / "none.yml"))
+
+
+def test_stream(spark, tmp_path):
+    from entityfusion.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    for i, name in enumerate(("Ada Quill", "Ben Moss", "Ada Quill")):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"name": name}))
+    for _ in range(2):  # the second run finds nothing new
+        ingest.write(ingest.fragments(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    assert sorted(r["full_name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Ada Quill", "Ben Moss"]
