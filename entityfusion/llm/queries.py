@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_warc": warc.ORACLE_SQL, "op6_quality_rules": quality_rules.oracle_sql()}

@@ -187,3 +187,13 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     return ends.join(sizes, F.col("payload_digest") == F.col("digest")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+
+
+#: op1_warc's result as SQL, from the pages alone; base32 is made of groups of five hexadecimal digits.
+ORACLE_SQL = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as hex, octet_length(encode(coalesce(html, '')))::bigint as n from pages),
+d as (select *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), 'string_agg', '') as digest from p),
+t as (select h, max(page_id) as top from p group by all)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id is not distinct from top then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from top then top end as refers_to from d join t using (h)"""
