@@ -72,7 +72,7 @@ def resolve(values: DataFrame, terms: DataFrame, threshold: float = 90.0, catego
     """domain, value, canonical, category, parent_category, stage, score, metadata for each distinct (domain, value).
 
     Skills, job titles and degrees are repaired first, companies get their words apart. ``category_stages`` adds the
-    stages by category and by related entry, which are off as they never fire in the reference behaviour."""
+    stages by category and by related entry."""
     given = values.select("domain", "value").filter("value is not null").distinct()
     repaired = F.when(F.col("domain") == "companies", company_key(F.col("value"))).otherwise(repair_ocr_tokens(F.col("value")))
     given = given.withColumn("clean", F.coalesce(repaired, "value")).withColumn("key", lookup_key(F.col("clean")))
