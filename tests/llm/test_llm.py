@@ -196,6 +196,16 @@ def test_near_duplicates(spark, monkeypatch):
         assert want <= set(ids) and len(ids) <= len(want) + 4
 
 
+def test_near_duplicates_by_id_and_text(spark):
+    """Null ids and one id over two texts: only copies go."""
+    texts = near_texts()
+    base, other = texts[:25], near_texts()[25:]
+    rows = [(None, base[0]), (None, base[1]), (None, base[2]), (None, base[2]), (1, base[2]), (2, base[3]), (2, base[4]), (3, base[4] + " more"), (4, base[5]), (4, base[6]), (0, other[25] + " x"), (5, base[7]), (5, base[7])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in simhash.without_near_duplicates(df, Scratch(spark, "t")).collect()]
+    assert sorted(got, key=str) == sorted([(None, base[0]), (None, base[1]), (1, base[2]), (2, base[3]), (2, base[4]), (4, base[6]), (0, other[25] + " x"), (5, base[7])], key=str)
+
+
 # 3: vectors
 
 
