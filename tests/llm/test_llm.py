@@ -206,6 +206,30 @@ def test_near_duplicates_by_id_and_text(spark):
     assert sorted(got, key=str) == sorted([(None, base[0]), (None, base[1]), (1, base[2]), (2, base[3]), (2, base[4]), (4, base[6]), (0, other[25] + " x"), (5, base[7])], key=str)
 
 
+def block_edits(similarity, n):
+    """Pairs of that similarity at least: a block of another text put in at the start, middle or end, or cut out."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    out = []
+    while len(out) < n:
+        size = rng.randint(60, 500)
+        a, other = ([rng.choice(words) for _ in range(size)] for _ in range(2))
+        block = int(size * (1 / similarity - 1)) - 8 if rng.random() < 0.5 else int(size * (1 - similarity)) - 8
+        at = rng.choice([0, size // 2, size])
+        b = a[:at] + other[:block] + a[at:] if len(out) % 2 else a[: min(at, size - block)] + a[min(at, size - block) + block :]
+        one, two = shingles(" ".join(a)), shingles(" ".join(b))
+        if block > 0 and len(one & two) >= similarity * len(one | two):
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_near_duplicates_of_blocks(spark):
+    pairs = block_edits(0.8, 400)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id bigint, text string")
+    left = {r["doc_id"] for r in simhash.without_near_duplicates(df, Scratch(spark, "t")).collect()}
+    assert left >= {2 * i for i in range(400)} and len(left) <= 402
+
+
 # 3: vectors
 
 
