@@ -230,6 +230,31 @@ def test_near_duplicates_of_blocks(spark):
     assert left >= {2 * i for i in range(400)} and len(left) <= 402
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Chains of copies, direct links that centres don't have, and groups that share a passage, against brute force."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    passage, texts = [rng.choice(words) for _ in range(90)], []
+    for g in range(8):
+        at = [passage + [rng.choice(words) for _ in range(40 if g % 2 else 110)]]
+        for _ in range(60):
+            w = list(rng.choice(at))
+            for _ in range(rng.choice((1, 2, 3, 4))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            at.append(w)
+        texts += [" ".join(w) for w in at]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    sets = [shingles(t) for t in texts]
+    root = roots(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for rows in (512, 7):  # also with several blocks
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", rows, raising=False)
+        left = {r["doc_id"] for r in simhash.without_near_duplicates(df, Scratch(spark, "t")).collect()}
+        assert left == {i for i in range(len(texts)) if root[i] == i}
+
+
 # 3: vectors
 
 
