@@ -6,8 +6,10 @@ are unit vectors, and the nearest x to q by distance is that with the largest in
 grows with the logarithm of the number of vectors, so buckets keep their size.
 *Probes.* For a neighbour at inner product rho from the query, the projection is about normal with mean rho times the
 query's and variance 1 - rho^2, which gives each cell, and by products each bucket, a probability of holding it. Buckets are visited from
-the most probable on (best first over the cells' order, so no grid is built) until their probabilities add up to ``success`` in each table. rho is that
-of the k-th neighbour in a bounded sample (SAMPLE vectors).
+the most probable on (best first over the cells' order, so no grid is built) until their probabilities add up to SUCCESS in each table. rho is first that
+of the k-th neighbour in a bounded sample (SAMPLE vectors), a median. The k-th score that a query finds is at most that of its true k-th
+neighbour; where it is below the rho assumed, the query is asked again with its own, so its buckets' success is SUCCESS at least whatever
+the density around it. A query whose own rho asks for more buckets than there are vectors visits all buckets.
 *Distribution.* Table rows and probes meet in partitions of buckets: within one, the index comes first and stays in memory, queries
 stream by in batches, and each probed bucket is one matrix product. A bucket larger than BUCKET_ROWS is split over several partitions. Each
 partition answers with the best k of each query at most, then answers are merged and ranked.
@@ -22,6 +24,7 @@ of different lengths don't meet; ties go to the smaller id; a query's own id is
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -63,14 +66,18 @@ class Hashes:
         cells = np.floor((np.einsum("nd,tdk->tnk", x, self.a) + self.b[:, None, :]) / WIDTH).astype(np.int64)
         return np.array([[self.key(t, row) for row in cells[t]] for t in range(TABLES)], np.int64).reshape(TABLES, len(x)).T
 
-    def probes(self, q: np.ndarray) -> list[tuple[int, int]]:
-        """(table, key) of the buckets to visit for one query, each table's in order of estimated success."""
+    def probes(self, q: np.ndarray, rho: float | None = None, most: int | None = None) -> list[tuple[int, int]] | None:
+        """(table, key) of the buckets to visit for one query, each table's in order of estimated success; None for more than ``most`` in a table."""
         unit = q / np.linalg.norm(q)
         out = []
-        spread = math.sqrt(1 - self.rho**2)
+        rho = self.rho if rho is None else min(max(rho, -0.999), 0.999)
+        spread = math.sqrt(1 - rho**2)
         for t in range(TABLES):
-            cells = [self._cells(float(p) * self.rho, float(b), spread) for p, b in zip(unit @ self.a[t, :-1], self.b[t], strict=True)]
-            out += [(t, self.key(t, bucket)) for bucket in self._best_first(cells)]
+            cells = [self._cells(float(p) * rho, float(b), spread) for p, b in zip(unit @ self.a[t, :-1], self.b[t], strict=True)]
+            found = list(itertools.islice(self._best_first(cells), None if most is None else most + 1))
+            if most is not None and len(found) > most:
+                return None
+            out += [(t, self.key(t, bucket)) for bucket in found]
         return out
 
     @staticmethod
@@ -243,11 +250,12 @@ def _of_length(entries: DataFrame, asking: DataFrame, n: int, largest: float, di
     def probing(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("vec").flatten().to_numpy().reshape(b.num_rows, dim)
-            for r in range(b.num_rows):
-                if every:
+            for r, rho in enumerate(b.column("rho").to_pylist()):
+                probes = None if every else hashes.probes(x[r], rho, n)
+                if probes is None:
                     to: list = [(p, None) for p in range(parts)]  # the first table's partitions hold every vector
                 else:
-                    keys = [(t, key, s) for t, key in hashes.probes(x[r]) for s in range(large.get(key, 1))]
+                    keys = [(t, key, s) for t, key in probes for s in range(large.get(key, 1))]
                     at = part_of(*(np.array(c, np.int64) for c in zip(*keys, strict=True))).tolist()
                     lists: dict[int, list[int]] = {}
                     for p, (_, key, _) in zip(at, keys, strict=True):
@@ -262,19 +270,27 @@ def _of_length(entries: DataFrame, asking: DataFrame, n: int, largest: float, di
                 )
 
     def ask(questions: DataFrame, every: bool, name: str) -> DataFrame:
-        rows = index.mapInArrow(dealt, ROWS).union(questions.select("id", "vec").mapInArrow(lambda b: probing(b, every), ROWS))
+        rows = index.mapInArrow(dealt, ROWS).union(questions.select("id", "vec", "rho").mapInArrow(lambda b: probing(b, every), ROWS))
         rows = rows.repartition(parts * TABLES, "p").sortWithinPartitions("p", "kind")
         hits = rows.mapInArrow(lambda b: _search(b, k + 1), "query bigint, vec_id bigint, score double")
         return scratch.table(hits.groupBy("query", "vec_id").agg(F.max("score").alias("score")), name)
 
+    queries = queries.withColumn("rho", F.lit(None).cast("double"))
     hits = ask(queries, False, "hits")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    # each query's own rho: of the k-th found beside itself
+    last = hits.withColumn("n", best).filter(F.col("n") == k + 1).select("query", F.col("score").alias("last"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    own = queries.drop("rho").join(last, F.col("id") == F.col("query")).withColumn("rho", F.col("last") / (norm * largest)).filter(F.col("rho") < hashes.rho)
+    again = scratch.table(own.select("id", "vec", "rho"), "again")
+    if not again.isEmpty():
+        hits = hits.union(ask(again, False, "hits-again")).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     enough = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k)
     short = scratch.table(queries.join(enough, F.col("id") == F.col("query"), "left_anti"), "short")
     if n > 1 and not short.isEmpty():
         hits = hits.join(short, F.col("query") == F.col("id"), "left_anti").union(ask(short, True, "rest"))
     elif not short.isEmpty():
         hits = hits.union(ask(short, True, "rest")).distinct()
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     hits = hits.withColumn("n", best).filter(F.col("n") <= k + 1)
     return asking.join(hits, F.col("id") == F.col("query")).filter("query_id <> vec_id").select("query_id", "vec_id", "score")
 

@@ -288,6 +288,24 @@ def test_search_recall(spark):
             assert s > t or s == t and i < j
 
 
+def test_search_recall_by_density(spark):
+    """Clusters of near but unequal vectors beside spread ones: each density by itself."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = unit(rng.standard_normal((22, 64)))
+    near = unit(np.repeat(centres, 100, 0) + 0.2 * unit(rng.standard_normal((2200, 64))))
+    x = np.concatenate([near, unit(rng.standard_normal((1800, 64)))]).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = search(spark, rows)
+    ids = np.arange(0, 4000, 20)
+    scores = x[ids].astype(float) @ x.astype(float).T
+    scores[np.arange(len(ids)), ids] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    recall = [len({i for i, _ in got[q]} & set(w.tolist())) / 20 for q, w in zip(ids.tolist(), want, strict=True)]
+    print("recall: near", np.mean(recall[:110]), "spread", np.mean(recall[110:]))
+    assert np.mean(recall[:110]) >= 0.95 and np.mean(recall[110:]) >= 0.95
+
+
 def test_search_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0])] + [(100 + i, [1.0, 0.0]) for i in range(30)] + [(7, [0.0, 3.0]), (7, [0.0, 3.0])]
     assert search(spark, rows) == {q: v for q, v in brute_nearest(list(dict.fromkeys((i, None if v is None else tuple(v)) for i, v in rows)), 20).items() if v}
