@@ -173,9 +173,12 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ..
 
 
 def in_a_language(docs: DataFrame, scratch: Scratch, least: float = 0.3) -> DataFrame:
-    """docs whose language is recognised with a score of ``least``; all columns stay as they are."""
+    """docs whose language is recognised with a score of ``least``; all columns stay as they are. Where nothing was learned, no
+    text can be told from another and only those without a letter go."""
     known = docs.filter(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
     model = train(known.select("doc_id", "lang", "text"), scratch)
+    if not model["langs"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     # columns of the input may have the names of the prediction's
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     found = identify(inner, model, text=f"c{docs.columns.index('text')}", keep=tuple(inner.columns))

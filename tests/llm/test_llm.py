@@ -505,6 +505,12 @@ def test_language(spark, empty):
     assert kept.columns == df.columns and not {240, 241, 242} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_without_labels(spark):
+    rows = [(0, "plain prose", None), (1, None, None), (2, "12 34 !!", None), (None, "Ünï", None), (3, "日本", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["text"] for r in language_id.in_a_language(df, Scratch(spark, "t")).collect()} == {"plain prose", "Ünï", "日本"}
+
+
 # 9: packing
 
 
