@@ -33,8 +33,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 STRONG = KINDS[:3]
 #: Weak kinds: upper-case identifiers with digits, mixed-case secrets with digits, endpoints.
-WEAK_ID = re.compile(rb"(?<![A-Za-z0-9])[A-Z0-9]{12,40}(?![A-Za-z0-9])")
-WEAK_KEY = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_-])")
+WEAK_ID = re.compile(rb"(?<![A-Za-z0-9])[A-Z0-9]{12,}+(?![A-Za-z0-9])")
+WEAK_KEY = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(rb"(?:https?|s3|redis|amqp|mongodb|postgres(?:ql)?|mysql)://[^\s\"'<>]{4,}")
 PARAGRAPH = re.compile(rb"\n[ \t\r]*\n")
 #: A text without any of these can't hold a weak candidate's partner.
@@ -87,11 +87,10 @@ class Cover:
         return i > 0 and self.reach[i - 1] > low
 
 
-def linked(data: bytes, strong: list[Span], weak: list[Span], reach: int) -> list[Span]:
-    """The weak candidates whose complementary parts stand in their scope."""
+def linked(end: int, breaks: list[int], strong: list[Span], weak: list[Span], reach: int) -> list[Span]:
+    """The weak candidates whose complementary parts stand in their scope; all positions in code points, the text's ``end`` too."""
     if not weak:
         return []
-    breaks = [m.start() for m in PARAGRAPH.finditer(data)]
     parts = {
         "id": Cover([s for s in strong if s.kind == "access"] + [s for s in weak if s.kind == "id"]),
         "key": Cover([s for s in strong if s.kind in ("assign", "hex")] + [s for s in weak if s.kind == "key"]),
@@ -100,7 +99,7 @@ def linked(data: bytes, strong: list[Span], weak: list[Span], reach: int) -> lis
 
     def scope(s: Span) -> tuple[int, int]:
         i = bisect_right(breaks, s.start)
-        low, high = breaks[i - 1] if i else 0, breaks[i] if i < len(breaks) else len(data)
+        low, high = breaks[i - 1] if i else 0, breaks[i] if i < len(breaks) else end
         return max(low, s.start - reach), min(high, s.end + reach)
 
     return [s for s in weak if all(parts[n].meets(*scope(s)) for n in needs[s.kind])]
@@ -110,14 +109,24 @@ def scan(text: str, reach: int) -> tuple[list[Span], list[Span]]:
     """Strong spans, and all spans, of a text, in code points."""
     data = text.encode("utf-8")
     strong = strong_spans(data)
-    every = sorted(strong + linked(data, strong, weak_spans(data, strong), reach), key=lambda s: (s.start, KINDS.index(s.kind)))
-    if every and len(data) != len(text):
-        every = [Span(chars_before(data, s.start), chars_before(data, s.end), s.kind) for s in every]
+    weak = weak_spans(data, strong)
+    breaks = [m.start() for m in PARAGRAPH.finditer(data)] if weak else []
+    if (strong or weak) and len(data) != len(text):
+        at = in_code_points(data, [p for s in strong + weak for p in (s.start, s.end)] + breaks)
+        strong, weak = ([Span(at[s.start], at[s.end], s.kind) for s in spans] for spans in (strong, weak))
+        breaks = [at[p] for p in breaks]
+    every = sorted(strong + linked(len(text), breaks, strong, weak, reach), key=lambda s: (s.start, KINDS.index(s.kind)))
     return [s for s in every if s.kind in STRONG], every
 
 
-def chars_before(data: bytes, at: int) -> int:
-    return len(data[:at].decode("utf-8"))
+def in_code_points(data: bytes, places: list[int]) -> dict[int, int]:
+    """Byte position -> code points before it."""
+    out, last, n = {}, 0, 0
+    for p in sorted(set(places)):
+        n += len(data[last:p].decode("utf-8"))
+        last = p
+        out[p] = n
+    return out
 
 
 def joined(spans: list[Span]) -> str:

@@ -612,6 +612,19 @@ def test_credential_links():
     assert text[spans[0].start : spans[0].end] == ident and secret_scan.redacted(text, spans) == "é [ID] and [KEY]."
 
 
+def test_credential_links_in_code_points():
+    ident, key = "QK7WX2MNB4TRZZ81", "mB7x/Qq4Tz90KdPpLw3RrYv81sUeHn2c"
+    kinds = lambda t: [s.kind for s in secret_scan.scan(t, 256)[1]]
+    for letter in "xж日🙂":
+        assert kinds(f"{ident} {letter * 250} {key}") == ["id", "key"] and kinds(f"{ident} {letter * 260} {key}") == []
+    assert kinds(f"日\n\n日 {ident}\n\n{key}") == []
+    for long in (key * 20, key * 20 + "=="):
+        text = f"é {ident} {long}."
+        spans = secret_scan.scan(text, 256)[1]
+        assert [text[s.start : s.end] for s in spans] == [ident, long]
+    assert kinds(f"{ident * 5} {key}") == ["id", "key"]
+
+
 # all
 
 
