@@ -93,7 +93,7 @@ def greedy_clusters(fragments: DataFrame, keys: DataFrame, tables: Tables) -> Da
     own = keys.groupBy("frag_ord").agg(F.sort_array(F.collect_list(F.struct("key_ord", "priority", "key", "value"))).alias("keys"))
     rows = fragments.select("frag_id", "frag_ord").join(blocks, "frag_ord").join(own, "frag_ord", "left")
     sorted_ = rows.select("component", "frag_ord", "keys").repartition("component").sortWithinPartitions("component", "frag_ord")
-    found = tables.keep(sorted_.mapInArrow(_scan, "cluster int, priority int, frag_ord int"))
+    found = tables.table(sorted_.mapInArrow(_scan, "cluster int, priority int, frag_ord int"))
     names = list(CONFIDENCE)
     used = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, k)))
     sure = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, CONFIDENCE[k])))

@@ -45,28 +45,28 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     """fragments: ``schemas.FRAGMENT``, from any sources, with frag_ord over all of them."""
     spark = fragments.sparkSession
     tables = Tables(spark, "fusion")
-    fragments = tables.keep(fragments)
+    fragments = tables.table(fragments)
     # values and their resolution
     skills, jobs, study = (items(fragments, c) for c in ("skills", "experience", "education"))
     text = lambda df, domain, value: df.select(F.lit(domain).alias("domain"), value.alias("value"))
     wanted = [
         text(skills, "skills", F.col("item.name")), text(jobs, "companies", F.col("item.company")), text(jobs, "job_titles", F.col("item.title")), text(study, "degrees", F.col("item.degree")),
     ]
-    found = tables.keep(dictionary.resolve(reduce(DataFrame.union, wanted).filter("value <> ''"), terms, threshold))
+    found = tables.table(dictionary.resolve(reduce(DataFrame.union, wanted).filter("value <> ''"), terms, threshold))
     places = fragments.filter("location.country is not null").select(F.col("location.country").alias("value"))
     countries = dictionary.resolve_country(places, terms)
-    skills = tables.keep(resolved(skills, F.col("item.name"), "skills", found, "r"))
-    jobs = tables.keep(resolved(resolved(jobs, F.col("item.company"), "companies", found, "company"), F.col("item.title"), "job_titles", found, "title"))
-    study = tables.keep(resolved(study, F.col("item.degree"), "degrees", found, "degree"))
+    skills = tables.table(resolved(skills, F.col("item.name"), "skills", found, "r"))
+    jobs = tables.table(resolved(resolved(jobs, F.col("item.company"), "companies", found, "company"), F.col("item.title"), "job_titles", found, "title"))
+    study = tables.table(resolved(study, F.col("item.degree"), "degrees", found, "degree"))
     code = F.coalesce("location.country_code", "found_code")
     located = fragments.join(countries.select(F.col("value").alias("_country"), F.col("country").alias("found_country"), F.col("country_code").alias("found_code")), F.col("location.country") == F.col("_country"), "left")
     located = located.withColumn("location", F.when(F.col("location").isNotNull(), F.struct("location.raw", "location.city", "location.region", F.coalesce("found_country", "location.country").alias("country"), code.alias("country_code"))))
-    fragments = tables.keep(located.drop("_country", "found_country", "found_code"))
+    fragments = tables.table(located.drop("_country", "found_country", "found_code"))
     # identity
-    keys = tables.keep(identity.identity_keys(fragments))
-    clusters = tables.keep(identity.greedy_clusters(fragments, keys, tables))
+    keys = tables.table(identity.identity_keys(fragments))
+    clusters = tables.table(identity.greedy_clusters(fragments, keys, tables))
     of = clusters.select("frag_id", F.col("cluster_ord").alias("cluster"))
-    fragments = tables.keep(fragments.join(of, "frag_id").withColumn("ord", F.col("frag_ord").cast("long") * ITEMS))
+    fragments = tables.table(fragments.join(of, "frag_id").withColumn("ord", F.col("frag_ord").cast("long") * ITEMS))
     skills, jobs, study = (df.join(of, "frag_id") for df in (skills, jobs, study))
     # fusion
     trust = lambda field=None: fusion.reliability(F.col("source"), field)
@@ -101,7 +101,7 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     education = fusion.fold_education(degree)
     # audit
     told = items(fragments, "evidence").join(of, "frag_id").select("cluster", "ord", "source", "quality", "item.*")
-    told = tables.keep(evidence.dedupe_last(told, "evidence_id"))
+    told = tables.table(evidence.dedupe_last(told, "evidence_id"))
     change = lambda df, r, field, value: df.filter(F.col(r).isNotNull()).select("cluster", "ord", F.lit(field).alias("field"), value.alias("original"), F.col(f"{r}.canonical").alias("canonical"), F.col(f"{r}.stage").alias("stage"))
     changes = told.select("cluster", "ord", "field", "original", "canonical", F.lit("UNKNOWN_VALUE").alias("stage"))
     for part in (change(skills, "r", "skills", F.col("item.name")), change(jobs, "company", "company", F.col("item.company")), change(jobs, "title", "job_title", F.col("item.title")), change(study, "degree", "degree", F.col("item.degree"))):
@@ -118,7 +118,7 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     values = scored.select("cluster", "field", "value")
     for part in (listed(skills, "skills", F.col("item.name")), listed(jobs, "experience", F.to_json("item")), listed(study, "education", F.to_json("item"))):
         values = values.union(part)
-    fields = tables.keep(confidence.field_confidence(ids, scored, values, changes, summaries))
+    fields = tables.table(confidence.field_confidence(ids, scored, values, changes, summaries))
     overall = confidence.overall_confidence(fields)
     # records
     parts = (name, emails, phones, place, links, headline, years, united, experience, education, overall.withColumnRenamed("overall", "overall_confidence"))
@@ -128,7 +128,7 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     for c in ("emails", "phones", "skills", "experience", "education"):
         record = record.withColumn(c, F.coalesce(c, F.array().cast(record.schema[c].dataType)))
     order = ("candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education", "provenance", "overall_confidence", "cluster")
-    canonical = tables.keep(record.select(*order))
+    canonical = tables.table(record.select(*order))
     projected = projection.project(canonical.drop("cluster"), config)
     issues = validation.validate(projected, config)
     summary = report.run_summary(canonical, validation.validity(canonical.select("candidate_id"), issues))

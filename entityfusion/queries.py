@@ -549,8 +549,8 @@ def document_fragments(spark, sf):
 def flagship(spark, sf):
     """Documents, their contacts, identity by contacts, and what each entity's contacts are."""
     tables = Tables(spark, "flagship")
-    fragments = tables.keep(document_fragments(spark, sf))
-    clusters = identity.greedy_clusters(fragments, tables.keep(identity.identity_keys(fragments)), tables)
+    fragments = tables.table(document_fragments(spark, sf))
+    clusters = identity.greedy_clusters(fragments, tables.table(identity.identity_keys(fragments)), tables)
     of = fragments.join(clusters.select("frag_id", "cluster_ord", "key_used", "confidence"), "frag_id")
     return of.groupBy("cluster_ord").agg(F.count(F.lit(1)).alias("fragments"), F.min("key_used").alias("key_used"), F.max("confidence").alias("confidence"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("emails.normalized")))).alias("emails"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("phones.e164")))).alias("phones"))
 
