@@ -1,21 +1,19 @@
 """What the training-data operators share: table access, scratch tables, Arrow helpers, word chunks.
 
-Scratch tables are the way lineage is cut here: a DataFrame is written once as Parquet under the shared
-folder named by ``spark.checkpoint.dir`` and read back, so that a lost executor costs a re-read and never
-a recomputation of the Python work before it.
+Scratch tables (written tables in the shared folder) are the way lineage is cut here, so that a lost executor costs a re-read and
+never a recomputation of the Python work before it.
 """
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.tables import Tables as Scratch  # noqa: F401
+
 #: The code points of Unicode's White_Space property, as a regular-expression class body.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space with the run of other characters after it. Byte-level pre-tokenizers always cut
@@ -40,57 +38,6 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``, or an own one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{os.path.join(tempfile.gettempdir(), 'entityfusion-scratch')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
-    return re.sub("^file:/+", "file:///", uri).rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever store holds it; a missing one is no error."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Written tables of one run of an operator.
-
-    ``table(df)`` writes and rereads; ``drop(...)`` removes tables that nothing needs any more. Tables that a
-    returned DataFrame still reads stay in the shared folder, as Spark's own checkpoint files do, until
-    ``close`` or the cluster's clean-up of that folder.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
-        self._of: dict[int, str] = {}
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        at = self.path(name)
-        df.write.parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        self._of[id(out)] = at
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for f in frames:
-            if at := self._of.pop(id(f), None):
-                remove(self.spark, at)
-
-    def close(self) -> None:
-        remove(self.spark, self.root)
-
-
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with a function that is made once per task: ``make()`` loads models, its result maps a batch."""
 

@@ -154,7 +154,7 @@ def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randint(50, 120), rng.randint(50, 120)) for _ in range(40)]
     nodes = spark.createDataFrame([(i, 1000 - i) for i in range(130)], "node bigint, label bigint")
-    got = {r["node"]: r["label"] for r in simhash.components(nodes, spark.createDataFrame(edges, "src bigint, dst bigint"), Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["label"] for r in simhash.least_labels(nodes, spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t")).collect()}
     root = roots(130, edges)
     assert got == {i: 1000 - max(j for j in range(130) if root[j] == root[i]) for i in range(130)}
 
@@ -184,16 +184,29 @@ def test_near_duplicates(spark, monkeypatch):
     pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     root = roots(len(texts), pairs)
     want = {i for i in range(len(texts)) if root[i] == i}
-    for small, centres, rounds in ((64, 32, 6), (4, 3, 6), (3, 1, 1)):  # also with large buckets, and with what is left of them
+    for small, centres in ((64, 4), (4, 3), (2, 1)):  # also with large buckets, and with what representatives leave of them
         monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
         monkeypatch.setattr(simhash, "CENTRES", centres)
-        monkeypatch.setattr(simhash, "ROUNDS", rounds)
         got = simhash.without_near_duplicates(df, Scratch(spark, "t"))
         assert got.columns == df.columns
         ids = [r["doc_id"] for r in got.collect()]
-        if small == 64:
-            assert sorted(i for i in ids if i is not None) == sorted(want)
-        assert want <= set(ids) and len(ids) <= len(want) + 4
+        assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
+
+
+def test_near_duplicates_with_any_columns(spark):
+    """Columns named like the operator's own stay as they are."""
+    base = near_texts()
+    df = spark.createDataFrame([(i, t, f"h{i}", "n", "l", i) for i, t in enumerate(base[:30])], "doc_id bigint, text string, hash string, node string, label string, id bigint")
+    got = simhash.without_near_duplicates(df, Scratch(spark, "t"))
+    assert got.columns == df.columns and all(r["hash"] == f"h{r['doc_id']}" and r["id"] == r["doc_id"] for r in got.collect())
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = random.Random(3)
+    sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randint(1, 40))], np.uint64)) for _ in range(20)]
+    got = simhash.common_counts(sets[:12], sets[12:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[12:]] for a in sets[:12]]
 
 
 def test_near_duplicates_by_id_and_text(spark):
