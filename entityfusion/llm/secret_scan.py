@@ -5,8 +5,9 @@ long run of hexadecimal digits (``hex``). *Weak* candidates mean little by thems
 looking secrets (``key``), service endpoints (``endpoint``). The parts of one credential stand close together, so
 weak candidates are joined with complementary parts by intervals within a scope: the same paragraph, at most ``reach``
 code points apart. An identifier is reported if a secret is in scope, a secret if an identifier is in scope, an
-endpoint if both are. Strong parts serve as partners: ``access`` as identifier, ``assign`` and ``hex`` as secrets.
-The interval join is a search in sorted starts with running maxima of ends, so it never pairs all parts of a text.
+endpoint if both are and are reported. Parts must stand beside each other: a token that looks like both is no pair. Strong
+parts serve as partners: ``access`` as identifier, ``assign`` and ``hex`` as secrets. The interval join is a search in sorted
+starts and ends, so it never pairs all parts of a text.
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; a weak candidate that
 overlaps a strong span gives way to it; repeated rows give repeated results.
@@ -75,34 +76,42 @@ def weak_spans(data: bytes, strong: list[Span]) -> list[Span]:
 
 
 class Cover:
-    """Sorted intervals for interval joins: does any share a place with [low, high)?"""
+    """Sorted intervals for interval joins."""
 
     def __init__(self, spans: list[Span]):
         spans = sorted(spans)
-        self.starts = [s.start for s in spans]
+        self.starts, self.ends = [s.start for s in spans], sorted(s.end for s in spans)
         self.reach = list(accumulate((s.end for s in spans), max))
 
     def meets(self, low: int, high: int) -> bool:
+        """Does any share a place with [low, high)?"""
         i = bisect_left(self.starts, high)
         return i > 0 and self.reach[i - 1] > low
 
+    def beside(self, low: int, span: Span, high: int) -> bool:
+        """Does any share a place with [low, high) and none with the span?"""
+        return bisect_right(self.ends, span.start) > bisect_right(self.ends, low) or bisect_left(self.starts, high) > bisect_left(self.starts, span.end)
+
 
 def linked(end: int, breaks: list[int], strong: list[Span], weak: list[Span], reach: int) -> list[Span]:
-    """The weak candidates whose complementary parts stand in their scope; all positions in code points, the text's ``end`` too."""
+    """The weak candidates whose complementary parts stand in their scope, beside them; all positions in code points, the text's
+    ``end`` too. Endpoints need an identifier and a secret that are reported themselves."""
     if not weak:
         return []
-    parts = {
-        "id": Cover([s for s in strong if s.kind == "access"] + [s for s in weak if s.kind == "id"]),
-        "key": Cover([s for s in strong if s.kind in ("assign", "hex")] + [s for s in weak if s.kind == "key"]),
-    }
-    needs = {"id": ("key",), "key": ("id",), "endpoint": ("id", "key")}
 
     def scope(s: Span) -> tuple[int, int]:
         i = bisect_right(breaks, s.start)
         low, high = breaks[i - 1] if i else 0, breaks[i] if i < len(breaks) else end
         return max(low, s.start - reach), min(high, s.end + reach)
 
-    return [s for s in weak if all(parts[n].meets(*scope(s)) for n in needs[s.kind])]
+    def having(found: list[Span], needs: dict[str, str]) -> list[Span]:
+        """The weak spans of the kinds of ``needs`` that stand beside parts of all kinds that they need."""
+        parts = {"id": Cover([s for s in strong if s.kind == "access"] + [s for s in found if s.kind == "id"]), "key": Cover([s for s in strong if s.kind in ("assign", "hex")] + [s for s in found if s.kind == "key"])}
+        at = lambda s: (scope(s)[0], s, scope(s)[1])
+        return [s for s in weak if s.kind in needs and all(parts[n].beside(*at(s)) for n in needs[s.kind].split())]
+
+    pairs = having(weak, {"id": "key", "key": "id"})
+    return pairs + having(pairs, {"endpoint": "id key"})
 
 
 def scan(text: str, reach: int) -> tuple[list[Span], list[Span]]:
