@@ -12,11 +12,14 @@ neighbour; where it is below the rho assumed, the query is asked again with its
 the density around it. A query whose own rho asks for more buckets than there are vectors visits all buckets.
 *Distribution.* Table rows and probes meet in partitions of buckets: within one, the index comes first and stays in memory, queries
 stream by in batches, and each probed bucket is one matrix product. A bucket larger than BUCKET_ROWS is split over several partitions. Each
-partition answers with the best k of each query at most, then answers are merged and ranked.
+partition answers with one row a query, a list of its best k at most; a query's lists, sorted next to each other, are merged as they stream by. A
+query that is asked again brings its k-th score along, so partitions answer only with what is no worse.
 
 Equal vectors are one entry with its k + 1 smallest ids, and equal queries are asked once, so copies cost nothing.
 A query that finds fewer than k (or all) candidates is asked again of all buckets: the exact way.
 
+The LENGTHS most common vector lengths have an index each; vectors of other lengths are compared one with another, in blocks.
+
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without id; vectors
 of different lengths don't meet; ties go to the smaller id; a query's own id is never its neighbour; repeated rows count once.
 """
@@ -38,7 +41,9 @@ from .common import Scratch, small_batches
 
 TABLES, WIDTH, SUCCESS, SAMPLE = 2, 1.5, 0.88, 2048
 BUCKET_ROWS, PART_ROWS, BATCH, LENGTHS = 20_000, 8192, 256, 16
-ROWS = "p int, kind int, id bigint, vec array<double>, ids array<bigint>, keys array<bigint>"
+ROWS = "p bigint, kind int, id bigint, vec array<double>, floor double, ids array<bigint>, keys array<bigint>"
+NAMES = [c.split(" ")[0] for c in ROWS.split(", ")]
+LISTS = "query bigint, ids array<bigint>, scores array<double>"
 
 
 def normal_below(x: float) -> float:
@@ -132,8 +137,10 @@ class Part:
         self.end = np.append(self.begin[1:], len(order))
 
     def search(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """query, vec_id, score: the best k of each query in this partition, copies included."""
+        """query, ids, scores: the best k of each query in this partition that reach its floor, copies included."""
         q = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
+        floor = np.nan_to_num(batch.column("floor").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+        floor = np.where(np.isfinite(floor), floor - 1e-9 * np.abs(floor), floor)  # products differ from exact scores in the last digits
         asked: dict[int, list[int]] = {}
         for r, keys in enumerate(batch.column("keys")):
             if not keys.is_valid:  # all buckets
@@ -148,18 +155,49 @@ class Part:
         at = np.zeros((len(q), self.k), np.int64)
         for bucket, rows in asked.items():
             lo, hi = self.begin[bucket], self.end[bucket]
-            both = np.hstack([score[rows], q[rows] @ self.x[lo:hi].T])
+            product = q[rows] @ self.x[lo:hi].T
+            product[product < floor[rows][:, None]] = -np.inf
+            both = np.hstack([score[rows], product])
             where = np.hstack([at[rows], np.broadcast_to(np.arange(lo, hi), (len(rows), hi - lo))])
             take = best_of(both, self.id[where], self.k)
             score[rows], at[rows] = np.take_along_axis(both, take, 1), np.take_along_axis(where, take, 1)
-        r, c = np.nonzero(score > -np.inf)
-        exact = (q[r] * self.x[at[r, c]]).sum(1)
-        names = batch.column("id").to_numpy()[r]
-        copies = [self.ids_of[i] for i in self.id[at[r, c]].tolist()]
-        n = [len(x) for x in copies]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(names, n)), pa.array([i for x in copies for i in x], pa.int64()), pa.array(np.repeat(exact, n))], ["query", "vec_id", "score"]
-        )
+        names, ids, scores = [], [], []
+        for r, query in enumerate(batch.column("id").to_pylist()):
+            own = at[r][score[r] > -np.inf]
+            if len(own):
+                exact = (q[r] * self.x[own]).sum(1)
+                copies = [self.ids_of[i] for i in self.id[own].tolist()]
+                every, values = np.array([i for c in copies for i in c]), np.repeat(exact, [len(c) for c in copies])
+                best = np.lexsort((every, -values))[: self.k]
+                names.append(query)
+                ids.append(every[best])
+                scores.append(values[best])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["query", "ids", "scores"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """query, vec_id, score: the best k of each query's lists. Rows are sorted by query; only one query's best are held."""
+    now, best = None, (np.zeros(0, np.int64), np.zeros(0))
+
+    def rows(done: list) -> pa.RecordBatch:
+        n = [len(ids) for _, ids, _ in done]
+        columns = [np.repeat(np.array([q for q, *_ in done], np.int64), n), *(np.concatenate([d[i] for d in done]) if done else np.zeros(0, t) for i, t in ((1, np.int64), (2, float)))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "vec_id", "score"])
+
+    for batch in batches:
+        done = []
+        for query, ids, scores in zip(batch.column("query").to_pylist(), batch.column("ids"), batch.column("scores"), strict=True):
+            if query != now:
+                if now is not None:
+                    done.append((now, *best))
+                now, best = query, (np.zeros(0, np.int64), np.zeros(0))
+            ids, first = np.unique(np.concatenate([best[0], ids.values.to_numpy()]), return_index=True)  # a vector can come from each table
+            scores = np.concatenate([best[1], scores.values.to_numpy()])[first]
+            keep = np.lexsort((ids, -scores))[:k]
+            best = ids[keep], scores[keep]
+        yield rows(done)
+    if now is not None:
+        yield rows([(now, *best)])
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -202,10 +240,12 @@ def nearest(vectors: DataFrame, is_query, k: int, scratch: Scratch) -> DataFrame
     entries = scratch.table(entries.select(F.col("ids")[0].alias("id"), "vec", "ids"), "entries")
     asking = good.filter(is_query).join(entries.select("vec", "id"), "vec").select(F.col("vec_id").alias("query_id"), "id", F.size("vec").alias("length"))
     asking = scratch.table(asking, "queries")
-    lengths = entries.groupBy(F.size("vec").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).limit(LENGTHS + 1).collect()
+    lengths = entries.groupBy(F.size("vec").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most"))
+    lengths = lengths.orderBy(F.desc("n"), "length").limit(LENGTHS + 1).collect()
+    found = [_of_length(entries.filter(F.size("vec") == r["length"]), asking.filter(F.col("length") == r["length"]), r["n"], math.sqrt(r["most"]), r["length"], k, scratch) for r in lengths[:LENGTHS]]
     if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
-    found = [_of_length(entries.filter(F.size("vec") == r["length"]), asking.filter(F.col("length") == r["length"]), r["n"], math.sqrt(r["most"]), r["length"], k, scratch) for r in lengths]
+        common = [r["length"] for r in lengths[:LENGTHS]]
+        found.append(_of_rare_lengths(entries.filter(~F.size("vec").isin(common)), asking.filter(~F.col("length").isin(common)), k, scratch))
     if not found:
         return good.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     out = found[0]
@@ -215,6 +255,31 @@ def nearest(vectors: DataFrame, is_query, k: int, scratch: Scratch) -> DataFrame
     return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _answers(rows: DataFrame, parts: int, k: int) -> DataFrame:
+    """query, vec_id, score: the best k + 1 of each query, itself included, from index and query rows (ROWS)."""
+    rows = rows.repartition(parts, "p").sortWithinPartitions("p", "kind")
+    lists = rows.mapInArrow(lambda b: _search(b, k + 1), LISTS)
+    return lists.repartition("query").sortWithinPartitions("query").mapInArrow(lambda b: _merged(b, k + 1), "query bigint, vec_id bigint, score double")
+
+
+def _to_askers(asking: DataFrame, hits: DataFrame) -> DataFrame:
+    return asking.join(hits, F.col("id") == F.col("query")).filter("query_id <> vec_id").select("query_id", "vec_id", "score")
+
+
+def _of_rare_lengths(entries: DataFrame, asking: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """query_id, vec_id, score of the best among the vectors of equal length, by comparing each query with all of them in blocks of PART_ROWS."""
+    small_batches(entries.sparkSession)
+    blocks = entries.groupBy(F.size("vec").alias("length")).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("blocks"))
+    rows = entries.join(blocks, F.size("vec") == F.col("length"))
+    empty = F.lit(None)
+    column = lambda block: F.shiftleft(F.col("length").cast("long"), 32) + block
+    index = rows.select(column(F.pmod(F.xxhash64("id"), "blocks")).alias("p"), F.lit(0).alias("kind"), "id", "vec", empty.cast("double").alias("floor"), "ids", F.array(F.lit(0).cast("long")).alias("keys"))
+    queries = rows.join(asking.select("id").distinct(), "id", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    asked = queries.select(column(F.col("block")).alias("p"), F.lit(1).alias("kind"), "id", "vec", empty.cast("double").alias("floor"), empty.cast("array<bigint>").alias("ids"), empty.cast("array<bigint>").alias("keys"))
+    parts = max(1, math.ceil(entries.count() / PART_ROWS))
+    return _to_askers(asking, scratch.table(_answers(index.union(asked), parts, k), "rare"))
+
+
 def _of_length(entries: DataFrame, asking: DataFrame, n: int, largest: float, dim: int, k: int, scratch: Scratch) -> DataFrame:
     """query_id, vec_id, score among vectors of one length: more than the best k of each query."""
     spark = entries.sparkSession
@@ -237,7 +302,7 @@ def _of_length(entries: DataFrame, asking: DataFrame, n: int, largest: float, di
 
     def part_of(table: np.ndarray, key: np.ndarray, share: np.ndarray) -> np.ndarray:
         mixed = (key.astype(np.uint64) ^ (share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (table * parts + ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)).astype(np.int32)
+        return (table * parts + ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)).astype(np.int64)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,7 +310,8 @@ def _of_length(entries: DataFrame, asking: DataFrame, n: int, largest: float, di
             shares = np.array([i % large.get(key, 1) for i, key in zip(ids.tolist(), keys.tolist(), strict=True)], np.int64)
             size = b.num_rows
             lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column("t").to_numpy().astype(np.int64), keys, shares)), pa.array(np.zeros(size, np.int32)), b.column("id"), b.column("vec"), b.column("ids"), lists], ["p", "kind", "id", "vec", "ids", "keys"])
+            parts_of = pa.array(part_of(b.column("t").to_numpy().astype(np.int64), keys, shares))
+            yield pa.RecordBatch.from_arrays([parts_of, pa.array(np.zeros(size, np.int32)), b.column("id"), b.column("vec"), pa.nulls(size, pa.float64()), b.column("ids"), lists], NAMES)
 
     def probing(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,34 +331,30 @@ def _of_length(entries: DataFrame, asking: DataFrame, n: int, largest: float, di
                 one = b.slice(r, 1)
                 same = lambda c, one=one, m=m: one.column(c).take(pa.array([0] * m))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in to], pa.int32()), pa.array([1] * m, pa.int32()), same("id"), same("vec"), pa.nulls(m, pa.list_(pa.int64())), pa.array([x for _, x in to], pa.list_(pa.int64()))],
-                    ["p", "kind", "id", "vec", "ids", "keys"],
+                    [pa.array([p for p, _ in to], pa.int64()), pa.array([1] * m, pa.int32()), same("id"), same("vec"), same("floor"), pa.nulls(m, pa.list_(pa.int64())), pa.array([x for _, x in to], pa.list_(pa.int64()))],
+                    NAMES,
                 )
 
     def ask(questions: DataFrame, every: bool, name: str) -> DataFrame:
-        rows = index.mapInArrow(dealt, ROWS).union(questions.select("id", "vec", "rho").mapInArrow(lambda b: probing(b, every), ROWS))
-        rows = rows.repartition(parts * TABLES, "p").sortWithinPartitions("p", "kind")
-        hits = rows.mapInArrow(lambda b: _search(b, k + 1), "query bigint, vec_id bigint, score double")
-        return scratch.table(hits.groupBy("query", "vec_id").agg(F.max("score").alias("score")), name)
+        rows = index.mapInArrow(dealt, ROWS).union(questions.select("id", "vec", "rho", "floor").mapInArrow(lambda b: probing(b, every), ROWS))
+        return scratch.table(_answers(rows, parts * TABLES, k), name)
 
-    queries = queries.withColumn("rho", F.lit(None).cast("double"))
+    queries = queries.withColumns({"rho": F.lit(None).cast("double"), "floor": F.lit(None).cast("double")})
     hits = ask(queries, False, "hits")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     # each query's own rho: of the k-th found beside itself
-    last = hits.withColumn("n", best).filter(F.col("n") == k + 1).select("query", F.col("score").alias("last"))
+    last = hits.groupBy("query").agg(F.min("score").alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > k)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    own = queries.drop("rho").join(last, F.col("id") == F.col("query")).withColumn("rho", F.col("last") / (norm * largest)).filter(F.col("rho") < hashes.rho)
-    again = scratch.table(own.select("id", "vec", "rho"), "again")
+    own = queries.drop("rho", "floor").join(last, F.col("id") == F.col("query")).withColumn("rho", F.col("last") / (norm * largest)).filter(F.col("rho") < hashes.rho)
+    again = scratch.table(own.select("id", "vec", "rho", F.col("last").alias("floor")), "again")
     if not again.isEmpty():
         hits = hits.union(ask(again, False, "hits-again")).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     enough = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k)
     short = scratch.table(queries.join(enough, F.col("id") == F.col("query"), "left_anti"), "short")
-    if n > 1 and not short.isEmpty():
+    if not short.isEmpty():
         hits = hits.join(short, F.col("query") == F.col("id"), "left_anti").union(ask(short, True, "rest"))
-    elif not short.isEmpty():
-        hits = hits.union(ask(short, True, "rest")).distinct()
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     hits = hits.withColumn("n", best).filter(F.col("n") <= k + 1)
-    return asking.join(hits, F.col("id") == F.col("query")).filter("query_id <> vec_id").select("query_id", "vec_id", "score")
+    return _to_askers(asking, hits)
 
 
 def _rho(sample: np.ndarray, largest: float, k: int, n: int) -> float:
