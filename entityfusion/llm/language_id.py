@@ -6,10 +6,11 @@ its log frequency in each language, divided by its length so that overlapping n-
 What no n-gram covers says nothing. The scores of all words of the whole text are added; ``score`` is the share of the
 best language after the evidence is scaled to that of EVIDENCE words at most, so long texts are not all certain.
 
-The model learns from a sample of labelled documents, bounded by ``per_lang`` documents of each language (chosen by a
-hash of the id; the bound holds in the mean), and keeps at most ``words`` words and ``grams`` n-grams of each
-language, the most frequent ones. So its size, which goes to every worker, is bounded: LANGUAGES x (words + grams)
-entries; more languages than LANGUAGES raise an error.
+The model learns from a sample of labelled texts, bounded by ``per_lang`` texts of each language (chosen by a hash of the text; the bound holds in
+the mean; copies of a text count once), and keeps at most ``words`` words and ``grams`` n-grams of each language, the most
+frequent ones, and ENTRIES of either kind over all languages, in equal parts. It is sparse: a unit has entries for the languages in which it
+was met; what it says of all others is one number a language (and length of n-grams). So its size, which goes to every worker, is
+bounded whatever the number of languages.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is any text where nothing was
 learned; ties go to the language first in order; repeated rows give repeated results. Documents without id are neither
@@ -18,7 +19,7 @@ learned from nor held out.
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -27,9 +28,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import few
 from .common import ChunkCache, Scratch, by_batch, small_batches
 
-LANGUAGES, LONGEST, EVIDENCE, FOLDS = 512, 5, 20, 5
+LONGEST, EVIDENCE, FOLDS = 5, 20, 5
+#: (language, unit) pairs of either kind that a model keeps at most (some 40 bytes each), and languages up to which their sizes are broadcast.
+ENTRIES, LANGUAGES = 2_000_000, 10_000
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SMOOTHING = 0.5
 
@@ -48,16 +52,12 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def sample(labelled: DataFrame, per_lang: int) -> DataFrame:
-    """lang, text of about ``per_lang`` documents of each language, all if there are fewer; the same ones each time."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+def sample(labelled: DataFrame, per_lang: int, scratch: Scratch) -> DataFrame:
+    """lang, text of about ``per_lang`` texts of each language, all if there are fewer; the same ones each time, copies once."""
+    sizes = scratch.table(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
     grain = 1 << 20
-    share = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(grain, math.ceil(grain * per_lang / n))).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share).select("lang", "text")
+    sized = labelled.withColumn("hash", F.xxhash64("text")).join(F.broadcast(sizes) if few(sizes, LANGUAGES) else sizes, "lang")
+    return sized.filter(F.pmod("hash", F.lit(grain)) < F.ceil(F.lit(grain * per_lang) / F.col("n"))).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def _counted(df: DataFrame, column: str, make_counts) -> DataFrame:
@@ -91,28 +91,40 @@ def _count_grams(batch: pa.RecordBatch) -> Counter:
     return found
 
 
+#: An entry of a unit: a place in the vector of sums (a language, or what a default counts for) and what it adds there.
+ENTRY = np.dtype([("at", "<i4"), ("add", "<f8")])
+
+
+def _table(rows: list[tuple[str, int, int]], langs: int, by_size: bool) -> tuple[dict[str, bytes], np.ndarray]:
+    """unit -> its ENTRYs for languages, beyond the defaults (size x language), from (unit, language, count)."""
+    size_of = len if by_size else (lambda unit: 0)
+    total, units = np.zeros((LONGEST + 1, langs)), Counter(size_of(u) for u in {u for u, *_ in rows})
+    for unit, lang, n in rows:
+        total[size_of(unit), lang] += n
+    below = np.log(np.maximum(total + SMOOTHING * np.array([[units[i]] for i in range(LONGEST + 1)]), SMOOTHING))
+    default, held = np.log(SMOOTHING) - below, {}
+    for unit, lang, n in rows:
+        held.setdefault(unit, []).append((lang, (np.log(n + SMOOTHING) - below[size_of(unit), lang] - default[size_of(unit), lang]) / max(1, size_of(unit))))
+    return {u: np.array(e, ENTRY).tobytes() for u, e in held.items()}, default
+
+
 def train(labelled: DataFrame, scratch: Scratch, per_lang: int = 4000, words: int = 30_000, grams: int = 30_000) -> dict:
-    """The model: languages in order, and for words and n-grams their log frequencies (one row a unit).
+    """The model: languages in order, and for words and n-grams their entries and defaults.
 
     labelled: doc_id, lang, text, without null languages."""
     small_batches(labelled.sparkSession)
-    counted = scratch.table(_counted(sample(labelled, per_lang), "word", _count_words), "words")
+    counted = scratch.table(_counted(sample(labelled, per_lang, scratch), "word", _count_words), "words")
     parts = _counted(counted, "gram", _count_grams).withColumnRenamed("gram", "word")
-    out: dict = {"langs": sorted(r["lang"] for r in counted.select("lang").distinct().collect())}
-    at = {lang: i for i, lang in enumerate(out["langs"])}
-    for kind, table, most in (("words", counted, words), ("grams", parts, grams)):
+    n_langs = counted.select("lang").distinct().count()
+    tops = []
+    for table, most in ((counted, words), (parts, grams)):
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-        top = table.filter("n > 1").withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "word", "n").toArrow()  # bounded: see above
-        units: dict[str, int] = {}
-        rows = [units.setdefault(w, len(units)) for w in top.column("word").to_pylist()]
-        counts = np.zeros((len(units), len(at)))
-        np.add.at(counts, (rows, [at[x] for x in top.column("lang").to_pylist()]), top.column("n").to_numpy())
-        sizes = np.array([len(u) if kind == "grams" else 0 for u in units], np.int64)
-        logs = np.empty_like(counts)
-        for size in np.unique(sizes):  # frequencies among units of the same kind and length
-            of = sizes == size
-            logs[of] = np.log(counts[of] + SMOOTHING) - np.log(counts[of].sum(0) + SMOOTHING * of.sum())
-        out[kind] = (units, logs)
+        top = table.withColumn("rank", rank).filter(F.col("rank") <= max(1, min(most, ENTRIES // max(1, n_langs)))).select("lang", "word", "n").toArrow()  # bounded: see above
+        tops.append(sorted(zip(*(top.column(c).to_pylist() for c in ("word", "lang", "n")), strict=True)))
+    out: dict = {"langs": sorted({lang for _, lang, _ in tops[0]}), "name": uuid.uuid4().hex}
+    at = {lang: i for i, lang in enumerate(out["langs"])}
+    for kind, rows in zip(("words", "grams"), tops, strict=True):
+        out[kind] = _table([(unit, at[lang], n) for unit, lang, n in rows], len(at), kind == "grams")
     return out
 
 
@@ -121,35 +133,57 @@ class Predictor:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        (self.words, self.word_logs), (self.grams, self.gram_logs) = model["words"], model["grams"]
-        self.cache = ChunkCache(lambda words: [self.word(w).tobytes() for w in words])
-
-    def word(self, word: str) -> np.ndarray:
-        """Evidence of one word for each language."""
-        if (row := self.words.get(word)) is not None:
-            return self.word_logs[row]
-        rows, sizes = [], []
+        (self.words, default), (self.grams, defaults) = model["words"], model["grams"]
+        #: what the places beyond the languages count: known words, then n-grams by length, each divided by it
+        self.defaults = np.vstack([default[:1], defaults[1:] / np.arange(1, LONGEST + 1)[:, None]])
+        ones = np.zeros(LONGEST + 1, ENTRY)
+        ones["at"], ones["add"] = len(self.langs) + np.arange(LONGEST + 1), 1.0
+        self.one = [ones[i : i + 1].tobytes() for i in range(LONGEST + 1)]
+        self.cache = ChunkCache(lambda words: [self.word(w) for w in words])
+
+    def word(self, word: str) -> bytes:
+        """The entries of one word."""
+        if (known := self.words.get(word)) is not None:
+            return known + self.one[0]
+        out = []
         for place in grams_of(word):
             for gram in place:
-                if (row := self.grams.get(gram)) is not None:
-                    rows.append(row)
-                    sizes.append(len(gram))
+                if (known := self.grams.get(gram)) is not None:
+                    out += [known, self.one[len(gram)]]
                     break
-        if not rows:
-            return np.zeros(len(self.langs))
-        return (self.gram_logs[rows] / np.array(sizes)[:, None]).sum(0)
+        entries = np.frombuffer(b"".join(out), ENTRY)
+        at, same = np.unique(entries["at"], return_inverse=True)
+        made = np.zeros(len(at), ENTRY)
+        made["at"], made["add"] = at, np.bincount(same, entries["add"], len(at)) if len(at) else 0
+        return made.tobytes()
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of the words in each language."""
+        entries = np.frombuffer(b"".join(self.cache.values(words)), ENTRY)
+        sums = np.bincount(entries["at"], entries["add"], len(self.langs) + LONGEST + 1)
+        self.cache.settle()
+        return sums[: len(self.langs)] + sums[len(self.langs) :] @ self.defaults
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not words or not self.langs:
             return "und", 0.0
-        evidence = np.frombuffer(b"".join(self.cache.values(words))).reshape(-1, len(self.langs)).sum(0)
-        self.cache.settle()
+        evidence = self.evidence(words)
         evidence = (evidence - evidence.max()) * min(1.0, EVIDENCE / len(words))
         best = int(evidence.argmax())
         return self.langs[best], float(1 / np.exp(evidence).sum())
 
 
+_held: dict = {}
+
+
+def predictor_of(model: dict) -> Predictor:
+    """A worker's predictor; it and its cache live until another model comes."""
+    if _held.get("name") != model["name"]:
+        _held.update(name=model["name"], predictor=Predictor(model))
+    return _held["predictor"]
+
+
 def identify(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with ``lang_pred`` and ``score``."""
     spark = df.sparkSession
@@ -160,7 +194,7 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ..
     sent = spark.sparkContext.broadcast(model)
 
     def make():
-        predictor = Predictor(sent.value)
+        predictor = predictor_of(sent.value)
 
         def step(batch):
             found = [predictor.predict(v.as_py()) for v in batch.column(whole)]

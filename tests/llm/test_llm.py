@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -401,6 +402,8 @@ def test_transducer_and_pieces(monkeypatch):
     for size in (3, 8):
         monkeypatch.setattr(token_counts, "PIECE_CHARS", size)
         assert [counter.count(t) for t in texts[:600]] == want[:600]
+    assert counter.running("word " * 7)[-1] == counter.count("word " * 7) and counter.t.size > 50_000
+    monkeypatch.setattr(counter, "compile", counter.t.clear)
     monkeypatch.setattr(token_counts, "TABLE_TRANSITIONS", 5)
     assert [counter.count(t) for t in texts[:100]] == want[:100]
 
@@ -532,6 +535,70 @@ def test_language(spark, empty):
     assert kept.columns == df.columns and not {240, 241, 242} & {r["doc_id"] for r in kept.collect()}
 
 
+def brute_language(rows, per_lang=4000, words=30_000, grams=30_000):
+    """id -> (language, score) as one plain computation over the whole table; rows: id, text, lang."""
+    import math
+
+    texts = {(x, t) for i, t, x in rows if x is not None and i is not None and t is not None and zlib.crc32(str(i).encode()) % 5}
+    cut = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())
+    places = lambda w: [[f"_{w}_"[i : i + n] for n in range(min(5, len(w) + 2 - i), 0, -1)] for i in range(len(w) + 1)]
+    n_words, n_grams = Counter((x, w) for x, t in texts for w in cut(t)), Counter()
+    for (x, w), n in n_words.items():
+        for p in places(w):
+            n_grams.update({(x, g): n for g in p})
+    langs = sorted({x for x, _ in n_words})
+
+    def logs(counts, most, size):
+        kept = {x: dict(sorted(((w, n) for (y, w), n in counts.items() if y == x), key=lambda e: (-e[1], e[0]))[:most]) for x in langs}
+        units = {u for k in kept.values() for u in k}
+        total = {(x, s): sum(n for u, n in kept[x].items() if size(u) == s) for x in langs for s in range(6)}
+        of_size = Counter(map(size, units))
+        return {u: [math.log(kept[x].get(u, 0) + 0.5) - math.log(total[x, size(u)] + 0.5 * of_size[size(u)]) for x in langs] for u in units}
+
+    by_word, by_gram = logs(n_words, words, lambda u: 0), logs(n_grams, grams, len)
+    out = {}
+    for i, t, _ in rows:
+        found = cut(t or "")
+        if not found or not langs:
+            out[i] = ("und", 0.0)
+            continue
+        sums = [0.0] * len(langs)
+        for w in found:
+            if w in by_word:
+                said = [by_word[w]]
+            else:
+                said = [[v / len(g) for v in by_gram[g]] for g in (next((g for g in p if g in by_gram), None) for p in places(w)) if g]
+            sums = [a + sum(s[k] for s in said) for k, a in enumerate(sums)]
+        scaled = [(a - max(sums)) * min(1.0, 20 / len(found)) for a in sums]
+        out[i] = (langs[scaled.index(max(scaled))], 1 / sum(map(math.exp, scaled)))
+    return out
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(15)
+    names = [f"l{i}" for i in range(9)]
+    letters = {x: rng.sample("abcdefghijklmnopqrstuvwxyzéü", 9) for x in names}
+    word = lambda x: "".join(rng.choice(letters[x]) for _ in range(rng.randint(1, 6)))
+    common = {x: [word(x) for _ in range(25)] for x in names}
+    rows = [(i, " ".join(rng.choice(common[x]) if rng.random() < 0.7 else word(x) for _ in range(rng.randint(0, 40))), x if rng.random() < 0.9 else None) for i, x in enumerate(rng.choice(names) for _ in range(300))]
+    rows += [(300, None, "l0"), (301, rows[1][1], rows[1][2]), (302, "日本 ☃ ÀÉ", "l1"), (303, "", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for most in (30_000, 20):
+        model = language_id.train(df.filter("lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 <> 0"), Scratch(spark, "t"), words=most, grams=most)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, model).collect()}
+        want = brute_language(rows, words=most, grams=most)
+        assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+        assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-6) for i in want)
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than a model has entries for: each keeps its most frequent units."""
+    monkeypatch.setattr(language_id, "ENTRIES", 700)
+    rows = [(5 * i + k, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i}") for i in range(600) for k in range(5)]
+    got = language_id.op8_language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert len(got) == 3000 and sum(r["lang_pred"] == f"l{r['doc_id'] // 5}" for r in got) >= 0.95 * 3000
+
+
 def test_language_without_labels(spark):
     rows = [(0, "plain prose", None), (1, None, None), (2, "12 34 !!", None), (None, "Ünï", None), (3, "日本", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
