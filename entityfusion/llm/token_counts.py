@@ -7,14 +7,14 @@ running sum is at every place the token count of the text read so far.
 *States.* The pre-tokenizer needs few modes (run of letters, numbers, others or white space, one space, apostrophe
 and begun contraction). Inside a run, the state of BPE is the last token, and the count, of each prefix from which a
 longer token could still begin; since the last token of a prefix is unique and decided by compatible neighbours, this
-is finite. States and transitions are made when first met and kept (a table that grew too large starts anew), so
-nothing is merged twice.
+is finite. The table is compiled ahead, once a worker, along every token of the vocabulary, with and without a space before it;
+combinations that only texts show are added when first met (a table that grew too large is compiled anew), so nothing is merged twice.
 
-*Chunk maps.* A document is cut into chunks; each is a map from the state in which it is entered to the state in
-which it is left and the tokens added. A chunk that holds a synchronising place (a non-space before white space) leads
+*Chunk maps.* Every document is cut into pieces; each is a map from the state in which it is entered to the state in
+which it is left and the tokens added. A piece that holds a synchronising place (a non-space before white space) leads
 every entry to the same state after it, so its map is its head (the characters before that place), a count, and an
-exit. Maps compose associatively; ``prefix_scan`` composes them in a balanced tree, so pieces of one long document can
-be mapped independently. Chunks of one word begin and end at such places: their maps are constants that are memoised.
+exit. Words between two such places have constant maps, which are memoised. Maps compose associatively; ``prefix_scan`` composes
+them by pairs, which gives the tokens up to the end of each piece, whatever order pieces are mapped in.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside texts count as one token, as
 in the library's default; repeated rows give repeated results.
@@ -35,9 +35,9 @@ from .bpe import byte_of
 from .common import CHUNK, WHITE_SPACE, ChunkCache, by_batch, small_batches
 
 #: Transitions that a compiled table may hold before it starts anew.
-TABLE_TRANSITIONS = 1_500_000
-#: Characters of a piece of a long document.
-PIECE_CHARS = 1 << 16
+TABLE_TRANSITIONS = 1_000_000
+#: Characters of a piece of a document.
+PIECE_CHARS = 1 << 10
 #: The contractions of the byte-level pattern, after the apostrophe.
 SHORT, LONG = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
 LETTER, NUMBER, SPACE, OTHER = "LNSO"
@@ -267,6 +267,15 @@ class Counter:
         self.t = Transducer(merges)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.words = ChunkCache(lambda chunks: [self.t.run(self.t.start, c)[1] for c in chunks])
+        self.compile()
+
+    def compile(self) -> None:
+        """Fills the transducer's table along the vocabulary."""
+        self.t.clear()
+        for token in self.t.m.vocab:
+            text = token.decode("utf-8", "ignore")
+            self.t.run(self.t.start, text)
+            self.t.run(self.t.start, f" {text.lstrip()}")
 
     def piece(self, text: str) -> PieceMap:
         """The map of a piece, its body by the memoised maps of words."""
@@ -277,17 +286,17 @@ class Counter:
         left, added = self.t.run(self.t.start, last)
         return PieceMap(self.t, chunks[0], sum(self.words.values(middle)) + added, left)
 
-    def segment(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        if len(text) <= PIECE_CHARS:
-            total = sum(self.words.values(CHUNK.findall(text)))
-        else:
-            maps = [self.piece(text[i : i + PIECE_CHARS]) for i in range(0, len(text), PIECE_CHARS)]
-            total = prefix_scan(maps, PieceMap.then)[-1](self.t.start)[1]
+    def running(self, text: str) -> list[int]:
+        """Tokens of a text without special strings up to the end of each piece; later characters may still join the last ones."""
+        maps = [self.piece(text[i : i + PIECE_CHARS]) for i in range(0, len(text), PIECE_CHARS)]
+        out = [m(self.t.start)[1] for m in prefix_scan(maps, PieceMap.then)]
         self.words.settle()
         if self.t.size > TABLE_TRANSITIONS:
-            self.t.clear()
-        return total
+            self.compile()
+        return out
+
+    def segment(self, text: str) -> int:
+        return self.running(text)[-1] if text else 0
 
     def count(self, text: str) -> int:
         if self.special is None or not self.special.search(text):
@@ -296,6 +305,12 @@ class Counter:
         return len(parts) - 1 + sum(map(self.segment, parts))
 
 
+@functools.cache
+def counter_at(path: str) -> Counter:
+    """A worker's counter; it lives as long as the worker."""
+    return Counter(path)
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with ``n_bytes`` (UTF-8) and ``n_tokens`` of every whole text."""
     small_batches(df.sparkSession)
@@ -303,7 +318,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 
     def make():
-        counter = Counter(path)
+        counter = counter_at(path)
 
         def step(batch):
             sizes, counts = [], []
