@@ -7,12 +7,12 @@ classes of bins with equal contents instead of single bins.
 *Start.* Best fit by decreasing length, many equal pieces at once.
 *Local search.* Takes the emptiest underfull bins and moves a piece, exchanges one for one, two for one or one for two
 with fuller underfull bins, always such that the sum of squared fills rises, until a bin empties and is dropped; it ends
-at the bound ceil(tokens / capacity), where no step helps, or after ``steps`` steps. Each step applies to as many
+at a lower bound on the number of bins, where no step is left, or after LOOKS pairs of classes. Each step applies to as many
 bins of the two classes as both have.
 
 *Dealing.* Pieces of one length are interchangeable: each gets a rank among them, and the solution says for runs of
-ranks which bin and offset they have. Ranks are made of (length, salt) groups, since a third of all pieces may have one
-length; the counts of these groups (at most capacity x SALTS numbers) give the groups' first ranks.
+ranks which bin and offset they have. A third of all pieces may have one length, so the ranks of a common length are made in
+groups of about GROUP_ROWS pieces; the counts of the groups (capacity + pieces / GROUP_ROWS numbers) give their first ranks.
 
 Defined results: null and empty texts are one piece with the end id alone; repeated rows are packed one by one, as are
 rows without id; the end id counts to the length; an empty table gives no rows.
@@ -37,7 +37,12 @@ from pyspark.sql import functions as F
 from .bpe import byte_table
 from .common import ChunkCache, Scratch, by_batch, small_batches, texts_of, words_by_white_space
 
-SALTS = 256
+#: Pieces of one length that are ranked in one group, about.
+GROUP_ROWS = 1 << 18
+#: Pairs of bin classes that the local search looks at, at most.
+LOOKS = 1_000_000
+#: Of the steps of a bin class with that many others, the one that gives most is taken.
+CHOICES = 64
 #: Bins: contents -> number of bins; contents are (length, copies) pairs, longest first.
 Bins = dict[tuple[tuple[int, int], ...], int]
 
@@ -95,6 +100,12 @@ class WordTokens:
         return out
 
 
+@functools.cache
+def tokens_at(path: str) -> WordTokens:
+    """A worker's tokenizer and caches; they live as long as the worker."""
+    return WordTokens(path)
+
+
 def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, keep: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and ``ids`` (little-endian unsigned 32-bit) if asked for."""
     small_batches(df.sparkSession)
@@ -103,7 +114,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        tokens = WordTokens(path)
+        tokens = tokens_at(path)
 
         def step(batch):
             names, starts, numbers, lengths, sums, ids = [], [], [], [], [], []
@@ -209,11 +220,30 @@ def best_step(source: tuple, target: tuple, room: int) -> tuple[int, tuple[int,
     return found
 
 
-def local_search(bins: Bins, capacity: int, steps: int = 4_000, targets: int = 64) -> Bins:
-    """Empties bins by moves and exchanges between underfull bins, each of which raises the sum of squared fills."""
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs at least (Martello and Toth's second bound): of pieces of ``least`` tokens or more, those over half a
+    bin stand alone, and the others fill what room these leave."""
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(histogram)] = list(histogram.values())
+    count, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    least = np.arange(1, half + 1)
+    alone, beside = count[-1] - count[capacity - least], count[capacity - least] - count[half]
+    rest = tokens[half] - tokens[least - 1] - (beside * capacity - (tokens[capacity - least] - tokens[half]))
+    return int(max(-(-tokens[-1] // capacity), *(alone + beside + np.maximum(0, -(-rest // capacity))))) if half else int(count[-1])
+
+
+def local_search(bins: Bins, capacity: int, looks: int = LOOKS) -> Bins:
+    """Empties bins by moves and exchanges between underfull bins, each of which raises the sum of squared fills.
+
+    The emptiest bin class gives first, to the fullest that a step fits; pairs of classes between which no step
+    exists are looked at once only. Ends at the least number of bins, where no step is left, or after ``looks`` pairs."""
     bins = dict(bins)
-    least = -(-sum(fill_of(b) * n for b, n in bins.items()) // capacity)
-    count, barren = sum(bins.values()), set()
+    histogram: dict[int, int] = {}
+    for bin_, n in bins.items():
+        for length, copies in bin_:
+            histogram[length] = histogram.get(length, 0) + n * copies
+    least, count, barren = least_bins(histogram, capacity), sum(bins.values()), set()
     under = sorted((fill_of(b), b) for b in bins if fill_of(b) < capacity)
 
     def add(bin_: tuple, n: int) -> None:
@@ -228,27 +258,30 @@ def local_search(bins: Bins, capacity: int, steps: int = 4_000, targets: int = 6
             if (key := (fill_of(bin_), bin_)) in under:
                 under.remove(key)
 
-    for _ in range(steps):
-        if count <= least:
-            break
+    def next_step() -> tuple | None:
+        nonlocal looks
         for fill, source in under:
-            if source in barren:
-                continue
-            chosen = None
-            for other, target in reversed(under[-targets:]):
-                if other < fill or target == source and bins[source] < 2:
+            found: list[tuple] = []
+            for other, target in reversed(under):
+                if other < fill or looks <= 0 or len(found) == CHOICES:
+                    break
+                if (source, target) in barren or target == source and bins[source] < 2:
                     continue
+                looks -= 1
                 # gain + other > fill holds as other >= fill, so squared fill rises
-                if (step := best_step(source, target, capacity - other)) and (chosen is None or step[0] > chosen[0][0]):
-                    chosen = step, target
+                if step := best_step(source, target, capacity - other):
+                    found.append((step[0], target, step))
                     if other + step[0] == capacity:
                         break
-            if chosen:
-                break
-            barren.add(source)
-        else:
-            break
-        (_, out, back), target = chosen
+                else:
+                    barren.add((source, target))
+            if found:
+                _, target, step = max(found)
+                return source, target, step
+        return None
+
+    while count > least and looks > 0 and (found := next_step()):
+        source, target, (_, out, back) = found
         n = bins[source] // 2 if source == target else min(bins[source], bins[target])
         take(source, n)
         take(target, n)
@@ -257,7 +290,6 @@ def local_search(bins: Bins, capacity: int, steps: int = 4_000, targets: int = 6
             add(emptied, n)
         else:
             count -= n
-        barren.clear()
     return bins
 
 
@@ -286,13 +318,15 @@ class Layout:
         return self.first[run] + beyond // self.copies[run], self.offset[run] + beyond % self.copies[run] * length
 
 
-def pack(made: DataFrame, capacity: int = 4096, salts: int = SALTS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length, ids_crc32 and any other columns).
-
-    made: a table that is read twice, so a written one."""
+def pack(made: DataFrame, scratch: Scratch, capacity: int = 4096, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces (length and any other columns). Rows are numbered as written, so equal rows stay apart."""
     spark = made.sparkSession
-    salted = made.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most capacity x salts rows
+    numbered = scratch.table(made.withColumn("_n", F.monotonically_increasing_id()), "pieces")
+    # at most ``capacity`` rows
+    common = [(r["length"], -(-r["n"] // group_rows)) for r in numbered.groupBy("length").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).collect()]
+    groups = F.coalesce(F.create_map(*(F.lit(x) for pair in common for x in pair))[F.col("length")], F.lit(1)) if common else F.lit(1)
+    salted = numbered.withColumn("_salt", F.pmod(F.xxhash64("_n"), groups).cast("int"))
+    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).toArrow()  # see Dealing
     lengths, salt, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("length", "_salt", "n"))
     if lengths.size == 0:
         return made.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
@@ -300,10 +334,10 @@ def pack(made: DataFrame, capacity: int = 4096, salts: int = SALTS) -> DataFrame
     lengths, salt, n = lengths[order], salt[order], n[order]
     values, begin = np.unique(lengths, return_index=True)
     before = np.cumsum(n) - n
-    group_key, group_rank = lengths * salts + salt, before - np.repeat(before[begin], np.diff([*begin, len(n)]))
+    group_key, group_rank = (lengths << 32) + salt, before - np.repeat(before[begin], np.diff([*begin, len(n)]))
     histogram = dict(zip(values.tolist(), np.add.reduceat(n, begin).tolist(), strict=True))
     sent = spark.sparkContext.broadcast((group_key, group_rank, Layout(local_search(best_fit(histogram, capacity), capacity))))
-    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_n"))
     names = made.columns
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in made.schema)
 
@@ -312,7 +346,7 @@ def pack(made: DataFrame, capacity: int = 4096, salts: int = SALTS) -> DataFrame
 
         def step(batch):
             length, salt, row = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "_salt", "_row"))
-            rank = ranks[np.searchsorted(keys, length * salts + salt)] + row - 1
+            rank = ranks[np.searchsorted(keys, (length << 32) + salt)] + row - 1
             sequence, offset = layout.of(length, rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
@@ -324,4 +358,4 @@ def pack(made: DataFrame, capacity: int = 4096, salts: int = SALTS) -> DataFrame
 def op9_packing(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     scratch = Scratch(documents.sparkSession, "packing")
-    return pack(scratch.table(pieces(documents, path), "pieces"))
+    return pack(pieces(documents, path), scratch)

@@ -667,6 +667,27 @@ def test_local_search():
     assert better > 0
 
 
+def test_packing_beyond_best_fit(spark):
+    """Lengths for which best fit needs more sequences: the search empties some, and the dealt pieces are those of its bins."""
+    rng = random.Random(3)
+    lengths = [rng.choice([1400, 1380, 1300, 1320, 2100, 690, 1]) for _ in range(6000)]
+    df = spark.createDataFrame([(i % 50, n) for i, n in enumerate(lengths)], "doc_id bigint, length bigint").repartition(5)
+    start = sum(packing.best_fit(Counter(lengths), 4096).values())
+    for group_rows in (1 << 18, 100):
+        rows = packing.pack(df, Scratch(spark, "t"), group_rows=group_rows).collect()
+        assert Counter(r["length"] for r in rows) == Counter(lengths)
+        assert packing.least_bins(Counter(lengths), 4096) <= check_packing(rows) <= start - 80
+
+
+def test_least_bins():
+    """Never above the bins of a packing, and tight where large pieces stand alone."""
+    assert packing.least_bins({60: 5}, 100) == 5 and packing.least_bins({60: 5, 40: 4}, 100) == 5 and packing.least_bins({1: 250}, 100) == 3
+    rng = random.Random(2)
+    for _ in range(200):
+        h = Counter(rng.randint(1, 60) for _ in range(rng.randint(1, 30)))
+        assert packing.least_bins(h, 60) <= sum(packing.best_fit(h, 60).values())
+
+
 # 10: secrets
 
 
