@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import few
 from .common import Scratch, read_table, small_batches
 
 CHUNK_BYTES = 1 << 18
 FILE_BYTES = 256 << 20
-#: Rows of repeated payloads up to which they are broadcast (below 100 bytes each); beyond, they are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Repeated digests up to which they are broadcast (below 100 bytes each). Beyond, only those of HOT_ROWS records or more are (at most
+#: records / HOT_ROWS); the others are joined by shuffle, where none is a hot key.
+BROADCAST_ROWS, HOT_ROWS = 200_000, 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id bigint, record_type string, refers_to bigint, chunk_no bigint, chunk_offset bigint, chunk_bytes bigint, digest_so_far string, is_last boolean, payload_digest string"
 
@@ -39,12 +41,16 @@ def with_roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, payload, digest (hex), record_type, refers_to: of equal payloads that with the largest id is the response."""
     spark = pages.sparkSession
     payloads = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    repeated = payloads.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    repeated = payloads.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = scratch.table(repeated, "repeated")
-    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
+    if few(repeated, BROADCAST_ROWS):
+        found = payloads.join(F.broadcast(repeated), "digest", "left")
+    else:
+        hot = F.broadcast(repeated.filter(F.col("n") >= HOT_ROWS))
+        rest = payloads.join(hot, "digest", "left_anti").join(repeated.filter(F.col("n") < HOT_ROWS), "digest", "left")
+        found = payloads.join(hot, "digest").unionByName(rest)
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    return payloads.join(repeated, "digest", "left").select(
+    return found.select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response_id")).alias("refers_to")
     )
 
@@ -52,8 +58,11 @@ def with_roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
 def chunk_rows(records: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """One row per chunk of each payload, in order; a revisit has one row without bytes."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length(body), F.lit(1)) - 1) / size).cast("int")), lambda i: F.substring(body, i * size + 1, F.lit(size)))
-    return records.select("page_id", "url", "digest", "record_type", "refers_to", F.octet_length(body).cast("long").alias("length"), F.posexplode(chunks).alias("chunk_no", "chunk"))
+    named = records.select("page_id", "url", "digest", "record_type", "refers_to", body.alias("payload"))
+    # only numbers are exploded; a chunk is cut out when its row is made, so no second copy of a payload is held
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("payload"), F.lit(1)) - 1) / size).cast("int"))
+    rows = named.select("*", F.octet_length("payload").cast("long").alias("length"), F.explode(numbers).alias("chunk_no"))
+    return rows.withColumn("chunk", F.substring("payload", F.col("chunk_no") * size + 1, F.lit(size))).drop("payload")
 
 
 def _name(page_id: int | None) -> str:
@@ -187,8 +196,6 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     return ends.join(sizes, F.col("payload_digest") == F.col("digest")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-
-
 #: op1_warc's result as SQL, from the pages alone; base32 is made of groups of five hexadecimal digits.
 ORACLE_SQL = """
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as hex, octet_length(encode(coalesce(html, '')))::bigint as n from pages),
