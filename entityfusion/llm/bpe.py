@@ -127,6 +127,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.cache
+def codec_at(path: str, pattern: str) -> Codec:
+    """A worker's codec and cache; they live as long as the worker."""
+    return Codec(path, pattern)
+
+
 def _without(df: DataFrame, *names: str) -> tuple[DataFrame, str]:
     """df without the named columns, and the DDL of what is left."""
     df = df.drop(*names)
@@ -143,7 +149,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
 
     def make():
-        codec = Codec(path, pattern)
+        codec = codec_at(path, pattern)
 
         def step(batch):
             ids, starts, ends = [], [], []
@@ -170,7 +176,7 @@ def decode_documents(df: DataFrame, path: str, pattern: str) -> DataFrame:
     names = df.columns
 
     def make():
-        codec = Codec(path, pattern)
+        codec = codec_at(path, pattern)
 
         def step(batch):
             out = pa.array([codec.decode(v.as_py() or b"") for v in batch.column("ids")], pa.binary())
