@@ -10,7 +10,8 @@ keeps its promise. A signal whose cutoffs all fail in a stratum rejects nothing
 reject at most ``risk`` of its good documents, as each signal gets an equal part of it.
 
 Everything stays in the JVM: words, windows and lines are arrays of one document, so no text is shuffled; only the
-signals, some hundred bytes a document, are written once and read for the cutoffs and for the verdicts.
+signals, some hundred bytes a document, are written once and read for the cutoffs and for the verdicts. A text counts as one
+trial in its stratum, however many copies it has.
 
 Defined results: a null text has no words and fails the base; empty texts too. A document without label takes no part in
 choosing cutoffs; contradictory labels count as not good. Null strata are a stratum of their own. Without labels no
@@ -136,10 +137,12 @@ def safe_cutoffs(labelled: DataFrame, scratch: Scratch, risk: float, error: floa
 
 
 def rules_of(counted: DataFrame, labels: DataFrame, scratch: Scratch, risk: float, error: float) -> DataFrame:
-    """rule_stratum, rules (map from signal to cutoff), one row a stratum. counted: doc_id, stratum and the counts."""
+    """rule_stratum, rules (map from signal to cutoff), one row a stratum. counted: doc_id, stratum, text_hash and the counts."""
     good = labels.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    labelled = counted.filter("not base_failed").select("doc_id", "stratum", *(c.alias(n) for n, c in signals().items())).join(good, "doc_id")
-    cutoffs = safe_cutoffs(labelled, scratch, risk, error)
+    told = counted.filter("not base_failed").select("doc_id", "stratum", "text_hash", *(c.alias(n) for n, c in signals().items())).join(good, "doc_id")
+    # trials are independent only if a text counts once, however many rows and ids it has
+    trials = told.groupBy("stratum", "text_hash").agg(F.min("good").alias("good"), *(F.first(n).alias(n) for n in signals()))
+    cutoffs = safe_cutoffs(trials, scratch, risk, error)
     rules = cutoffs.groupBy(F.col("stratum").alias("rule_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("rules"))
     rules = scratch.table(rules, "rules")
     return F.broadcast(rules) if rules.limit(STRATA + 1).count() <= STRATA else rules
@@ -158,19 +161,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: fl
 
     docs: doc_id, text, lang. labels: doc_id, quality. The stratum is the language given with the document; a stratum
     of few labels gets no cutoff, since no small sample can pass the test."""
-    counted = base_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text")).drop("text")
+    counted = base_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text", F.xxhash64("text").alias("text_hash"))).drop("text")
     counted = scratch.table(counted, "signals")
     out = judged(counted, rules_of(counted, labels, scratch, risk, error))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
 
 
 def passing(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = 0.04, error: float = 0.05) -> DataFrame:
-    """docs that the rules keep, with their columns. The counts are made twice, for the cutoffs and for the verdicts, so that no
-    text is shuffled or joined."""
-    stratum = docs.withColumn("stratum", F.col("lang"))
-    counted = scratch.table(base_counts(stratum.select("doc_id", "stratum", "text")).drop("text"), "signals")
-    rules = rules_of(counted, labels, scratch, risk, error)
-    return judged(base_counts(stratum), rules).filter("kept").select(*docs.columns)
+    """docs that the rules keep, with their columns. The counts are written beside the documents, so each is made once and no text
+    is shuffled or joined."""
+    # columns of the input may have any name
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    doc_id, lang, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "lang", "text"))
+    named = inner.withColumns({"doc_id": doc_id, "stratum": lang, "text_hash": F.xxhash64(text)})
+    counted = scratch.table(base_counts(named, inner.columns[docs.columns.index("text")]), "counted")
+    return judged(counted, rules_of(counted, labels, scratch, risk, error)).filter("kept").select(*inner.columns).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -187,20 +192,19 @@ def oracle_sql(risk: float = 0.04, error: float = 0.05, grid: dict = GRID) -> st
     words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
     return f"""
 with split as (
-  select doc_id, lang, {words} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
+  select doc_id, lang, text, {words} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) as n_symbols from documents),
 windows as (select doc_id, i, w[i:i + {WINDOW - 1}] as win from split, unnest(range(1, len(w) - {WINDOW - 2})) as u(i)),
 twice as (select doc_id, win from windows group by all having count(*) > 1),
 repeated as (select doc_id, count(distinct i + k) as n from windows join twice using (doc_id, win), range({WINDOW}) as r(k) group by doc_id),
 counted as (
-  select s.doc_id, lang, len(w)::bigint as n_words, length(list_aggregate(w, 'string_agg', ''))::bigint as chars, n_symbols::bigint as n_symbols, len(l) as n_lines,
+  select s.doc_id, lang, text, len(w)::bigint as n_words, length(list_aggregate(w, 'string_agg', ''))::bigint as chars, n_symbols::bigint as n_symbols, len(l) as n_lines,
     (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words from split s left join repeated r using (doc_id)),
 judged as (select * exclude (chars), coalesce(chars, 0)::bigint as word_chars, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counted),
-signals as (select doc_id, lang, base_failed, unnest([{", ".join(f"struct_pack(signal := '{s}', value := ({e})::double)" for s, e in signals.items())}], recursive := true) from judged),
-good as (select doc_id from labels group by doc_id having min(quality) = 1),
-tested as (
-  select lang, signal, cutoff, count(*) as n, count(*) filter (value > cutoff) as k from signals join (values {tests}) as t(signal, cutoff) using (signal)
-  join good using (doc_id) where not base_failed group by all),
+signals as (select doc_id, lang, text, base_failed, unnest([{", ".join(f"struct_pack(signal := '{s}', value := ({e})::double)" for s, e in signals.items())}], recursive := true) from judged),
+told as (select doc_id, min(quality) = 1 as good from labels group by doc_id),
+trials as (select lang, text, signal, min(value) as value from signals join told using (doc_id) where not base_failed group by all having bool_and(good)),
+tested as (select lang, signal, cutoff, count(*) as n, count(*) filter (value > cutoff) as k from trials join (values {tests}) as t(signal, cutoff) using (signal) group by all),
 bounds as (
   select *, (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({part}) + (n - j) * ln(1 - {part}))) from range(k + 1) as r(j)) as p,
     (select count(distinct coalesce(lang, '')) from tested) as strata from tested),
