@@ -2,7 +2,8 @@
 
 *Document evidence.* A logistic regression on shares and counts of the whole text gives each document a log likelihood
 ratio: its log odds less those of the sample that it learned from. It learns from a sample of labelled documents that
-``sample`` bounds (in the mean, by a hash of the id).
+``sample`` bounds (in the mean, by a hash of the id; one text an id). There are two models, each learned from one half of the texts, by a hash of the text, and
+a text gets its evidence from the model of the other half, so no text is judged by a model that has seen it or a copy of it.
 *Sites.* Over all documents, each counts for its path and host with the probability that its evidence gives it under the global prior, or
 with its label where it has one. Paths shrink to their host, hosts to the global prior: the posterior mean of a site of
 n documents with sum s is (s + k m) / (n + k), m being the level above. The strengths k are empirical Bayes estimates:
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import few
 from .common import Scratch, by_batch, read_table, small_batches
 
 SAMPLE, RIDGE, STEPS = 20_000, 1e-2, 40
@@ -71,39 +73,52 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict | None:
     return {"mean": mean, "scale": scale, "w": w, "prior": np.log(prior / (1 - prior))}
 
 
-def with_features(df: DataFrame, keep: tuple[str, ...], model: dict | None, learning: bool = False) -> DataFrame:
-    """The kept columns with ``x`` (the features), or with ``evidence`` (the log likelihood ratio) under a model."""
+def evidence_of(x: np.ndarray, fold: np.ndarray, models: tuple[dict | None, dict | None]) -> np.ndarray:
+    """Log likelihood ratios of features, those of a fold by the model of the other; 0 where there is none."""
+    out = np.zeros(len(x))
+    for own, m in enumerate(reversed(models)):
+        rows = fold == own
+        if m is not None and rows.any():
+            out[rows] = np.clip((x[rows] - m["mean"]) / m["scale"], -8, 8) @ m["w"][1:] + m["w"][0] - m["prior"]
+    return out
+
+
+def with_features(df: DataFrame, keep: tuple[str, ...], models: tuple[dict | None, dict | None], learning: bool = False) -> DataFrame:
+    """The kept columns with ``x`` (the features) and ``fold``, or with ``evidence`` (the log likelihood ratio) under the models of the folds."""
     small_batches(df.sparkSession)
+    df = df.withColumn("fold", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int"))
+    keep = (*keep, "fold") if learning else keep
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(models)
 
     def make():
-        m = sent.value
+        held = sent.value
 
         def step(batch):
             x = np.array([features(v.as_py() or "") for v in batch.column("text")]).reshape(-1, len(NAMES))
             if learning:
                 made, name = pa.array(list(x), pa.list_(pa.float64())), "x"
             else:
-                made = pa.array(np.zeros(len(x)) if m is None else np.clip((x - m["mean"]) / m["scale"], -8, 8) @ m["w"][1:] + m["w"][0] - m["prior"])
-                name = "evidence"
+                made, name = pa.array(evidence_of(x, batch.column("fold").to_numpy(), held)), "evidence"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], [*keep, name])
 
         return step
 
-    return by_batch(df.select(*keep, "text"), make, f"{head}x array<double>" if learning else f"{head}evidence double")
+    return by_batch(df.select(*keep, *(() if learning else ("fold",)), "text"), make, f"{head}x array<double>" if learning else f"{head}evidence double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int) -> dict | None:
-    """The document classifier; labels: doc_id, good."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[dict | None, dict | None]:
+    """The document classifiers of the two folds; labels: doc_id, good, each id once."""
     n = labels.count()
     grain = 1 << 20
-    some = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < min(grain, grain * sample // max(1, n) + 1))
-    # about ``sample`` ids at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(some.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "good", "text")
-    got = with_features(rows, ("doc_id", "good"), None, learning=True).orderBy("doc_id").toArrow()
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
-    return fit(x, got.column("good").to_numpy().astype(float))
+    some = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < min(grain, grain * sample // max(1, n) + 1)).withColumnRenamed("doc_id", "_id")
+    # about ``sample`` ids, each with one text
+    rows = docs.select("doc_id", "text").join(F.broadcast(some) if few(some, 2 * sample) else some, F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"), F.min("text").alias("text"))
+    got = with_features(rows, ("doc_id", "good"), (None, None), learning=True).orderBy("doc_id").toArrow()
+    x, y = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)), got.column("good").to_numpy().astype(float)
+    fold = got.column("fold").to_numpy()
+    return fit(x[fold == 0], y[fold == 0]), fit(x[fold == 1], y[fold == 1])
 
 
 def log_odds(p: Column) -> Column:
@@ -127,9 +142,9 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, host: str = "
 
     docs: doc_id, text, and the columns of host and path. labels: doc_id, quality."""
     labels = scratch.table(labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good")), "labels")
-    model = learn(docs, labels, sample)
+    models = learn(docs, labels, sample)
     given = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text")
-    told = scratch.table(with_features(given, ("doc_id", "host", "path"), model), "evidence")
+    told = scratch.table(with_features(given, ("doc_id", "host", "path"), models), "evidence")
     prior = labels.agg(F.avg(F.col("good").cast("double"))).first()[0]
     base = float(np.clip(0.5 if prior is None else prior, LEAST, MOST))
     logistic = lambda x: 1 / (1 + F.exp(-x))
@@ -143,7 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, host: str = "
     hosts = hosts.withColumn("host_posterior", (F.col("host_s") + k_host * mean) / (F.col("host_n") + k_host)).withColumnRenamed("host", "_host")
     sites = scratch.table(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", F.col("s").alias("site_s"), "host_posterior"), "sites")
     k_path = strength(sites, "n", "site_s", F.col("host_posterior"))
-    sites = F.broadcast(sites) if sites.limit(SITES + 1).count() <= SITES else sites
+    sites = F.broadcast(sites) if few(sites, SITES) else sites
     met = told.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
     without = (F.col("site_s") - F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path)
     met = met.withColumn("path_posterior", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), without)))

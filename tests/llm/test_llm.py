@@ -500,6 +500,79 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classify(empty, labels, Scratch(spark, "t")).count() == 0
 
 
+def brute_classes(rows, labels, fold):
+    """(row number) -> (evidence, host, path posteriors, score) as one plain computation; rows: id, text, lang, source; fold: of a text."""
+    q = quality_classifier
+    good: dict = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            good[i] = min(good.get(i, 1), int(y == 1))
+    one: dict = {}
+    for i, t, *_ in rows:
+        if i in good:
+            one[i] = min((t, one.get(i, t)), key=lambda x: (x is None, x or ""))
+    models = []
+    for f in (0, 1):
+        ids = sorted(i for i, t in one.items() if fold(t) == f)
+        models.append(q.fit(np.array([q.features(one[i] or "") for i in ids]).reshape(-1, len(q.NAMES)), np.array([good[i] for i in ids], float)))
+    base = min(max(sum(good.values()) / len(good), 1e-4), 1 - 1e-4)
+    clip = lambda p: min(max(p, 1e-4), 1 - 1e-4)
+    odds, logistic = (lambda p: np.log(clip(p) / (1 - clip(p)))), (lambda z: 1 / (1 + np.exp(-z)))
+    evidence, s = [], []
+    for i, t, *_ in rows:
+        m = models[1 - fold(t)]
+        x = (np.array(q.features(t or "")) - m["mean"]) / m["scale"]
+        evidence.append(float(np.clip(x, -8, 8) @ m["w"][1:] + m["w"][0] - m["prior"]))
+        s.append(float(good[i]) if i in good else logistic(evidence[-1] + odds(base)))
+    paths, hosts = {}, {}
+    for (_, _, path, host), v in zip(rows, s, strict=True):
+        for held, key in ((paths, (host, path)), (hosts, host)):
+            n, total = held.get(key, (0, 0.0))
+            held[key] = n + 1, total + v
+    mean = sum(s) / len(s)
+
+    def strength(sites):  # (n, sum, mean of the level above)
+        sizes = sum(n for n, *_ in sites)
+        chance = sum(m * (1 - m) for *_, m in sites)
+        beyond = sum(n * (t / n - m) ** 2 for n, t, m in sites) - chance * (len(sites) - 1) / len(sites)
+        spread = beyond / max(1e-9, sizes - sum(n * n for n, *_ in sites) / sizes)
+        return min(q.STRONGEST, max(q.WEAKEST, chance / len(sites) / spread - 1)) if len(sites) > 1 and spread > 0 else q.STRONGEST
+
+    k = strength([(n, t, mean) for n, t in hosts.values()])
+    of_host = {h: (t + k * mean) / (n + k) for h, (n, t) in hosts.items()}
+    k = strength([(n, t, of_host[h]) for (h, _), (n, t) in paths.items()])
+    out = []
+    for (_, _, path, host), e, v in zip(rows, evidence, s, strict=True):
+        n, t = paths[host, path]
+        p = clip((t - v + k * of_host[host]) / (n - 1 + k))
+        out.append((e, of_host[host], p, logistic(odds(p) + e)))
+    return out
+
+
+def test_classifier_by_brute_force(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows, labels = [], []
+    for i in range(500):
+        bad = rng.random() < (0.6 if i % 4 == 0 else 0.15)
+        t = " ".join(word() for _ in range(rng.randint(1, 50)))
+        rows.append((i, t.upper().replace(" ", "!! ") if bad else t, rng.choice(["en", "fr", None]), "hot" if i % 3 == 0 else rng.choice(["a", "b", "c", None])))
+        if rng.random() < 0.5:
+            labels.append((i, int(not bad) if rng.random() < 0.9 else int(bad)))
+    rows += [rows[7], (None, "", None, None), (500, None, "zz", "new"), (501, rows[3][1], "en", "a"), (8, "another text of eight", "en", "b")]
+    labels += [(7, 0), (None, 1), (9, None), (999, 1)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, row int")
+    told = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    folds = {r["text"]: r["fold"] for r in df.select("text", F.expr("pmod(xxhash64(coalesce(text, '')), 2)").alias("fold")).collect()}
+    want = brute_classes(rows, labels, folds.__getitem__)
+    got = quality_classifier.classify(df, told, Scratch(spark, "t")).collect()
+    key = lambda v: tuple(round(float(x), 6) for x in v)
+    mine = sorted((str(r["doc_id"]), key((r["evidence"], r["host_posterior"], r["path_posterior"], r["score"])), r["kept"]) for r in got)
+    theirs = sorted((str(r[0]), key(w), w[3] >= 0.5) for r, w in zip(rows, want, strict=True))
+    assert [m[0] for m in mine] == [t[0] for t in theirs] and [m[2] for m in mine] == [t[2] for t in theirs]
+    assert np.allclose(np.array([m[1] for m in mine]), np.array([t[1] for t in theirs]), atol=2e-5)
+
+
 def test_classifier_odd_texts():
     for t in TEXTS:
         assert np.isfinite(quality_classifier.features(t or "")).all()
