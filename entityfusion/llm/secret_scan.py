@@ -181,6 +181,12 @@ def find_secrets(df: DataFrame, text: str = "text", reach: int = 256, redact: bo
     return by_batch(df, make, f"{head}n_assign bigint, n_access bigint, n_hex bigint, base string, spans string")
 
 
+def redact_secrets(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with its texts' spans replaced; all other columns, whatever their names, stay as they are."""
+    inner = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return find_secrets(inner, text=f"c{df.columns.index(text)}", redact=True).select(*inner.columns).toDF(*df.columns)
+
+
 def op10_secret_scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     found = find_secrets(documents.select("doc_id", "text"))

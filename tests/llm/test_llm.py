@@ -864,6 +864,35 @@ def test_names():
     assert set(queries.oracle_sql()) <= set(names)
 
 
+CLASHING = ("stratum", "n_words", "kept", "rules", "text_hash", "lang_pred", "score", "hash", "node", "label", "id", "spans", "base", "n_hex", "fp", "_n", "_text_", "length", "c0", "c1", "key", "good")
+
+
+def test_stages_keep_columns(spark, tmp_path):
+    """Columns named like the operators' own come out of each stage as they went in; so do nulls, and ids that stand over several texts."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(40))
+    base = [text() for _ in range(40)]
+    rows = [(i, t, "en", "s", i) for i, t in enumerate(base)] + [(5, text(), "en", "s", 40), (5, base[5], None, None, 41), (None, text(), "en", "s", 42), (None, text(), None, "s", 43), (None, None, None, None, 44), (6, "", "en", "s", 45), (7, base[9] + " token = 'abcdef1234'", "en", "s", 46)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n int").select("*", *(F.concat(F.lit(f"{c}-"), F.col("n").cast("string")).alias(c) for c in CLASHING))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == df.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = docs.collect()
+        assert all(r[c] == f"{c}-{r['n']}" for r in got for c in CLASHING)
+    # gone: rows without words, and repeated or near copies (of the two rows of id 5 and one text, one stays)
+    kept = sorted(r["n"] for r in got)
+    assert set(range(40)) - {5, 9} <= set(kept) and (5 in kept) != (41 in kept) and {40, 42, 43, 46} <= set(kept) and 9 not in kept and not {44, 45} & set(kept)
+    assert {r["text"] for r in got if r["n"] == 46} == {base[9] + " [ASSIGN]"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").count() == len(kept)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
