@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by the name of their kind."""
-    return secret_scan.find_secrets(docs, redact=True).select(*docs.columns)
+    return secret_scan.redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("language_id", language), ("simhash_near_dedup", near_dedup), ("secret_scans", secrets), ("best_fit_packing", pack)]
 
-#: Tokenizers and a trained classifier are beyond SQL; the tests compare each stage with a brute-force version.
+#: Tokenizers and trained models are beyond SQL; the tests compare the stages with a brute-force version.
 ORACLE_SQL = None
 
 
