@@ -8,7 +8,7 @@ running sum is at every place the token count of the text read so far.
 and begun contraction). Inside a run, the state of BPE is the last token, and the count, of each prefix from which a
 longer token could still begin; since the last token of a prefix is unique and decided by compatible neighbours, this
 is finite. The table is compiled ahead, once a worker, along every token of the vocabulary, with and without a space before it;
-combinations that only texts show are added when first met (a table that grew too large is compiled anew), so nothing is merged twice.
+combinations that only texts show are added when first met (and dropped again when they are too many), so nothing is merged twice.
 
 *Chunk maps.* Every document is cut into pieces; each is a map from the state in which it is entered to the state in
 which it is left and the tokens added. A piece that holds a synchronising place (a non-space before white space) leads
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .bpe import byte_of
 from .common import CHUNK, WHITE_SPACE, ChunkCache, by_batch, small_batches
 
-#: Transitions that a compiled table may hold before it starts anew.
-TABLE_TRANSITIONS = 1_000_000
+#: Transitions that texts may add to the compiled table before they are dropped again.
+TABLE_TRANSITIONS = 600_000
 #: Characters of a piece of a document.
 PIECE_CHARS = 1 << 10
 #: The contractions of the byte-level pattern, after the apostrophe.
@@ -106,37 +106,43 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
-        self.clear()
-
-    def clear(self) -> None:
         self.nodes: dict[tuple, dict] = {}
         self.what: dict[int, tuple] = {}
-        self.steps: dict[tuple, tuple] = {}
-        self.size = 0
+        self.new_nodes: list[tuple] = []
+        self.new_moves: list[tuple[dict, str]] = []
         self.start = self.node(("start",))
-        if len(self.m.known) > TABLE_TRANSITIONS:
-            self.m.known.clear()
 
     def node(self, what: tuple) -> dict:
         if (made := self.nodes.get(what)) is None:
             made = self.nodes[what] = {}
             self.what[id(made)] = what
+            self.new_nodes.append(what)
         return made
 
+    def keep(self) -> None:
+        """What the table holds now stays in it."""
+        self.new_nodes, self.new_moves = [], []
+
+    def forget(self) -> None:
+        """Drops what was added since ``keep``."""
+        for node, char in self.new_moves:
+            del node[char]
+        for what in self.new_nodes:
+            del self.what[id(self.nodes.pop(what))]
+        self.keep()
+        self.m.known.clear()
+
     # BPE inside one run: the last bytes as far as a token may still begin there, and each such place: (bytes after it,
     # last token before it, token count there less the count now)
     FRESH = (b"", ((0, b"", 0),))
 
     def feed(self, state: tuple, char: str) -> tuple[tuple, int]:
         """State after one more character of the run, and the tokens that it adds."""
-        if (made := self.steps.get((state, char))) is None:
-            made, added = state, 0
-            for b in char.encode("utf-8"):
-                made, d = self._byte(made, bytes((b,)))
-                added += d
-            made = self.steps[state, char] = (made, added)
-            self.size += 1
-        return made
+        added = 0
+        for b in char.encode("utf-8"):
+            state, d = self._byte(state, bytes((b,)))
+            added += d
+        return state, added
 
     def _byte(self, state: tuple, byte: bytes) -> tuple[tuple, int]:
         window, marks = state
@@ -157,7 +163,7 @@ class Transducer:
         what = self.what[id(node)]
         to, added = self._step(what, char, class_of(char))
         made = node[char] = (self.node(to), added)
-        self.size += 1
+        self.new_moves.append((node, char))
         return made
 
     def _begin(self, char: str, kind: str) -> tuple[tuple, int]:
@@ -271,11 +277,11 @@ class Counter:
 
     def compile(self) -> None:
         """Fills the transducer's table along the vocabulary."""
-        self.t.clear()
         for token in self.t.m.vocab:
             text = token.decode("utf-8", "ignore")
             self.t.run(self.t.start, text)
             self.t.run(self.t.start, f" {text.lstrip()}")
+        self.t.keep()
 
     def piece(self, text: str) -> PieceMap:
         """The map of a piece, its body by the memoised maps of words."""
@@ -291,8 +297,8 @@ class Counter:
         maps = [self.piece(text[i : i + PIECE_CHARS]) for i in range(0, len(text), PIECE_CHARS)]
         out = [m(self.t.start)[1] for m in prefix_scan(maps, PieceMap.then)]
         self.words.settle()
-        if self.t.size > TABLE_TRANSITIONS:
-            self.compile()
+        if len(self.t.new_moves) > TABLE_TRANSITIONS:
+            self.t.forget()
         return out
 
     def segment(self, text: str) -> int:

@@ -402,10 +402,9 @@ def test_transducer_and_pieces(monkeypatch):
     for size in (3, 8):
         monkeypatch.setattr(token_counts, "PIECE_CHARS", size)
         assert [counter.count(t) for t in texts[:600]] == want[:600]
-    assert counter.running("word " * 7)[-1] == counter.count("word " * 7) and counter.t.size > 50_000
-    monkeypatch.setattr(counter, "compile", counter.t.clear)
+    assert counter.running("word " * 7)[-1] == counter.count("word " * 7) and len(counter.t.nodes) > 50_000
     monkeypatch.setattr(token_counts, "TABLE_TRANSITIONS", 5)
-    assert [counter.count(t) for t in texts[:100]] == want[:100]
+    assert [counter.count(t) for t in texts[:300]] == want[:300]
 
 
 def test_prefix_scan():
