@@ -69,13 +69,14 @@ COMPOUND = r"(?i)\b(Postgre|My|Micro|Type|Java|ECMA|Action)\s+(SQL|Script|Soft|W
 
 
 def repair_ocr_tokens(text: Column, compose: bool = True) -> Column:
-    """Quotes and dashes, line-wrap hyphens, split compounds, split acronyms of two to six letters, spaced ordinals;
-    white space within lines collapsed. What is left empty is null."""
+    """Quotes and dashes, line-wrap hyphens, split compounds, an acronym and a short capitalised word after it on one line, split acronyms of two
+    to six letters, spaced ordinals; white space within lines collapsed. What is left empty is null."""
     t = nfkc(text) if compose else text
     t = F.translate(t, "".join(MISREAD), "".join(MISREAD.values()))
     t = F.regexp_replace(F.regexp_replace(t, "…", "..."), "\u00ad", "")
     t = F.regexp_replace(t, r"(?U)(?<=\w)-\s+(?=[a-z])", "")
     t = F.regexp_replace(t, COMPOUND, "$1$2")
+    t = F.regexp_replace(t, r"(?U)\b([A-Z]{2,})\s+([A-Z][a-z]{1,2})\b(?=\s|$)", "$1 $2")
     # both parts of the pattern have at most five letters together, so every match is a plausible acronym
     t = F.regexp_replace(t, r"\b([A-Z][a-z]?)\s+([A-Z])\s+([A-Z])\b", "$1$2$3")
     t = F.regexp_replace(t, r"\b([A-Z][a-z]?)\s+([A-Z])\b", "$1$2")

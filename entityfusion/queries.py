@@ -15,9 +15,11 @@ from pyspark.sql import types as T
 
 from .functions import text as tx
 from .functions import values as vx
+from .functions.arrays import headed
 from .functions.similarity import text_similarity
 from .operators import confidence, dictionary, evidence, fusion, identity, projection, report, validation
 from .plans.tables import Tables
+from .sources import resume
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,11 +173,73 @@ def repaired_tokens(spark, sf):
 LINES = "select doc_id, generate_subscripts(l, 1) - 1 as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)"
 
 
-@query(f"select doc_id, line_no, last_value(case when length(line) <= 20 then line end ignore nulls) over (partition by doc_id order by line_no) as section from ({LINES})")
+@query(
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
+g as (select *, sum((length(line) <= 20)::int) over (partition by doc_id order by n) as g from l)
+select doc_id, g::int as place, arg_min(line, n) as head, count(*) - 1 as n_rest, sum(length(line))::bigint - length(arg_min(line, n)) as chars from g where g > 0 group by doc_id, g"""
+)
 def section_carry(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    header = F.when(F.length("line") <= 20, F.col("line"))
-    return lines.select("doc_id", "line_no", F.last(header, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no")).alias("section"))
+    """Short lines as heads of what is behind them."""
+    lines = F.split("text", "\n", -1)
+    runs = headed(lines, lambda x: F.when(F.length(x) <= 20, x))
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(runs).alias("at", "run"))
+    chars = F.aggregate("run.rest", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return each.select("doc_id", (F.col("at") + 1).alias("place"), F.col("run.head").alias("head"), F.size("run.rest").cast("long").alias("n_rest"), chars.alias("chars"))
+
+
+RESUME_SQL = """with l as (
+  select o_custkey as id, 0 as part, 0 as k, 0 as j, 'Customer record' as line from orders union select o_custkey, 1, 0, 0, '- SKILLS:' from orders
+  union all select o_custkey, 2, o_orderkey, 0, lower(o_orderstatus) || ' orders, ' || o_orderpriority from orders union select o_custkey, 3, 0, 0, 'Work Experience' from orders
+  union all select o_custkey, 4, o_orderkey, unnest([0, 1, 2]), unnest(['Clerk ' || o_orderstatus || case when o_orderkey % 3 = 0 then ', ' else ' at ' end || 'Shop ' || o_orderkey % 7 || case when o_orderkey % 5 = 0 then ' (remote)' else '' end || ' '
+    || strftime(o_orderdate, '%b %Y') || ' - ' || case when o_orderkey % 2 = 0 then 'Present' else 'Dec 2004' end, '- order ' || o_orderkey, case when o_orderkey % 4 = 0 then 'skills are no line' else 'of ' || o_custkey end]) from orders
+  union select o_custkey, 5, 0, 0, '• Education' from orders
+  union all select o_custkey, 6, o_orderkey, unnest([0, 1]), unnest([year(o_orderdate) || ' - 2005 arts of ' || o_orderkey % 9 || case when o_orderkey % 2 = 0 then ', field ' || o_orderkey % 5 else '' end || case when o_orderkey % 3 = 0 then ' CGPA: 9' else '' end, 'school ' || o_orderkey % 11 || ', town']) from orders
+  union select o_custkey, 7, 0, 0, 'Awards' from orders union all select o_custkey, 8, o_orderkey, 0, 'award ' || o_orderkey from orders),
+n as (select id, row_number() over (partition by id order by part, k, j) as n, line, case lower(line) when '- skills:' then 'skills' when 'work experience' then 'experience' when '• education' then 'education' when 'awards' then 'achievements' end as head from l),
+s as (select *, last_value(head ignore nulls) over (partition by id order by n) as section from n)"""
+
+
+def resume_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """id, lines: customers' orders told as resumes."""
+    of = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    key, cust, when = F.col("o_orderkey"), F.col("o_custkey"), lambda n, yes, no="": F.when(F.col("o_orderkey") % n == 0, yes).otherwise(no)
+    job = of("Clerk ", F.col("o_orderstatus"), when(3, ", ", " at "), "Shop ", key % 7, when(5, " (remote)"), " ", F.date_format("o_orderdate", "MMM yyyy"), " - ", when(2, "Present", "Dec 2004"))
+    school = of(F.year("o_orderdate"), " - 2005 arts of ", key % 9, when(2, of(", field ", key % 5)), when(3, " CGPA: 9"))
+    told = F.struct("o_orderkey", F.array(of(F.lower("o_orderstatus"), " orders, ", F.col("o_orderpriority"))).alias("skills"), F.array(job, of("- order ", key), when(4, "skills are no line", of("of ", cust))).alias("jobs"), F.array(school, of("school ", key % 11, ", town")).alias("schools"), F.array(of("award ", key)).alias("awards"))
+    rows = table(spark, sf, "orders").groupBy(cust.alias("id")).agg(F.sort_array(F.collect_list(told)).alias("told"))
+    all_of = lambda part: F.flatten(F.transform("told", lambda t: t[part]))
+    parts = [F.array(F.lit("Customer record"), F.lit("- SKILLS:")), all_of("skills"), F.array(F.lit("Work Experience")), all_of("jobs"), F.array(F.lit("• Education")), all_of("schools"), F.array(F.lit("Awards")), all_of("awards")]
+    return rows.select("id", F.concat(*parts).alias("lines"))
+
+
+@query(f"{RESUME_SQL} select id, section, count(*) as n, string_agg(line, ' ' order by n) as text from s where head is null and section is not null group by all")
+def resume_sections(spark, sf):
+    rows = resume_lines(spark, sf).withColumn("sections", resume.sections_of(F.col("lines")))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("section"), resume.in_section(F.col("sections"), name).alias("lines")) for name in resume.SECTIONS)))
+    return rows.select("id", each.alias("of")).filter(F.size("of.lines") > 0).select("id", "of.section", F.size("of.lines").cast("long").alias("n"), resume.joined(F.col("of.lines")).alias("text"))
+
+
+@query(
+    f"""{RESUME_SQL},
+j as (select *, regexp_extract(line, '^(.+?)(?: at |, )(.+?)(?: \\(.+?\\))? ([A-Za-z]{{3}} \\d{{4}}) - ([A-Za-z]{{3}} \\d{{4}}|Present)$', ['title', 'company', 'a', 'b']) as m from s where section = 'experience' and head is null),
+g as (select *, sum((m.title <> '')::int) over (partition by id order by n) as g from j)
+select id, (g - 1)::int as place, max(m.title) as title, max(m.company) as company, strptime(max(m.a), '%b %Y')::date as start, try_strptime(max(m.b), '%b %Y')::date as end,
+  string_agg(ltrim(line, '- '), ' ' order by n) filter (m.title = '' and line not like 'skills%') as summary from g group by id, g"""
+)
+def resume_jobs(spark, sf):
+    jobs = resume.jobs_in(resume.in_section(resume.sections_of(F.col("lines")), "experience"))
+    return resume_lines(spark, sf).select("id", F.posexplode(jobs).alias("place", "job")).select("id", "place", *(f"job.{c}" for c in ("title", "company", "start", "end", "summary")))
+
+
+@query(
+    f"""{RESUME_SQL},
+j as (select *, regexp_extract(line, '^(\\d{{4}}) - (\\d{{4}}) (.+)$', ['a', 'b', 'body']) as m, lead(line) over (partition by id order by n) as below from s where section = 'education' and head is null)
+select id, (row_number() over (partition by id order by n) - 1)::int as place, trim(split_part(split_part(m.body, ' CGPA:', 1), ',', 1)) as degree, nullif(trim(split_part(split_part(m.body, ' CGPA:', 1), ',', 2)), '') as field,
+  split_part(below, ',', 1) as institution, m.a::int as start_year, m.b::int as end_year from j where m.body <> ''"""
+)
+def resume_schools(spark, sf):
+    schools = resume.schools_in(resume.in_section(resume.sections_of(F.col("lines")), "education"))
+    return resume_lines(spark, sf).select("id", F.posexplode(schools).alias("place", "school")).select("id", "place", *(f"school.{c}" for c in ("degree", "field", "institution", "start_year", "end_year")))
 
 
 @query("select event_id, json_extract(props, '$.k')::int as k from events")
@@ -559,7 +623,7 @@ def flagship(spark, sf):
 def resume_records(spark, sf):
     """Every document read as a resume, through the whole plan."""
     from .plans import pipeline
-    from .sources import dictionaries, resume
+    from .sources import dictionaries
 
     texts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw"))
     made = pipeline.run(resume.from_texts(texts, "doc_id"), dictionaries.terms(spark))

@@ -45,6 +45,36 @@ def fragments_of(records: DataFrame, parsed: str = "parsed") -> DataFrame:
     return made.select("frag_ord", "frag_id", *(v.alias(k) for k, v in columns.items()))
 
 
+def null() -> Column:
+    return F.lit(None).cast("string")
+
+
+def no_ids() -> Column:
+    return F.array().cast("array<string>")
+
+
+def piece(field: str, value: Column, method: str, rule: str, canonical: Column | None = None) -> Column:
+    """One piece of evidence as a struct; ``fragments_of`` gives it its id."""
+    return F.struct(null().alias("evidence_id"), F.lit(field).alias("field"), value.alias("original"), (value if canonical is None else canonical).alias("canonical"), F.lit(method).alias("method"), F.lit(rule).alias("rule"), F.lit(1.0).alias("confidence"))
+
+
+def email_items(emails: Column) -> Column:
+    return F.transform(emails, lambda e: F.struct(e.alias("value"), e.alias("normalized"), F.lit(1.0).alias("confidence"), no_ids().alias("evidence_ids")))
+
+
+def phone_items(phones: Column) -> Column:
+    return F.transform(phones, lambda p: F.struct(p.alias("raw"), p.alias("e164"), F.lit(1.0).alias("confidence"), no_ids().alias("evidence_ids")))
+
+
+def skill_items(names: Column, source: str) -> Column:
+    return F.transform(names, lambda n: F.struct(n.alias("name"), F.array(n).alias("original_names"), null().alias("category"), null().alias("parent_category"), F.lit(1.0).alias("confidence"), F.array(F.lit(source)).alias("sources"), no_ids().alias("evidence_ids")))
+
+
+def record(**parts: Column) -> Column:
+    """A parsed record typed as FIELDS; what is not given is null."""
+    return F.struct(*(parts.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in FIELDS.items()))
+
+
 def observed(field: str, original, canonical=None, method: str = "extract", rule: str = "direct") -> dict:
     """One piece of evidence as a parser returns it."""
     text = lambda v: v if v is None or isinstance(v, str) else str(v)

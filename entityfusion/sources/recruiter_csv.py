@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normalize_whitespace, split_multivalue, stable_id
 from ..functions.values import normalize_email, normalize_phone, normalize_url, parse_date
-from ..schemas import FIELDS
-from .base import fragments_of, register
+from .base import no_ids, null, email_items, fragments_of, phone_items, piece, record, register, skill_items
 
 #: The headers that each field is found under.
 HEADERS = {
@@ -30,38 +29,32 @@ def by_headers(df: DataFrame) -> dict[str, Column]:
 def shaped(df: DataFrame) -> Column:
     """The parsed record of a CSV row."""
     have = by_headers(df)
-    null = F.lit(None).cast("string")
-    given = lambda f: blank_to_null(have.get(f, null))
-    text = lambda f: blank_to_null(normalize_whitespace(have.get(f, null)))
+    given = lambda f: blank_to_null(have.get(f, null()))
+    text = lambda f: blank_to_null(normalize_whitespace(have.get(f, null())))
     emails = F.filter(F.transform(split_multivalue(given("emails")), normalize_email), lambda e: e.isNotNull())
     phones = F.filter(F.transform(split_multivalue(given("phones")), normalize_phone), lambda p: p.isNotNull())
     headline = normalize_whitespace(F.coalesce(given("headline"), given("title"), given("recruiter_notes")))
     raw = blank_to_null(F.concat_ws(", ", text("city"), text("state"), text("country")))
-    no_ids = F.array().cast("array<string>")
     experience = F.struct(
-        text("company").alias("company"), null.alias("company_canonical"), text("title").alias("title"), null.alias("title_canonical"), parse_date(given("start_date")).alias("start"),
-        F.when(F.lower(given("end_date")) != "present", parse_date(given("end_date"))).alias("end"), text("recruiter_notes").alias("summary"), F.lit(None).alias("location"), F.lit(1.0).alias("confidence"), no_ids.alias("evidence_ids"),
+        text("company").alias("company"), null().alias("company_canonical"), text("title").alias("title"), null().alias("title_canonical"), parse_date(given("start_date")).alias("start"),
+        F.when(F.lower(given("end_date")) != "present", parse_date(given("end_date"))).alias("end"), text("recruiter_notes").alias("summary"), F.lit(None).alias("location"), F.lit(1.0).alias("confidence"), no_ids().alias("evidence_ids"),
     )
     degree = normalize_whitespace(F.coalesce(given("degree"), given("education")))
-    education = F.struct(F.coalesce(text("institution"), F.lit("")).alias("institution"), F.coalesce(degree, F.lit("")).alias("degree"), null.alias("degree_canonical"), text("field").alias("field"), F.lit(None).cast("int").alias("start_year"), F.lit(None).cast("int").alias("end_year"), F.lit(1.0).alias("confidence"), no_ids.alias("evidence_ids"))
-    skills = F.transform(split_multivalue(given("skills")), lambda s: F.struct(s.alias("name"), F.array(s).alias("original_names"), null.alias("category"), null.alias("parent_category"), F.lit(1.0).alias("confidence"), F.array(F.lit(SOURCE)).alias("sources"), no_ids.alias("evidence_ids")))
+    education = F.struct(F.coalesce(text("institution"), F.lit("")).alias("institution"), F.coalesce(degree, F.lit("")).alias("degree"), null().alias("degree_canonical"), text("field").alias("field"), F.lit(None).cast("int").alias("start_year"), F.lit(None).cast("int").alias("end_year"), F.lit(1.0).alias("confidence"), no_ids().alias("evidence_ids"))
     told = [
         ("full_name", text("full_name")), ("headline", headline), ("company", text("company")), ("job_title", text("title")), ("degree", degree), ("country", text("country")), ("city", text("city")),
         ("recruiter_notes", text("recruiter_notes")), ("projects", text("projects")), ("certifications", text("certifications")), ("languages", text("languages")), ("skills", given("skills")),
     ]
-    piece = lambda f, v: F.struct(null.alias("evidence_id"), F.lit(f).alias("field"), v.alias("original"), v.alias("canonical"), F.lit("csv").alias("method"), F.lit("header").alias("rule"), F.lit(1.0).alias("confidence"))
-    evidence = F.concat(F.filter(F.array(*(piece(f, v) for f, v in told)), lambda e: e["original"].isNotNull()), F.transform(emails, lambda e: piece("emails", e)), F.transform(phones, lambda p: piece("phones", p)))
-    parts = {
-        "external_id": stable_id(text("full_name"), F.get(emails, 0), F.col("record_id")), "source": F.lit(SOURCE), "record_id": F.col("record_id"), "source_file": F.lit(SOURCE), "quality": F.lit(QUALITY), "raw_hash": null,
-        "full_name": text("full_name"), "headline": headline, "years_experience": F.lit(None).cast("double"),
-        "location": F.struct(raw.alias("raw"), text("city").alias("city"), text("state").alias("region"), text("country").alias("country"), null.alias("country_code")),
-        "links": F.struct(normalize_url(given("linkedin")).alias("linkedin"), normalize_url(given("github")).alias("github"), normalize_url(F.coalesce(given("portfolio"), given("website"))).alias("portfolio"), no_ids.alias("other")),
-        "emails": F.transform(emails, lambda e: F.struct(e.alias("value"), e.alias("normalized"), F.lit(1.0).alias("confidence"), no_ids.alias("evidence_ids"))),
-        "phones": F.transform(phones, lambda p: F.struct(p.alias("raw"), p.alias("e164"), F.lit(1.0).alias("confidence"), no_ids.alias("evidence_ids"))),
-        "skills": skills, "experience": F.when(text("company").isNotNull() & text("title").isNotNull(), F.array(experience)).otherwise(F.array()),
-        "education": F.when(text("institution").isNotNull() | degree.isNotNull() | text("field").isNotNull(), F.array(education)).otherwise(F.array()), "evidence": evidence,
-    }
-    return F.struct(*(v.cast(FIELDS[k]).alias(k) for k, v in parts.items()))
+    seen = F.filter(F.array(*(piece(f, v, "csv", "header") for f, v in told)), lambda e: e["original"].isNotNull())
+    evidence = F.concat(seen, F.transform(emails, lambda e: piece("emails", e, "csv", "header")), F.transform(phones, lambda p: piece("phones", p, "csv", "header")))
+    return record(
+        external_id=stable_id(text("full_name"), F.get(emails, 0), F.col("record_id")), source=F.lit(SOURCE), record_id=F.col("record_id"), source_file=F.lit(SOURCE), quality=F.lit(QUALITY), full_name=text("full_name"), headline=headline,
+        location=F.struct(raw.alias("raw"), text("city").alias("city"), text("state").alias("region"), text("country").alias("country"), null().alias("country_code")),
+        links=F.struct(normalize_url(given("linkedin")).alias("linkedin"), normalize_url(given("github")).alias("github"), normalize_url(F.coalesce(given("portfolio"), given("website"))).alias("portfolio"), no_ids().alias("other")),
+        emails=email_items(emails), phones=phone_items(phones), skills=skill_items(split_multivalue(given("skills")), SOURCE), evidence=evidence,
+        experience=F.when(text("company").isNotNull() & text("title").isNotNull(), F.array(experience)).otherwise(F.array()),
+        education=F.when(text("institution").isNotNull() | degree.isNotNull() | text("field").isNotNull(), F.array(education)).otherwise(F.array()),
+    )
 
 
 @register(SOURCE)

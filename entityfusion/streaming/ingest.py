@@ -10,7 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import ats_json, resume
 from ..sources.base import fragments_of, parsed_by
 
-PARSERS = {"ats_json": ats_json.parse, "resume_pdf": resume.parser("resume_pdf"), "resume_docx": resume.parser("resume_docx")}
+#: df with ``raw`` -> df with ``parsed``, by source.
+PARSERS = {
+    "ats_json": lambda df: df.withColumn("parsed", parsed_by(ats_json.parse, F.col("raw"))), "resume_pdf": lambda df: resume.parsed(df, "resume_pdf"), "resume_docx": lambda df: resume.parsed(df, "resume_docx"),
+}
 
 
 def fragments(spark: SparkSession, folder: str, source: str = "ats_json", files_per_batch: int = 1000) -> DataFrame:
@@ -18,8 +21,7 @@ def fragments(spark: SparkSession, folder: str, source: str = "ats_json", files_
     raw = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
     raw = raw.select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("arrived"))
     fresh = raw.withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["raw"])
-    rows = fresh.withColumn("frag_ord", F.unix_timestamp("arrived").cast("int")).withColumn("parsed", parsed_by(PARSERS[source], F.col("raw")))
-    return fragments_of(rows)
+    return fragments_of(PARSERS[source](fresh.withColumn("frag_ord", F.unix_timestamp("arrived").cast("int"))))
 
 
 def write(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

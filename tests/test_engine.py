@@ -19,7 +19,7 @@ ATS = {
     "employmentHistory": [{"company": "Northwind Labs", "title": "Software Engineer", "startDate": "2019-03-01", "endDate": "present", "highlights": ["did a", "did b"]}, {"summary": "neither"}],
     "educationHistory": [{"institution": "Uni Lyon", "degree": "BSc", "startYear": 2012, "endYear": "2015"}], "locationDetails": {"city": "Lyon", "country": "France"}, "links": {"linkedin": "https://www.linkedin.com/in/ada/", "blog url": "ada.example.com"},
 }
-RESUME = "Ada Quill\nada@x.example.com +1 (415) 555-0101\nLyon, France\nSummary\nSenior Backend-\nEngineer for data\nSkills\nPython, Django • REST API Development\nExperience\nBackend Developer at Northwind Mar 2019 - Present\n- built things\nEducation\n2012 - 2015 BSc, Physics CGPA: 9\nUni Lyon, France\n"
+RESUME = "Ada Quill\nada@x.example.com +1 (415) 555-0101\nLyon, France\nSummary\nSenior Backend-\nEngineer for data\nSkills\nPython, Django • REST API Development\nExperience\nBackend Developer at Northwind Mar 2019 - Present\n- built things\nEducation\n2012 - 2015 Bachelor of Science, Physics CGPA: 9\nUni Lyon, France\n"
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,21 @@ def test_resume(fragments):
     r = fragments.filter("frag_ord = 2").first()
     assert r["full_name"] == "Ada Quill" and [s["name"] for s in r["skills"]] == ["Python", "Django", "REST API Development"]
     assert r["experience"][0]["company"] == "Northwind" and r["experience"][0]["summary"] == "built things" and str(r["experience"][0]["start"]) == "2019-03-01"
-    assert (r["education"][0]["degree"], r["education"][0]["field"], r["education"][0]["institution"]) == ("BSc", "Physics", "Uni Lyon")
+    assert (r["education"][0]["degree"], r["education"][0]["field"], r["education"][0]["institution"]) == ("Bachelor of Science", "Physics", "Uni Lyon")
+
+
+def test_resume_text(spark):
+    """Sections that come twice, lines before any, heads with bullets and colons, words apart, links by slot, contacts from the raw text."""
+    text = "Ada B.C. Quill\\nLyon, France\nsee https://www.linkedin.com/in/ada and www.a.example.com https://b.example.com\n• SKILLS::\nDatabases & Data Management SQLite, PostgreSQL\nJavaScript; testing|Git\nEducation\n2010 - 2012 BSc Percentage: 80\nAwards\nfirst prize\nskills\nIoT\nExperience\n- before any job\nCook, Cafe One (late) Jan 2001 – Feb 2002\n• made soup\nlanguages spoken\nwell\nBaker at Cafe Two Mar 2002 - present"
+    r = resume.from_texts(spark.createDataFrame([(text,)], "raw string"), "raw", "resume_docx").first()
+    assert r["full_name"] == "Ada B.C. Quill" and r["location"]["raw"] == "Lyon, France" and r["headline"] is None
+    assert r["links"].asDict() == {"linkedin": "https://linkedin.com/in/ada", "github": None, "portfolio": "https://a.example.com", "other": ["https://b.example.com"]}
+    assert [s["name"] for s in r["skills"]] == ["SQ Lite", "PostgreSQL", "JavaScript", "Git", "IoT"]
+    jobs = [(j["title"], j["company"], str(j["start"]), j["end"] and str(j["end"]), j["summary"]) for j in r["experience"]]
+    assert jobs == [("Cook", "Cafe One", "2001-01-01", "2002-02-01", "made soup well"), ("Baker", "Cafe Two", "2002-03-01", None, None)]
+    assert [(s["degree"], s["field"], s["institution"], s["start_year"], s["end_year"]) for s in r["education"]] == [("B Sc", None, "", 2010, 2012)]
+    told = {e["field"]: e["original"] for e in r["evidence"]}
+    assert told["achievements"] == "first prize" and told["experience"] == "Baker at Cafe Two Mar 2002 - present" and "languages" not in told
 
 
 def test_docx(spark, tmp_path):
