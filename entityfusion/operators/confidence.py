@@ -6,19 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp
+from ..settings import DEFAULT, Settings
 from .dictionary import STAGES
-from .fusion import DEFAULT_RELIABILITY, OVERRIDES, RELIABILITY
+from .fusion import lookup
 
-#: Fields in order, what counts as evidence of each, weights, caps.
+#: Fields in order, what counts as evidence of each, and what missing ones cost.
 FIELDS = ("full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education")
 ALIASES = {"emails": ("emails", "email"), "phones": ("phones", "phone"), "location": ("location", "country", "city"), "experience": ("experience", "company", "job_title"), "education": ("education", "degree")}
-WEIGHTS = {"reliability": 0.30, "agreement": 0.25, "quality": 0.20, "certainty": 0.20}
-CONFLICT_WEIGHT, MISSING_WEIGHT = 0.05, 0.10
 SCALARS = ("full_name", "headline", "years_experience", "location")
 MISSING = {"full_name": 0.25, "emails": 0.25, "phones": 0.25, "skills": 0.25}
 CATEGORIES = {"identity": ("full_name", "emails", "phones", "links"), "experience": ("experience", "years_experience"), "skills": ("skills",), "education": ("education",), "location": ("location",), "context": ("headline",)}
-CATEGORY_WEIGHTS = {"identity": 0.30, "experience": 0.25, "skills": 0.20, "education": 0.15, "location": 0.05, "context": 0.05}
-SINGLE_SOURCE_MOST, CONFLICT_MOST = 0.85, 0.78
 
 
 def _map(table: dict) -> Column:
@@ -45,19 +42,21 @@ def missing(values: Column, field: Column) -> Column:
     return F.when(values > 0, 0.0).otherwise(F.coalesce(_map(MISSING)[field], F.lit(0.10)))
 
 
-def score(reliability: Column, agreement_: Column, quality: Column, certainty: Column, conflict_: Column, missing_: Column) -> Column:
-    positive = (reliability * WEIGHTS["reliability"] + agreement_ * WEIGHTS["agreement"] + quality * WEIGHTS["quality"] + certainty * WEIGHTS["certainty"]) / sum(WEIGHTS.values())
-    return clamp(positive - conflict_ * CONFLICT_WEIGHT - missing_ * MISSING_WEIGHT)
+def score(reliability: Column, agreement_: Column, quality: Column, certainty: Column, conflict_: Column, missing_: Column, settings: Settings = DEFAULT) -> Column:
+    w = settings.weights
+    parts = {"reliability": reliability, "agreement": agreement_, "quality": quality, "certainty": certainty}
+    total = sum(w[n] for n in parts)
+    positive = (parts["reliability"] * w["reliability"] + parts["agreement"] * w["agreement"] + parts["quality"] * w["quality"] + parts["certainty"] * w["certainty"]) / total if total else F.lit(0.0)
+    return clamp(positive - conflict_ * w["conflict"] - missing_ * w["missing"])
 
 
-def source_reliability(sources: DataFrame, by: str = "cluster") -> DataFrame:
+def source_reliability(sources: DataFrame, by: str = "cluster", settings: Settings = DEFAULT) -> DataFrame:
     """cluster, field, base, adjusted, overridden: means over distinct sources; the adjusted one over overrides only, where there is any.
 
     sources: cluster, field, source."""
-    own = _map({f"{s}/{f}": v for s, o in OVERRIDES.items() for f, v in o.items()})
     each = sources.select(by, "field", "source").filter("source is not null").distinct()
-    base = F.coalesce(_map(RELIABILITY)[F.col("source")], F.lit(DEFAULT_RELIABILITY))
-    override = own[F.concat_ws("/", "source", "field")]
+    base = F.coalesce(lookup(F.col("source"), settings.reliability), F.lit(settings.default_reliability))
+    override = lookup(F.concat_ws("/", "source", "field"), {f"{s}/{f}": v for s, o in settings.overrides.items() for f, v in o.items()})
     out = each.groupBy(by, "field").agg(F.avg(base).alias("base"), F.avg(override).alias("over"), F.count(F.lit(1)).alias("source_count"))
     return out.select(by, "field", "base", F.coalesce("over", "base").alias("adjusted"), F.col("over").isNotNull().alias("overridden"), "source_count")
 
@@ -77,7 +76,7 @@ def reason_codes(adjusted: Column, overridden: Column, agreement_: Column, quali
     )
 
 
-def field_confidence(clusters: DataFrame, evidence: DataFrame, values: DataFrame, transformations: DataFrame, summaries: DataFrame) -> DataFrame:
+def field_confidence(clusters: DataFrame, evidence: DataFrame, values: DataFrame, transformations: DataFrame, summaries: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """One row per cluster and field: score, its components, source_count, reason_codes.
 
     clusters: cluster. evidence: cluster, field, source, quality (repeats count). values: cluster, field, value (the values on which sources may
@@ -92,7 +91,7 @@ def field_confidence(clusters: DataFrame, evidence: DataFrame, values: DataFrame
     quality = evidence.groupBy(by).agg(F.avg("quality").alias("quality"))
     seen = values.filter("value is not null and value <> ''").groupBy(by).agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("value").alias("n_distinct"))
     stages = transformations.groupBy(by).agg(F.avg(F.coalesce(_map(STAGES)[F.col("stage")], F.lit(0.0))).alias("certainty"), F.collect_set("stage").alias("stages"))
-    all_ = grid.join(source_reliability(sources), by, "left").join(quality, by, "left").join(seen, by, "left").join(stages, by, "left")
+    all_ = grid.join(source_reliability(sources, settings=settings), by, "left").join(quality, by, "left").join(seen, by, "left").join(stages, by, "left")
     n = F.coalesce("n_values", F.lit(0))
     # a location counts its seven parts as values too
     u = F.coalesce("n_distinct", F.lit(0)) + F.when(F.col("field") == "location", 7).otherwise(0)
@@ -104,28 +103,33 @@ def field_confidence(clusters: DataFrame, evidence: DataFrame, values: DataFrame
     )
     names = ("reliability", "agreement", "quality", "certainty", "conflict", "missing")
     reasons = reason_codes(*(F.col(c) for c in ("reliability", "overridden", "agreement", "quality", "stages", "conflict", "missing")))
-    return parts.select("*", score(*(F.col(c) for c in names)).alias("score"), reasons.alias("reason_codes"))
+    return parts.select("*", score(*(F.col(c) for c in names), settings).alias("score"), reasons.alias("reason_codes"))
 
 
-def category_scores(fields: DataFrame, by: str = "cluster") -> DataFrame:
+def category_scores(fields: DataFrame, by: str = "cluster", settings: Settings = DEFAULT) -> DataFrame:
     """cluster, category, score, weight: means of the category's fields, weighted by sources, one at least."""
     of = _map({f: c for c, names in CATEGORIES.items() for f in names})
     w = F.greatest(F.col("source_count"), F.lit(1))
     out = fields.withColumn("category", of[F.col("field")]).filter("category is not null").groupBy(by, "category").agg((F.sum(F.col("score") * w) / F.sum(w)).alias("score"))
-    return out.withColumn("weight", _map(CATEGORY_WEIGHTS)[F.col("category")])
+    return out.withColumn("weight", lookup(F.col("category"), settings.category_weights))
 
 
-def capped(weighted: Column, most_sources: Column, conflicting: Column, fields: Column) -> Column:
-    """At most 0.85 if every field has one source; at most 0.78 if half of the fields conflict."""
-    out = F.when(most_sources <= 1, F.least(weighted, F.lit(SINGLE_SOURCE_MOST))).otherwise(weighted)
-    return clamp(F.when(2 * conflicting >= fields, F.least(out, F.lit(CONFLICT_MOST))).otherwise(out))
+def capped(weighted: Column, most_sources: Column, conflicting: Column, fields: Column, settings: Settings = DEFAULT) -> Column:
+    """At most one cap if every field has one source; at most another if half of the fields conflict."""
+    out = F.when(most_sources <= 1, F.least(weighted, F.lit(settings.caps["single_source"]))).otherwise(weighted)
+    return clamp(F.when(2 * conflicting >= fields, F.least(out, F.lit(settings.caps["conflict"]))).otherwise(out))
 
 
-def overall_confidence(fields: DataFrame, by: str = "cluster") -> DataFrame:
-    """cluster, overall: weighted mean of the categories present, capped."""
-    weighted = category_scores(fields, by).groupBy(by).agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("weighted"))
-    facts = fields.groupBy(by).agg(F.max("source_count").alias("most"), F.count_if(F.col("conflict") > 0).alias("conflicts"), F.count(F.lit(1)).alias("n"))
-    return weighted.join(facts, by).select(by, capped(F.col("weighted"), F.col("most"), F.col("conflicts"), F.col("n")).alias("overall"))
+def overall_confidence(fields: DataFrame, by: str = "cluster", settings: Settings = DEFAULT) -> DataFrame:
+    """cluster, overall: weighted mean of the categories present, capped. Without category weights the fields' mean weighted by sources, capped;
+    where no category present has a weight their plain mean."""
+    w = F.greatest(F.col("source_count"), F.lit(1))
+    facts = fields.groupBy(by).agg(F.max("source_count").alias("most"), F.count_if(F.col("conflict") > 0).alias("conflicts"), F.count(F.lit(1)).alias("n"), F.avg("score").alias("plain"), (F.sum(F.col("score") * w) / F.sum(w)).alias("by_sources"))
+    cap = lambda weighted: capped(weighted, F.col("most"), F.col("conflicts"), F.col("n"), settings)
+    if not settings.category_weights:
+        return facts.select(by, cap(F.col("by_sources")).alias("overall"))
+    weighted = category_scores(fields, by, settings).filter("weight is not null").groupBy(by).agg(F.sum("weight").alias("total"), F.sum(F.col("score") * F.col("weight")).alias("sum"))
+    return facts.join(weighted, by, "left").select(by, F.when(F.col("total") > 0, cap(F.col("sum") / F.col("total"))).otherwise(F.col("plain")).alias("overall"))
 
 
 def mean_breakdown(fields: DataFrame, by: str = "cluster") -> DataFrame:

@@ -27,8 +27,8 @@ def source_summaries(sources: DataFrame, by: str = "cluster") -> DataFrame:
 
 def enrich(stored: DataFrame, evidence: DataFrame, decisions: DataFrame) -> DataFrame:
     """Stored provenance, then one row for each piece of evidence, then one for each merge decision."""
-    cols = ["cluster", "ord", "field", "original", "canonical", "source", "method", "rule", "confidence"]
-    made = decisions.select("cluster", "ord", "field", F.to_json("competing").alias("original"), F.to_json("selected").alias("canonical"), F.lit("fusion").alias("source"), F.lit("merge").alias("method"), F.col("strategy").alias("rule"), "confidence")
+    cols = ["cluster", "ord", "field", "original", "canonical", "source", "method", "rule", "confidence", "record_id"]
+    made = decisions.select("cluster", "ord", "field", F.to_json("competing").alias("original"), F.to_json("selected").alias("canonical"), F.lit("fusion").alias("source"), F.lit("merge").alias("method"), F.col("strategy").alias("rule"), "confidence", F.lit(None).cast("string").alias("record_id"))
     parts = [stored.select(*cols), evidence.select(*cols), made.select(*cols)]
     ranked = [p.withColumn("ord", F.struct(F.lit(i).alias("part"), F.col("ord").cast("long").alias("at"))) for i, p in enumerate(parts)]
     return ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
@@ -41,10 +41,12 @@ def _values(column: str, order: str) -> Column:
 
 
 def compact_provenance(records: DataFrame, order: str = "ord", by: str = "cluster") -> DataFrame:
-    """One row per field, source, method and rule: distinct originals and canonicals (a scalar if there is one), the highest confidence, in order of appearance."""
-    made = records.groupBy(by, "field", "source", "method", "rule").agg(F.min(order).alias(order), _values("original", order).alias("o"), _values("canonical", order).alias("c"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+    """One row per field, source, method and rule: distinct originals and canonicals (a scalar if there is one), the highest confidence, the ids of the
+    records that say so joined by bars, in order of appearance."""
+    ids = _values("record_id", order) if "record_id" in records.columns else F.array().cast("array<string>")
+    made = records.groupBy(by, "field", "source", "method", "rule").agg(F.min(order).alias(order), _values("original", order).alias("o"), _values("canonical", order).alias("c"), F.max("confidence").alias("confidence"), F.array_join(ids, " | ").alias("record_ids"), F.count(F.lit(1)).alias("n"))
     one = lambda c: F.when(F.size(c) == 1, F.col(c)[0]).when(F.size(c) > 1, F.to_json(F.col(c)))
-    return made.select(by, "field", "source", "method", "rule", order, one("o").alias("original"), one("c").alias("canonical"), "confidence", "n")
+    return made.select(by, "field", "source", "method", "rule", order, one("o").alias("original"), one("c").alias("canonical"), "confidence", "record_ids", "n")
 
 
 def numbered(records: DataFrame, *order: str, by: str = "cluster") -> DataFrame:

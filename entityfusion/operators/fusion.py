@@ -7,6 +7,7 @@ are not associative, so they stream each cluster's items in order within one tas
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date
 
 import pyarrow as pa
@@ -15,27 +16,16 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import sequence_ratio
 from ..functions.values import location_completeness, normalize_url
-
-#: Reliability of sources, and of some of their fields.
-RELIABILITY = {"recruiter_csv": 0.75, "ats_json": 0.90, "resume_pdf": 0.80, "resume_docx": 0.80, "github": 0.70, "linkedin": 0.65, "recruiter_notes": 0.55}
-OVERRIDES = {
-    "recruiter_csv": {"emails": 0.80, "phones": 0.76, "skills": 0.74, "experience": 0.72, "education": 0.70},
-    "ats_json": {"emails": 0.95, "phones": 0.90, "skills": 0.84, "experience": 0.92, "education": 0.89},
-    "resume_pdf": {"emails": 0.82, "phones": 0.70, "skills": 0.95, "experience": 0.91, "education": 0.90},
-    "github": {"emails": 0.60, "phones": 0.20, "skills": 0.88, "experience": 0.55, "education": 0.30},
-}
-DEFAULT_RELIABILITY = 0.5
-POLICIES = {"emails": "union", "phones": "union", "skills": "semantic_union", "experience": "chronological_merge", "education": "merge", "current_company": "highest_confidence_recent"}
-
+from ..settings import DEFAULT, Settings
 
 def lookup(source: Column, table: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[source] if table else F.lit(None).cast("double")
 
 
-def reliability(source: Column, field: str | None = None) -> Column:
-    """Of a source for a field: the field's own figure, the source's, or 0.5."""
-    own = {s: o[field] for s, o in OVERRIDES.items() if field in o}
-    return F.coalesce(lookup(source, own), lookup(source, RELIABILITY), F.lit(DEFAULT_RELIABILITY))
+def reliability(source: Column, field: str | None = None, settings: Settings = DEFAULT) -> Column:
+    """Of a source for a field: the field's own figure, the source's, or the default."""
+    own = {s: o[field] for s, o in settings.overrides.items() if field in o}
+    return F.coalesce(lookup(source, own), lookup(source, settings.reliability), F.lit(settings.default_reliability))
 
 
 def best_by_reliability(items: DataFrame, value: str, score: Column, order: str = "ord", by: str = "cluster") -> DataFrame:
@@ -87,15 +77,35 @@ def rejected_values(competing: Column, selected: Column) -> Column:
     return F.filter(competing, lambda v: ~F.array_contains(selected, v))
 
 
-def merge_decisions(items: DataFrame, selected: DataFrame, field: str, by: str = "cluster") -> DataFrame:
-    """cluster, field, strategy, competing, selected, rejected, reason, confidence. items: cluster, ord, value; selected: cluster, value."""
-    competing = items.filter("value is not null").groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]).alias("competing"))
-    chosen = selected.groupBy(by).agg(F.sort_array(F.collect_set("value")).alias("selected"))
-    out = competing.join(chosen, by, "left").withColumn("selected", F.coalesce("selected", F.array().cast("array<string>")))
-    several = F.size("competing") > 1
+#: What a field's merge is called where the settings don't say; the reasons of fields whose values are counted otherwise.
+STRATEGIES = {"emails": "union", "phones": "union", "links": "union", "skills": "semantic_union", "experience": "chronological_merge", "education": "merge", "location": "most_complete", "years_experience": "maximum_verified", "headline": "highest_confidence"}
+SEVERAL, ONE, ALIAS, LACKING = "strong_cross_source_agreement", "high_source_reliability", "semantic_alias_match", "missing_evidence"
+
+
+def reason_of(field: str, competing: Column, selected: Column) -> Column:
+    """Why a field has its value: skills and headlines are matched or missing; unions count what they selected, other fields what competed."""
+    if field == "skills":
+        return F.when(F.size(selected) > 0, ALIAS).otherwise(LACKING)
+    if field == "headline":
+        return F.when(F.size(selected) > 0, ONE).otherwise(LACKING)
+    counted = selected if field in ("emails", "phones", "experience", "education") else competing
+    return F.when(F.size(counted) > 1, SEVERAL).otherwise(ONE)
+
+
+def merge_decisions(items: DataFrame, selected: DataFrame, field: str, by: str = "cluster", clusters: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """cluster, field, strategy, competing, selected, rejected, reason, confidence, one row a cluster that has values (each cluster of ``clusters``
+    if given). items: cluster, ord, value; selected: cluster, value, and ``ord`` where the order of what was selected matters."""
+    none = F.array().cast("array<string>")
+    competing = items.filter("value is not null").groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("value").cast("string").alias("value")))), lambda x: x["value"]).alias("competing"))
+    place = F.col("ord") if "ord" in selected.columns else F.col("value").cast("string")
+    chosen = selected.filter("value is not null").groupBy(by).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("value").cast("string").alias("value")))), lambda x: x["value"])).alias("selected"))
+    base = competing if clusters is None else clusters.select(by).distinct().join(competing, by, "left")
+    out = base.join(chosen, by, "left").withColumns({"selected": F.coalesce("selected", none), "competing": F.coalesce("competing", none)})
+    lists = field in ("emails", "phones", "skills", "experience", "education", "links")
+    sure = F.lit(1.0) if lists else F.when(F.size("selected") > 0, 1.0).otherwise(0.0)
     return out.select(
-        by, F.lit(field).alias("field"), F.lit(POLICIES.get(field, "highest_reliability")).alias("strategy"), "competing", "selected", rejected_values(F.col("competing"), F.col("selected")).alias("rejected"),
-        F.when(several, "strong_cross_source_agreement").otherwise("high_source_reliability").alias("reason"), F.when(F.size("selected") > 0, 1.0).otherwise(0.0).alias("confidence"),
+        by, F.lit(field).alias("field"), F.lit(settings.policies.get(field, STRATEGIES.get(field, "highest_reliability"))).alias("strategy"), "competing", "selected", rejected_values(F.col("competing"), F.col("selected")).alias("rejected"),
+        reason_of(field, F.col("competing"), F.col("selected")).alias("reason"), sure.alias("confidence"),
     )
 
 
@@ -154,12 +164,27 @@ def same_experience(a: dict, b: dict) -> bool:
     return company and alike >= 0.82 or title and dates and (alike >= 0.70 or same_place(a["location"], b["location"]))
 
 
+def first_experience(item: dict) -> dict:
+    """An item that starts a merged one shows its canonical names, and is compared by them."""
+    return {**item, **{n: item[f"{n}_canonical"] or item[n] for n in ("company", "title")}, "company_key": item["company_canonical_key"] or item["company_key"]}
+
+
+def experience_keys(item: dict) -> list[tuple]:
+    """What two items must have in common to be one: an employer's key, or a title."""
+    keys = ("canonical", item["company_canonical_key"]), ("company", item["company_key"]), ("title", _key(item["title_canonical"] or item["title"]))
+    return [k for k in keys if k[1]]
+
+
 def add_experience(current: dict, new: dict) -> None:
+    # the key is that of the name shown
+    if new["company_canonical"] or current["company_canonical"]:
+        current["company_key"] = (new if new["company_canonical"] else current)["company_canonical_key"]
+    elif _longer(current["company"], new["company"]) != current["company"]:
+        current["company_key"] = new["company_key"]
     for name in ("company", "title"):
         current[name] = _preferred(current, new, name)
         current[f"{name}_canonical"] = current[f"{name}_canonical"] or new[f"{name}_canonical"]
-    for k in ("company_key", "company_canonical_key"):
-        current[k] = current[k] or new[k]
+    current["company_canonical_key"] = current["company_canonical_key"] or new["company_canonical_key"]
     current["start"], current["end"] = _least(current["start"], new["start"]), _most(current["end"], new["end"])
     current["summary"] = _joined(current["summary"], new["summary"])
     if current["location"] and new["location"]:
@@ -184,6 +209,14 @@ def same_education(a: dict, b: dict) -> bool:
     return bool(degrees[0] and degrees[0] == degrees[1] or fields[0] and fields[0] == fields[1] or period)
 
 
+def first_education(item: dict) -> dict:
+    return {**item, "degree": item["degree_canonical"] or item["degree"]}
+
+
+def education_keys(item: dict) -> list[tuple]:
+    return [k] if (k := ("institution", _key(item["institution"])))[1] else []
+
+
 def add_education(current: dict, new: dict) -> None:
     current["institution"] = _longer(current["institution"], new["institution"])
     current["degree"] = _preferred(current, new, "degree")
@@ -198,19 +231,41 @@ def education_order(item: dict) -> tuple:
     return item["end_year"] is None, -(item["end_year"] or 0), item["institution"] or "", item["degree"] or ""
 
 
-def fold_items(items: list[dict], same: Callable, add: Callable, order: Callable) -> list[dict]:
-    """Each item joins the first merged one that it matches, or starts one."""
+@dataclass(frozen=True)
+class Fold:
+    """How items become merged ones: when two are the same, how one starts and how others join it, what they have in common if they are the same, and the order in the end."""
+
+    same: Callable
+    first: Callable
+    add: Callable
+    keys: Callable
+    order: Callable
+
+
+EXPERIENCE = Fold(same_experience, first_experience, add_experience, experience_keys, experience_order)
+EDUCATION = Fold(same_education, first_education, add_education, education_keys, education_order)
+
+
+def fold_items(items: list[dict], fold: Fold) -> list[dict]:
+    """Each item joins the first merged one that it matches, or starts one. Only merged items that share a key are compared."""
     merged: list[dict] = []
+    at: dict[tuple, list[int]] = {}
     for item in items:
-        if (at := next((m for m in merged if same(m, item)), None)) is None:
-            merged.append(dict(item))
+        near = sorted({i for k in fold.keys(item) for i in at.get(k, ())})
+        place = next((i for i in near if fold.same(merged[i], item)), None)
+        if place is None:
+            place = len(merged)
+            merged.append(fold.first(dict(item)))
         else:
-            add(at, item)
-    return sorted(merged, key=order)
+            fold.add(merged[place], item)
+        for k in fold.keys(merged[place]):
+            if place not in at.setdefault(k, []):
+                at[k].append(place)
+    return sorted(merged, key=fold.order)
 
 
-def _fold(items: DataFrame, name: str, same: Callable, add: Callable, order: Callable, by: str) -> DataFrame:
-    """cluster and an array of merged items. items: cluster, ord, item (struct)."""
+def _fold(items: DataFrame, name: str, fold: Fold, by: str) -> DataFrame:
+    """cluster and an array of merged items. items: cluster, ord, item (struct). A cluster's items are held by one task: those of one entity."""
     kind = items.schema["item"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -222,7 +277,7 @@ def _fold(items: DataFrame, name: str, same: Callable, add: Callable, order: Cal
 
         def close() -> None:
             if held:
-                done.append((now, fold_items(held, same, add, order)))
+                done.append((now, fold_items(held, fold)))
 
         def packed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], to_arrow_type(key)), pa.array([v for _, v in done], arrow)], [by, name])
@@ -244,8 +299,8 @@ def _fold(items: DataFrame, name: str, same: Callable, add: Callable, order: Cal
 
 
 def fold_experience(items: DataFrame, by: str = "cluster") -> DataFrame:
-    return _fold(items, "experience", same_experience, add_experience, experience_order, by)
+    return _fold(items, "experience", EXPERIENCE, by)
 
 
 def fold_education(items: DataFrame, by: str = "cluster") -> DataFrame:
-    return _fold(items, "education", same_education, add_education, education_order, by)
+    return _fold(items, "education", EDUCATION, by)

@@ -14,18 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_key
+from ..functions.text import blank_to_null, normalize_whitespace
+from ..functions.text import text_key as lower_key
 from ..functions.values import normalize_email, normalize_url
 from ..plans.tables import Tables, components
 
 #: Keys in order of priority, and the confidence of a match by each.
 CONFIDENCE = {"linkedin_url": 1.0, "email": 0.98, "phone": 0.96, "github_url": 0.94, "full_name": 0.90, "full_name_country": 0.88, "full_name_city": 0.86}
 NEW = "different_candidates"
-KEYS = "frag_id string, frag_ord int, key_ord int, priority int, key string, value string"
+KEYS = "frag_id string, frag_ord bigint, key_ord int, priority int, key string, value string"
 
 
-def identity_keys(fragments: DataFrame) -> DataFrame:
+def identity_keys(fragments: DataFrame, case_insensitive: bool = True) -> DataFrame:
     """frag_id, frag_ord, key_ord, priority, key, value: the keys of each fragment in the order in which they are tried."""
+    text_key = lower_key if case_insensitive else lambda value: blank_to_null(normalize_whitespace(value))
     one = lambda key, value: F.array(F.struct(F.lit(key).alias("key"), value.alias("value")))
     name = text_key(F.col("full_name"))
     country = text_key(F.coalesce("location.country_code", "location.country"))
@@ -84,7 +86,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [(k["priority"], k["key"], k["value"]) for k in row["keys"] or []]
             out.append((*scan.take(row["frag_ord"], keys), row["frag_ord"]))
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], ["cluster", "priority", "frag_ord"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["cluster", "priority", "frag_ord"])
 
 
 def greedy_clusters(fragments: DataFrame, keys: DataFrame, tables: Tables) -> DataFrame:
@@ -93,7 +95,7 @@ def greedy_clusters(fragments: DataFrame, keys: DataFrame, tables: Tables) -> Da
     own = keys.groupBy("frag_ord").agg(F.sort_array(F.collect_list(F.struct("key_ord", "priority", "key", "value"))).alias("keys"))
     rows = fragments.select("frag_id", "frag_ord").join(blocks, "frag_ord").join(own, "frag_ord", "left")
     sorted_ = rows.select("component", "frag_ord", "keys").repartition("component").sortWithinPartitions("component", "frag_ord")
-    found = tables.table(sorted_.mapInArrow(_scan, "cluster int, priority int, frag_ord int"))
+    found = tables.table(sorted_.mapInArrow(_scan, "cluster bigint, priority int, frag_ord bigint"))
     names = list(CONFIDENCE)
     used = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, k)))
     sure = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, CONFIDENCE[k])))

@@ -94,3 +94,9 @@ def validity(projected: DataFrame, issues: DataFrame, key: str = "candidate_id")
     counts = issues.groupBy(key).agg(F.count(F.lit(1)).alias("errors"))
     errors = F.coalesce("errors", F.lit(0))
     return projected.select(key).join(counts, key, "left").select(key, errors.alias("errors"), F.lit(0).alias("warnings"), (errors == 0).alias("is_valid"))
+
+
+def finalized(records: DataFrame, id_column: str = "candidate_id") -> DataFrame:
+    """records, each of which must have an id: one without it ends the job with an error."""
+    known = F.when(F.coalesce(F.col(id_column), F.lit("")) != "", F.col(id_column)).otherwise(F.raise_error(F.lit(f"a record without {id_column}")))
+    return records.withColumn(id_column, known)

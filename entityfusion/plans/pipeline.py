@@ -10,11 +10,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import company_key, stable_id
+from ..functions.text import blank_to_null, company_key, stable_id, strip
+from ..functions.values import location_string
 from ..operators import confidence, dictionary, evidence, fusion, identity, projection, report, validation
+from ..settings import DEFAULT, Settings
 from .tables import Tables
 
-ITEMS = 1 << 20  # more than the items of a fragment's list
+#: More than the places of a fragment's list, and of a piece of evidence's parts.
+ITEMS, PARTS = 1 << 30, 1 << 12
 
 
 @dataclass
@@ -32,7 +35,7 @@ class Result:
 
 def items(fragments: DataFrame, column: str) -> DataFrame:
     """frag_id, ord, source, quality, item: a list's items in input order."""
-    return fragments.select("frag_id", "source", "quality", "frag_ord", F.posexplode(column).alias("at", "item")).select("frag_id", "source", "quality", (F.col("frag_ord").cast("long") * ITEMS + F.col("at")).alias("ord"), "item")
+    return fragments.select("frag_id", "source", "quality", "frag_ord", F.posexplode(column).alias("at", "item")).select("frag_id", "source", "quality", (F.col("frag_ord") * ITEMS + F.col("at") * PARTS).alias("ord"), "item")
 
 
 def resolved(rows: DataFrame, value: Column, domain: str, found: DataFrame, prefix: str) -> DataFrame:
@@ -41,13 +44,49 @@ def resolved(rows: DataFrame, value: Column, domain: str, found: DataFrame, pref
     return rows.withColumn("_v", value).join(of, F.col("_v") == F.col("_value"), "left").drop("_v", "_value")
 
 
-def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = projection.Config(), threshold: float = 90.0) -> Result:  # noqa: B008
+def told_skills(fragments: DataFrame) -> DataFrame:
+    """Skills as items: those that a fragment's evidence tells, parted by commas; the fragment's own list where no evidence tells any."""
+    pieces = items(fragments, "evidence").filter(F.lower("item.field").contains("skill") & F.col("item.original").isNotNull())
+    parts = F.filter(F.transform(F.split("item.original", ","), strip), lambda t: t != "")
+    parts = pieces.select("frag_id", "source", "quality", "ord", F.col("item.evidence_id").alias("id"), F.posexplode(parts).alias("part", "name"))
+    null = F.lit(None).cast("string")
+    item = F.struct(F.col("name"), F.array("name").alias("original_names"), null.alias("category"), null.alias("parent_category"), F.lit(1.0).alias("confidence"), F.array("source").alias("sources"), F.array("id").alias("evidence_ids"))
+    made = parts.select("frag_id", "source", "quality", (F.col("ord") + F.least("part", F.lit(PARTS - 1))).alias("ord"), item.alias("item"))
+    return made.unionByName(items(fragments, "skills").join(made.select("frag_id").distinct(), "frag_id", "left_anti"))
+
+
+def competing_and_selected(fragments: DataFrame, lists: dict[str, DataFrame], fused: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Field -> (cluster, ord, value that competed; cluster, value that was selected), in the order in which fields are merged.
+
+    lists: cluster, ord, item of emails, phones, skills, experience, education. fused: cluster and the merged column of each field."""
+    shown = lambda *parts: F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))
+    item = lambda c: F.col(f"item.{c}")
+    values = {
+        "emails": item("normalized"), "phones": F.coalesce(item("e164"), item("raw")), "skills": item("name"),
+        "experience": shown(F.coalesce(item("company_canonical"), item("company")), F.coalesce(item("title_canonical"), item("title")), item("start"), item("end")),
+        "education": shown(item("institution"), F.coalesce(item("degree_canonical"), item("degree")), item("field"), item("start_year"), item("end_year")),
+    }
+    chosen = {"emails": lambda x: x["normalized"], "phones": lambda x: x["e164"], "skills": lambda x: x["name"], "experience": lambda x: F.to_json(x), "education": lambda x: F.to_json(x)}
+    each = lambda df, array: df.select("cluster", F.posexplode(array).alias("ord", "value"))
+    place, links = fused["location"], fused["links"]
+    whole = F.array(*(F.col(f"location.{c}") for c in ("raw", "city", "region", "country", "country_code")))
+    slots = lambda prefix: F.array(*(F.col(f"{prefix}.{c}") for c in ("linkedin", "github", "portfolio")))
+    one = lambda c: (fragments.select("cluster", "ord", F.col(c).alias("value")), fused[c].select("cluster", F.col(c).alias("value")))
+    out = {f: (lists[f].select("cluster", "ord", v.alias("value")), each(fused[f], F.transform(f, chosen[f]))) for f, v in values.items()}
+    out["links"] = (fragments.select("cluster", "ord", F.posexplode(slots("links")).alias("at", "value")).select("cluster", (F.col("ord") + F.col("at")).alias("ord"), "value"), each(links, slots("links")))
+    string = location_string(F.col("location.city"), F.col("location.region"), F.col("location.country"))
+    out["location"] = (fragments.filter("location is not null").select("cluster", "ord", F.coalesce(blank_to_null(F.col("location.raw")), string, F.lit("")).alias("value")), each(place, whole))
+    out |= {c: one(c) for c in ("years_experience", "headline")}
+    return {f: out[f] for f in ("emails", "phones", "links", "skills", "experience", "education", "location", "years_experience", "headline")}
+
+
+def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = projection.Config(), threshold: float = 90.0, settings: Settings = DEFAULT) -> Result:  # noqa: B008
     """fragments: ``schemas.FRAGMENT``, from any sources, with frag_ord over all of them."""
     spark = fragments.sparkSession
     tables = Tables(spark, "fusion")
     fragments = tables.table(fragments)
     # values and their resolution
-    skills, jobs, study = (items(fragments, c) for c in ("skills", "experience", "education"))
+    skills, jobs, study = told_skills(fragments), items(fragments, "experience"), items(fragments, "education")
     text = lambda df, domain, value: df.select(F.lit(domain).alias("domain"), value.alias("value"))
     wanted = [
         text(skills, "skills", F.col("item.name")), text(jobs, "companies", F.col("item.company")), text(jobs, "job_titles", F.col("item.title")), text(study, "degrees", F.col("item.degree")),
@@ -63,13 +102,13 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     located = located.withColumn("location", F.when(F.col("location").isNotNull(), F.struct("location.raw", "location.city", "location.region", F.coalesce("found_country", "location.country").alias("country"), code.alias("country_code"))))
     fragments = tables.table(located.drop("_country", "found_country", "found_code"))
     # identity
-    keys = tables.table(identity.identity_keys(fragments))
+    keys = tables.table(identity.identity_keys(fragments, settings.case_insensitive))
     clusters = tables.table(identity.greedy_clusters(fragments, keys, tables))
     of = clusters.select("frag_id", F.col("cluster_ord").alias("cluster"))
-    fragments = tables.table(fragments.join(of, "frag_id").withColumn("ord", F.col("frag_ord").cast("long") * ITEMS))
+    fragments = tables.table(fragments.join(of, "frag_id").withColumn("ord", F.col("frag_ord") * ITEMS))
     skills, jobs, study = (df.join(of, "frag_id") for df in (skills, jobs, study))
     # fusion
-    trust = lambda field=None: fusion.reliability(F.col("source"), field)
+    trust = lambda field=None: fusion.reliability(F.col("source"), field, settings)
     name = fusion.best_by_reliability(fragments, "full_name", trust())
     headline = fusion.best_by_reliability(fragments, "headline", trust())
     years = fusion.max_verified(fragments, "years_experience", trust()).select("cluster", "years_experience")
@@ -100,35 +139,44 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     degree = study.select("cluster", "ord", F.col("item").withField("degree_canonical", F.col("degree.canonical")).withField("confidence", F.greatest("item.confidence", trust("education"))).alias("item"))
     education = fusion.fold_education(degree)
     # audit
-    told = items(fragments, "evidence").join(of, "frag_id").select("cluster", "ord", "source", "quality", "item.*")
+    records = fragments.select("frag_id", "record_id")
+    told = items(fragments, "evidence").join(of, "frag_id").join(records, "frag_id").select("cluster", "ord", "source", "quality", "record_id", "item.*")
     told = tables.table(evidence.dedupe_last(told, "evidence_id"))
     change = lambda df, r, field, value: df.filter(F.col(r).isNotNull()).select("cluster", "ord", F.lit(field).alias("field"), value.alias("original"), F.col(f"{r}.canonical").alias("canonical"), F.col(f"{r}.stage").alias("stage"))
     changes = told.select("cluster", "ord", "field", "original", "canonical", F.lit("UNKNOWN_VALUE").alias("stage"))
     for part in (change(skills, "r", "skills", F.col("item.name")), change(jobs, "company", "company", F.col("item.company")), change(jobs, "title", "job_title", F.col("item.title")), change(study, "degree", "degree", F.col("item.degree"))):
         changes = changes.unionByName(part)
     summaries = evidence.source_summaries(fragments.select("cluster", "ord", "source", "record_id", "source_file", "quality"))
-    names = fragments.select("cluster", "ord", F.col("full_name").alias("value"))
-    decisions = fusion.merge_decisions(names, name.select("cluster", F.col("full_name").alias("value")), "full_name")
-    mails = items(fragments, "emails").join(of, "frag_id").select("cluster", "ord", F.col("item.normalized").alias("value"))
-    decisions = decisions.unionByName(fusion.merge_decisions(mails, emails.select("cluster", F.explode("emails.normalized").alias("value")), "emails"))
-    trail = evidence.compact_provenance(evidence.distinct_provenance(evidence.enrich(told.limit(0), told, decisions.withColumn("ord", F.lit(0)))))
+    emailed, phoned = (items(fragments, c).join(of, "frag_id") for c in ("emails", "phones"))
+    called = skills.withColumn("item", F.struct(F.coalesce("r.canonical", "item.name").alias("name")))
+    lists = {"emails": emailed, "phones": phoned, "skills": called, "experience": job, "education": degree}
+    fused = {"emails": emails, "phones": phones, "skills": united, "experience": experience, "education": education, "links": links, "location": place, "years_experience": years, "headline": headline}
+    made = [
+        fusion.merge_decisions(*both, field, clusters=ids, settings=settings).withColumn("ord", F.lit(i)) for i, (field, both) in enumerate(competing_and_selected(fragments, lists, fused).items())
+    ]
+    decisions = tables.table(reduce(DataFrame.unionByName, made))
+    trail = evidence.compact_provenance(evidence.distinct_provenance(evidence.enrich(told.limit(0), told, decisions)))
     # confidence
     scored = told.withColumn("value", F.coalesce("canonical", "original"))
     listed = lambda df, field, value: df.select("cluster", F.lit(field).alias("field"), value.cast("string").alias("value"))
     values = scored.select("cluster", "field", "value")
     for part in (listed(skills, "skills", F.col("item.name")), listed(jobs, "experience", F.to_json("item")), listed(study, "education", F.to_json("item"))):
         values = values.union(part)
-    fields = tables.table(confidence.field_confidence(ids, scored, values, changes, summaries))
-    overall = confidence.overall_confidence(fields)
+    # evidence that merged items name counts for their field too
+    named = [df.select("cluster", F.lit(c).alias("field"), F.explode(F.flatten(F.transform(c, lambda x: x["evidence_ids"]))).alias("evidence_id")) for df, c in ((united, "skills"), (experience, "experience"), (education, "education"))]
+    named = reduce(DataFrame.union, named).join(told.select("cluster", "evidence_id", "source", "quality"), ["cluster", "evidence_id"])
+    seen = scored.select("cluster", "field", "source", "quality").unionByName(named.select("cluster", "field", "source", "quality"))
+    fields = tables.table(confidence.field_confidence(ids, seen, values, changes, summaries, settings))
+    overall = confidence.overall_confidence(fields, settings=settings)
     # records
     parts = (name, emails, phones, place, links, headline, years, united, experience, education, overall.withColumnRenamed("overall", "overall_confidence"))
     record = reduce(lambda a, b: a.join(b, "cluster", "left"), parts, ids)
-    listed_trail = trail.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct("field", "source", "method", "rule", "original", "canonical", "confidence").alias("v")))), lambda x: x["v"]).alias("provenance"))
+    listed_trail = trail.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct("field", "source", "method", "rule", "original", "canonical", "confidence", "record_ids").alias("v")))), lambda x: x["v"]).alias("provenance"))
     record = record.join(listed_trail, "cluster", "left").withColumn("candidate_id", F.coalesce("external_id", stable_id(F.col("full_name"), F.col("frag_id"))))
     for c in ("emails", "phones", "skills", "experience", "education"):
         record = record.withColumn(c, F.coalesce(c, F.array().cast(record.schema[c].dataType)))
     order = ("candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education", "provenance", "overall_confidence", "cluster")
-    canonical = tables.table(record.select(*order))
+    canonical = tables.table(validation.finalized(record.select(*order)))
     projected = projection.project(canonical.drop("cluster"), config)
     issues = validation.validate(projected, config)
     summary = report.run_summary(canonical, validation.validity(canonical.select("candidate_id"), issues))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import settings
 from .functions import text as tx
 from .functions import values as vx
 from .functions.arrays import headed
@@ -50,7 +51,7 @@ def case(column: str, values: dict, otherwise: str = "null") -> str:
 
 
 SRC = case("event_type", SOURCES)
-REL = case(f"({SRC})", fusion.RELIABILITY, "0.5")
+REL = case(f"({SRC})", settings.RELIABILITY, "0.5")
 WS = r"[ \t\n\r\f\v]"
 SPLIT = f"list_filter(list_transform(regexp_split_to_array(text, '[;,|\\n]'), lambda x: trim(regexp_replace(x, '{WS}+', ' ', 'g'))), lambda x: x <> '')"
 
@@ -305,7 +306,7 @@ def dict_categories(spark, sf):
 
 # identity
 
-KEY_SQL = """select event_id::int as frag_ord, user_id || '@' || strftime(ts, '%Y-%m-%d') as v from events
+KEY_SQL = """select event_id as frag_ord, user_id || '@' || strftime(ts, '%Y-%m-%d') as v from events
 union select event_id::int, 'k' || (json_extract(props, '$.k')::int) || '@' || strftime(ts, '%Y-%m-%d %H') from events where event_id % 7 = 0"""
 
 
@@ -314,8 +315,8 @@ def event_keys(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int").cast("string")
     day = F.struct(F.lit(1).alias("priority"), F.lit("email").alias("key"), F.concat(F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd")).alias("value"))
     hour = F.when(F.col("event_id") % 7 == 0, F.struct(F.lit(2).alias("priority"), F.lit("phone").alias("key"), F.concat(F.lit("k"), k, F.lit("@"), F.date_format("ts", "yyyy-MM-dd HH")).alias("value")))
-    rows = e.select(F.col("event_id").cast("string").alias("frag_id"), F.col("event_id").cast("int").alias("frag_ord"), F.posexplode(F.array_compact(F.array(day, hour))).alias("key_ord", "x"))
-    return e.select(F.col("event_id").cast("string").alias("frag_id"), F.col("event_id").cast("int").alias("frag_ord")), rows.select("frag_id", "frag_ord", "key_ord", "x.*")
+    rows = e.select(F.col("event_id").cast("string").alias("frag_id"), F.col("event_id").alias("frag_ord"), F.posexplode(F.array_compact(F.array(day, hour))).alias("key_ord", "x"))
+    return e.select(F.col("event_id").cast("string").alias("frag_id"), F.col("event_id").alias("frag_ord")), rows.select("frag_id", "frag_ord", "key_ord", "x.*")
 
 
 @query(
@@ -386,12 +387,26 @@ def rejected_values(spark, sf):
     return lines.select("l_orderkey", n.cast("long").alias("n_rejected")).filter("n_rejected > 0")
 
 
-@query("select user_id as cluster, count(*) as n_competing, count(*) filter (event_type <> best) as n_rejected, case when count(*) > 1 then 'strong_cross_source_agreement' else 'high_source_reliability' end as reason from events join (select user_id, max(event_type) as best from events group by all) using (user_id) group by all")
+FIELDS_MERGED = tuple(fusion.STRATEGIES)
+MERGED = "case event_id % 9 " + " ".join(f"when {i} then '{f}'" for i, f in enumerate(FIELDS_MERGED)) + " end"
+COUNTED = ", ".join(f"'{f}'" for f in ("emails", "phones", "experience", "education"))
+
+
+@query(
+    f"""with e as (select user_id as cluster, event_type as value, {MERGED} as field, event_id from events),
+a as (select cluster, field, count(*) as n_competing, max(value) as best, count(*) filter (value <> (select max(value) from e m where m.cluster = e.cluster and m.field = e.field)) as n_rejected from e group by all)
+select cluster, field, n_competing, n_rejected, case when field = 'skills' then 'semantic_alias_match' when field = 'headline' or field in ({COUNTED}) or n_competing = 1 then 'high_source_reliability' else 'strong_cross_source_agreement' end as reason from a"""
+)
 def merge_decisions(spark, sf):
     rows = told(spark, sf).withColumn("value", F.col("event_type"))
-    best = rows.groupBy("cluster").agg(F.max("value").alias("value"))
-    made = fusion.merge_decisions(rows, best, "headline")
-    return made.select("cluster", F.size("competing").cast("long").alias("n_competing"), F.size("rejected").cast("long").alias("n_rejected"), "reason")
+    made = []
+    for i, field in enumerate(FIELDS_MERGED):
+        of = rows.filter(F.col("ord") % len(FIELDS_MERGED) == i)
+        made.append(fusion.merge_decisions(of, of.groupBy("cluster").agg(F.max("value").alias("value")), field))
+    whole = made[0]
+    for m in made[1:]:
+        whole = whole.unionByName(m)
+    return whole.select("cluster", "field", F.size("competing").cast("long").alias("n_competing"), F.size("rejected").cast("long").alias("n_rejected"), "reason")
 
 
 @query(
@@ -441,11 +456,14 @@ def provenance_distinct(spark, sf):
 
 @query(
     f"""with f as (select cluster, field, source, method, rule, original, min(ord) as first from ({PROV}) group by all),
-g as (select cluster, field, source, method, rule, case when count(*) = 1 then min(original) else '[' || string_agg('"' || original || '"', ',' order by first) || ']' end as original from f group by all)
-select g.*, min(ord) as ord, max(confidence) as confidence, count(*) as n from g join ({PROV}) p using (cluster, field, source, method, rule) group by g.cluster, g.field, g.source, g.method, g.rule, g.original"""
+g as (select cluster, field, source, method, rule, case when count(*) = 1 then min(original) else '[' || string_agg('"' || original || '"', ',' order by first) || ']' end as original from f group by all),
+d as (select cluster, field, source, method, rule, 'd' || ord % 3 as record, min(ord) as first from ({PROV}) group by all),
+r as (select cluster, field, source, method, rule, string_agg(record, ' | ' order by first) as record_ids from d group by all)
+select g.*, r.record_ids, min(ord) as ord, max(confidence) as confidence, count(*) as n from g join r using (cluster, field, source, method, rule) join ({PROV}) p using (cluster, field, source, method, rule)
+group by g.cluster, g.field, g.source, g.method, g.rule, g.original, r.record_ids"""
 )
 def provenance_compact(spark, sf):
-    return evidence.compact_provenance(trail(spark, sf)).drop("canonical")
+    return evidence.compact_provenance(trail(spark, sf).withColumn("record_id", F.concat(F.lit("d"), F.col("ord") % 3))).drop("canonical")
 
 
 @query(f"select user_id as cluster, case when event_id % 2 = 0 then 'r' || (event_id % 4) else ({SRC}) || ':f' end as source_key, min(event_id) as ord, arg_min({SRC}, event_id) as source from events group by all")
@@ -472,14 +490,14 @@ def fields_of(spark, sf):
     return confidence.field_confidence(s.select("cluster"), s, s, s, s.select("cluster", "source"))
 
 
-OWN = "case (source || '/' || field) " + " ".join(f"when '{s}/{f}' then {v}" for s, o in fusion.OVERRIDES.items() for f, v in o.items()) + " end"
+OWN = "case (source || '/' || field) " + " ".join(f"when '{s}/{f}' then {v}" for s, o in settings.OVERRIDES.items() for f, v in o.items()) + " end"
 SCALARS = ", ".join(f"'{f}'" for f in confidence.SCALARS)
 FIELD_SQL = f"""
 with t as (select user_id as cluster, {SRC} as source, least(value, 100) / 100 as quality, json_extract(props, '$.k')::int as k from events),
 s as (select *, {FIELD} as field, (k % 7)::varchar as value, {case("(k % 6)", {str(i): v for i, v in enumerate(dictionary.STAGES.values())})} as stage from t),
 grid as (select cluster, field from (select distinct cluster from s), (select unnest([{", ".join(f"'{f}'" for f in confidence.FIELDS)}]) as field)),
 src as (select distinct cluster, field, source from s union select distinct g.cluster, g.field, t.source from grid g join t using (cluster) where (g.cluster, g.field) not in (select (cluster, field) from s)),
-rel as (select cluster, field, coalesce(avg({OWN}), avg({case("source", fusion.RELIABILITY, "0.5")})) as r, count(*) as n from src group by all),
+rel as (select cluster, field, coalesce(avg({OWN}), avg({case("source", settings.RELIABILITY, "0.5")})) as r, count(*) as n from src group by all),
 ev as (select cluster, field, avg(quality) as q, avg(stage) as c, count(distinct value) as u, count(*) as m from s group by all),
 p as (select cluster, field, n, r, 1 - pow(2.0, -n) as a, coalesce(q, 0.5) as q, coalesce(c, case when coalesce(m, 0) + (field = 'location')::int > 0 then 1.0 else 0.0 end) as c, coalesce(u, 0) + 7 * (field = 'location')::int as u, coalesce(m, 0) + 7 * (field = 'location')::int as m
   from grid join rel using (cluster, field) left join ev using (cluster, field)),
@@ -501,7 +519,7 @@ def category_scores(spark, sf):
     return confidence.category_scores(fields_of(spark, sf)).select("cluster", "category", F.round("score", 9).alias("score"))
 
 
-OVER_SQL = CAT_SQL + f""", w as (select cluster, sum(score * {case("category", confidence.CATEGORY_WEIGHTS)}) / sum({case("category", confidence.CATEGORY_WEIGHTS)}) as w from cats group by all),
+OVER_SQL = CAT_SQL + f""", w as (select cluster, sum(score * {case("category", settings.CATEGORY_WEIGHTS)}) / sum({case("category", settings.CATEGORY_WEIGHTS)}) as w from cats group by all),
 f as (select cluster, max(n) as most, count(*) filter (conflict > 0) as bad, count(*) as n from fields group by all),
 overall as (select cluster, least(w, case when most <= 1 then 0.85 else 1 end, case when 2 * bad >= n then 0.78 else 1 end) as overall from w join f using (cluster))"""
 
@@ -606,7 +624,7 @@ def document_fragments(spark, sf):
     emails = F.transform(vx.extract_emails(F.col("text")), lambda e: F.struct(e.alias("value"), vx.normalize_email(e).alias("normalized")))
     phones = F.transform(vx.extract_phones(F.col("text")), lambda p: F.struct(p.alias("raw"), vx.normalize_phone(p).alias("e164")))
     null = F.lit(None).cast("string")
-    return d.select(F.col("doc_id").cast("string").alias("frag_id"), F.col("doc_id").cast("int").alias("frag_ord"), null.alias("full_name"), emails.alias("emails"), phones.alias("phones"), F.struct(null.alias("linkedin"), null.alias("github")).alias("links"), F.struct(null.alias("city"), null.alias("country"), null.alias("country_code")).alias("location"))
+    return d.select(F.col("doc_id").cast("string").alias("frag_id"), F.col("doc_id").alias("frag_ord"), null.alias("full_name"), emails.alias("emails"), phones.alias("phones"), F.struct(null.alias("linkedin"), null.alias("github")).alias("links"), F.struct(null.alias("city"), null.alias("country"), null.alias("country_code")).alias("location"))
 
 
 @query()

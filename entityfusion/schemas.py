@@ -14,7 +14,7 @@ FIELDS = {
 }
 #: What a source yields for one record, as JSON and as a type.
 PARSED = "struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">"
-FRAGMENT = "frag_ord int, frag_id string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())
+FRAGMENT = "frag_ord bigint, frag_id string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items())
 CANONICAL = (
     "candidate_id string, full_name string, emails array<{e}>, phones array<{p}>, location {l}, links {k}, headline string, years_experience double, skills array<{s}>, experience array<{x}>, education array<{d}>, overall_confidence double"
 ).format(e=EMAIL, p=PHONE, l=LOCATION, k=LINKS, s=SKILL, x=EXPERIENCE, d=EDUCATION)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import bound
 from ..schemas import FIELDS, PARSED
 
 #: Sources by name; ``register`` adds to them.
@@ -42,7 +43,15 @@ def fragments_of(records: DataFrame, parsed: str = "parsed") -> DataFrame:
     columns = {c: p(c) for c in FIELDS} | {"raw_hash": F.sha2("raw", 256)}
     evidence = F.transform(p("evidence"), lambda e, i: e.withField("evidence_id", F.sha2(F.concat_ws("::", F.col("frag_id"), e["field"], i.cast("string")), 256)))
     columns["evidence"] = F.coalesce(evidence, F.array().cast(f"{FIELDS['evidence']}"))
-    return made.select("frag_ord", "frag_id", *(v.alias(k) for k, v in columns.items()))
+    out = made.select("frag_ord", "frag_id", *(v.alias(k) for k, v in columns.items()))
+    return out.withColumns({c: with_evidence(c) for c in ("skills", "experience", "education")})
+
+
+def with_evidence(field: str) -> Column:
+    """A list's items with the ids of their evidence: of the piece of their field in the same place, or of its only one."""
+    ids = F.transform(F.filter("evidence", lambda e: e["field"] == field), lambda e: e["evidence_id"])
+    known = lambda of, i: F.when(F.size(of) == F.size(field), F.get(of, i)).when(F.size(of) == 1, F.get(of, F.lit(0)))
+    return bound(ids, lambda of: F.transform(field, lambda x, i: x.withField("evidence_ids", F.array_compact(F.array_append(x["evidence_ids"], known(of, i))))))
 
 
 def null() -> Column:

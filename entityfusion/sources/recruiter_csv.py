@@ -1,13 +1,21 @@
-"""Recruiter CSV files, by Spark's reader: headers through a synonym table, one record of each file (all with ``all_rows``)."""
+"""Recruiter CSV files: headers through a synonym table, one record of each file (all with ``all_rows``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import csv
+import io
+import itertools
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normalize_whitespace, split_multivalue, stable_id
 from ..functions.values import normalize_email, normalize_phone, normalize_url, parse_date
 from .base import no_ids, null, email_items, fragments_of, phone_items, piece, record, register, skill_items
+from .ordered import numbered
 
 #: The headers that each field is found under.
 HEADERS = {
@@ -20,17 +28,50 @@ HEADERS = {
 SOURCE, QUALITY = "recruiter_csv", 0.92
 
 
-def by_headers(df: DataFrame) -> dict[str, Column]:
-    """Field -> column; of several synonyms the last column counts, unknown headers don't."""
-    back = {h: f for f, names in HEADERS.items() for h in names}
-    return {back[c.strip().lower()]: F.col(f"`{c}`") for c in df.columns if c.strip().lower() in back}
+BACK = {header: field for field, headers in HEADERS.items() for header in headers}
+ROWS = "_file string, _row bigint, raw string, have map<string,string>"
+
+
+def rows_of(content: bytes, all_rows: bool) -> Iterator[tuple[int, str, dict | None]]:
+    """(row, raw, field -> text) of a file with its own header; of several headers of a field the last counts. A file without rows gives one without fields."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    reader = csv.reader(io.StringIO(text, newline=""))
+    fields = [BACK.get(h.strip().lower()) for h in next(reader, [])]
+    n = 0
+    for row in reader:
+        if not row:
+            continue
+        have = {f: v for f, v in zip(fields, row, strict=False) if f}
+        yield n, (json.dumps(row, ensure_ascii=False) if all_rows else text), have
+        n += 1
+        if not all_rows:
+            return
+    if n == 0:
+        yield 0, text, None
+
+
+def rows(files: DataFrame, all_rows: bool) -> DataFrame:
+    """ROWS of files (path, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                found = rows_of(content.as_py() or b"", all_rows)
+                while held := list(itertools.islice(found, 1000)):
+                    have = [None if h is None else list(h.items()) for *_, h in held]
+                    columns = [pa.array([path] * len(held)), pa.array([n for n, *_ in held], pa.int64()), pa.array([raw for _, raw, _ in held]), pa.array(have, pa.map_(pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["_file", "_row", "raw", "have"])
+
+    return files.select("path", "content").mapInArrow(run, ROWS)
 
 
-def shaped(df: DataFrame) -> Column:
-    """The parsed record of a CSV row."""
-    have = by_headers(df)
-    given = lambda f: blank_to_null(have.get(f, null()))
-    text = lambda f: blank_to_null(normalize_whitespace(have.get(f, null())))
+def shaped(have: Column) -> Column:
+    """The parsed record of a row's texts by field; one without any has quality 0."""
+    given = lambda f: blank_to_null(have[f])
+    text = lambda f: blank_to_null(normalize_whitespace(have[f]))
     emails = F.filter(F.transform(split_multivalue(given("emails")), normalize_email), lambda e: e.isNotNull())
     phones = F.filter(F.transform(split_multivalue(given("phones")), normalize_phone), lambda p: p.isNotNull())
     headline = normalize_whitespace(F.coalesce(given("headline"), given("title"), given("recruiter_notes")))
@@ -48,7 +89,7 @@ def shaped(df: DataFrame) -> Column:
     seen = F.filter(F.array(*(piece(f, v, "csv", "header") for f, v in told)), lambda e: e["original"].isNotNull())
     evidence = F.concat(seen, F.transform(emails, lambda e: piece("emails", e, "csv", "header")), F.transform(phones, lambda p: piece("phones", p, "csv", "header")))
     return record(
-        external_id=stable_id(text("full_name"), F.get(emails, 0), F.col("record_id")), source=F.lit(SOURCE), record_id=F.col("record_id"), source_file=F.lit(SOURCE), quality=F.lit(QUALITY), full_name=text("full_name"), headline=headline,
+        external_id=stable_id(text("full_name"), F.get(emails, 0), F.col("record_id")), source=F.lit(SOURCE), record_id=F.col("record_id"), source_file=F.lit(SOURCE), quality=F.when(have.isNull(), 0.0).otherwise(QUALITY), full_name=text("full_name"), headline=headline,
         location=F.struct(raw.alias("raw"), text("city").alias("city"), text("state").alias("region"), text("country").alias("country"), null().alias("country_code")),
         links=F.struct(normalize_url(given("linkedin")).alias("linkedin"), normalize_url(given("github")).alias("github"), normalize_url(F.coalesce(given("portfolio"), given("website"))).alias("portfolio"), no_ids().alias("other")),
         emails=email_items(emails), phones=phone_items(phones), skills=skill_items(split_multivalue(given("skills")), SOURCE), evidence=evidence,
@@ -59,14 +100,6 @@ def shaped(df: DataFrame) -> Column:
 
 @register(SOURCE)
 def read_csv(spark: SparkSession, path: str, all_rows: bool = False, first_ord: int = 0) -> DataFrame:
-    """Fragments of the CSV files at ``path``, in order of file name and row; files share one header."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False)
-    names = df.columns
-    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    df = df.withColumn("_row", F.row_number().over(Window.partitionBy("_file").orderBy("_at")))
-    if not all_rows:
-        df = df.filter("_row = 1")
-    df = df.withColumn("raw", F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)))).withColumn("record_id", F.substring(F.sha2("raw", 256), 1, 12))
-    order = df.groupBy("_file").agg(F.max("_row").alias("n")).withColumn("_first", F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    df = df.withColumn("parsed", shaped(df.select(*names, "record_id"))).join(order, "_file")
-    return fragments_of(df.withColumn("frag_ord", (F.col("_first") + F.col("_row") - 1 + first_ord).cast("int")))
+    """Fragments of the CSV files at ``path``, in order of file name and row; each file has its own header, in UTF-8 or else Latin-1."""
+    found = rows(spark.read.format("binaryFile").load(path), all_rows).withColumn("record_id", F.substring(F.sha2("raw", 256), 1, 12))
+    return fragments_of(numbered(found, "_file", "_row", first=first_ord).withColumn("parsed", shaped(F.col("have"))))

@@ -1,5 +1,5 @@
-"""Records that keep arriving: Structured Streaming from raw files to fragments. Fragments carry no order across batches, so
-``frag_ord`` is the file's modification time and identity runs over the written table."""
+"""Records that keep arriving: Structured Streaming from raw files to fragments. Fragments carry no order across batches: in the written table
+``frag_ord`` is when a file was modified, which several may share, so the plan runs over ``written``, which numbers the table."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import ats_json, resume
 from ..sources.base import fragments_of, parsed_by
+from ..sources.ordered import numbered
 
 #: df with ``raw`` -> df with ``parsed``, by source.
 PARSERS = {
@@ -21,9 +22,16 @@ def fragments(spark: SparkSession, folder: str, source: str = "ats_json", files_
     raw = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
     raw = raw.select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("arrived"))
     fresh = raw.withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["raw"])
-    return fragments_of(PARSERS[source](fresh.withColumn("frag_ord", F.unix_timestamp("arrived").cast("int"))))
+    return fragments_of(PARSERS[source](fresh.withColumn("frag_ord", F.unix_micros("arrived"))))
 
 
 def write(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Appends what has arrived to a Parquet table, exactly once, and stops."""
     return stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(spark: SparkSession, table: str, first_ord: int = 0) -> DataFrame:
+    """The fragments of a written table, numbered by when they arrived."""
+    arrived = spark.read.parquet(table).withColumnRenamed("frag_ord", "_arrived")
+    rows = numbered(arrived, "_arrived", "frag_id", first=first_ord)
+    return rows.select("frag_ord", *(c for c in arrived.columns if c != "_arrived"))

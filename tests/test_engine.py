@@ -4,6 +4,7 @@ import io
 import json
 import random
 import zipfile
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def scan(keys):
 
 
 def clusters(spark, keys):
-    frags = spark.createDataFrame([(str(i), i) for i in range(len(keys))], "frag_id string, frag_ord int")
+    frags = spark.createDataFrame([(str(i), i) for i in range(len(keys))], "frag_id string, frag_ord bigint")
     rows = [(str(i), i, j, *k) for i, ks in enumerate(keys) for j, k in enumerate(ks)]
     out = identity.greedy_clusters(frags, spark.createDataFrame(rows, identity.KEYS).repartition(7), Tables(spark, "t")).collect()
     return [r["cluster_ord"] for r in sorted(out, key=lambda r: r["frag_ord"])], {r["cluster_ord"]: (r["key_used"], r["confidence"]) for r in out}
@@ -173,6 +174,102 @@ def test_whole_plan(result):
     assert result.fields.count() == 10 and result.summary.first()["candidates"] == 1
 
 
+def test_decisions(result):
+    """One decision a field, with the reasons of each; lists count as sure, a value that nobody gives does not."""
+    made = {r["field"]: r for r in result.decisions.collect()}
+    assert set(made) == set(fusion.STRATEGIES)
+    assert made["emails"]["reason"] == "strong_cross_source_agreement" and made["emails"]["selected"] == ["ada@x.example.com", "ada@y.example.com"] and made["emails"]["rejected"] == []
+    assert made["skills"]["reason"] == "semantic_alias_match" and made["skills"]["strategy"] == "semantic_union" and made["experience"]["strategy"] == "chronological_merge"
+    assert made["experience"]["competing"][1] == "Northwind Labs|Software Engineer|2019-03-01|None" and made["experience"]["reason"] == "high_source_reliability"
+    assert made["years_experience"]["competing"] == [] and made["years_experience"]["confidence"] == 0.0 and made["years_experience"]["reason"] == "high_source_reliability"
+    assert made["headline"]["confidence"] == 1.0 and made["headline"]["reason"] == "high_source_reliability" and len(made["headline"]["competing"]) == 3
+    assert made["location"]["selected"][:2] == ["Lyon, France", "Lyon"] and made["location"]["reason"] == "strong_cross_source_agreement"
+    trail = result.provenance.filter("method = 'merge'").collect()
+    assert {r["field"] for r in trail} == set(made)
+
+
+def test_skills_from_evidence(spark):
+    """Evidence of skills is read again, parted by commas; lists count only where no evidence tells."""
+    csv = [(0, "full_name,email,skills\nAda Quill,a@x.example.com,\"python3, Git;zz\"\n")]
+    made = recruiter_csv.rows(spark.createDataFrame([("f", bytearray(t, "utf-8")) for _, t in csv], "path string, content binary"), False).withColumns({"record_id": F.lit("r"), "frag_ord": F.lit(0).cast("long")})
+    frags = base.fragments_of(made.withColumn("parsed", recruiter_csv.shaped(F.col("have"))))
+    assert [r["item"]["name"] for r in pipeline.told_skills(frags).orderBy("ord").collect()] == ["python3", "Git;zz"]
+    none = frags.withColumn("evidence", F.expr("filter(evidence, e -> e.field <> 'skills')"))
+    assert [r["item"]["name"] for r in pipeline.told_skills(none).orderBy("ord").collect()] == ["python3", "Git", "zz"]
+
+
+def test_settings(spark, fragments, result, tmp_path):
+    """Weights, reliabilities and policies of files change scores and strategies; missing files change nothing."""
+    from entityfusion.settings import DEFAULT, load_settings
+
+    assert load_settings(str(tmp_path)) == DEFAULT
+    (tmp_path / "fusion.yml").write_text("merge_policies:\n  emails: pile\nidentity_resolution:\n  case_insensitive: false\n")
+    (tmp_path / "confidence.yml").write_text("score_components:\n  source_reliability_weight: 0.9\ncategory_weights: {}\ncaps:\n  single_source_max: 0.5\n")
+    (tmp_path / "source_reliability.yml").write_text("reliability:\n  recruiter_csv: 0.1\n")
+    own = load_settings(str(tmp_path))
+    assert own.reliability == {"recruiter_csv": 0.1} and own.overrides == DEFAULT.overrides and own.weights["reliability"] == 0.9 and own.weights["missing"] == 0.1 and not own.case_insensitive
+    again = pipeline.run(fragments, dictionaries.terms(spark), settings=own)
+    assert {r["strategy"] for r in again.decisions.filter("field = 'emails'").collect()} == {"pile"}
+    assert again.canonical.first()["overall_confidence"] != result.canonical.first()["overall_confidence"]
+    (tmp_path / "fusion.yml").write_text("- no mapping\n")
+    with pytest.raises(ValueError):
+        load_settings(str(tmp_path))
+
+
+def test_without_category_weights(spark):
+    from entityfusion.settings import Settings
+
+    df = spark.createDataFrame([(1, "emails", 0.5, 3, 0.0), (1, "skills", 0.9, 0, 0.0), (1, "headline", 0.1, 1, 0.0)], "cluster int, field string, score double, source_count int, conflict double")
+    overall = lambda s: confidence.overall_confidence(df, settings=s).first()["overall"]
+    assert overall(Settings(category_weights={})) == pytest.approx((0.5 * 3 + 0.9 + 0.1) / 5)
+    assert overall(Settings(category_weights={"other": 1.0})) == pytest.approx(0.5) and overall(Settings()) == pytest.approx((0.5 * 0.3 + 0.9 * 0.2 + 0.1 * 0.05) / 0.55)
+
+
+def test_records_need_ids(spark):
+    df = spark.createDataFrame([("a",), (None,)], "candidate_id string")
+    assert validation.finalized(df.limit(1)).count() == 1
+    with pytest.raises(Exception, match="without candidate_id"):
+        validation.finalized(df).collect()
+
+
+def test_csv_files_differ(spark, tmp_path):
+    """Headers of each file's own, Latin-1 where it is no UTF-8, no rows, quoted line breaks."""
+    (tmp_path / "a.csv").write_bytes("Name,MAIL,x\nJos\xe9 Quill,j@x.example.com,1\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_text("email,full_name,candidate_name\nb@x.example.com,Old,\"Ben\nMoss\"\nc@x.example.com,Cy,Cy Lo\n")
+    (tmp_path / "c.csv").write_text("name,email\n")
+    got = [(r["frag_ord"], r["full_name"], [e["value"] for e in r["emails"]], r["quality"]) for r in recruiter_csv.read_csv(spark, str(tmp_path), first_ord=5).orderBy("frag_ord").collect()]
+    assert got == [(5, "José Quill", ["j@x.example.com"], 0.92), (6, "Ben Moss", ["b@x.example.com"], 0.92), (7, None, [], 0.0)]
+    assert [r["full_name"] for r in recruiter_csv.read_csv(spark, str(tmp_path), all_rows=True).orderBy("frag_ord").collect()] == ["José Quill", "Ben Moss", "Cy Lo", None]
+
+
+def test_fold_against_whole_scan():
+    """Looking only at items that share a key finds what looking at all does."""
+    rng = random.Random(9)
+
+    def item():
+        year = rng.choice([None, 2001, 2005, 2010])
+        company, title = rng.choice(["a", "ab", "abc", "b"]), rng.choice(["t", "u", "tu"])
+        canonical = rng.choice([None, None, "a", "b"])
+        return {
+            "company": company, "title": title, "company_canonical": canonical, "title_canonical": rng.choice([None, "t"]), "start": year and date(year, 1, 1), "end": year and rng.choice([None, date(year + 2, 1, 1)]), "summary": rng.choice([None, "x y", "x z w"]),
+            "location": None, "confidence": rng.random(), "evidence_ids": [], "company_key": company, "company_canonical_key": canonical,
+        }
+
+    def plain(items):
+        merged = []
+        for x in items:
+            at = next((m for m in merged if fusion.same_experience(m, x)), None)
+            if at is None:
+                merged.append(fusion.first_experience(dict(x)))
+            else:
+                fusion.add_experience(at, x)
+        return sorted(merged, key=fusion.experience_order)
+
+    for _ in range(300):
+        items = [item() for _ in range(rng.randint(0, 12))]
+        assert fusion.fold_items(items, fusion.EXPERIENCE) == plain(items)
+
+
 def test_order_of_partitions_does_not_matter(spark, fragments, result):
     again = pipeline.run(fragments.repartition(5, F.rand(3)), dictionaries.terms(spark)).canonical.first()
     assert again == result.canonical.first()
