@@ -43,29 +43,54 @@ def alias_join(values: DataFrame, terms: DataFrame, aliases: bool = True, key: s
     return values.join(known, (F.col("domain") == F.col("_domain")) & (F.col(key) == F.col("_key")), "left").drop("_key", "_domain")
 
 
+FUZZY = "canonical: string, category: string, parent_category: string, term: string, score: double"
+#: Terms that a task compares a value with at once; more are dealt out in blocks.
+BLOCK_TERMS = BROADCAST_TERMS
+
+
+def best_term(value: str, terms: list[dict], threshold: float) -> dict | None:
+    """The best of terms in dictionary order, the first of equals, with its score and place; None below the threshold."""
+    score, i = max(((weighted_ratio(value, t["term"]), -i) for i, t in enumerate(terms)), default=(-1.0, 0))
+    return {**terms[-i], "score": score} if score >= max(threshold, 0.0) else None
+
+
 def fuzzy_best(values: DataFrame, terms: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """domain, value, fuzzy (canonical, category, parent_category, term, score): the best term of the domain in dictionary order, first best wins.
-
-    values: domain, value, distinct. Terms come as one small list per domain: they are collected if there are at most
-    BROADCAST_TERMS, which bounds what each task holds; a larger dictionary raises an error."""
-    rows = terms.orderBy("domain", "entry_ord", "is_alias", "term_ord").select("domain", "term", "canonical", "category", "parent_category").limit(BROADCAST_TERMS + 1).collect()
-    if len(rows) > BROADCAST_TERMS:
-        raise ValueError("too large a dictionary for fuzzy matching")
-    by_domain: dict[str, list[tuple]] = {}
-    for r in rows:
-        by_domain.setdefault(r["domain"], []).append(tuple(r)[1:])
-    kind = pa.struct([(n, pa.string()) for n in ("canonical", "category", "parent_category", "term")] + [("score", pa.float64())])
+    """domain, value, fuzzy (canonical, category, parent_category, term, score): the best term of the domain in dictionary order, first best wins;
+    null where none reaches the threshold. values: domain, value, distinct.
+
+    Values meet their domain's terms in blocks of about BLOCK_TERMS terms: a block's terms come first and are held, values stream by."""
+    counted = terms.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TERMS).alias("blocks"))
+    text = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    place = F.struct("entry_ord", "is_alias", "term_ord")
+    shown = ("canonical", "category", "parent_category")
+    held = terms.join(F.broadcast(counted), "domain").select("domain", F.pmod(F.xxhash64("term"), "blocks").alias("block"), F.lit(0).alias("kind"), place.alias("place"), "term", *shown, *text("value"))
+    asked = values.select("domain", "value").join(F.broadcast(counted), "domain").select("domain", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "value")
+    # a value may be asked anywhere; several tasks share a block by holding its terms each
+    shares = F.lit(max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, counted.count())))
+    asked = asked.select("domain", "block", F.pmod(F.xxhash64("value"), shares).alias("share"), F.lit(1).alias("kind"), F.lit(None).cast(held.schema["place"].dataType).alias("place"), *text("term", *shown), "value")
+    held = held.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    rows = held.unionByName(asked).repartition("domain", "block", "share").sortWithinPartitions("domain", "block", "share", "kind", "place")
+    kind = pa.struct([(n, pa.string()) for n in (*shown, "term")] + [("score", pa.float64())])
+    where = pa.struct([("entry_ord", pa.int32()), ("is_alias", pa.bool_()), ("term_ord", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, []
         for b in batches:
             out = []
-            for domain, value in zip(b.column("domain").to_pylist(), b.column("value").to_pylist(), strict=True):
-                best = max(((weighted_ratio(value or "", t[0]), -i, t) for i, t in enumerate(by_domain.get(domain, ()))), default=None)
-                out.append(None if best is None or best[0] < threshold else {"canonical": best[2][1], "category": best[2][2], "parent_category": best[2][3], "term": best[2][0], "score": best[0]})
-            yield pa.RecordBatch.from_arrays([b.column("domain"), b.column("value"), pa.array(out, kind)], ["domain", "value", "fuzzy"])
-
-    fields = "canonical: string, category: string, parent_category: string, term: string, score: double"
-    return values.select("domain", "value").mapInArrow(run, f"domain string, value string, fuzzy struct<{fields}>")
+            for r in b.to_pylist():
+                if (r["domain"], r["block"], r["share"]) != now:
+                    now, block = (r["domain"], r["block"], r["share"]), []
+                if r["kind"] == 0:
+                    block.append({n: r[n] for n in (*shown, "term", "place")})
+                elif (best := best_term(r["value"] or "", block, threshold)) is not None:
+                    out.append((r["domain"], r["value"], best.pop("place"), best))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), where, kind), strict=True)], ["domain", "value", "place", "fuzzy"])
+
+    found = rows.mapInArrow(run, f"domain string, value string, place struct<entry_ord: int, is_alias: boolean, term_ord: int>, fuzzy struct<{FUZZY}>")
+    first = F.struct(F.col("fuzzy.score"), -F.col("place.entry_ord"), ~F.col("place.is_alias"), -F.col("place.term_ord"))
+    best = found.groupBy("domain", "value").agg(F.max_by("fuzzy", first).alias("fuzzy"))
+    return values.select("domain", "value").join(best, ["domain", "value"], "left")
 
 
 def resolve(values: DataFrame, terms: DataFrame, threshold: float = 90.0, category_stages: bool = False) -> DataFrame:

@@ -1,23 +1,20 @@
 """Entity resolution by prioritised identity keys.
 
 Greedy clusters follow input order: a fragment joins the cluster of its first known key, else founds one; then all of its keys
-point at that cluster, whatever they pointed at before; clusters never merge. Fragments of different components of the graph of
-fragments and keys can't affect each other, so components (found by label propagation) are the unit of work, and within
-one the scan streams in input order, holding its keys only. ``connected`` takes the components themselves.
+point at that cluster, whatever they pointed at before; clusters never merge. So a key points at the cluster of the latest earlier
+fragment that has it, and a fragment follows that of its first key which any earlier one has: parents in a forest, found
+by one sort of the keys and led to their roots by pointer jumping. ``connected`` takes the components of fragments and keys instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normalize_whitespace
 from ..functions.text import text_key as lower_key
 from ..functions.values import normalize_email, normalize_url
-from ..plans.tables import Tables, components
+from ..plans.tables import Tables, components, roots
 
 #: Keys in order of priority, and the confidence of a match by each.
 CONFIDENCE = {"linkedin_url": 1.0, "email": 0.98, "phone": 0.96, "github_url": 0.94, "full_name": 0.90, "full_name_country": 0.88, "full_name_city": 0.86}
@@ -56,46 +53,28 @@ def connected(fragments: DataFrame, keys: DataFrame, tables: Tables) -> DataFram
     return components(fragments.select(F.col("frag_ord").alias("node")), edges, tables).select(F.col("node").alias("frag_ord"), F.col("label").alias("component"))
 
 
-class GreedyScan:
-    """The scan of one component, fragment by fragment; knows the cluster of each key."""
-
-    def __init__(self) -> None:
-        self.at: dict[tuple[str, str], int] = {}
-        self.best: dict[int, int] = {}
-
-    def take(self, frag_ord: int, keys: list[tuple[int, str, str]]) -> tuple[int, int | None]:
-        """Cluster (its first fragment's frag_ord) and the priority of the key that decided; keys: (priority, key, value)."""
-        for priority, key, value in keys:
-            if (found := self.at.get((key, value))) is not None:
-                break
-        else:
-            found, priority = frag_ord, None
-        for _, key, value in keys:
-            self.at[key, value] = found
-        return found, priority
-
+def earlier(keys: DataFrame, tables: Tables) -> DataFrame:
+    """frag_ord, key_ord, priority, parent: for each key of a fragment the latest earlier fragment that has it too, if any does.
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (component, frag_ord, keys), sorted, become (cluster, frag_ord, priority)."""
-    component, scan = None, GreedyScan()
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if row["component"] != component:
-                component, scan = row["component"], GreedyScan()
-            keys = [(k["priority"], k["key"], k["value"]) for k in row["keys"] or []]
-            out.append((*scan.take(row["frag_ord"], keys), row["frag_ord"]))
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["cluster", "priority", "frag_ord"])
+    Keys are sorted by ranges, so a key of many fragments lies over several; the last row of each range is known to the next."""
+    once = keys.groupBy("key", "value", "frag_ord").agg(F.min("key_ord").alias("key_ord"), F.min("priority").alias("priority"))
+    order = ("key", "value", "frag_ord")
+    rows = tables.table(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "keys")
+    own = F.struct(*order)
+    last = rows.groupBy("part").agg(F.max(own).alias("last"))  # one row a range
+    last = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
+    met = rows.join(F.broadcast(last), "part").withColumn("prev", F.coalesce(F.lag(own).over(Window.partitionBy("part").orderBy(*order)), "before"))
+    same = (F.col("prev.key") == F.col("key")) & (F.col("prev.value") == F.col("value"))
+    return met.filter(same).select("frag_ord", "key_ord", "priority", F.col("prev.frag_ord").alias("parent"))
 
 
 def greedy_clusters(fragments: DataFrame, keys: DataFrame, tables: Tables) -> DataFrame:
     """cluster_ord, frag_id, frag_ord, key_used, confidence, reason, evidence; the key and confidence are the best of the cluster's matches."""
-    blocks = connected(fragments, keys, tables)
-    own = keys.groupBy("frag_ord").agg(F.sort_array(F.collect_list(F.struct("key_ord", "priority", "key", "value"))).alias("keys"))
-    rows = fragments.select("frag_id", "frag_ord").join(blocks, "frag_ord").join(own, "frag_ord", "left")
-    sorted_ = rows.select("component", "frag_ord", "keys").repartition("component").sortWithinPartitions("component", "frag_ord")
-    found = tables.table(sorted_.mapInArrow(_scan, "cluster bigint, priority int, frag_ord bigint"))
+    first = F.min_by(F.struct("priority", "parent"), "key_ord")
+    matches = tables.table(earlier(keys, tables).groupBy("frag_ord").agg(first.alias("m")).select("frag_ord", "m.priority", "m.parent"), "matches")
+    above = roots(tables.table(matches.select(F.col("frag_ord").alias("node"), F.col("parent").alias("up")), "parents"), tables)
+    led = matches.join(above, F.col("frag_ord") == F.col("node")).select("frag_ord", "priority", F.col("up").alias("cluster"))
+    found = tables.table(fragments.select("frag_ord").join(led, "frag_ord", "left").select(F.coalesce("cluster", "frag_ord").alias("cluster"), "priority", "frag_ord"), "clusters")
     names = list(CONFIDENCE)
     used = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, k)))
     sure = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, CONFIDENCE[k])))

@@ -74,29 +74,35 @@ def _renamed(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return met.withColumn(column, F.coalesce("_up", column)).drop("_node", "_up")
 
 
+def roots(parents: DataFrame, tables: Tables) -> DataFrame:
+    """node, up: the root above each node of a forest. parents: a written table of node and up, where roots have no row.
+
+    Each round a node takes its parent's parent, so the depth halves; nodes that are below a root already are not joined again."""
+    now = tables.table(parents.select("node", "up", F.lit(True).alias("moved")), "jumps")
+    small = few(parents, PARENTS)
+    while not now.filter("moved").isEmpty():
+        above = now.select("node", "up")
+        moving = _renamed(now.filter("moved").withColumn("was", F.col("up")), "up", F.broadcast(above) if small else above)
+        moving = moving.select("node", "up", (F.col("up") != F.col("was")).alias("moved"))
+        new = tables.table(moving.unionByName(now.filter("not moved")), "jumps")
+        tables.drop(now)
+        now = new
+    return now.select("node", "up")
+
+
 def components(nodes: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
     """node, label: the least node reachable from each. nodes: node; edges: a, b, of nodes, in either direction.
 
     Rounds of contraction. Each node with a lesser neighbour takes the least one as its parent: an aggregate that combines before
-    the shuffle, so a hub is no hot key. Parents jump to their own parents until all are roots. Then edges are those
-    between roots; as every node but local minima goes, the graph shrinks by a factor each round, and a star goes at once. A component's least
-    node never gets a parent, so it is the label.
+    the shuffle, so a hub is no hot key. Parents lead to roots. Then edges are those between roots; as every node but local
+    minima goes, the graph shrinks by a factor each round, and a star goes at once. A component's least node never gets a parent,
+    so it is the label.
     """
     left = tables.table(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     found = None
     while not left.isEmpty():
-        up = tables.table(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "parents")
-        small = few(up, PARENTS)
-        while True:
-            parents = F.broadcast(up) if small else up
-            before = up.withColumn("was", F.col("up"))
-            new = tables.table(_renamed(before, "up", parents).select("node", "up", (F.col("up") != F.col("was")).alias("moved")), "jumps")
-            tables.drop(up)
-            up = new
-            if up.filter("moved").isEmpty():
-                break
-        up = up.select("node", "up")
-        parents = F.broadcast(up) if small else up
+        up = roots(tables.table(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "parents"), tables)
+        parents = F.broadcast(up) if few(up, PARENTS) else up
         found = up if found is None else tables.table(_renamed(found, "up", parents).unionByName(up), "found")
         rest = _renamed(_renamed(left, "a", parents), "b", parents).filter("a <> b")
         rest = tables.table(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")

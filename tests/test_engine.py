@@ -112,9 +112,13 @@ def test_later_alias_wins(spark):
 
 
 def scan(keys):
-    """The whole input in one scan."""
-    s = identity.GreedyScan()
-    return [s.take(i, k)[0] for i, k in enumerate(keys)]
+    """The whole input in one scan: the cluster of each key as it goes."""
+    at, out = {}, []
+    for i, own in enumerate(keys):
+        found = next((at[k[1:]] for k in own if k[1:] in at), i)
+        out.append(found)
+        at.update({k[1:]: found for k in own})
+    return out
 
 
 def clusters(spark, keys):
@@ -136,6 +140,24 @@ def test_greedy_against_whole_scan(spark):
     assert clusters(spark, keys)[0] == scan(keys)
 
 
+def test_greedy_hot_key(spark):
+    """A key that half of the fragments share, over several ranges, and keys that come twice in a fragment."""
+    rng = random.Random(8)
+    keys = [[(1, "email", "hot")] * rng.randint(0, 2) * (rng.random() < 0.5) + [(2, "phone", str(rng.randint(0, 400)))] for _ in range(1500)]
+    assert clusters(spark, keys)[0] == scan(keys)
+
+
+def test_fuzzy_in_blocks(spark, monkeypatch):
+    """Blocks of terms find what one list does, ties in dictionary order."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(3, 6)))
+    terms = spark.createDataFrame([(rng.choice("xy"), i, j, t, t, j > 0, f"c{i}", "k", None, [], {}) for i in range(30) for j in range(3) for t in [word()]], dictionary.TERMS)
+    values = spark.createDataFrame([(d, word()) for d in "xyz" for _ in range(40)], "domain string, value string").distinct()
+    whole = {tuple(r) for r in dictionary.fuzzy_best(values, terms, 60).collect()}
+    monkeypatch.setattr(dictionary, "BLOCK_TERMS", 4)
+    assert {tuple(r) for r in dictionary.fuzzy_best(values, terms, 60).collect()} == whole and any(f is not None for *_, f in whole)
+
+
 def test_links(spark):
     rows = [(1, 0, "linkedin", "linkedin.com/a"), (1, 1, "linkedin", "linkedin.com/b"), (1, 2, "other", "linkedin.com/b"), (1, 3, "other", "x.example.com"), (1, 4, "other", "www.x.example.com/"), (1, 5, "github", None)]
     got = fusion.merge_links(spark.createDataFrame(rows, "cluster int, ord int, slot string, url string")).first()
