@@ -123,7 +123,7 @@ MERGED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-
 
 @query(f"select doc_id, md5(trim(regexp_replace({MERGED.format('text')}, '{WS}+', ' ', 'g'))) as text_md5 from documents")
 def merged_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_merged_words(F.col("text"), compose=False)).alias("text_md5"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_merged_words(F.col("text"))).alias("text_md5"))
 
 
 COMPANY = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Za-z0-9])[-–—]([A-Za-z0-9])', '\\1 \\2', 'g'), '\\s{{2,}}', ' ', 'g')))"
@@ -243,17 +243,23 @@ def resume_schools(spark, sf):
     return resume_lines(spark, sf).select("id", F.posexplode(schools).alias("place", "school")).select("id", "place", *(f"school.{c}" for c in ("degree", "field", "institution", "start_year", "end_year")))
 
 
-@query("select event_id, json_extract(props, '$.k')::int as k from events")
+@query("select event_id, case event_id % 4 when 0 then null when 1 then event_id when 2 then 7 else json_extract(props, '$.k')::bigint end as k from events")
 def json_first_match(spark, sf):
+    """A null ends the search in its object, a list's items and objects are searched in order, keys count however they are written."""
     from .sources.ats_json import first_match
 
-    @F.pandas_udf(T.IntegerType())
+    @F.pandas_udf(T.LongType())
     def find(trees: pd.Series) -> pd.Series:
         import json
 
-        return trees.map(lambda t: first_match(json.loads(t), frozenset(["k"])))
+        return trees.map(lambda t: first_match(json.loads(t), frozenset(["k"]))).astype("Int64")
 
-    return table(spark, sf, "events").select("event_id", find("props").alias("k"))
+    i = F.col("event_id").cast("string")
+    of = F.concat
+    tree = F.when(F.col("event_id") % 4 == 0, of(F.lit('{"k": null, "b": {"k": '), i, F.lit("}}")))
+    tree = tree.when(F.col("event_id") % 4 == 1, of(F.lit('{"a": {"x": 1, "k": null, "y": {"k": 5}}, "b": [3, {"K_ ": '), i, F.lit("}]}")))
+    tree = tree.when(F.col("event_id") % 4 == 2, of(F.lit('[{"z": [{"_k": 7}]}, {"k": '), i, F.lit("}]"))).otherwise(F.col("props"))
+    return table(spark, sf, "events").select("event_id", find(tree).alias("k"))
 
 
 # dictionaries
@@ -304,6 +310,16 @@ def dict_categories(spark, sf):
     return dictionary.categories(terms(spark), "types")
 
 
+@query("select n_name as value, case when n_nationkey % 3 < 2 then 'Land ' || n_nationkey end as country, case n_nationkey % 3 when 0 then 'L' || n_nationkey when 1 then 'Land ' || n_nationkey end as country_code from nation")
+def resolved_countries(spark, sf):
+    """Nations as aliases of countries, some with a code and some unknown."""
+    n = table(spark, sf, "nation").withColumn("name", F.concat(F.lit("Land "), F.col("n_nationkey")))
+    null = F.lit(None).cast("string")
+    code = F.when(F.col("n_nationkey") % 3 == 0, F.create_map(F.lit("iso2"), F.concat(F.lit("L"), F.col("n_nationkey")))).otherwise(F.create_map().cast("map<string,string>"))
+    known = lambda term, i: n.filter("n_nationkey % 3 < 2").select(F.lit("countries").alias("domain"), F.col("n_nationkey").alias("entry_ord"), F.lit(i).alias("term_ord"), term.alias("term"), F.lower(term).alias("term_key"), F.lit(i > 0).alias("is_alias"), F.col("name").alias("canonical"), F.lit("c").alias("category"), null.alias("parent_category"), F.array().cast("array<string>").alias("related_to"), code.alias("metadata"))
+    return dictionary.resolve_country(n.select(F.col("n_name").alias("value")), known(F.col("name"), 0).union(known(F.col("n_name"), 1)))
+
+
 # identity
 
 KEY_SQL = """select event_id as frag_ord, user_id || '@' || strftime(ts, '%Y-%m-%d') as v from events
@@ -329,12 +345,42 @@ def identity_connected(spark, sf):
     return identity.connected(fragments, keys, Tables(spark, "connected"))
 
 
-@query()
+#: Clusters of a table k (f, o, p, v): each fragment follows the latest earlier one that has its first known key.
+FOREST = """d as (select f, v, min(o) as o, min(p) as p from k group by f, v), e as (select f, o, p, lag(f) over (partition by v order by f) as up from d),
+m as (select f, arg_min(p, o) as p, arg_min(up, o) as up from e where up is not null group by f),
+led as (select f, f as root from nodes where f not in (select f from m) union all select m.f, led.root from m join led on led.f = m.up),
+best as (select root, min(p) as p from led left join m using (f) group by root)"""
+
+
+@query(
+    f"""with recursive nodes as (select event_id as f from events), k as (select event_id as f, 0 as o, 1 as p, user_id || '@' || strftime(ts, '%Y-%m-%d') as v from events
+  union all select event_id, 1, 2, 'k' || (json_extract(props, '$.k')::int) || '@' || strftime(ts, '%Y-%m-%d %H') from events where event_id % 7 = 0), {FOREST}
+select root as cluster_ord, f as frag_ord, case p when 1 then 'email' when 2 then 'phone' else '{identity.NEW}' end as key_used, case p when 1 then 0.98::double when 2 then 0.96 else 0.0 end as confidence from led join best using (root)"""
+)
 def identity_greedy(spark, sf):
     fragments, keys = event_keys(spark, sf)
     return identity.greedy_clusters(fragments, keys, Tables(spark, "greedy")).select("cluster_ord", "frag_ord", "key_used", "confidence")
 
 
+@query(
+    """with c as (select *, lower(c_name) as n from customer join nation on n_nationkey = c_nationkey),
+k as (select c_custkey, 0 as priority, 'linkedin_url' as key, 'https://linkedin.com/in/' || c_custkey as value from c where c_custkey % 2 = 0
+  union all select c_custkey, 1, 'email', n || '@x.example.com' from c union all select c_custkey, 2, 'phone', '+1' || c_custkey from c where c_custkey % 3 = 0
+  union all select c_custkey, 4, 'full_name', n from c union all select c_custkey, 5, 'full_name_country', n || '|' || lower(n_name) from c union all select c_custkey, 6, 'full_name_city', n || '|' || lower(c_mktsegment) from c where c_custkey % 5 = 0)
+select c_custkey as frag_ord, (row_number() over (partition by c_custkey order by priority) - 1)::int as key_ord, priority, key, value from k"""
+)
+def identity_keys(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k, null = F.col("c_custkey"), F.lit(None).cast("string")
+    every = lambda n, v: F.when(k % n == 0, v)
+    rows = c.select(
+        k.cast("string").alias("frag_id"), k.alias("frag_ord"), F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")).alias("full_name"), F.struct(every(2, F.concat(F.lit("www.LinkedIn.com/in/"), k, F.lit("/"))).alias("linkedin"), null.alias("github")).alias("links"),
+        F.array(F.struct(null.alias("normalized"), F.concat("c_name", F.lit("@X.example.com")).alias("value"))).alias("emails"), F.when(k % 3 == 0, F.array(F.struct(null.alias("e164"), F.concat(F.lit("+1 ("), k, F.lit(")")).alias("raw")))).alias("phones"),
+        F.struct(every(5, F.col("c_mktsegment")).alias("city"), F.col("n_name").alias("country"), null.alias("country_code")).alias("location"),
+    )
+    return identity.identity_keys(rows).drop("frag_id")
+
+
 # fusion
 
 
@@ -422,14 +468,36 @@ def period_overlap(spark, sf):
 
 @query()
 def folded_experience(spark, sf):
+    made = fusion.fold_experience(order_jobs(spark, sf, F.col("o_orderstatus")))
+    return made.select("cluster", F.explode("experience").alias("x")).select("cluster", "x.company", "x.title", "x.start", "x.end")
+
+
+def order_jobs(spark, sf, title: Column) -> DataFrame:
+    """cluster, ord, item: customers' orders as jobs, by priority as employer."""
     o = table(spark, sf, "orders")
     null = F.lit(None).cast("string")
     job = F.struct(
-        F.col("o_orderpriority").alias("company"), null.alias("company_canonical"), F.col("o_orderstatus").alias("title"), null.alias("title_canonical"), F.col("o_orderdate").cast("date").alias("start"), F.date_add("o_orderdate", 30).alias("end"), null.alias("summary"),
-        F.lit(None).cast("struct<raw:string,city:string,region:string,country:string,country_code:string>").alias("location"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("evidence_ids"), F.lower("o_orderpriority").alias("company_key"), null.alias("company_canonical_key"),
+        F.col("o_orderpriority").alias("company"), null.alias("company_canonical"), title.alias("title"), null.alias("title_canonical"), F.col("o_orderdate").cast("date").alias("start"), F.date_add("o_orderdate", 30).alias("end"), null.alias("summary"),
+        F.lit(None).cast("struct<raw:string,city:string,region:string,country:string,country_code:string>").alias("location"), F.lit(1.0).alias("confidence"), F.array(F.col("o_orderkey").cast("string")).alias("evidence_ids"), F.lower("o_orderpriority").alias("company_key"), null.alias("company_canonical_key"),
     )
-    made = fusion.fold_experience(o.select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("ord"), job.alias("item")))
-    return made.select("cluster", F.explode("experience").alias("x")).select("cluster", "x.company", "x.title", "x.start", "x.end")
+    return o.select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("ord"), job.alias("item"))
+
+
+@query("select o_custkey as cluster, o_orderpriority as company, min(o_orderdate)::date as start, max(o_orderdate)::date + 30 as end, string_agg(o_orderkey::varchar, ' ' order by o_orderkey) as evidence from orders group by all")
+def folded_employers(spark, sf):
+    """With titles alike, an employer's jobs are one."""
+    made = fusion.fold_experience(order_jobs(spark, sf, F.lit("Clerk")))
+    return made.select("cluster", F.explode("experience").alias("x")).select("cluster", "x.company", "x.start", "x.end", F.array_join("x.evidence_ids", " ").alias("evidence"))
+
+
+@query("select o_custkey as cluster, o_orderpriority as institution, min(year(o_orderdate))::int as start_year, max(year(o_orderdate))::int as end_year, max(len(o_orderstatus))::int as n from orders group by all")
+def folded_schools(spark, sf):
+    """With degrees alike, a school's years are one."""
+    null = F.lit(None).cast("string")
+    year = F.year("o_orderdate")
+    school = F.struct(F.col("o_orderpriority").alias("institution"), F.lit("BA").alias("degree"), null.alias("degree_canonical"), null.alias("field"), year.alias("start_year"), year.alias("end_year"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("evidence_ids"))
+    made = fusion.fold_education(table(spark, sf, "orders").select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("ord"), school.alias("item")))
+    return made.select("cluster", F.explode("education").alias("x")).select("cluster", "x.institution", "x.start_year", "x.end_year", F.lit(1).alias("n"))
 
 
 # evidence
@@ -510,6 +578,20 @@ def field_confidence(spark, sf):
     return fields_of(spark, sf).select("cluster", "field", "source_count", F.round("conflict", 9).alias("conflict"), F.round("score", 9).alias("score"))
 
 
+@query(
+    FIELD_SQL
+    + f""", own as (select cluster, field, count({OWN}) > 0 as own from src group by all), st as (select cluster, field, bool_or(k % 6 = 0) as alias, bool_or(k % 6 = {list(dictionary.STAGES).index("FUZZY_MATCH")}) as fuzzy from s group by all)
+select p.cluster, p.field, array_to_string(list_filter([case when r > 0.8 + 1e-9 then 'high_source_reliability' end, case when own then 'field_reliability_override' end, case when a >= 0.75 then 'strong_cross_source_agreement' else 'weak_cross_source_agreement' end,
+  case when q >= 0.8 then 'high_extraction_quality' end, case when alias then 'semantic_alias_match' end, case when fuzzy then 'semantic_fuzzy_match' end, case when conflict > 0 then 'unresolved_conflict' end, case when missing > 0 then 'missing_evidence' end], lambda x: x is not null), ' ') as reasons
+from parts p join own using (cluster, field) left join st using (cluster, field)"""
+)
+def reason_codes(spark, sf):
+    """Means that are the bound itself fall on either side of it by rounding, so its reason is left out there."""
+    near = F.abs(F.col("reliability") - 0.8) < 1e-9
+    codes = F.when(near, F.array_remove("reason_codes", "high_source_reliability")).otherwise(F.col("reason_codes"))
+    return fields_of(spark, sf).select("cluster", "field", F.array_join(codes, " ").alias("reasons"))
+
+
 CATEGORY = "case " + " ".join(f"when field in ({', '.join(f"'{f}'" for f in fs)}) then '{c}'" for c, fs in confidence.CATEGORIES.items()) + " end"
 CAT_SQL = FIELD_SQL + f", cats as (select cluster, {CATEGORY} as category, sum(score * greatest(n, 1)) / sum(greatest(n, 1)) as score from fields group by all)"
 
@@ -627,14 +709,28 @@ def document_fragments(spark, sf):
     return d.select(F.col("doc_id").cast("string").alias("frag_id"), F.col("doc_id").alias("frag_ord"), null.alias("full_name"), emails.alias("emails"), phones.alias("phones"), F.struct(null.alias("linkedin"), null.alias("github")).alias("links"), F.struct(null.alias("city"), null.alias("country"), null.alias("country_code")).alias("location"))
 
 
-@query()
+FOUND_SQL = """with recursive nodes as (select doc_id as f from documents), mail as (select doc_id as f, generate_subscripts(m, 1) as i, lower(unnest(m)) as v from (select doc_id, regexp_extract_all(text, '{email}') as m from documents)),
+raw as (select doc_id as f, generate_subscripts(m, 1) as i, unnest(m) as r from (select doc_id, regexp_extract_all(text, '\\+?\\d[\\d \\t\\n\\r\\f\\v().-]{{6,}}\\d') as m from documents)),
+parts as (select *, regexp_replace(replace(r, '(0)', ''), '[^0-9]', '', 'g') as d, regexp_replace(r, '[^0-9]', '', 'g') as plain from raw),
+coded as (select *, case when left(d, 1) in ({one}) then 1 when left(d, 2) in ({two}) then 2 else 3 end as c from parts),
+call as (select f, i, case when r like '+%' and length(d) between c + 2 and 15 and d not like '0%' then '+' || d else plain end as v from coded),
+k as (select f, i as o, 1 as p, v from mail union all select f, 1000000 + i, 2, v from call)""".format(email=vx.EMAIL, one=", ".join(f"'{c}'" for c in vx.CALLING_1), two=", ".join(f"'{c}'" for c in vx.CALLING_2))
+
+
+@query(
+    f"""{FOUND_SQL}, {FOREST}
+select root as cluster_ord, count(*) as fragments, case any_value(best.p) when 1 then 'email' when 2 then 'phone' else '{identity.NEW}' end as key_used, case any_value(best.p) when 1 then 0.98::double when 2 then 0.96 else 0.0 end as confidence,
+  coalesce((select string_agg(distinct v, ' ' order by v) from mail join led l using (f) where l.root = led.root), '') as emails, coalesce((select string_agg(distinct v, ' ' order by v) from call join led l using (f) where l.root = led.root), '') as phones
+from led join best using (root) group by root"""
+)
 def flagship(spark, sf):
     """Documents, their contacts, identity by contacts, and what each entity's contacts are."""
     tables = Tables(spark, "flagship")
     fragments = tables.table(document_fragments(spark, sf))
     clusters = identity.greedy_clusters(fragments, tables.table(identity.identity_keys(fragments)), tables)
     of = fragments.join(clusters.select("frag_id", "cluster_ord", "key_used", "confidence"), "frag_id")
-    return of.groupBy("cluster_ord").agg(F.count(F.lit(1)).alias("fragments"), F.min("key_used").alias("key_used"), F.max("confidence").alias("confidence"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("emails.normalized")))).alias("emails"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("phones.e164")))).alias("phones"))
+    shown = lambda c: F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))), " ")
+    return of.groupBy("cluster_ord").agg(F.count(F.lit(1)).alias("fragments"), F.min("key_used").alias("key_used"), F.max("confidence").alias("confidence"), shown("emails.normalized").alias("emails"), shown("phones.e164").alias("phones"))
 
 
 @query()
