@@ -13,8 +13,13 @@ def run_summary(records: DataFrame, validity: DataFrame) -> DataFrame:
 
 
 def field_means(fields: DataFrame) -> DataFrame:
-    """field, mean_score, count, scores: over all candidates, by field. Scores are those of a field's candidates, sorted."""
-    return fields.groupBy("field").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("score")).alias("scores")).orderBy("field")
+    """field, mean_score, count: over all candidates, by field."""
+    return fields.groupBy("field").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("count")).orderBy("field")
+
+
+def field_scores(fields: DataFrame, bins: int = 100) -> DataFrame:
+    """field, score, count: how often each score occurs, rounded to 1 / bins, so no field's scores are held together."""
+    return fields.groupBy("field", (F.round(F.col("score") * bins) / bins).alias("score")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def component_means(fields: DataFrame) -> DataFrame:

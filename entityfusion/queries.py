@@ -616,6 +616,11 @@ def ui_field_means(spark, sf):
     return report.field_means(fields_of(spark, sf)).select("field", F.round("mean_score", 9).alias("mean_score"), F.col("count").alias("n"))
 
 
+@query(FIELD_SQL + " select field, floor(score * 4 + 0.5) / 4 as score, count(*) as count from fields group by all")
+def ui_field_scores(spark, sf):
+    return report.field_scores(fields_of(spark, sf), 4)
+
+
 @query(FIELD_SQL + " select round(avg(q), 9) as quality, round(avg(c), 9) as certainty, round(avg(conflict), 9) as conflict from parts")
 def ui_component_means(spark, sf):
     means = report.component_means(fields_of(spark, sf))
