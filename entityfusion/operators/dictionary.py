@@ -63,8 +63,8 @@ def fuzzy_best(values: DataFrame, terms: DataFrame, threshold: float = 90.0) ->
     text = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     place = F.struct("entry_ord", "is_alias", "term_ord")
     shown = ("canonical", "category", "parent_category")
-    held = terms.join(F.broadcast(counted), "domain").select("domain", F.pmod(F.xxhash64("term"), "blocks").alias("block"), F.lit(0).alias("kind"), place.alias("place"), "term", *shown, *text("value"))
-    asked = values.select("domain", "value").join(F.broadcast(counted), "domain").select("domain", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "value")
+    held = terms.join(counted, "domain").select("domain", F.pmod(F.xxhash64("term"), "blocks").alias("block"), F.lit(0).alias("kind"), place.alias("place"), "term", *shown, *text("value"))
+    asked = values.select("domain", "value").join(counted, "domain").select("domain", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "value")
     # a value may be asked anywhere; several tasks share a block by holding its terms each
     shares = F.lit(max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, counted.count())))
     asked = asked.select("domain", "block", F.pmod(F.xxhash64("value"), shares).alias("share"), F.lit(1).alias("kind"), F.lit(None).cast(held.schema["place"].dataType).alias("place"), *text("term", *shown), "value")

@@ -164,7 +164,21 @@ def text_similarities(spark, sf):
     return p.select("p_name", "p_type", text_similarity("p_name", "p_type").alias("ratio"))
 
 
-@query()
+def nested(text: str, *steps: tuple[str, str]) -> str:
+    """Replacements one after the other as SQL."""
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+REPAIRED = nested(
+    "replace(replace(translate(text, '‘’“”–—·', '''''\"\"---'), '…', '...'), chr(173), '')",
+    (r"([\pL\pN_])-\s+([a-z])", r"\1\2"), (tx.COMPOUND, r"\1\2"), (r"\b([A-Z]{2,})\s+([A-Z][a-z]{1,2})(\s|$)", r"\1 \2\3"), (r"\b([A-Z][a-z]?)\s+([A-Z])\s+([A-Z])\b", r"\1\2\3"), (r"\b([A-Z][a-z]?)\s+([A-Z])\b", r"\1\2"),
+    (r"(?i)\b(\d{1,4})\s+(th|st|nd|rd)\b", r"\1\2"), (r"[ \t\r\f\v]+", " "), (r"^\s+|\s+$", ""),
+)
+
+
+@query(f"select doc_id, md5(nullif({REPAIRED}, '')) as text_md5 from documents")
 def repaired_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.repair_ocr_tokens(F.col("text"))).alias("text_md5"))
 
