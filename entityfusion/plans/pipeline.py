@@ -4,6 +4,7 @@ Values live in long tables keyed by cluster with ordinals; nested records are pu
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +17,7 @@ from ..operators import confidence, dictionary, evidence, fusion, identity, proj
 from ..settings import DEFAULT, Settings
 from .tables import Tables
 
+LOG = logging.getLogger(__name__)
 #: More than the places of a fragment's list, and of a piece of evidence's parts.
 ITEMS, PARTS = 1 << 30, 1 << 12
 
@@ -84,6 +86,7 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     """fragments: ``schemas.FRAGMENT``, from any sources, with frag_ord over all of them."""
     spark = fragments.sparkSession
     tables = Tables(spark, "fusion")
+    LOG.info("fusion begins, tables in %s", tables.root)
     fragments = tables.table(fragments)
     # values and their resolution
     skills, jobs, study = told_skills(fragments), items(fragments, "experience"), items(fragments, "education")
@@ -180,4 +183,5 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     projected = projection.project(canonical.drop("cluster"), config)
     issues = validation.validate(projected, config)
     summary = report.run_summary(canonical, validation.validity(canonical.select("candidate_id"), issues))
+    LOG.info("fusion is planned")
     return Result(clusters, canonical, fields, trail, changes, decisions, projected, issues, summary)

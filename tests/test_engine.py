@@ -85,6 +85,14 @@ def test_docx(spark, tmp_path):
     assert [s["name"] for s in rows[0]["skills"]] == ["Python", "Git"] and rows[1]["full_name"] is None and [r["frag_ord"] for r in rows] == [0, 1]
 
 
+def test_log(tmp_path):
+    for run in ("run-1", "run-2"):
+        sinks.configure_logging(str(tmp_path / "deep" / "engine.log"), run)
+        pipeline.LOG.info("something %s", 1)
+    lines = (tmp_path / "deep" / "engine.log").read_text().splitlines()
+    assert [x.split("[")[1] for x in lines] == [f"{r}] entityfusion.plans.pipeline: something 1" for r in ("run-1", "run-2")]
+
+
 def test_stub_sources():
     with pytest.raises(NotImplementedError):
         base.REGISTRY["linkedin"]()
