@@ -18,7 +18,7 @@ from .functions import text as tx
 from .functions import values as vx
 from .functions.arrays import headed
 from .functions.similarity import text_similarity
-from .operators import confidence, dictionary, evidence, fusion, identity, projection, report, validation
+from .operators import confidence, dictionary, evidence, fusion, identity, intervals, projection, report, validation
 from .plans.tables import Tables
 from .sources import resume
 
@@ -475,9 +475,7 @@ select a.o_custkey, a.o_orderkey as left_key, b.o_orderkey as right_key from o a
 )
 def period_overlap(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("s"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderdate") + F.expr("interval 30 days")).alias("e"))
-    a, b = o.select("o_custkey", F.col("o_orderkey").alias("left_key"), F.col("s").alias("s1"), F.col("e").alias("e1")), o.select("o_custkey", F.col("o_orderkey").alias("right_key"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    met = a.join(b, "o_custkey").filter((F.col("left_key") < F.col("right_key")) & vx.date_ranges_overlap(*(F.col(c) for c in ("s1", "e1", "s2", "e2"))))
-    return met.select("o_custkey", "left_key", "right_key")
+    return intervals.overlapping(o, "o_custkey", "o_orderkey", "s", "e")
 
 
 @query()
