@@ -74,6 +74,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert Counter(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got) == Counter(want)
 
 
+def test_warc_beyond_broadcasts(spark, tmp_path, monkeypatch):
+    """Digests joined by shuffle, hot ones apart: the same records."""
+    rng = random.Random(5)
+    rows = [(i, "u", rng.choice(["", "hot", None, f"t{rng.randint(0, 40)}"]), "d", "p") for i in range(300)]
+    sf = pages_dir(spark, tmp_path, rows)
+    want = Counter(map(tuple, warc.op1_warc(spark, sf).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "HOT_ROWS", 20)
+    assert Counter(map(tuple, warc.op1_warc(spark, sf).collect())) == want and sum(want.values()) == 300
+
+
 def test_warc_chunks(spark, tmp_path):
     scratch = Scratch(spark, "t")
     pages = spark.createDataFrame([(1, "u", "abcdefghij" * 10, "x", "y"), (2, "u", "", "x", "y")], "page_id bigint, url string, html string, digest string, payload string")
@@ -194,6 +205,16 @@ def test_near_duplicates(spark, monkeypatch):
         assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_near_duplicates_beyond_broadcasts(spark, monkeypatch):
+    """Lists of documents joined by shuffle: the same documents, with repeated rows."""
+    texts = near_texts()
+    df = documents(spark, texts + texts[30:34])
+    want = Counter(map(tuple, simhash.without_near_duplicates(df, Scratch(spark, "t")).collect()))
+    monkeypatch.setattr(simhash, "SMALL", 0)
+    monkeypatch.setattr(simhash, "WANTED", 0)
+    assert Counter(map(tuple, simhash.without_near_duplicates(df, Scratch(spark, "t")).collect())) == want
+
+
 def test_near_duplicates_with_any_columns(spark):
     """Columns named like the operator's own stay as they are."""
     base = near_texts()
