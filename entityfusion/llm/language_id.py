@@ -19,7 +19,6 @@ learned from nor held out.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -95,8 +94,9 @@ def _count_grams(batch: pa.RecordBatch) -> Counter:
 ENTRY = np.dtype([("at", "<i4"), ("add", "<f8")])
 
 
-def _table(rows: list[tuple[str, int, int]], langs: int, by_size: bool) -> tuple[dict[str, bytes], np.ndarray]:
-    """unit -> its ENTRYs for languages, beyond the defaults (size x language), from (unit, language, count)."""
+def _table(rows: list[tuple[str, int, int]], langs: int, by_size: bool) -> tuple[str, np.ndarray, bytes, np.ndarray]:
+    """Units, a line each, how many ENTRYs each has for languages, these beyond the defaults, and the defaults (size x language), from (unit, language,
+    count). Some megabytes: workers keep what is broadcast, and make dictionaries of it for a task only."""
     size_of = len if by_size else (lambda unit: 0)
     total, units = np.zeros((LONGEST + 1, langs)), Counter(size_of(u) for u in {u for u, *_ in rows})
     for unit, lang, n in rows:
@@ -105,7 +105,14 @@ def _table(rows: list[tuple[str, int, int]], langs: int, by_size: bool) -> tuple
     default, held = np.log(SMOOTHING) - below, {}
     for unit, lang, n in rows:
         held.setdefault(unit, []).append((lang, (np.log(n + SMOOTHING) - below[size_of(unit), lang] - default[size_of(unit), lang]) / max(1, size_of(unit))))
-    return {u: np.array(e, ENTRY).tobytes() for u, e in held.items()}, default
+    entries = [x for e in held.values() for x in e]
+    return "\n".join(held), np.array([len(e) for e in held.values()], np.int32), np.array(entries, ENTRY).tobytes(), default
+
+
+def _entries(units: str, sizes: np.ndarray, entries: bytes) -> dict[str, bytes]:
+    """unit -> its ENTRYs."""
+    ends = (np.cumsum(sizes) * ENTRY.itemsize).tolist()
+    return {u: entries[a:b] for u, a, b in zip(units.split("\n"), [0, *ends], ends, strict=False)}
 
 
 def train(labelled: DataFrame, scratch: Scratch, per_lang: int = 4000, words: int = 30_000, grams: int = 30_000) -> dict:
@@ -121,7 +128,7 @@ def train(labelled: DataFrame, scratch: Scratch, per_lang: int = 4000, words: in
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
         top = table.withColumn("rank", rank).filter(F.col("rank") <= max(1, min(most, ENTRIES // max(1, n_langs)))).select("lang", "word", "n").toArrow()  # bounded: see above
         tops.append(sorted(zip(*(top.column(c).to_pylist() for c in ("word", "lang", "n")), strict=True)))
-    out: dict = {"langs": sorted({lang for _, lang, _ in tops[0]}), "name": uuid.uuid4().hex}
+    out: dict = {"langs": sorted({lang for _, lang, _ in tops[0]})}
     at = {lang: i for i, lang in enumerate(out["langs"])}
     for kind, rows in zip(("words", "grams"), tops, strict=True):
         out[kind] = _table([(unit, at[lang], n) for unit, lang, n in rows], len(at), kind == "grams")
@@ -133,7 +140,8 @@ class Predictor:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        (self.words, default), (self.grams, defaults) = model["words"], model["grams"]
+        (*words, default), (*grams, defaults) = model["words"], model["grams"]
+        self.words, self.grams = _entries(*words), _entries(*grams)
         #: what the places beyond the languages count: known words, then n-grams by length, each divided by it
         self.defaults = np.vstack([default[:1], defaults[1:] / np.arange(1, LONGEST + 1)[:, None]])
         ones = np.zeros(LONGEST + 1, ENTRY)
@@ -174,16 +182,6 @@ class Predictor:
         return self.langs[best], float(1 / np.exp(evidence).sum())
 
 
-_held: dict = {}
-
-
-def predictor_of(model: dict) -> Predictor:
-    """A worker's predictor; it and its cache live until another model comes."""
-    if _held.get("name") != model["name"]:
-        _held.update(name=model["name"], predictor=Predictor(model))
-    return _held["predictor"]
-
-
 def identify(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with ``lang_pred`` and ``score``."""
     spark = df.sparkSession
@@ -194,7 +192,7 @@ def identify(df: DataFrame, model: dict, text: str = "text", keep: tuple[str, ..
     sent = spark.sparkContext.broadcast(model)
 
     def make():
-        predictor = predictor_of(sent.value)
+        predictor = Predictor(sent.value)
 
         def step(batch):
             found = [predictor.predict(v.as_py()) for v in batch.column(whole)]

@@ -40,7 +40,7 @@ from .common import ChunkCache, Scratch, by_batch, small_batches, texts_of, word
 #: Pieces of one length that are ranked in one group, about.
 GROUP_ROWS = 1 << 18
 #: Pairs of bin classes that the local search looks at, at most.
-LOOKS = 1_000_000
+LOOKS = 250_000
 #: Of the steps of a bin class with that many others, the one that gives most is taken.
 CHOICES = 64
 #: Bins: contents -> number of bins; contents are (length, copies) pairs, longest first.
@@ -100,12 +100,6 @@ class WordTokens:
         return out
 
 
-@functools.cache
-def tokens_at(path: str) -> WordTokens:
-    """A worker's tokenizer and caches; they live as long as the worker."""
-    return WordTokens(path)
-
-
 def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, keep: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and ``ids`` (little-endian unsigned 32-bit) if asked for."""
     small_batches(df.sparkSession)
@@ -114,7 +108,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        tokens = tokens_at(path)
+        tokens = WordTokens(path)
 
         def step(batch):
             names, starts, numbers, lengths, sums, ids = [], [], [], [], [], []

@@ -313,7 +313,7 @@ class Counter:
 
 @functools.cache
 def counter_at(path: str) -> Counter:
-    """A worker's counter; it lives as long as the worker."""
+    """A worker's counter: compiled once, it lives as long as the worker."""
     return Counter(path)
 
 
