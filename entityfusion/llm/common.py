@@ -6,6 +6,7 @@ never a recomputation of the Python work before it.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -45,6 +46,9 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterab
         step = make()
         for batch in batches:
             yield from step(batch)
+        # models and caches refer to each other in circles; a worker lives on and must not keep them
+        del step
+        gc.collect()
 
     return df.mapInArrow(run, schema)
 
