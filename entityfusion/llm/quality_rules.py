@@ -168,14 +168,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: fl
 
 
 def passing(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = 0.04, error: float = 0.05) -> DataFrame:
-    """docs that the rules keep, with their columns. The counts are written beside the documents, so each is made once and no text
-    is shuffled or joined."""
+    """docs that the rules keep, with their columns. The counts are made twice, for the cutoffs and for the verdicts, so that no
+    text is shuffled, joined or written on the way."""
     # columns of the input may have any name
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    doc_id, lang, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "lang", "text"))
-    named = inner.withColumns({"doc_id": doc_id, "stratum": lang, "text_hash": F.xxhash64(text)})
-    counted = scratch.table(base_counts(named, inner.columns[docs.columns.index("text")]), "counted")
-    return judged(counted, rules_of(counted, labels, scratch, risk, error)).filter("kept").select(*inner.columns).toDF(*docs.columns)
+    doc_id, lang, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "lang", "text"))
+    named = inner.withColumns({"doc_id": F.col(doc_id), "stratum": F.col(lang), "text_hash": F.xxhash64(text)})
+    counted = scratch.table(base_counts(named.select("doc_id", "stratum", "text_hash", text), text).drop(text), "signals")
+    return judged(base_counts(named, text), rules_of(counted, labels, scratch, risk, error)).filter("kept").select(*inner.columns).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
