@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans.tables import Tables as Scratch  # noqa: F401
+from ..plans.tables import Tables as Scratch
+from ..plans.tables import few
 
 #: The code points of Unicode's White_Space property, as a regular-expression class body.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,6 +30,23 @@ ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
+#: Rows of a table of values by key up to which it is broadcast whole, and the most hot keys that are broadcast beyond that.
+SMALL, HOT = 1_000_000, 20_000
+
+
+def look_up_by_key(rows: DataFrame, values: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """rows left-joined with values by ``key``, whatever key is hot. values: a written table with each key once; its column ``uses``
+    says how many of the ``total`` rows have the key.
+
+    A small table is broadcast. Otherwise keys of more than total / HOT rows are (fewer than HOT, since uses add up to total), and the others
+    meet by shuffle, where none has more than that share of the rows."""
+    if few(values, SMALL):
+        return rows.join(F.broadcast(values), key, "left")
+    hot = F.col(uses) > total // HOT
+    found = rows.join(F.broadcast(values.filter(hot).select(key)), key, "left_anti").join(values.filter(~hot), key, "left")
+    return rows.join(F.broadcast(values.filter(hot)), key).unionByName(found)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, read by Spark's own reader whatever the store."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
