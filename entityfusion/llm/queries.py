@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, packing, quality_classifier, quality_rules, runs, secret_scan, simhash, token_counts, vector_search, warc
+from . import alignment, bpe, exact_dedup, language_id, packing, quality_classifier, quality_rules, runs, secret_scan, simhash, token_counts, vector_search, warc
 from .common import read_table
 
 
@@ -52,6 +52,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op10_secret_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op11_alignment(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.op12_periodic_runs(read_table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_vector_search, op4_byte_bpe, op5_quality_classifier, op6_quality_rules, op7_token_counts, op8_language_id, op9_packing, op10_secret_scan, op12_periodic_runs, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_vector_search, op4_byte_bpe, op5_quality_classifier, op6_quality_rules, op7_token_counts, op8_language_id, op9_packing, op10_secret_scan, op11_alignment, op12_periodic_runs, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
