@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import weighted_ratio
+from ..functions.fuzzy_index import TermIndex
 from ..functions.text import company_key, repair_ocr_tokens, strip
 
 TERMS = "domain string, entry_ord int, term_ord int, term string, term_key string, is_alias boolean, canonical string, category string, parent_category string, related_to array<string>, metadata map<string,string>"
@@ -48,17 +48,12 @@ FUZZY = "canonical: string, category: string, parent_category: string, term: str
 BLOCK_TERMS = BROADCAST_TERMS
 
 
-def best_term(value: str, terms: list[dict], threshold: float) -> dict | None:
-    """The best of terms in dictionary order, the first of equals, with its score and place; None below the threshold."""
-    score, i = max(((weighted_ratio(value, t["term"]), -i) for i, t in enumerate(terms)), default=(-1.0, 0))
-    return {**terms[-i], "score": score} if score >= max(threshold, 0.0) else None
-
-
 def fuzzy_best(values: DataFrame, terms: DataFrame, threshold: float = 90.0) -> DataFrame:
     """domain, value, fuzzy (canonical, category, parent_category, term, score): the best term of the domain in dictionary order, first best wins;
     null where none reaches the threshold. values: domain, value, distinct.
 
-    Values meet their domain's terms in blocks of about BLOCK_TERMS terms: a block's terms come first and are held, values stream by."""
+    Values meet their domain's terms in blocks of about BLOCK_TERMS terms: a block's terms come first and become an index, values stream by and are scored
+    with those terms only whose bound reaches the threshold and the best score so far."""
     counted = terms.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TERMS).alias("blocks"))
     text = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     place = F.struct("entry_ord", "is_alias", "term_ord")
@@ -74,16 +69,19 @@ def fuzzy_best(values: DataFrame, terms: DataFrame, threshold: float = 90.0) ->
     where = pa.struct([("entry_ord", pa.int32()), ("is_alias", pa.bool_()), ("term_ord", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, []
+        now, block, index = None, [], None
         for b in batches:
             out = []
             for r in b.to_pylist():
                 if (r["domain"], r["block"], r["share"]) != now:
-                    now, block = (r["domain"], r["block"], r["share"]), []
+                    now, block, index = (r["domain"], r["block"], r["share"]), [], None
                 if r["kind"] == 0:
                     block.append({n: r[n] for n in (*shown, "term", "place")})
-                elif (best := best_term(r["value"] or "", block, threshold)) is not None:
-                    out.append((r["domain"], r["value"], best.pop("place"), best))
+                    continue
+                index = index or TermIndex([t["term"] or "" for t in block])
+                if (best := index.best(r["value"] or "", threshold)) is not None:
+                    term = {**block[best[0]], "score": best[1]}
+                    out.append((r["domain"], r["value"], term.pop("place"), term))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), where, kind), strict=True)], ["domain", "value", "place", "fuzzy"])
 
