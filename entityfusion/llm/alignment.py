@@ -114,10 +114,11 @@ class Transducer:
         if self.size > TRANSITIONS:
             self._start()
         steps, leads, groups, pairs, i, j, m, n = self.steps, self.leads, [], [], 0, 0, len(a), len(b)
+        first = steps[0].get
         while i < m:
             from_a, from_b, token = i, j, a[i]
             i += 1
-            state = steps[0].get(token)
+            state = first(token)
             if state is None:
                 state = self._step(0, token)
             while state > 0:
@@ -138,7 +139,10 @@ class Transducer:
                 pairs.append((a[i - 1] << SHIFT) + b[j - 1])
             if state < 0:
                 return None
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
+            if i - from_a == 1 == j - from_b:
+                groups.append(f"{a[from_a]}|{token}")
+            else:
+                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
         return (";".join(groups), pairs) if j == n else None
 
 
@@ -166,7 +170,7 @@ class Aligner:
                 yield None
             else:
                 made = self.transducer.align(a, b)
-                yield None if made is None else (made[0], np.array(made[1], np.int64).tobytes(), len(a), len(b))
+                yield None if made is None else (made[0].encode(), np.array(made[1], np.int64).tobytes(), len(a), len(b))
 
     def row(self, text: str) -> tuple:
         """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, times."""
@@ -178,10 +182,7 @@ class Aligner:
             return NONE
         pairs, times = np.unique(np.frombuffer(b"".join([p[1] for p in parts]), np.int64), return_counts=True)
         n_a, n_b, n_links = sum(p[2] for p in parts), sum(p[3] for p in parts), int(times.sum())
-        digest = sha256()
-        for k, p in enumerate(parts):
-            digest.update((";" + p[0] if k else p[0]).encode())
-        return n_a, n_b, n_a + n_b - n_links, n_links, digest.hexdigest(), pairs, times
+        return n_a, n_b, n_a + n_b - n_links, n_links, sha256(b";".join([p[0] for p in parts])).hexdigest(), pairs, times
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
