@@ -2,7 +2,7 @@
 
 Each function takes long tables keyed by ``cluster`` with explicit ordinals, so results don't depend on partitioning. All but the
 folds of experiences and educations are plain aggregates that combine before the shuffle; the folds depend on order and
-are not associative, so they stream each cluster's items in order within one task."""
+are not associative, so they stream a cluster's items in order, those of a large cluster by components of what can ever meet."""
 
 from __future__ import annotations
 
@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import sequence_ratio
+from ..functions.text import blank_to_null
 from ..functions.values import location_completeness, normalize_url
+from ..plans.tables import PARENTS, Tables, components, few
 from ..settings import DEFAULT, Settings
 
+
 def lookup(source: Column, table: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[source] if table else F.lit(None).cast("double")
 
@@ -231,71 +234,143 @@ def education_order(item: dict) -> tuple:
     return item["end_year"] is None, -(item["end_year"] or 0), item["institution"] or "", item["degree"] or ""
 
 
+def experience_rank(x: Column) -> Column:
+    """experience_order as a Column."""
+    return F.struct(x["start"].isNull().alias("open"), F.coalesce(x["start"], x["end"], F.lit(date.max)).alias("at"))
+
+
+def education_rank(x: Column) -> Column:
+    year = x["end_year"]
+    return F.struct(year.isNull().alias("open"), (-F.coalesce(year, F.lit(0))).alias("at"), F.coalesce(x["institution"], F.lit("")).alias("a"), F.coalesce(x["degree"], F.lit("")).alias("b"))
+
+
+def experience_links(x: Column) -> Column:
+    """Keys by which an item, or what it is merged with, may meet others: employer under either of its keys, and title. A merged item's
+    keys are always among those of its items."""
+    key = lambda kind, value: F.when(value != "", F.concat(F.lit(kind), value))
+    title = _bare(F.coalesce(blank_to_null(x["title_canonical"]), x["title"]))
+    return F.array(key("c:", x["company_canonical_key"]), key("c:", x["company_key"]), key("t:", title))
+
+
+def education_links(x: Column) -> Column:
+    name = _bare(x["institution"])
+    return F.array(F.when(name != "", name))
+
+
+def _bare(text: Column) -> Column:
+    """Lower-cased, without any white space: equal wherever _key is."""
+    return F.regexp_replace(F.lower(text), r"(?U)[\s\x1c-\x1f]+", "")
+
+
 @dataclass(frozen=True)
 class Fold:
-    """How items become merged ones: when two are the same, how one starts and how others join it, what they have in common if they are the same, and the order in the end."""
+    """How items become merged ones: when two are the same, how one starts and how others join it, what they have in common if they are the same, and the order in the
+    end; as Columns, all keys by which items can ever meet, and the same order."""
 
     same: Callable
     first: Callable
     add: Callable
     keys: Callable
     order: Callable
+    links: Callable[[Column], Column]
+    rank: Callable[[Column], Column]
 
 
-EXPERIENCE = Fold(same_experience, first_experience, add_experience, experience_keys, experience_order)
-EDUCATION = Fold(same_education, first_education, add_education, education_keys, education_order)
+EXPERIENCE = Fold(same_experience, first_experience, add_experience, experience_keys, experience_order, experience_links, experience_rank)
+EDUCATION = Fold(same_education, first_education, add_education, education_keys, education_order, education_links, education_rank)
+#: Items of a cluster from which on it is dealt over tasks by what its items have in common.
+LARGE = 5_000
 
 
-def fold_items(items: list[dict], fold: Fold) -> list[dict]:
-    """Each item joins the first merged one that it matches, or starts one. Only merged items that share a key are compared."""
+def merged_items(items: list[dict], fold: Fold) -> list[tuple[int, dict]]:
+    """(place of its first item, merged item), in that order. Each item joins the first merged one that it matches, or starts one. Only merged items that share a key are compared."""
     merged: list[dict] = []
+    places: list[int] = []
     at: dict[tuple, list[int]] = {}
-    for item in items:
+    for n, item in enumerate(items):
         near = sorted({i for k in fold.keys(item) for i in at.get(k, ())})
         place = next((i for i in near if fold.same(merged[i], item)), None)
         if place is None:
             place = len(merged)
             merged.append(fold.first(dict(item)))
+            places.append(n)
         else:
             fold.add(merged[place], item)
         for k in fold.keys(merged[place]):
             if place not in at.setdefault(k, []):
                 at[k].append(place)
-    return sorted(merged, key=fold.order)
+    return list(zip(places, merged, strict=True))
 
 
-def _fold(items: DataFrame, name: str, fold: Fold, by: str) -> DataFrame:
-    """cluster and an array of merged items. items: cluster, ord, item (struct). A cluster's items are held by one task: those of one entity."""
-    kind = items.schema["item"].dataType
+def fold_items(items: list[dict], fold: Fold) -> list[dict]:
+    return sorted((m for _, m in merged_items(items, fold)), key=fold.order)
+
+
+def _grouped(rows: DataFrame, by: list[str], out: str, make: Callable[[list], list]) -> DataFrame:
+    """``by`` and an array of what ``make`` gives for the (ord, item) of each group, in order. rows: by, ord, item; a task streams its groups and holds one of them."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = pa.list_(to_arrow_type(kind))
-    key = items.schema[by].dataType
+    kinds = [rows.schema[c].dataType for c in by]
+    arrow = [to_arrow_type(k) for k in kinds]
+    made = pa.list_(pa.struct([("first", to_arrow_type(rows.schema["ord"].dataType)), ("item", to_arrow_type(rows.schema["item"].dataType))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, done = None, [], []
 
-        def close() -> None:
-            if held:
-                done.append((now, fold_items(held, fold)))
-
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], to_arrow_type(key)), pa.array([v for _, v in done], arrow)], [by, name])
+            columns = list(zip(*done, strict=True)) or [()] * (len(by) + 1)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*arrow, made], strict=True)], [*by, out])
 
         for batch in batches:
-            for cluster, item in zip(batch.column(by).to_pylist(), batch.column("item").to_pylist(), strict=True):
-                if cluster != now:
-                    close()
-                    now, held = cluster, []
-                held.append(item)
+            groups = zip(*(batch.column(c).to_pylist() for c in by), strict=True)
+            for group, place, item in zip(groups, batch.column("ord").to_pylist(), batch.column("item").to_pylist(), strict=True):
+                if group != now:
+                    if held:
+                        done.append((*now, make(held)))
+                    now, held = group, []
+                held.append((place, item))
             if done:
                 yield packed()
                 done.clear()
-        close()
+        if held:
+            done.append((*now, make(held)))
         yield packed()
 
-    rows = items.select(by, "ord", "item").repartition(by).sortWithinPartitions(by, "ord").select(by, "item")
-    return rows.mapInArrow(run, f"{by} {key.simpleString()}, {name} array<{kind.simpleString()}>")
+    shape = f"array<struct<first: {rows.schema['ord'].dataType.simpleString()}, item: {rows.schema['item'].dataType.simpleString()}>>"
+    dealt = rows.select(*by, "ord", "item").repartition(*by).sortWithinPartitions(*by, "ord")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {k.simpleString()}" for c, k in zip(by, kinds, strict=True)) + f", {out} {shape}")
+
+
+def _fold(items: DataFrame, name: str, fold: Fold, by: str) -> DataFrame:
+    """cluster and an array of merged items. items: cluster, ord, item (struct).
+
+    Clusters of fewer than LARGE items are folded by one task each. A larger one is parted first: items that share no key, not even by way of others, can
+    never meet, so the components of its items and keys are folded apart, by as many tasks, and come together in the cluster's order. The result is that of one scan."""
+
+    def folded(held: list) -> list[dict]:
+        return [{"first": held[n][0], "item": m} for n, m in merged_items([x for _, x in held], fold)]
+
+    def ordered(held: list) -> list[dict]:
+        return sorted(folded(held), key=lambda m: fold.order(m["item"]))
+
+    large = items.groupBy(by).count().filter(F.col("count") >= LARGE).select(by)
+    tables = Tables(items.sparkSession, "fold")
+    large = tables.table(large, "large")
+    bare = lambda df: df.select(by, F.transform(name, lambda x: x["item"]).alias(name))
+    if large.isEmpty():
+        return bare(_grouped(items, [by], name, ordered))
+    some = F.broadcast(large) if few(large, PARENTS) else large
+    small = bare(_grouped(items.join(some, by, "left_anti"), [by], name, ordered))
+    # nodes are hashes; should two be equal, two components are folded by one task
+    big = tables.table(items.join(some, by, "left_semi").withColumn("node", F.xxhash64(by, F.lit("item"), "ord")), "items")
+    edges = big.select(F.col("node").alias("a"), F.explode(F.array_compact(F.array_distinct(fold.links(F.col("item"))))).alias("key"), by)
+    edges = tables.table(edges.select("a", F.xxhash64(by, F.lit("key"), "key").alias("b")), "edges")
+    nodes = big.select("node").union(edges.select("b")).distinct()
+    part = components(nodes, edges, tables)
+    parted = _grouped(big.join(part, "node").select(by, F.col("label").alias("part"), "ord", "item"), [by, "part"], name, folded)
+    each = parted.select(by, F.explode(name).alias("m")).select(by, F.struct(fold.rank(F.col("m.item")).alias("rank"), F.col("m.first").alias("first"), F.col("m.item").alias("item")).alias("m"))
+    whole = each.groupBy(by).agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["item"]).alias(name))
+    return small.unionByName(whole)
 
 
 def fold_experience(items: DataFrame, by: str = "cluster") -> DataFrame:

@@ -478,7 +478,15 @@ def period_overlap(spark, sf):
     return intervals.overlapping(o, "o_custkey", "o_orderkey", "s", "e")
 
 
-@query()
+@query(
+    """with recursive o as (select o_custkey as c, o_orderpriority as p, o_orderstatus as t, o_orderdate::date as s, o_orderdate::date + 30 as e, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as n from orders),
+f as (select c, p, 1 as n, [{'t': t, 's': s, 'e': e}] as m from o where n = 1
+ union all
+ select c, p, n + 1, case when at is null then list_append(m, {'t': t, 's': s, 'e': e}) else list_transform(m, (x, i) -> case when i = at then {'t': x.t, 's': least(x.s, s), 'e': greatest(x.e, e)} else x end) end
+ from (select f.c, f.p, f.n, f.m, o.t, o.s, o.e, list_min(list_filter(range(1, len(f.m) + 1), i -> f.m[i].t = o.t or (f.m[i].s <= o.e and o.s <= f.m[i].e))) as at from f join o on o.c = f.c and o.p = f.p and o.n = f.n + 1)),
+done as (select c, p, unnest(m) as x from f qualify n = max(n) over (partition by c, p))
+select c as cluster, p as company, x.t as title, x.s as start, x.e as end from done"""
+)
 def folded_experience(spark, sf):
     made = fusion.fold_experience(order_jobs(spark, sf, F.col("o_orderstatus")))
     return made.select("cluster", F.explode("experience").alias("x")).select("cluster", "x.company", "x.title", "x.start", "x.end")
@@ -502,14 +510,14 @@ def folded_employers(spark, sf):
     return made.select("cluster", F.explode("experience").alias("x")).select("cluster", "x.company", "x.start", "x.end", F.array_join("x.evidence_ids", " ").alias("evidence"))
 
 
-@query("select o_custkey as cluster, o_orderpriority as institution, min(year(o_orderdate))::int as start_year, max(year(o_orderdate))::int as end_year, max(len(o_orderstatus))::int as n from orders group by all")
+@query("select o_custkey as cluster, o_orderpriority as institution, min(year(o_orderdate))::int as start_year, max(year(o_orderdate))::int as end_year, count(*)::int as n from orders group by all")
 def folded_schools(spark, sf):
     """With degrees alike, a school's years are one."""
     null = F.lit(None).cast("string")
     year = F.year("o_orderdate")
-    school = F.struct(F.col("o_orderpriority").alias("institution"), F.lit("BA").alias("degree"), null.alias("degree_canonical"), null.alias("field"), year.alias("start_year"), year.alias("end_year"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("evidence_ids"))
+    school = F.struct(F.col("o_orderpriority").alias("institution"), F.lit("BA").alias("degree"), null.alias("degree_canonical"), null.alias("field"), year.alias("start_year"), year.alias("end_year"), F.lit(1.0).alias("confidence"), F.array(F.col("o_orderkey").cast("string")).alias("evidence_ids"))
     made = fusion.fold_education(table(spark, sf, "orders").select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("ord"), school.alias("item")))
-    return made.select("cluster", F.explode("education").alias("x")).select("cluster", "x.institution", "x.start_year", "x.end_year", F.lit(1).alias("n"))
+    return made.select("cluster", F.explode("education").alias("x")).select("cluster", "x.institution", "x.start_year", "x.end_year", F.size("x.evidence_ids").alias("n"))
 
 
 # evidence
