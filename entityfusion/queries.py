@@ -482,9 +482,9 @@ def period_overlap(spark, sf):
     """with recursive o as (select o_custkey as c, o_orderpriority as p, o_orderstatus as t, o_orderdate::date as s, o_orderdate::date + 30 as e, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as n from orders),
 f as (select c, p, 1 as n, [{'t': t, 's': s, 'e': e}] as m from o where n = 1
  union all
- select c, p, n + 1, case when at is null then list_append(m, {'t': t, 's': s, 'e': e}) else list_transform(m, (x, i) -> case when i = at then {'t': x.t, 's': least(x.s, s), 'e': greatest(x.e, e)} else x end) end
- from (select f.c, f.p, f.n, f.m, o.t, o.s, o.e, list_min(list_filter(range(1, len(f.m) + 1), i -> f.m[i].t = o.t or (f.m[i].s <= o.e and o.s <= f.m[i].e))) as at from f join o on o.c = f.c and o.p = f.p and o.n = f.n + 1)),
-done as (select c, p, unnest(m) as x from f qualify n = max(n) over (partition by c, p))
+ select c, p, n + 1, case when place is null then list_append(m, {'t': t, 's': s, 'e': e}) else list_transform(m, lambda x, i: case when i = place then {'t': x.t, 's': least(x.s, s), 'e': greatest(x.e, e)} else x end) end
+ from (select f.c, f.p, f.n, f.m, o.t, o.s, o.e, list_min(list_filter(range(1, len(f.m) + 1), lambda i: f.m[i].t = o.t or (f.m[i].s <= o.e and o.s <= f.m[i].e))) as place from f join o on o.c = f.c and o.p = f.p and o.n = f.n + 1)),
+done as (select c, p, unnest(m) as x from (select * from f qualify n = max(n) over (partition by c, p)))
 select c as cluster, p as company, x.t as title, x.s as start, x.e as end from done"""
 )
 def folded_experience(spark, sf):
