@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import settings
 from .functions import text as tx
@@ -20,7 +18,7 @@ from .functions.arrays import headed
 from .functions.similarity import text_similarity
 from .operators import confidence, dictionary, evidence, fusion, identity, intervals, projection, report, validation
 from .plans.tables import Tables
-from .sources import resume
+from .sources import ats_json, resume
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -260,20 +258,77 @@ def resume_schools(spark, sf):
 @query("select event_id, case event_id % 4 when 0 then null when 1 then event_id when 2 then 7 else json_extract(props, '$.k')::bigint end as k from events")
 def json_first_match(spark, sf):
     """A null ends the search in its object, a list's items and objects are searched in order, keys count however they are written."""
-    from .sources.ats_json import first_match
-
-    @F.pandas_udf(T.LongType())
-    def find(trees: pd.Series) -> pd.Series:
-        import json
-
-        return trees.map(lambda t: first_match(json.loads(t), frozenset(["k"]))).astype("Int64")
-
     i = F.col("event_id").cast("string")
     of = F.concat
     tree = F.when(F.col("event_id") % 4 == 0, of(F.lit('{"k": null, "b": {"k": '), i, F.lit("}}")))
     tree = tree.when(F.col("event_id") % 4 == 1, of(F.lit('{"a": {"x": 1, "k": null, "y": {"k": 5}}, "b": [3, {"K_ ": '), i, F.lit("}]}")))
-    tree = tree.when(F.col("event_id") % 4 == 2, of(F.lit('[{"z": [{"_k": 7}]}, {"k": '), i, F.lit("}]"))).otherwise(F.col("props"))
-    return table(spark, sf, "events").select("event_id", find(tree).alias("k"))
+    tree = tree.when(F.col("event_id") % 4 == 2, of(F.lit('{"l": [{"z": [{"_k": 7}]}, {"k": '), i, F.lit("}]}"))).otherwise(F.col("props"))
+    rows = table(spark, sf, "events").select("event_id", ats_json.tree_rows(tree).alias("tree"))
+    return rows.select("event_id", ats_json.Tree(F.col("tree"), {"k": ("k",)}).first("k")["text"].cast("long").alias("k"))
+
+
+def json_rows(spark, sf, name: str, id: str, *parts) -> DataFrame:
+    """id and the rows of a JSON text put together from parts: texts and columns."""
+    text = F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    return table(spark, sf, name).select(id, ats_json.tree_rows(text).alias("tree"))
+
+
+@query(
+    """select c_custkey, 'https://linkedin.com/in/c' || c_custkey as linkedin, 'https://github.com/n' || c_nationkey as github, 'https://site' || c_nationkey || '.example.com' as portfolio,
+  case when c_custkey % 3 = 0 then '' else 'https://h' || c_nationkey || '.example.com ' end || 'https://blog.example.com/' || c_custkey as other from customer"""
+)
+def json_links(spark, sf):
+    """Own keys first, then containers, by a key's words or a link's host; what finds the portfolio taken is among the others."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    bare = F.when(key % 3 == 0, "x").otherwise("website")
+    parts = ('{"a": {"profileURL": "www.LinkedIn.com/in/C', key, '/"}, "website": "site', nation, '.example.com", "links": {"', bare, '": "h', nation, '.example.com"}, "socialLinks": "blog.example.com/', key, '", "b": [{"social_profiles": "https://www.github.com/n', nation, '/", "c": {"links": ["list.example.com"]}}]}')
+    found = json_rows(spark, sf, "customer", "c_custkey", *parts).select("c_custkey", ats_json.links(ats_json.Tree(F.col("tree"))).alias("l"))
+    return found.select("c_custkey", "l.linkedin", "l.github", "l.portfolio", F.array_join("l.other", " ").alias("other"))
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then 'N' || c_nationkey || ', Land' when 1 then 'N' || c_nationkey || ', East, Land' when 2 then 'N' || c_nationkey else 'a b' end as raw,
+  case when c_custkey % 4 < 3 then 'N' || c_nationkey end as city, case when c_custkey % 4 = 1 then 'East' end as region, case when c_custkey % 4 < 2 then 'Land' end as country from customer""")
+def json_places(spark, sf):
+    """A place is an object with its members, or a text by its commas."""
+    key, town = F.col("c_custkey"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
+    place = F.when(key % 4 == 0, F.concat(F.lit('{"town": "'), town, F.lit('", "countryName": " Land"}'))).when(key % 4 == 1, F.concat(F.lit('"'), town, F.lit(' ,East,  Land"'))).when(key % 4 == 2, F.concat(F.lit('"'), town, F.lit('"')))
+    rows = json_rows(spark, sf, "customer", "c_custkey", '{"address": ', place.otherwise(F.lit('{"city": "", "raw": "a  b"}')), ', "city": "Other"}')
+    tree = ats_json.Tree(F.col("tree"))
+    found = rows.select("c_custkey", tree.first("location").alias("n"), "tree").select("c_custkey", ats_json.place(tree, F.col("n")).alias("p"))
+    return found.select("c_custkey", "p.raw", "p.city", "p.region", "p.country")
+
+
+@query(
+    """select o_orderkey, place, case when place = 0 or o_orderkey % 2 = 0 then 'C' || o_custkey else '' end as company, case place when 0 then 'Clerk' else 'P ' || o_orderpriority end as title, o_orderdate::date as start,
+  case when place = 1 then o_orderdate::date + 9 end as end, case place when 0 then 'did a did b' else 'x y' end as summary from orders, (values (0), (1)) t(place) where o_orderkey % 5 > 0
+union all select o_orderkey, 0, 'C' || o_custkey, 'Now', null, null, 'sums up' from orders where o_orderkey % 5 = 0"""
+)
+def json_jobs(spark, sf):
+    """Objects with a company or a title, in lists or by themselves; without any, the current job."""
+    day = lambda n: F.date_format(F.date_add("o_orderdate", n), "yyyy-MM-dd")
+    employer = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    listed = F.concat(
+        F.lit('{"x": {"employmentHistory": [{"employer": "'), employer, F.lit('", "company": "", "role": "Clerk", "from": "'), day(0), F.lit('", "end": "Present", "highlights": ["did a", "", 0, "did  b"]}, {"summary": "neither"}, 7]}, "workHistory": {"title": "P  '),
+        F.col("o_orderpriority"), F.lit('", "organization": '), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('"'), employer, F.lit('"'))).otherwise("null"), F.lit(', "start": "'), day(0), F.lit('", "to": "'), day(9), F.lit('", "description": "x  y"}}'),
+    )
+    now = F.concat(F.lit('{"currentCompany": "'), employer, F.lit('", "position": "Now", "experience": [{"summary": "sums up"}]}'))
+    rows = json_rows(spark, sf, "orders", "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, now).otherwise(listed))
+    found = rows.select("o_orderkey", F.posexplode(ats_json.jobs(ats_json.Tree(F.col("tree")))).alias("place", "j"))
+    return found.select("o_orderkey", "place", "j.company", "j.title", "j.start", "j.end", "j.summary")
+
+
+@query(
+    """select o_orderkey, case when o_orderkey % 3 = 0 then '' else 'U ' || o_orderpriority end as institution, case when o_orderkey % 3 = 0 then 'BSc' else '' end as degree, case when o_orderkey % 3 = 2 then 'Law' end as field,
+  case when o_orderkey % 3 = 0 then year(o_orderdate)::int end as start_year, case when o_orderkey % 3 = 0 then year(o_orderdate)::int + 2 end as end_year from orders"""
+)
+def json_schools(spark, sf):
+    """Years count if they are all digits; without a school of its own, what the record tells of one."""
+    year = lambda n: (F.year("o_orderdate") + n).cast("string")
+    own = F.concat(F.lit('{"educationDetails": [{"program": " BSc", "startYear": '), year(0), F.lit(', "end": "'), year(2), F.lit('", "degree": null}, {"startYear": 1}]}'))
+    loose = F.concat(F.lit('{"education": ["none"], "a": [{"university": "U  '), F.col("o_orderpriority"), F.lit('"'), F.when(F.col("o_orderkey") % 3 == 2, ', "major": "Law"').otherwise(""), F.lit("}]}"))
+    rows = json_rows(spark, sf, "orders", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, own).otherwise(loose))
+    found = rows.select("o_orderkey", F.explode(ats_json.schools(ats_json.Tree(F.col("tree")))).alias("s"))
+    return found.select("o_orderkey", "s.institution", "s.degree", "s.field", "s.start_year", "s.end_year")
 
 
 # dictionaries

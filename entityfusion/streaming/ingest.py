@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import ats_json, resume
-from ..sources.base import fragments_of, parsed_by
+from ..sources.base import fragments_of
 from ..sources.ordered import numbered
 
 #: df with ``raw`` -> df with ``parsed``, by source.
 PARSERS = {
-    "ats_json": lambda df: df.withColumn("parsed", parsed_by(ats_json.parse, F.col("raw"))), "resume_pdf": lambda df: resume.parsed(df, "resume_pdf"), "resume_docx": lambda df: resume.parsed(df, "resume_docx"),
+    "ats_json": ats_json.parsed, "resume_pdf": lambda df: resume.parsed(df, "resume_pdf"), "resume_docx": lambda df: resume.parsed(df, "resume_docx"),
 }
 
 
@@ -21,7 +21,8 @@ def fragments(spark: SparkSession, folder: str, source: str = "ats_json", files_
     """A stream of fragments of the text files that appear in ``folder``, one record each; files that hold equal records count once a day."""
     raw = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
     raw = raw.select(F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("arrived"))
-    fresh = raw.withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["raw"])
+    # the state holds a record's hash, not the record
+    fresh = raw.withColumn("_hash", F.sha2("raw", 256)).withWatermark("arrived", "1 day").dropDuplicatesWithinWatermark(["_hash"]).drop("_hash")
     return fragments_of(PARSERS[source](fresh.withColumn("frag_ord", F.unix_micros("arrived"))))
 
 

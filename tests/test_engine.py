@@ -46,11 +46,36 @@ def test_ats(fragments):
     assert r["education"][0]["end_year"] == 2015 and r["links"]["linkedin"] == "https://linkedin.com/in/ada" and r["links"]["portfolio"] == "https://ada.example.com"
 
 
-def test_ats_trees():
-    assert ats_json.first_match({"a": {"x": None}, "b": [{"X ": 3}], "x": 5}, frozenset(["x"])) == 3
-    assert ats_json.all_matches({"skills": {"skills": ["a"]}}, frozenset(["skills"])) == [{"skills": ["a"]}, ["a"]]
-    assert ats_json.location("Pau, Bearn, France") == {"raw": "Pau, Bearn, France", "city": "Pau", "region": "Bearn", "country": "France"}
-    assert ats_json.parse("no json")["quality"] == 0.0 and ats_json.strings([{"label": "a; b"}, "c", None, 3]) == ["a", "b", "c"]
+def test_ats_trees(spark):
+    """Searches, names, places and odd records over the rows of trees."""
+    tree = ats_json.Tree(F.col("_tree"))
+    rows = lambda *texts: spark.createDataFrame([(t,) for t in texts], "raw string").withColumn("_tree", ats_json.tree_rows("raw"))
+    first = lambda text: rows(text).select(tree.first("full_name")["text"]).first()[0]
+    assert first('{"a": {"name": null, "z": {"name": "no"}}, "b": [{"full_NAME ": "yes"}], "name": "late"}') == "yes"
+    assert first('{"a": {"x": 1}, "name": null, "b": {"name": "no"}}') is None and first('{"b": {"c": [{"name": 7}]}, "name": "late"}') == "7"
+    assert [n["text"] for n in rows('{"skills": {"skills": ["a"]}}').select(F.explode(tree.all("skills")).alias("n")).select("n.*").collect()] == ["{'skills': ['a']}", "['a']"]
+    texts = ["no json", "[1]", None, "", '{"a": ' * 3000 + "1" + "}" * 3000, "[" * 200_000 + "]" * 200_000, '{"skills": [{"label": "a; b"}, "c", null, 3, {"x": 1}], "location": "Pau, Bearn, France"}', '{"skills": {"x": 1}, "location": 5, "mail": [{"value": "A@x.example.com "}, 4, "b@x.example.com"]}']
+    got = ats_json.parsed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")).orderBy("i").select("parsed.*").collect()
+    assert [r["quality"] for r in got] == [0.0, 0.0, 0.0, 0.0, got[4]["quality"], 0.0, 0.92, 0.92]
+    assert [s["name"] for s in got[6]["skills"]] == ["a", "b", "c"] and got[6]["location"].asDict() == {"raw": "Pau, Bearn, France", "city": "Pau", "region": "Bearn", "country": "France", "country_code": None}
+    assert [s["name"] for s in got[7]["skills"]] == ["{'x': 1}"] and [e["value"] for e in got[7]["emails"]] == ["a@x.example.com", "b@x.example.com"] and got[7]["location"]["raw"] is None
+
+
+def test_ats_fallbacks(spark):
+    """A current job needs employer and designation; a school by itself needs any of its parts; objects count beside lists."""
+    texts = ['{"currentEmployer": "Northwind", "designation": "Cook", "profileSummary": "cooks"}', '{"currentEmployer": "Northwind"}', '{"x": {"school": "Uni"}, "major": "Law"}', '{"workHistory": {"employer": "A", "to": "Present", "from": "Mar 2019", "location": {"town": "Ulm"}}, "academics": {"course": "BSc", "toYear": "2O15", "fromYear": 2012}}']
+    got = ats_json.parsed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")).orderBy("i").select("parsed.*").collect()
+    assert [[(j["company"], j["title"], j["summary"], str(j["start"]), j["end"]) for j in r["experience"]] for r in got] == [[("Northwind", "Cook", "cooks", "None", None)], [], [], [("A", "", None, "2019-03-01", None)]]
+    assert [[(s["institution"], s["degree"], s["field"], s["start_year"], s["end_year"]) for s in r["education"]] for r in got] == [[], [], [("Uni", "", "Law", None, None)], [("", "BSc", None, 2012, None)]]
+    assert got[3]["experience"][0]["location"]["city"] == "Ulm"
+
+
+def test_ats_links(spark):
+    """Own keys first, then containers: by a key's words, bare links by host; a taken portfolio leads to the others."""
+    text = '{"linkedin": "linkedin.com/in/a", "a": [{"socialLinks": "https://github.com/a"}, {"links": "linkedin.com/in/b"}, {"links": "one.example.com"}, {"links": ["list.example.com"]}], "links": {"my_website": "two.example.com", "linkedin page": "x.example.com", "note": "no.example.com", "url": 5}}'
+    assert ats_json.parsed(spark.createDataFrame([(text,)], "raw string")).select("parsed.links.*").first().asDict() == {
+        "linkedin": "https://linkedin.com/in/a", "github": "https://github.com/a", "portfolio": "https://linkedin.com/in/b", "other": ["https://one.example.com", "https://two.example.com"]
+    }
 
 
 def test_resume(fragments):
