@@ -286,7 +286,7 @@ def json_links(spark, sf):
     return found.select("c_custkey", "l.linkedin", "l.github", "l.portfolio", F.array_join("l.other", " ").alias("other"))
 
 
-@query("""select c_custkey, case c_custkey % 4 when 0 then 'N' || c_nationkey || ', Land' when 1 then 'N' || c_nationkey || ', East, Land' when 2 then 'N' || c_nationkey else 'a b' end as raw,
+@query("""select c_custkey, case c_custkey % 4 when 0 then 'N' || c_nationkey || ', Land' when 1 then 'N' || c_nationkey || ' ,East, Land' when 2 then 'N' || c_nationkey else 'a b' end as raw,
   case when c_custkey % 4 < 3 then 'N' || c_nationkey end as city, case when c_custkey % 4 = 1 then 'East' end as region, case when c_custkey % 4 < 2 then 'Land' end as country from customer""")
 def json_places(spark, sf):
     """A place is an object with its members, or a text by its commas."""
