@@ -13,7 +13,8 @@ combinations that only texts show are added when first met (and dropped again wh
 *Chunk maps.* Every document is cut into pieces; each is a map from the state in which it is entered to the state in
 which it is left and the tokens added. A piece that holds a synchronising place (a non-space before white space) leads
 every entry to the same state after it, so its map is its head (the characters before that place), a count, and an
-exit. Words between two such places have constant maps, which are memoised. Maps compose associatively; ``prefix_scan`` composes
+exit. A change of class (a letter before a digit, say) synchronises too, which counts where there is no white space; pieces without either become part of
+the next one's head. Words between two such places have constant maps, which are memoised. Maps compose associatively; ``prefix_scan`` composes
 them by pairs, which gives the tokens up to the end of each piece, whatever order pieces are mapped in.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside texts count as one token, as
@@ -38,12 +39,18 @@ from .common import CHUNK, WHITE_SPACE, ChunkCache, by_batch, small_batches
 TABLE_TRANSITIONS = 600_000
 #: Characters of a piece of a document.
 PIECE_CHARS = 1 << 10
+#: Characters after which a long stretch looks at the size of the table.
+GO_CHARS = 1 << 13
 #: The contractions of the byte-level pattern, after the apostrophe.
 SHORT, LONG = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
 LETTER, NUMBER, SPACE, OTHER = "LNSO"
 _CLASSES = ((LETTER, regex.compile(r"\p{L}")), (NUMBER, regex.compile(r"\p{N}")), (SPACE, regex.compile(f"[{WHITE_SPACE}]")))
 
 
+#: Places between a letter, number or other character (but an apostrophe) and one of another class: whatever came before, a new pre-token begins.
+CHANGE = regex.compile(rf"(?<=\p{{L}})[^\p{{L}}{WHITE_SPACE}]|(?<=\p{{N}})[^\p{{N}}{WHITE_SPACE}]|(?<=[^\p{{L}}\p{{N}}{WHITE_SPACE}'])[\p{{L}}\p{{N}}]")
+
+
 @functools.cache
 def class_of(char: str) -> str:
     return next((k for k, p in _CLASSES if p.match(char)), OTHER)
@@ -229,21 +236,32 @@ class Transducer:
             total += added
         return node, total
 
+    def go(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The same between states, for texts of any length: what they add to the table is dropped on the way when it is too much."""
+        total = 0
+        for i in range(0, len(text), GO_CHARS):
+            node, added = self.run(self.node(state), text[i : i + GO_CHARS])
+            state = self.what[id(node)]
+            total += added
+            if len(self.new_moves) > TABLE_TRANSITIONS:
+                self.forget()
+        return state, total
+
 
 class PieceMap:
     """Map of a piece of a document: entry state -> (exit state, tokens added).
 
-    head: characters before the first synchronising place; body and exit: what follows adds, and where it ends. Without
+    head: characters before the first synchronising place; body and exit: what follows adds, and the state in which it ends. Without
     such a place, head is the whole piece and exit None.
     """
 
     __slots__ = ("body", "exit", "head", "t")
 
-    def __init__(self, t: Transducer, head: str, body: int = 0, exit: dict | None = None):
+    def __init__(self, t: Transducer, head: str, body: int = 0, exit: tuple | None = None):
         self.t, self.head, self.body, self.exit = t, head, body, exit
 
-    def __call__(self, entry: dict) -> tuple[dict, int]:
-        left, added = self.t.run(entry, self.head)
+    def __call__(self, entry: tuple) -> tuple[tuple, int]:
+        left, added = self.t.go(entry, self.head)
         return (left, added) if self.exit is None else (self.exit, added + self.body)
 
     def then(self, other: PieceMap) -> PieceMap:
@@ -254,6 +272,17 @@ class PieceMap:
         return PieceMap(self.t, self.head, self.body + added, left)
 
 
+def glued(maps: list[PieceMap]) -> list[PieceMap]:
+    """Each piece without a synchronising place as part of the next one's head, put together once; only the last may be left without."""
+    out, heads = [], []
+    for m in maps:
+        heads.append(m.head)
+        if m.exit is not None:
+            out.append(PieceMap(m.t, "".join(heads), m.body, m.exit))
+            heads = []
+    return [*out, PieceMap(maps[0].t, "".join(heads))] if heads else out
+
+
 def prefix_scan(maps: list, then: Callable) -> list:
     """Inclusive scan of an associative composition, by pairs: half the length each round."""
     if len(maps) < 2:
@@ -284,22 +313,22 @@ class Counter:
         self.t.keep()
 
     def piece(self, text: str) -> PieceMap:
-        """The map of a piece, its body by the memoised maps of words."""
-        chunks = CHUNK.findall(text)
+        """The map of a piece, its body by the memoised maps of words; without white space, from its first change of class on."""
+        chunks, start = CHUNK.findall(text), ("start",)
         if len(chunks) < 2:
-            return PieceMap(self.t, text)
+            change = CHANGE.search(text, 1)
+            return PieceMap(self.t, text) if change is None else PieceMap(self.t, text[: change.start()], *reversed(self.t.go(start, text[change.start() :])))
         middle, last = chunks[1:-1], chunks[-1]
-        left, added = self.t.run(self.t.start, last)
+        left, added = self.t.go(start, last)
         return PieceMap(self.t, chunks[0], sum(self.words.values(middle)) + added, left)
 
     def running(self, text: str) -> list[int]:
-        """Tokens of a text without special strings up to the end of each piece; later characters may still join the last ones."""
-        maps = [self.piece(text[i : i + PIECE_CHARS]) for i in range(0, len(text), PIECE_CHARS)]
-        out = [m(self.t.start)[1] for m in prefix_scan(maps, PieceMap.then)]
+        """Tokens of a text without special strings up to the end of each piece with a synchronising place, and of the text; later characters may still
+        join the last ones. No head is read more than some log2(pieces) times, so time grows with the text whatever it holds."""
+        maps = prefix_scan(glued([self.piece(text[i : i + PIECE_CHARS]) for i in range(0, len(text), PIECE_CHARS)]), PieceMap.then)
+        _, head = self.t.go(("start",), maps[0].head)  # the head of all prefixes
         self.words.settle()
-        if len(self.t.new_moves) > TABLE_TRANSITIONS:
-            self.t.forget()
-        return out
+        return [head + m.body for m in maps]
 
     def segment(self, text: str) -> int:
         return self.running(text)[-1] if text else 0

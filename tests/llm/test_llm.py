@@ -428,6 +428,29 @@ def test_transducer_and_pieces(monkeypatch):
     assert [counter.count(t) for t in texts[:300]] == want[:300]
 
 
+@pytest.mark.parametrize("kind", ["letters", "ideographs", "base64", "one letter", "punctuated"])
+def test_long_texts_without_space(kind, monkeypatch):
+    """Counts are the library's, and the time for a character does not grow with the text."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("byte_bpe_50k.json"), random.Random(4)
+    known, counter = Tokenizer.from_file(path), token_counts.Counter(path)
+    signs = {"letters": "etaoinshrdlu", "ideographs": "".join(map(chr, range(0x4E00, 0x4E40))), "base64": "abcdefghijkLMNOPQRST0123456789+/", "one letter": "x", "punctuated": "日本語、。!'rvl"}[kind]
+    text = "".join(rng.choices(signs, k=400_000))
+    took = {}
+    for n in (20_000, 400_000):
+        began = time.thread_time()
+        got = counter.count(text[:n])
+        took[n] = time.thread_time() - began
+        assert got == len(known.encode(text[:n], add_special_tokens=False).ids)
+    assert took[400_000] < 20 * 3 * took[20_000] + 3
+    monkeypatch.setattr(token_counts, "TABLE_TRANSITIONS", 100)
+    monkeypatch.setattr(token_counts, "GO_CHARS", 300)
+    assert counter.count(text[:30_000]) == len(known.encode(text[:30_000], add_special_tokens=False).ids)
+
+
 def test_prefix_scan():
     for n in range(0, 20):
         assert token_counts.prefix_scan([str(i) + "," for i in range(n)], lambda a, b: a + b) == ["".join(f"{j}," for j in range(i + 1)) for i in range(n)]
