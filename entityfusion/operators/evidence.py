@@ -30,7 +30,7 @@ def enrich(stored: DataFrame, evidence: DataFrame, decisions: DataFrame) -> Data
     cols = ["cluster", "ord", "field", "original", "canonical", "source", "method", "rule", "confidence", "record_id"]
     made = decisions.select("cluster", "ord", "field", F.to_json("competing").alias("original"), F.to_json("selected").alias("canonical"), F.lit("fusion").alias("source"), F.lit("merge").alias("method"), F.col("strategy").alias("rule"), "confidence", F.lit(None).cast("string").alias("record_id"))
     parts = [stored.select(*cols), evidence.select(*cols), made.select(*cols)]
-    ranked = [p.withColumn("ord", F.struct(F.lit(i).alias("part"), F.col("ord").cast("long").alias("at"))) for i, p in enumerate(parts)]
+    ranked = [p.withColumn("ord", F.struct(F.lit(i).alias("part"), F.col("ord").cast("decimal(38,0)").alias("at"))) for i, p in enumerate(parts)]
     return ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
 
 

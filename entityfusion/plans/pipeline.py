@@ -18,8 +18,11 @@ from ..settings import DEFAULT, Settings
 from .tables import Tables
 
 LOG = logging.getLogger(__name__)
-#: More than the places of a fragment's list, and of a piece of evidence's parts.
-ITEMS, PARTS = 1 << 30, 1 << 12
+#: More than the places of a fragment's list times those of a piece of evidence's parts, and than those parts: no array has more than 2^31. Ordinals
+#: are whole decimals, so 2^63 fragments have their own.
+PARTS = 1 << 31
+ITEMS = PARTS << 31
+STORED = "frag_id string, at int, field string, original string, canonical string, source string, method string, rule string, confidence double, record_id string"
 
 
 @dataclass
@@ -35,9 +38,16 @@ class Result:
     summary: DataFrame
 
 
+def ordinal(fragment: Column, at: Column | None = None, part: Column | None = None) -> Column:
+    """Where something stands: fragment, place in its list, part of that."""
+    whole = lambda c: F.lit(0) if c is None else c
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    return (fragment.cast("decimal(19,0)") * number(ITEMS) + whole(at).cast("decimal(10,0)") * number(PARTS) + whole(part)).cast("decimal(38,0)")
+
+
 def items(fragments: DataFrame, column: str) -> DataFrame:
     """frag_id, ord, source, quality, item: a list's items in input order."""
-    return fragments.select("frag_id", "source", "quality", "frag_ord", F.posexplode(column).alias("at", "item")).select("frag_id", "source", "quality", (F.col("frag_ord") * ITEMS + F.col("at") * PARTS).alias("ord"), "item")
+    return fragments.select("frag_id", "source", "quality", "frag_ord", F.posexplode(column).alias("at", "item")).select("frag_id", "source", "quality", ordinal(F.col("frag_ord"), F.col("at")).alias("ord"), "item")
 
 
 def resolved(rows: DataFrame, value: Column, domain: str, found: DataFrame, prefix: str) -> DataFrame:
@@ -53,7 +63,7 @@ def told_skills(fragments: DataFrame) -> DataFrame:
     parts = pieces.select("frag_id", "source", "quality", "ord", F.col("item.evidence_id").alias("id"), F.posexplode(parts).alias("part", "name"))
     null = F.lit(None).cast("string")
     item = F.struct(F.col("name"), F.array("name").alias("original_names"), null.alias("category"), null.alias("parent_category"), F.lit(1.0).alias("confidence"), F.array("source").alias("sources"), F.array("id").alias("evidence_ids"))
-    made = parts.select("frag_id", "source", "quality", (F.col("ord") + F.least("part", F.lit(PARTS - 1))).alias("ord"), item.alias("item"))
+    made = parts.select("frag_id", "source", "quality", (F.col("ord") + F.col("part")).cast("decimal(38,0)").alias("ord"), item.alias("item"))
     return made.unionByName(items(fragments, "skills").join(made.select("frag_id").distinct(), "frag_id", "left_anti"))
 
 
@@ -75,15 +85,16 @@ def competing_and_selected(fragments: DataFrame, lists: dict[str, DataFrame], fu
     slots = lambda prefix: F.array(*(F.col(f"{prefix}.{c}") for c in ("linkedin", "github", "portfolio")))
     one = lambda c: (fragments.select("cluster", "ord", F.col(c).alias("value")), fused[c].select("cluster", F.col(c).alias("value")))
     out = {f: (lists[f].select("cluster", "ord", v.alias("value")), each(fused[f], F.transform(f, chosen[f]))) for f, v in values.items()}
-    out["links"] = (fragments.select("cluster", "ord", F.posexplode(slots("links")).alias("at", "value")).select("cluster", (F.col("ord") + F.col("at")).alias("ord"), "value"), each(links, slots("links")))
+    out["links"] = (fragments.select("cluster", "ord", F.posexplode(slots("links")).alias("at", "value")).select("cluster", (F.col("ord") + F.col("at")).cast("decimal(38,0)").alias("ord"), "value"), each(links, slots("links")))
     string = location_string(F.col("location.city"), F.col("location.region"), F.col("location.country"))
     out["location"] = (fragments.filter("location is not null").select("cluster", "ord", F.coalesce(blank_to_null(F.col("location.raw")), string, F.lit("")).alias("value")), each(place, whole))
     out |= {c: one(c) for c in ("years_experience", "headline")}
     return {f: out[f] for f in ("emails", "phones", "links", "skills", "experience", "education", "location", "years_experience", "headline")}
 
 
-def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = projection.Config(), threshold: float = 90.0, settings: Settings = DEFAULT) -> Result:  # noqa: B008
-    """fragments: ``schemas.FRAGMENT``, from any sources, with frag_ord over all of them."""
+def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = projection.Config(), threshold: float = 90.0, settings: Settings = DEFAULT, stored: DataFrame | None = None) -> Result:  # noqa: B008
+    """fragments: ``schemas.FRAGMENT``, from any sources, with frag_ord over all of them. stored: STORED, provenance that fragments bring with them; it comes
+    first in the trail, before that of evidence and of merge decisions."""
     spark = fragments.sparkSession
     tables = Tables(spark, "fusion")
     LOG.info("fusion begins, tables in %s", tables.root)
@@ -108,7 +119,7 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     keys = tables.table(identity.identity_keys(fragments, settings.case_insensitive))
     clusters = tables.table(identity.greedy_clusters(fragments, keys, tables))
     of = clusters.select("frag_id", F.col("cluster_ord").alias("cluster"))
-    fragments = tables.table(fragments.join(of, "frag_id").withColumn("ord", F.col("frag_ord") * ITEMS))
+    fragments = tables.table(fragments.join(of, "frag_id").withColumn("ord", ordinal(F.col("frag_ord"))))
     skills, jobs, study = (df.join(of, "frag_id") for df in (skills, jobs, study))
     # fusion
     trust = lambda field=None: fusion.reliability(F.col("source"), field, settings)
@@ -116,7 +127,7 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     headline = fusion.best_by_reliability(fragments, "headline", trust())
     years = fusion.max_verified(fragments, "years_experience", trust()).select("cluster", "years_experience")
     place = fusion.most_complete(fragments, trust()).select("cluster", "location")
-    ids = fragments.groupBy("cluster").agg(F.min_by("external_id", "frag_ord").alias("external_id"), F.min_by("frag_id", "frag_ord").alias("frag_id"))
+    ids = fragments.groupBy("cluster").agg(F.min_by("external_id", "frag_ord").alias("external_id"))
 
     def contact(column: str, key: str, other: str) -> DataFrame:
         rows = items(fragments, column).join(of, "frag_id").select("cluster", "ord", "source", "item.*").withColumn("key", F.coalesce(key, other))
@@ -127,7 +138,7 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     emails, phones = contact("emails", "normalized", "value"), contact("phones", "e164", "raw")
     slot = lambda i, s, url: F.struct(F.lit(i).alias("i"), F.lit(s).alias("slot"), url.alias("url"))
     slots = F.concat(F.array(*(slot(i, s, F.col(f"links.{s}")) for i, s in enumerate(("linkedin", "github", "portfolio")))), F.transform(F.coalesce("links.other", F.array().cast("array<string>")), lambda u, i: F.struct((i + 3).alias("i"), F.lit("other").alias("slot"), u.alias("url"))))
-    urls = fragments.select("cluster", "ord", F.inline(slots)).select("cluster", (F.col("ord") + F.col("i")).alias("ord"), "slot", "url")
+    urls = fragments.select("cluster", "ord", F.inline(slots)).select("cluster", (F.col("ord") + F.col("i")).cast("decimal(38,0)").alias("ord"), "slot", "url")
     links = fusion.merge_links(urls).select("cluster", F.struct("linkedin", "github", "portfolio", "other").alias("links"))
     known = skills.select(
         "cluster", "ord", "source", F.coalesce("r.canonical", "item.name").alias("name"), F.col("item.original_names").alias("original_names"), F.coalesce("r.category", "item.category").alias("category"), F.coalesce("r.parent_category", "item.parent_category").alias("parent_category"),
@@ -158,7 +169,10 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
         fusion.merge_decisions(*both, field, clusters=ids, settings=settings).withColumn("ord", F.lit(i)) for i, (field, both) in enumerate(competing_and_selected(fragments, lists, fused).items())
     ]
     decisions = tables.table(reduce(DataFrame.unionByName, made))
-    trail = evidence.compact_provenance(evidence.distinct_provenance(evidence.enrich(told.limit(0), told, decisions)))
+    if stored is None:
+        stored = spark.createDataFrame([], STORED)
+    brought = stored.join(fragments.select("frag_id", "frag_ord", "cluster"), "frag_id").withColumn("ord", ordinal(F.col("frag_ord"), F.col("at")))
+    trail = evidence.compact_provenance(evidence.distinct_provenance(evidence.enrich(brought, told, decisions)))
     # confidence
     scored = told.withColumn("value", F.coalesce("canonical", "original"))
     listed = lambda df, field, value: df.select("cluster", F.lit(field).alias("field"), value.cast("string").alias("value"))
@@ -175,7 +189,12 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     parts = (name, emails, phones, place, links, headline, years, united, experience, education, overall.withColumnRenamed("overall", "overall_confidence"))
     record = reduce(lambda a, b: a.join(b, "cluster", "left"), parts, ids)
     listed_trail = trail.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct("field", "source", "method", "rule", "original", "canonical", "confidence", "record_ids").alias("v")))), lambda x: x["v"]).alias("provenance"))
-    record = record.join(listed_trail, "cluster", "left").withColumn("candidate_id", F.coalesce("external_id", stable_id(F.col("full_name"), F.col("frag_id"))))
+    # an entity whose first fragment names none gets an id of its name, first contacts and all its fragments
+    nameless = ids.filter(F.coalesce("external_id", F.lit("")) == "").select("cluster")
+    members = fragments.select("cluster", "frag_ord", "frag_id").join(nameless, "cluster", "left_semi").groupBy("cluster")
+    members = members.agg(F.transform(F.sort_array(F.collect_list(F.struct("frag_ord", "frag_id"))), lambda x: x["frag_id"]).alias("frag_ids"))
+    own = stable_id(F.col("full_name"), F.get("emails", F.lit(0))["normalized"], F.get("phones", F.lit(0))["e164"], F.array_join("frag_ids", "::"))
+    record = record.join(listed_trail, "cluster", "left").join(members, "cluster", "left").withColumn("candidate_id", F.coalesce(blank_to_null(F.col("external_id")), own))
     for c in ("emails", "phones", "skills", "experience", "education"):
         record = record.withColumn(c, F.coalesce(c, F.array().cast(record.schema[c].dataType)))
     order = ("candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education", "provenance", "overall_confidence", "cluster")

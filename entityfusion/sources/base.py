@@ -30,7 +30,7 @@ def fragments_of(records: DataFrame, parsed: str = "parsed") -> DataFrame:
     evidence = F.transform(p("evidence"), lambda e, i: e.withField("evidence_id", F.sha2(F.concat_ws("::", F.col("frag_id"), e["field"], i.cast("string")), 256)))
     columns["evidence"] = F.coalesce(evidence, F.array().cast(f"{FIELDS['evidence']}"))
     out = made.select("frag_ord", "frag_id", *(v.alias(k) for k, v in columns.items()))
-    return out.withColumns({c: with_evidence(c) for c in ("skills", "experience", "education")})
+    return out.withColumns({c: with_evidence(c) for c in ("skills", "experience", "education")} | {c: with_all_evidence(c) for c in ("emails", "phones")})
 
 
 def with_evidence(field: str) -> Column:
@@ -40,6 +40,12 @@ def with_evidence(field: str) -> Column:
     return bound(ids, lambda of: F.transform(field, lambda x, i: x.withField("evidence_ids", F.array_compact(F.array_append(x["evidence_ids"], known(of, i))))))
 
 
+def with_all_evidence(field: str) -> Column:
+    """A list's items, each with the ids of all evidence of their field."""
+    ids = F.transform(F.filter("evidence", lambda e: e["field"] == field), lambda e: e["evidence_id"])
+    return bound(ids, lambda of: F.transform(field, lambda x: x.withField("evidence_ids", F.array_distinct(F.concat(F.coalesce(x["evidence_ids"], no_ids()), of)))))
+
+
 def null() -> Column:
     return F.lit(None).cast("string")
 

@@ -1,5 +1,6 @@
 """Sources, resolution, identity, fusion, confidence, projection and validation on invented people."""
 
+import hashlib
 import io
 import json
 import random
@@ -387,3 +388,29 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest.write(ingest.fragments(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert sorted(r["full_name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Ada Quill", "Ben Moss"]
+
+
+def test_ordinals_beyond_64_bits(spark):
+    """Fragments numbered from 2^62 on, and the longest lists, keep their order."""
+    one = pipeline.ordinal(F.col("f"), F.col("a"), F.col("p"))
+    rows = spark.createDataFrame([((1 << 62) + 1, 0, 0), (1 << 62, (1 << 31) - 1, (1 << 31) - 1), (1 << 62, 300_000, 5000), (1 << 62, 300_000, 4999), (1 << 62, 1, 0)], "f bigint, a int, p int")
+    assert [(r["a"], r["p"]) for r in rows.orderBy(one).collect()] == [(1, 0), (300_000, 4999), (300_000, 5000), ((1 << 31) - 1, (1 << 31) - 1), (0, 0)]
+
+
+def test_stored_trail_ids_and_contact_evidence(spark, fragments, result):
+    """Provenance that fragments bring comes first; entities without an id get one of all they are made of; contacts name their field's evidence;
+    numbers from 2^60 on change nothing."""
+    frag = [r["frag_id"] for r in fragments.orderBy("frag_ord").collect()]
+    stored = spark.createDataFrame([(frag[0], 0, "full_name", "A. Quill", "Ada Quill", "archive", "import", "kept", 0.4, "r0"), (frag[0], 1, "emails", "ada@x.example.com", "ada@x.example.com", "recruiter_csv", "csv", "older rule", 0.1, "r1")], pipeline.STORED)
+    far = fragments.withColumn("frag_ord", F.col("frag_ord") + (1 << 60)).withColumn("external_id", F.lit(None).cast("string"))
+    row = pipeline.run(far, dictionaries.terms(spark), stored=stored).canonical.first()
+    assert all(row[c] == result.canonical.first()[c] for c in ("full_name", "emails", "phones", "location", "links", "skills", "experience", "education"))
+    trail = [(p["field"], p["source"], p["method"], p["rule"]) for p in row["provenance"]]
+    assert trail[:2] == [("full_name", "archive", "import", "kept"), ("emails", "recruiter_csv", "csv", "older rule")] and len(trail) > 10
+    assert [t for t in trail if t[:3] == ("emails", "recruiter_csv", "csv")] != [] and trail[-1][1] == "fusion"
+    phone = row["phones"][0]["e164"]
+    want = hashlib.sha256("::".join([row["full_name"].lower(), row["emails"][0]["normalized"], phone, *frag]).encode()).hexdigest()
+    assert row["candidate_id"] == want
+    told = {e["evidence_id"] for r in fragments.collect() for e in r["evidence"] if e["field"] == "emails"}
+    first = row["emails"][0]["evidence_ids"]
+    assert len(first) > 1 and set(first) <= told
