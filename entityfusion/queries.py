@@ -16,9 +16,10 @@ from .functions import text as tx
 from .functions import values as vx
 from .functions.arrays import headed
 from .functions.similarity import text_similarity
-from .operators import confidence, dictionary, evidence, fusion, identity, intervals, projection, report, validation
+from .operators import asof, confidence, dictionary, evidence, fusion, identity, intervals, projection, report, sampling, validation
 from .plans.tables import Tables
 from .sources import ats_json, resume
+from .streaming import sessions
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -575,6 +576,32 @@ def folded_schools(spark, sf):
     return made.select("cluster", F.explode("education").alias("x")).select("cluster", "x.institution", "x.start_year", "x.end_year", F.size("x.evidence_ids").alias("n"))
 
 
+@query(
+    """with r as (select l_partkey, l_shipdate, max(l_orderkey * 10 + l_linenumber) as tie from lineitem where l_returnflag = 'R' group by all)
+select l.l_orderkey, l.l_linenumber, r.tie, r.l_shipdate from lineitem l asof left join r on l.l_partkey = r.l_partkey and l.l_shipdate >= r.l_shipdate"""
+)
+def version_as_of(spark, sf):
+    """The last returned shipment of the same part, as of each shipment."""
+    lines = table(spark, sf, "lineitem")
+    returned = lines.filter("l_returnflag = 'R'").select("l_partkey", "l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+    found = asof.as_of(lines.select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber"), returned, "l_partkey", "l_shipdate", "l_shipdate", "tie")
+    return found.select("l_orderkey", "l_linenumber", "version.tie", "version.l_shipdate")
+
+
+@query("select c_mktsegment, c_custkey from customer qualify row_number() over (partition by c_mktsegment order by md5('7:' || c_custkey), c_custkey) <= 20")
+def stratified_sample(spark, sf):
+    return sampling.stratified(table(spark, sf, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 20, "7")
+
+
+@query(
+    """with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as fresh from events),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from e)
+select user_id, min(ts) as begin, max(ts) as last, count(*) as n, count(distinct event_type) as kinds from s group by user_id, session"""
+)
+def evidence_sessions(spark, sf):
+    return sessions.sessions(table(spark, sf, "events"), "user_id", "ts", "6 hours", kinds=F.size(F.collect_set("event_type")).cast("long"))
+
+
 # evidence
 
 
