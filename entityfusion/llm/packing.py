@@ -7,8 +7,8 @@ classes of bins with equal contents instead of single bins.
 *Start.* Best fit by decreasing length, many equal pieces at once.
 *Local search.* Takes the emptiest underfull bins and moves a piece, exchanges one for one, two for one or one for two
 with fuller underfull bins, always such that the sum of squared fills rises, until a bin empties and is dropped; it ends
-at a lower bound on the number of bins, where no step is left, or after LOOKS pairs of classes. Each step applies to as many
-bins of the two classes as both have.
+at a lower bound on the number of bins, or where no step between any two bins is left. What each bin could give back stands in arrays, so the best
+step of a bin is looked up over all others at once. Each step applies to as many bins of the two classes as both have.
 
 *Dealing.* Pieces of one length are interchangeable: each gets a rank among them, and the solution says for runs of
 ranks which bin and offset they have. A third of all pieces may have one length, so the ranks of a common length are made in
@@ -39,10 +39,6 @@ from .common import ChunkCache, Scratch, by_batch, small_batches, texts_of, word
 
 #: Pieces of one length that are ranked in one group, about.
 GROUP_ROWS = 1 << 18
-#: Pairs of bin classes that the local search looks at, at most.
-LOOKS = 250_000
-#: Of the steps of a bin class with that many others, the one that gives most is taken.
-CHOICES = 64
 #: Bins: contents -> number of bins; contents are (length, copies) pairs, longest first.
 Bins = dict[tuple[tuple[int, int], ...], int]
 
@@ -189,29 +185,67 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
     return done
 
 
-def best_step(source: tuple, target: tuple, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """(gain, pieces from source to target, pieces back) that raises the target's fill most without overflow."""
-    ours, theirs = dict(source), dict(target)
-    found = None
-
-    def offer(out: tuple[int, ...], back: tuple[int, ...]) -> bool:
-        nonlocal found
-        gain = sum(out) - sum(back)
-        if 0 < gain <= room and (found is None or gain > found[0]):
-            found = (gain, out, back)
-        return gain == room
-
-    pairs = lambda held: [(a, b) for a in held for b in held if a > b or a == b and held[a] > 1]
-    for a in ours:
-        if offer((a,), ()) or any(offer((a,), (b,)) for b in theirs):
-            return found
-    for p in pairs(ours):
-        if offer(p, ()) or any(offer(p, (b,)) for b in theirs):
-            return found
-    for p in pairs(theirs):
-        if any(offer((a,), p) for a in ours):
-            return found
-    return found
+def exchanges(bin_: tuple) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+    """Tokens -> pieces that a bin can give at once: none or one; two."""
+    held = dict(bin_)
+    one = {0: ()} | {a: (a,) for a in held}
+    two = {a + b: (a, b) for a in held for b in held if a > b or a == b and held[a] > 1}
+    return one, two
+
+
+class Targets:
+    """What all underfull bins could give back, as arrays: an exchange is found by a look-up, not tried.
+
+    ``value[i]`` tokens leave bin ``owner[i]`` in one piece or none (``two[i]`` false), or in two. Bins that are gone stay in the arrays until half of
+    them are."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.size = capacity, 0
+        self.value, self.owner, self.two = np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024, bool)
+        self.bins: list[tuple] = []
+        self.fill, self.alive = np.empty(256, np.int64), np.zeros(256, bool)
+        self.number: dict[tuple, int] = {}
+
+    def add(self, bin_: tuple) -> None:
+        one, two = exchanges(bin_)
+        values = np.fromiter((*one, *two), np.int32)
+        while self.size + len(values) > len(self.value):
+            self.value, self.owner, self.two = (np.concatenate([x, np.empty_like(x)]) for x in (self.value, self.owner, self.two))
+        if len(self.bins) == len(self.fill):
+            self.fill, self.alive = (np.concatenate([x, np.zeros_like(x)]) for x in (self.fill, self.alive))
+        at, n = slice(self.size, self.size + len(values)), len(self.bins)
+        self.value[at], self.owner[at], self.two[at] = values, n, np.arange(len(values)) >= len(one)
+        self.size += len(values)
+        self.fill[n], self.alive[n], self.number[bin_] = fill_of(bin_), True, n
+        self.bins.append(bin_)
+
+    def remove(self, bin_: tuple) -> None:
+        self.alive[self.number.pop(bin_)] = False
+
+    def best_step(self, source: tuple, fill: int, since: int, alone: bool) -> tuple | None:
+        """(target, pieces out, pieces back) between source and the bins at least as full, from entry ``since`` on, that raises the sum of squared fills
+        most; one piece for none, one or two, or two for none or one. ``alone``: there is but one bin like source."""
+        one, two = exchanges(source)
+        ones, both = np.full((2, self.capacity + 1), -1, np.int32)
+        ones[[x for x in one if x]] = [x for x in one if x]
+        both[:] = ones
+        both[[x for x in two if x <= self.capacity]] = [x for x in two if x <= self.capacity]
+        ones, both = np.maximum.accumulate(ones), np.maximum.accumulate(both)  # the most that source can give up to so many tokens
+        value, owner = self.value[since : self.size], self.owner[since : self.size]
+        others = self.fill[owner]
+        most = value + self.capacity - others
+        gain = np.where(self.two[since : self.size], ones[most], both[most]) - value
+        usable = self.alive[owner] & (others >= fill) & (gain > 0)
+        if alone:
+            usable &= owner != self.number[source]
+        raised = np.where(usable, gain * (others - fill + gain), 0)
+        i = int(np.argmax(raised)) if len(raised) else 0
+        if not len(raised) or raised[i] <= 0:
+            return None
+        target = self.bins[owner[i]]
+        give, back = exchanges(target)
+        out = int(value[i] + gain[i])
+        return target, one[out] if out in one else two[out], back[int(value[i])] if self.two[since + i] else give[int(value[i])]
 
 
 def least_bins(histogram: dict[int, int], capacity: int) -> int:
@@ -227,63 +261,64 @@ def least_bins(histogram: dict[int, int], capacity: int) -> int:
     return int(max(-(-tokens[-1] // capacity), *(alone + beside + np.maximum(0, -(-rest // capacity))))) if half else int(count[-1])
 
 
-def local_search(bins: Bins, capacity: int, looks: int = LOOKS) -> Bins:
+def local_search(bins: Bins, capacity: int) -> Bins:
     """Empties bins by moves and exchanges between underfull bins, each of which raises the sum of squared fills.
 
-    The emptiest bin class gives first, to the fullest that a step fits; pairs of classes between which no step
-    exists are looked at once only. Ends at the least number of bins, where no step is left, or after ``looks`` pairs."""
+    Bin classes give in order of emptiness, each until no step from it is left; what was looked at once is not looked at again, so a pass after the
+    first only looks at new classes. Ends at the least number of bins, or where no step between any two bins is left."""
     bins = dict(bins)
     histogram: dict[int, int] = {}
     for bin_, n in bins.items():
         for length, copies in bin_:
             histogram[length] = histogram.get(length, 0) + n * copies
-    least, count, barren = least_bins(histogram, capacity), sum(bins.values()), set()
-    under = sorted((fill_of(b), b) for b in bins if fill_of(b) < capacity)
+    least, count = least_bins(histogram, capacity), sum(bins.values())
+    if count <= least:
+        return bins
+    targets, seen = Targets(capacity), {}
+    for bin_ in bins:
+        if fill_of(bin_) < capacity:
+            targets.add(bin_)
 
     def add(bin_: tuple, n: int) -> None:
         if bin_ not in bins and fill_of(bin_) < capacity:
-            insort(under, (fill_of(bin_), bin_))
+            targets.add(bin_)
+        if bins.get(bin_, 0) == 1:
+            seen.pop(bin_, None)  # two alike may exchange
         bins[bin_] = bins.get(bin_, 0) + n
 
     def take(bin_: tuple, n: int) -> None:
         bins[bin_] -= n
         if not bins[bin_]:
             del bins[bin_]
-            if (key := (fill_of(bin_), bin_)) in under:
-                under.remove(key)
-
-    def next_step() -> tuple | None:
-        nonlocal looks
-        for fill, source in under:
-            found: list[tuple] = []
-            for other, target in reversed(under):
-                if other < fill or looks <= 0 or len(found) == CHOICES:
+            targets.remove(bin_)
+            seen.pop(bin_, None)
+
+    moved = True
+    while moved and count > least:
+        moved = False
+        if len(targets.bins) > 2 * len(targets.number) + 100:
+            # anew without those that are gone; who had seen all still has
+            held, quiet, targets = list(targets.number), [b for b in seen if seen[b] == targets.size], Targets(capacity)
+            for bin_ in held:
+                targets.add(bin_)
+            seen = dict.fromkeys(quiet, targets.size)
+        for source in sorted(targets.number, key=lambda b: (fill_of(b), b)):
+            fill = fill_of(source)
+            while count > least and source in bins:
+                found = targets.best_step(source, fill, seen.get(source, 0), bins[source] < 2)
+                if not found:
+                    seen[source] = targets.size
                     break
-                if (source, target) in barren or target == source and bins[source] < 2:
-                    continue
-                looks -= 1
-                # gain + other > fill holds as other >= fill, so squared fill rises
-                if step := best_step(source, target, capacity - other):
-                    found.append((step[0], target, step))
-                    if other + step[0] == capacity:
-                        break
+                moved = True
+                target, out, back = found
+                n = bins[source] // 2 if source == target else min(bins[source], bins[target])
+                take(source, n)
+                take(target, n)
+                add(changed(target, back, out), n)
+                if emptied := changed(source, out, back):
+                    add(emptied, n)
                 else:
-                    barren.add((source, target))
-            if found:
-                _, target, step = max(found)
-                return source, target, step
-        return None
-
-    while count > least and looks > 0 and (found := next_step()):
-        source, target, (_, out, back) = found
-        n = bins[source] // 2 if source == target else min(bins[source], bins[target])
-        take(source, n)
-        take(target, n)
-        add(changed(target, back, out), n)
-        if emptied := changed(source, out, back):
-            add(emptied, n)
-        else:
-            count -= n
+                    count -= n
     return bins
 
 

@@ -783,6 +783,33 @@ def test_local_search():
     assert better > 0
 
 
+def test_local_search_ends_at_an_optimum():
+    """No move or exchange between any two bins is left that raises the sum of squared fills, unless the bound is reached."""
+    rng = random.Random(8)
+    for _ in range(60):
+        h = Counter(rng.randint(3, 45) for _ in range(rng.randint(5, 60)))
+        done = packing.local_search(packing.best_fit(h, 70), 70)
+        if sum(done.values()) == packing.least_bins(h, 70):
+            continue
+        for a, b in itertools.product(done, done):
+            if a == b and done[a] < 2 or packing.fill_of(b) < packing.fill_of(a):
+                continue
+            (one, two), (back, backs) = packing.exchanges(a), packing.exchanges(b)
+            steps = [u - v for u in one for v in back if u] + [u - v for u in two for v in back] + [u - v for u in one for v in backs if u]
+            assert not any(0 < g <= 70 - packing.fill_of(b) for g in steps)
+
+
+def test_local_search_of_many_lengths():
+    """Far beyond best fit, and the time is the driver's to spare."""
+    import time
+
+    rng = random.Random(1)
+    h = Counter(rng.randint(1000, 2400) for _ in range(12_000))
+    start, began = packing.best_fit(h, 4096), time.thread_time()
+    done = packing.local_search(start, 4096)
+    assert lengths_of(done) == h and sum(start.values()) == 5192 and sum(done.values()) <= 5067 and time.thread_time() - began < 25
+
+
 def test_packing_beyond_best_fit(spark):
     """Lengths for which best fit needs more sequences: the search empties some, and the dealt pieces are those of its bins."""
     rng = random.Random(3)
