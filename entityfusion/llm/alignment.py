@@ -185,12 +185,18 @@ class Aligner:
         return n_a, n_b, n_a + n_b - n_links, n_links, sha256(b";".join([p[0] for p in parts])).hexdigest(), pairs, times
 
 
+@functools.cache
+def aligner_at(path_a: str, path_b: str) -> Aligner:
+    """A worker's aligner: what it remembers (bounded) serves all tasks of the worker."""
+    return Aligner(path_a, path_b)
+
+
 def align_documents(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
     """A row for each document: counts, digest of its groups, its distinct id pairs and how many links have each."""
     small_batches(docs.sparkSession, rows=500, size="4m")
 
     def make():
-        aligner = Aligner(path_a, path_b)
+        aligner = aligner_at(path_a, path_b)
 
         def step(batch):
             rows = zip(*map(aligner.row, texts_of(batch, text)), strict=True)
