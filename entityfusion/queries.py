@@ -375,9 +375,11 @@ def fuzzy_top1(spark, sf):
     return dictionary.fuzzy_best(names, terms(spark), 40).select("value", "fuzzy.canonical", "fuzzy.term", "fuzzy.score")
 
 
-@query(f"select distinct category from {TERM_SQL}")
+@query("select distinct p_brand as category from part where p_type is not null")
 def dict_categories(spark, sf):
-    return dictionary.categories(terms(spark), "types")
+    """Part names as a dictionary: brands are its categories."""
+    names = table(spark, sf, "part").filter("p_type is not null").select(F.lit("parts").alias("domain"), F.col("p_name").alias("term"), F.col("p_brand").alias("category"))
+    return dictionary.categories(names, "parts")
 
 
 @query("select n_name as value, case when n_nationkey % 3 < 2 then 'Land ' || n_nationkey end as country, case n_nationkey % 3 when 0 then 'L' || n_nationkey when 1 then 'Land ' || n_nationkey end as country_code from nation")
