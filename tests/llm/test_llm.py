@@ -930,7 +930,7 @@ def test_empty_tables(spark, empty):
 
 def test_names():
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == [*range(1, 11)] and len(names) == len(set(names))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == [*range(1, 14)] and len(names) == len(set(names))
     assert set(queries.oracle_sql()) <= set(names)
 
 
