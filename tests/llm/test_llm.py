@@ -284,12 +284,34 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     sets = [shingles(t) for t in texts]
     root = roots(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for rows in (512, 7):  # also with several blocks
-        monkeypatch.setattr(simhash, "BLOCK_ROWS", rows, raising=False)
+    for rows, symbols, weight in ((512, 2048, 1 << 20), (7, 11, 1 << 20), (512, 2048, 700)):  # also with several blocks, by rows or by shingles
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(simhash, "BLOCK_SYMBOLS", symbols)
+        monkeypatch.setattr(simhash, "BLOCK_WEIGHT", weight)
         left = {r["doc_id"] for r in simhash.without_near_duplicates(df, Scratch(spark, "t")).collect()}
         assert left == {i for i in range(len(texts)) if root[i] == i}
 
 
+def test_near_duplicates_that_share_a_passage(spark, monkeypatch):
+    """Texts that share a passage and no more end at the fingerprints; the few that are similar are found among them, long ones too."""
+    rng = random.Random(32)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = draw(150)
+    texts = [" ".join(passage + draw(200 if i % 2 else 300)) for i in range(400)]
+    long = " ".join(passage + draw(30_000))
+    texts += [texts[11] + " and more", texts[60] + " and more", long, long + " and more", "and more " + long]
+    seen = []
+    for name in ("_near_in_large", "_joined_in_large"):
+        inner = getattr(simhash, name)
+        monkeypatch.setattr(simhash, name, lambda large, *a, inner=inner: seen.append(large.select("node").distinct().count()) or inner(large, *a))
+    monkeypatch.setattr(simhash, "CENTRES", 1)
+    monkeypatch.setattr(simhash, "BLOCK_WEIGHT", 20_000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    left = {r["doc_id"] for r in simhash.without_near_duplicates(df, Scratch(spark, "t")).collect()}
+    assert left == set(range(403)) - {400, 401} and seen[1] <= 20 < 60 <= seen[0], seen
+
+
 # 3: vectors
 
 
