@@ -16,7 +16,7 @@ from .functions import text as tx
 from .functions import values as vx
 from .functions.arrays import headed
 from .functions.similarity import text_similarity
-from .operators import asof, confidence, dictionary, evidence, fusion, identity, intervals, projection, report, sampling, validation
+from .operators import asof, confidence, dictionary, evidence, fusion, identity, intervals, projection, report, sampling, sketches, validation
 from .plans.tables import Tables
 from .sources import ats_json, resume
 from .streaming import sessions
@@ -604,6 +604,23 @@ def evidence_sessions(spark, sf):
     return sessions.sessions(table(spark, sf, "events"), "user_id", "ts", "6 hours", kinds=F.size(F.collect_set("event_type")).cast("long"))
 
 
+@query("select event_type, count(*) as n, true as users_agree, true as median_agrees, true as high_agrees from events group by event_type")
+def sketched_days(spark, sf):
+    """Users and values of each day as sketches, merged by kind: whether four standard errors of a distinct count and twice the error of a rank hold the
+    exact figures of all rows."""
+    events = table(spark, sf, "events")
+    days = sketches.sketched(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], {"users": "user_id"}, {"values": "value"})
+    kinds = sketches.merged(days, ["event_type"], ["users"], ["values"])
+    kinds = kinds.select("event_type", "n", sketches.distinct_count("users").alias("users"), *(sketches.quantile("values", q).alias(name) for name, q in (("median", 0.5), ("high", 0.9))))
+    share = lambda c: F.avg(c.cast("double"))
+    exact = events.join(kinds, "event_type").groupBy("event_type", "n", "users").agg(
+        F.countDistinct("user_id").alias("all"), *(share(F.col("value") < F.col(c)).alias(f"below_{c}") for c in ("median", "high")), *(share(F.col("value") <= F.col(c)).alias(f"upto_{c}") for c in ("median", "high"))
+    )
+    holds = lambda c, q: (F.col(f"below_{c}") <= q + 2 * sketches.RANK_ERROR) & (F.col(f"upto_{c}") >= q - 2 * sketches.RANK_ERROR)
+    close = F.abs(F.col("users") - F.col("all")) <= 4 * sketches.DISTINCT_ERROR * F.col("all")
+    return exact.select("event_type", "n", close.alias("users_agree"), holds("median", 0.5).alias("median_agrees"), holds("high", 0.9).alias("high_agrees"))
+
+
 # evidence
 
 
