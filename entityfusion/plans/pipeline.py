@@ -36,6 +36,11 @@ class Result:
     projected: DataFrame
     issues: DataFrame
     summary: DataFrame
+    tables: Tables
+
+    def close(self) -> None:
+        """Removes the written tables that the frames above read: for when all that is wanted of them is written elsewhere."""
+        self.tables.close()
 
 
 def ordinal(fragment: Column, at: Column | None = None, part: Column | None = None) -> Column:
@@ -203,4 +208,4 @@ def run(fragments: DataFrame, terms: DataFrame, config: projection.Config = proj
     issues = validation.validate(projected, config)
     summary = report.run_summary(canonical, validation.validity(canonical.select("candidate_id"), issues))
     LOG.info("fusion is planned")
-    return Result(clusters, canonical, fields, trail, changes, decisions, projected, issues, summary)
+    return Result(clusters, canonical, fields, trail, changes, decisions, projected, issues, summary, tables)

@@ -6,6 +6,7 @@ import json
 import random
 import zipfile
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -397,6 +398,16 @@ def test_ordinals_beyond_64_bits(spark):
     assert [(r["a"], r["p"]) for r in rows.orderBy(one).collect()] == [(1, 0), (300_000, 4999), (300_000, 5000), ((1 << 31) - 1, (1 << 31) - 1), (0, 0)]
 
 
+def test_closed_run(spark, fragments, tmp_path):
+    """What is wanted is written elsewhere, then a run leaves nothing in the shared folder."""
+    made = pipeline.run(fragments, dictionaries.terms(spark))
+    root = Path(made.tables.root.removeprefix("file://"))
+    made.projected.write.parquet(str(tmp_path / "out"))
+    assert any(root.iterdir())
+    made.close()
+    assert not root.exists() and spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
 def test_stored_trail_ids_and_contact_evidence(spark, fragments, result):
     """Provenance that fragments bring comes first; entities without an id get one of all they are made of; contacts name their field's evidence;
     numbers from 2^60 on change nothing."""
