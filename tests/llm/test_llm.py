@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -1010,7 +1011,11 @@ def test_pipeline(spark, tmp_path):
     assert left[1] == left[0] - {123}  # without a letter
     assert left[2] == left[1] - {120, 121, 124}  # a copy, and near copies
     assert left[3] == left[2] == left[4]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
     whole = {json.dumps(r.asDict(), sort_keys=True) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # of what the run wrote, only the input of its last stage is left
+    assert [[t.name for t in f.iterdir()] for f in set(shared.iterdir()) - before if f.name.startswith("pipeline")] == [["004-secret_scans"]]
     assert whole == {json.dumps(r.asDict(), sort_keys=True) for r in docs.collect()}
 
 
