@@ -8,7 +8,7 @@ by one sort of the keys and led to their roots by pointer jumping. ``connected``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, normalize_whitespace
@@ -22,8 +22,10 @@ NEW = "different_candidates"
 KEYS = "frag_id string, frag_ord bigint, key_ord int, priority int, key string, value string"
 
 
-def identity_keys(fragments: DataFrame, case_insensitive: bool = True) -> DataFrame:
-    """frag_id, frag_ord, key_ord, priority, key, value: the keys of each fragment in the order in which they are tried."""
+def identity_keys(fragments: DataFrame, case_insensitive: bool = True, keyless: bool = False) -> DataFrame:
+    """frag_id, frag_ord, key_ord, priority, key, value: the keys of each fragment in the order in which they are tried.
+
+    With ``keyless``, a fragment that has none is one row with a null key (and as value one of 1,024 shares, over which such rows are spread)."""
     text_key = lower_key if case_insensitive else lambda value: blank_to_null(normalize_whitespace(value))
     one = lambda key, value: F.array(F.struct(F.lit(key).alias("key"), value.alias("value")))
     name = text_key(F.col("full_name"))
@@ -42,7 +44,10 @@ def identity_keys(fragments: DataFrame, case_insensitive: bool = True) -> DataFr
         one("full_name_city", F.concat(name, F.lit("|"), city)),
     )
     rank = F.create_map(*(F.lit(x) for i, k in enumerate(CONFIDENCE) for x in (k, i)))
-    rows = fragments.select("frag_id", "frag_ord", F.posexplode(F.filter(keys, lambda k: k["value"].isNotNull() & (k["value"] != ""))).alias("key_ord", "k"))
+    keys = F.filter(keys, lambda k: k["value"].isNotNull() & (k["value"] != ""))
+    if keyless:
+        keys = F.when(F.size(keys) > 0, keys).otherwise(one(F.lit(None).cast("string"), F.pmod(F.xxhash64("frag_id"), F.lit(1024)).cast("string")))
+    rows = fragments.select("frag_id", "frag_ord", F.posexplode(keys).alias("key_ord", "k"))
     return rows.select("frag_id", "frag_ord", "key_ord", rank[F.col("k.key")].alias("priority"), F.col("k.key").alias("key"), F.col("k.value").alias("value"))
 
 
@@ -68,6 +73,15 @@ def earlier(keys: DataFrame, tables: Tables) -> DataFrame:
     return met.filter(same).select("frag_ord", "key_ord", "priority", F.col("prev.frag_ord").alias("parent"))
 
 
+def match_by(best: Column) -> list[Column]:
+    """key_used, confidence, reason of a cluster, by the priority of its best match (null: none)."""
+    used = F.create_map(*(F.lit(x) for i, k in enumerate(CONFIDENCE) for x in (i, k)))
+    sure = F.create_map(*(F.lit(x) for i, k in enumerate(CONFIDENCE) for x in (i, CONFIDENCE[k])))
+    key = F.coalesce(used[best], F.lit(NEW))
+    reason = F.when(best.isNull(), "No deterministic identity key matched").otherwise(F.concat(F.lit("Matched by "), key))
+    return [key.alias("key_used"), F.coalesce(sure[best], F.lit(0.0)).alias("confidence"), reason.alias("reason")]
+
+
 def greedy_clusters(fragments: DataFrame, keys: DataFrame, tables: Tables) -> DataFrame:
     """cluster_ord, frag_id, frag_ord, key_used, confidence, reason, evidence; the key and confidence are the best of the cluster's matches."""
     first = F.min_by(F.struct("priority", "parent"), "key_ord")
@@ -75,18 +89,10 @@ def greedy_clusters(fragments: DataFrame, keys: DataFrame, tables: Tables) -> Da
     above = roots(tables.table(matches.select(F.col("frag_ord").alias("node"), F.col("parent").alias("up")), "parents"), tables)
     led = matches.join(above, F.col("frag_ord") == F.col("node")).select("frag_ord", "priority", F.col("up").alias("cluster"))
     found = tables.table(fragments.select("frag_ord").join(led, "frag_ord", "left").select(F.coalesce("cluster", "frag_ord").alias("cluster"), "priority", "frag_ord"), "clusters")
-    names = list(CONFIDENCE)
-    used = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, k)))
-    sure = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (i, CONFIDENCE[k])))
     best = found.groupBy("cluster").agg(F.min("priority").alias("best"))
     labels = {"linkedin_url": "linkedin", "github_url": "github"}
-    label = F.create_map(*(F.lit(x) for k in names for x in (k, labels.get(k, k))))
+    label = F.create_map(*(F.lit(x) for k in CONFIDENCE for x in (k, labels.get(k, k))))
     proof = keys.join(found.select("cluster", "frag_ord"), "frag_ord").groupBy("cluster", "key", "value").agg(F.min(F.struct("frag_ord", "key_ord")).alias("at"))
     proof = proof.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.concat(label[F.col("key")], F.lit(":"), F.col("value")).alias("text")))), lambda x: x["text"]).alias("evidence"))
     out = found.join(best, "cluster").join(fragments.select("frag_ord", "frag_id"), "frag_ord").join(proof, "cluster", "left")
-    key = F.coalesce(used[F.col("best")], F.lit(NEW))
-    return out.select(
-        F.col("cluster").alias("cluster_ord"), "frag_id", "frag_ord", key.alias("key_used"), F.coalesce(sure[F.col("best")], F.lit(0.0)).alias("confidence"),
-        F.when(F.col("best").isNull(), "No deterministic identity key matched").otherwise(F.concat(F.lit("Matched by "), key)).alias("reason"), "evidence",
-    )
-
+    return out.select(F.col("cluster").alias("cluster_ord"), "frag_id", "frag_ord", *match_by(F.col("best")), "evidence")

@@ -19,7 +19,7 @@ from .functions.similarity import text_similarity
 from .operators import asof, confidence, dictionary, evidence, fusion, identity, intervals, projection, report, sampling, sketches, validation
 from .plans.tables import Tables
 from .sources import ats_json, resume
-from .streaming import sessions
+from .streaming import arrivals, sessions
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -424,16 +424,33 @@ led as (select f, f as root from nodes where f not in (select f from m) union al
 best as (select root, min(p) as p from led left join m using (f) group by root)"""
 
 
-@query(
-    f"""with recursive nodes as (select event_id as f from events), k as (select event_id as f, 0 as o, 1 as p, user_id || '@' || strftime(ts, '%Y-%m-%d') as v from events
+GREEDY_SQL = f"""with recursive nodes as (select event_id as f from events), k as (select event_id as f, 0 as o, 1 as p, user_id || '@' || strftime(ts, '%Y-%m-%d') as v from events
   union all select event_id, 1, 2, 'k' || (json_extract(props, '$.k')::int) || '@' || strftime(ts, '%Y-%m-%d %H') from events where event_id % 7 = 0), {FOREST}
 select root as cluster_ord, f as frag_ord, case p when 1 then 'email' when 2 then 'phone' else '{identity.NEW}' end as key_used, case p when 1 then 0.98::double when 2 then 0.96 else 0.0 end as confidence from led join best using (root)"""
-)
+
+
+@query(GREEDY_SQL)
 def identity_greedy(spark, sf):
     fragments, keys = event_keys(spark, sf)
     return identity.greedy_clusters(fragments, keys, Tables(spark, "greedy")).select("cluster_ord", "frag_ord", "key_used", "confidence")
 
 
+@query(GREEDY_SQL)
+def identity_arrivals(spark, sf):
+    """The same clusters, from events that arrive in three parts: each is a run of the stream that starts from the state the last one left."""
+    _, keys = event_keys(spark, sf)
+    tables = Tables(spark, "arriving")
+    keys = tables.table(keys, "keys")
+    cuts = keys.approxQuantile("frag_ord", [0.0, 1 / 3, 2 / 3], 0.01)
+    for begin, end in zip(cuts, [*cuts[1:], None]):
+        at = F.col("frag_ord")
+        keys.filter(at >= begin if end is None else (at >= begin) & (at < end)).write.mode("append").parquet(f"{tables.root}/in")
+        stream = spark.readStream.schema(keys.schema).parquet(f"{tables.root}/in")
+        arrivals.start(stream, f"{tables.root}/out", f"{tables.root}/log", span=4096).awaitTermination()
+    told = arrivals.clusters(spark, f"{tables.root}/out") if cuts else spark.createDataFrame([], "cluster string, frag_ord bigint, key_used string, confidence double")
+    return told.select(F.col("cluster").cast("bigint").alias("cluster_ord"), "frag_ord", "key_used", "confidence")
+
+
 @query(
     """with c as (select *, lower(c_name) as n from customer join nation on n_nationkey = c_nationkey),
 k as (select c_custkey, 0 as priority, 'linkedin_url' as key, 'https://linkedin.com/in/' || c_custkey as value from c where c_custkey % 2 = 0
