@@ -63,14 +63,21 @@ def earlier(keys: DataFrame, tables: Tables) -> DataFrame:
 
     Keys are sorted by ranges, so a key of many fragments lies over several; the last row of each range is known to the next."""
     once = keys.groupBy("key", "value", "frag_ord").agg(F.min("key_ord").alias("key_ord"), F.min("priority").alias("priority"))
-    order = ("key", "value", "frag_ord")
-    rows = tables.table(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "keys")
+    met = with_previous(once, ("key", "value", "frag_ord"), ["key", "value"], tables)
+    return met.filter("previous is not null").select("frag_ord", "key_ord", "priority", F.col("previous.frag_ord").alias("parent"))
+
+
+def with_previous(rows: DataFrame, order: tuple[str, ...], by: list[str], tables: Tables) -> DataFrame:
+    """rows with ``previous``: the columns of ``order`` of the row before, where that has the same ``by``; null for the first. ``by`` begins ``order``."""
+    rows = tables.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "keys")
     own = F.struct(*order)
     last = rows.groupBy("part").agg(F.max(own).alias("last"))  # one row a range
     last = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
     met = rows.join(F.broadcast(last), "part").withColumn("prev", F.coalesce(F.lag(own).over(Window.partitionBy("part").orderBy(*order)), "before"))
-    same = (F.col("prev.key") == F.col("key")) & (F.col("prev.value") == F.col("value"))
-    return met.filter(same).select("frag_ord", "key_ord", "priority", F.col("prev.frag_ord").alias("parent"))
+    same = F.lit(True)
+    for c in by:
+        same = same & (F.col("prev")[c] == F.col(c))
+    return met.withColumn("previous", F.when(same, F.col("prev"))).drop("part", "before", "prev")
 
 
 def match_by(best: Column) -> list[Column]:

@@ -1,18 +1,15 @@
 """Greedy identity as fragments arrive: a new fragment joins its cluster, and nothing that came before is worked out again.
 
 The order is that of arrival: batch by batch, within a batch by (frag_ord, frag_id). The result is that of ``identity.greedy_clusters`` over all fragments in
-that order; a cluster bears the frag_id of the fragment that founded it. State is one row per identity key (the latest fragment that has it), kept by Spark's state store.
-Each batch then follows parents inside itself to their roots, and looks up the clusters of those earlier fragments that the roots follow: the table of clusters
+that order; a cluster bears the frag_id of the fragment that founded it. State is a table of the latest fragment of each identity key, to which a batch adds its own keys' rows;
+a batch scans it once, natively and without sorting it where its keys are few. Each batch then follows parents inside itself to their roots, and looks up the clusters of those earlier fragments that the roots follow: the table of clusters
 is partitioned by ``span`` of frag_ord, so only the spans with such a fragment are read."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import identity
 from ..plans.tables import PARENTS, Tables, few, roots
@@ -23,47 +20,40 @@ CLUSTERS = "frag_id string, frag_ord bigint, cluster string, priority int, batch
 SPAN = 3_600_000_000
 #: Spans up to which a batch names those it reads.
 SPANS = 1000
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class Latest(StatefulProcessor):
-    """For each fragment that has a key, the fragment that had it before: in this batch (``inside``), or else as the state has it.
-
-    A call holds a key's rows of one batch, of fixed width but for frag_id, so the stream's own limit of files a batch bounds it. Rows without a key are passed on as they come."""
-
-    def __init__(self, within: int | None):
-        self._within = within
-
-    def init(self, handle) -> None:
-        self._latest = handle.getValueState("latest", "frag_id string, frag_ord bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["frag_id", "frag_ord", "key_ord", "priority"]
-        if key[0] is None:
-            for part in rows:
-                yield part[columns].assign(parent=None, parent_ord=None, inside=False)
-            return
-        got = pd.concat([part[columns] for part in rows], ignore_index=True)
-        if len(got) > 1:
-            got = got.groupby(["frag_ord", "frag_id"], as_index=False, sort=True).min()[columns]
-        before, old = self._latest.get() or (None, None)
-        ids, ords = got["frag_id"].tolist(), got["frag_ord"].tolist()
-        self._latest.update((ids[-1], ords[-1]))
-        got = got.assign(parent=[before, *ids[:-1]], parent_ord=pd.array([old, *ords[:-1]], dtype="Int64"), inside=[False] + [True] * (len(got) - 1))
-        if self._within is not None:
-            past = (got["frag_ord"] - got["parent_ord"] > self._within).fillna(False)
-            got = got.assign(parent=got["parent"].mask(past, None), parent_ord=got["parent_ord"].mask(past), inside=got["inside"] & ~past)
-        yield got
-
-    def close(self) -> None:
-        pass
-
-
-def met(keys: DataFrame, within: int | None = None) -> DataFrame:
-    """MET, from a stream of ``identity.KEYS``. ``within``: a key leads to the fragment that had it before only if frag_ord has grown by this at most since
-    (always, by default); its row of state stays, so that a run tells the same however its batches were cut."""
-    return keys.groupBy("key", "value").transformWithStateInPandas(Latest(within), MET, "Update", "None")
+#: Rows of a batch's spans that share a file, and the most files of a span.
+SHARE, SHARES = 100_000, 16
+LATEST = "key string, value string, frag_id string, frag_ord bigint, batch int"
+
+
+def met(batch: DataFrame, n: int, path: str, tables: Tables, within: int | None = None) -> DataFrame:
+    """MET of batch ``n`` (``identity.KEYS``): for each fragment that has a key, the fragment that had it before, in this batch (``inside``) or in an earlier one.
+    Its latest fragment of each key goes to a folder of its own of the table at ``path``.
+
+    Rows are sorted by ranges (``earlier``), so a hot key lies over many tasks; only a key's first row asks what earlier batches had, and few keys are told to the table's
+    readers rather than shuffled with it. ``within``: a key leads to the fragment that had it before only if frag_ord has grown by this at most since (always, by default);
+    its row stays, so that a run tells the same however its batches were cut."""
+    none = {"parent": F.lit(None).cast("string"), "parent_ord": F.lit(None).cast("bigint"), "inside": F.lit(False)}
+    by = ["key", "value"]
+    once = batch.filter("key is not null").groupBy(*by, "frag_ord", "frag_id").agg(F.min("key_ord").alias("key_ord"), F.min("priority").alias("priority"))
+    rows = tables.table(identity.with_previous(once, (*by, "frag_ord", "frag_id"), by, tables), "keyed")
+    first = tables.table(rows.filter("previous is null"), "first_of_keys")
+    known = latest(batch.sparkSession, path).filter(F.col("batch") < n) if n else None
+    if known is not None:
+        wanted = first.select(*by)
+        asked = known.join(F.broadcast(wanted) if few(wanted, PARENTS) else wanted, by, "left_semi").groupBy(*by).agg(F.max(F.struct("batch", "frag_ord", "frag_id")).alias("at"))
+        asked = tables.table(asked.select(*by, F.col("at.frag_id").alias("parent"), F.col("at.frag_ord").alias("parent_ord")), "asked")
+        first = first.join(F.broadcast(asked) if few(asked, PARENTS) else asked, by, "left")
+    else:
+        first = first.withColumns({c: none[c] for c in ("parent", "parent_ord")})
+    last = rows.groupBy(*by).agg(F.max(F.struct("frag_ord", "frag_id")).alias("at")).select(*by, "at.frag_id", "at.frag_ord")
+    last.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    columns = ["frag_id", "frag_ord", "key_ord", "priority", "parent", "parent_ord", "inside"]
+    later = rows.filter("previous is not null").withColumns({"parent": F.col("previous.frag_id"), "parent_ord": F.col("previous.frag_ord"), "inside": F.lit(True)})
+    out = later.select(*columns).unionByName(first.withColumn("inside", F.lit(False)).select(*columns))
+    if within is not None:
+        past = F.coalesce(F.col("frag_ord") - F.col("parent_ord") > within, F.lit(False))
+        out = out.withColumns({c: F.when(~past, F.col(c)) for c in ("parent", "parent_ord")} | {"inside": F.col("inside") & ~past})
+    return out.unionByName(batch.filter("key is null").withColumns(none).select(*columns))
 
 
 def followed(known: DataFrame, outer: DataFrame) -> DataFrame:
@@ -89,21 +79,30 @@ def settle(batch: DataFrame, n: int, path: str, span: int = SPAN) -> None:
         found = tables.table(known.join(F.broadcast(outer) if few(outer, PARENTS) else outer, ["_id", "span"]).select("top", "cluster").dropDuplicates(["top"]), "found")
         out = top.join(F.broadcast(found) if few(found, PARENTS) else found, "top", "left")
         out = out.select("frag_id", "frag_ord", F.coalesce("cluster", "top").alias("cluster"), "priority", F.floor(F.col("frag_ord") / span).alias("span"))
-        out.repartition("span", F.pmod(F.hash("frag_id"), F.lit(16))).write.mode("overwrite").partitionBy("span").parquet(f"{path}/batch={n}")
+        per_span = out.groupBy("span").agg(F.least(F.lit(SHARES), F.ceil(F.count(F.lit(1)) / SHARE)).alias("_files"))
+        out = out.join(per_span, "span").withColumn("_file", F.pmod(F.hash("frag_id"), F.col("_files")))
+        out.repartition("span", "_file").drop("_file", "_files").write.mode("overwrite").partitionBy("span").parquet(f"{path}/batch={n}")
     finally:
         tables.close()
 
 
 def start(keys: DataFrame, path: str, checkpoint: str, span: int = SPAN, within: int | None = None) -> StreamingQuery:
-    """Clusters of all that has arrived, into the table at ``path``, then stops. ``checkpoint`` holds the state; a run begins where the last one ended."""
-    spark = keys.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)  # the store that keyed state variables need; a query takes it at its start
-    try:
-        sink = met(keys, within).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        return sink.foreachBatch(lambda batch, n: settle(batch, n, path, span)).start()
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    """Clusters of all that has arrived, into the table at ``path``, then stops. ``checkpoint`` holds the stream's log and the state; a run begins where the last one
+    ended. A batch that runs again replaces what it wrote."""
+
+    def settled(batch: DataFrame, n: int) -> None:
+        tables = Tables(batch.sparkSession, "met")
+        try:
+            settle(met(tables.table(batch, "batch"), n, f"{checkpoint}/latest", tables, within), n, path, span)
+        finally:
+            tables.close()
+
+    return keys.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(settled).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """LATEST as written so far: for each key, and each batch that had it, the last fragment with it."""
+    return spark.read.schema(LATEST).parquet(path)
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:

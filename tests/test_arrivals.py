@@ -82,3 +82,13 @@ def test_fragments_without_keys_are_rows(spark):
     rows = rows.withColumns({"emails": F.col("emails").cast(item("normalized", "value")), "phones": F.col("phones").cast(item("e164", "raw")), "location": F.lit(None).cast("struct<city:string,country:string,country_code:string>")})
     got = [tuple(r)[2:5] for r in identity.identity_keys(rows, keyless=True).orderBy("frag_ord").collect()]
     assert got == [(0, None, None), (0, 4, "full_name")] and identity.identity_keys(rows).count() == 1
+
+
+def test_a_batch_has_few_files_and_one_row_a_key(spark, tmp_path):
+    """What a batch costs follows its rows: no files beyond what a span's rows need, a row of state a key, kept as a table."""
+    keys = [[(1, "email", f"e{i % 150}")] for i in range(400)]
+    rows = arrive(spark, tmp_path, [keys[:300], keys[300:]], span=100).collect()
+    assert {int(r["cluster"]) for r in rows} == set(range(150)) and len(rows) == 400
+    assert [len(list((tmp_path / "out").glob(f"batch={n}/span=*/*.parquet"))) for n in (0, 1)] == [3, 1]
+    kept = {(r["batch"], r["value"]): r["frag_ord"] for r in arrivals.latest(spark, f"{tmp_path}/log/latest").collect()}
+    assert kept == {(0, f"e{i}"): i + 150 for i in range(150)} | {(1, f"e{i % 150}"): i for i in range(300, 400)}
