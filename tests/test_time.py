@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from entityfusion.operators import asof, sampling
+from entityfusion.operators import asof, intervals, sampling
 from entityfusion.streaming import sessions
 
 
@@ -62,3 +62,13 @@ def test_sessions_in_batch_and_stream(spark, tmp_path):
     batch = {(r["who"], r["begin"], r["last"], r["n"]) for r in sessions.sessions(spark.createDataFrame(first + second, schema), "who", "at", "10 minutes").collect()}
     assert batch == {("a", minutes(0), minutes(9), 2), ("a", minutes(30), minutes(35), 2), (None, minutes(1), minutes(1), 1), ("b", minutes(3), minutes(3), 1), ("b", minutes(300), minutes(300), 1)}
     assert told == {s for s in batch if s[1] < minutes(300)}
+
+
+def test_told_bins_do_not_go_through_the_driver(spark, tmp_path):
+    """Few periods in a small file, told to many bins each: the planner knows only the file."""
+    rows = [(i % 5, i, datetime(1995, 1, 1) + timedelta(days=i), None) for i in range(300)]
+    spark.createDataFrame(rows, "g int, k int, s timestamp, e timestamp").write.parquet(f"{tmp_path}/periods")
+    made = intervals.overlapping(spark.read.parquet(f"{tmp_path}/periods"), "g", "k", "s", "e", days=1)
+    assert made.count() == 5 * 60 * 59 // 2
+    made.collect()
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
