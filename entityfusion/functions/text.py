@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import bound
+
 SPACE_EDGES = r"(?U)^\s+|\s+$"
 
 
@@ -30,7 +32,7 @@ def strip(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return bound(text, lambda t: F.when(t != "", t))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -68,19 +70,25 @@ MISREAD = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-
 COMPOUND = r"(?i)\b(Postgre|My|Micro|Type|Java|ECMA|Action)\s+(SQL|Script|Soft|Word|Office|Excel|Point|Server|Force|Sheet)\b"
 
 
-def repair_ocr_tokens(text: Column, compose: bool = True) -> Column:
+#: Characters of words, as a regular-expression class body: in Unicode's sense, and in the sense of engines whose word edges are of ASCII.
+WORD, ASCII_WORD = r"\p{L}\p{Mn}\p{N}_", "A-Za-z0-9_"
+
+
+def repair_ocr_tokens(text: Column, compose: bool = True, word: str = WORD) -> Column:
     """Quotes and dashes, line-wrap hyphens, split compounds, an acronym and a short capitalised word after it on one line, split acronyms of two
-    to six letters, spaced ordinals; white space within lines collapsed. What is left empty is null."""
+    to six letters, spaced ordinals; white space within lines collapsed. What is left empty is null. ``word``: the characters between which no word ends;
+    \\b is not used, as its sense depends on the version of Java."""
+    edged = lambda pattern: pattern.replace(r"\b", f"(?<![{word}])", 1).replace(r"\b", f"(?![{word}])")
     t = nfkc(text) if compose else text
     t = F.translate(t, "".join(MISREAD), "".join(MISREAD.values()))
     t = F.regexp_replace(F.regexp_replace(t, "…", "..."), "\u00ad", "")
     t = F.regexp_replace(t, r"(?U)(?<=\w)-\s+(?=[a-z])", "")
-    t = F.regexp_replace(t, COMPOUND, "$1$2")
-    t = F.regexp_replace(t, r"(?U)\b([A-Z]{2,})\s+([A-Z][a-z]{1,2})\b(?=\s|$)", "$1 $2")
+    t = F.regexp_replace(t, edged(COMPOUND), "$1$2")
+    t = F.regexp_replace(t, edged(r"(?U)\b([A-Z]{2,})\s+([A-Z][a-z]{1,2})(?=\s|$)"), "$1 $2")
     # both parts of the pattern have at most five letters together, so every match is a plausible acronym
-    t = F.regexp_replace(t, r"\b([A-Z][a-z]?)\s+([A-Z])\s+([A-Z])\b", "$1$2$3")
-    t = F.regexp_replace(t, r"\b([A-Z][a-z]?)\s+([A-Z])\b", "$1$2")
-    t = F.regexp_replace(t, r"(?i)\b(\d{1,4})\s+(th|st|nd|rd)\b", "$1$2")
+    t = F.regexp_replace(t, edged(r"\b([A-Z][a-z]?)\s+([A-Z])\s+([A-Z])\b"), "$1$2$3")
+    t = F.regexp_replace(t, edged(r"\b([A-Z][a-z]?)\s+([A-Z])\b"), "$1$2")
+    t = F.regexp_replace(t, edged(r"(?i)\b(\d{1,4})\s+(th|st|nd|rd)\b"), "$1$2")
     return blank_to_null(strip(F.regexp_replace(t, r"(?U)[^\S\n]+", " ")))
 
 

@@ -79,3 +79,10 @@ def test_links_and_contacts(spark):
     assert value(spark, values.extract_phones, t) == ["+1 415-555-0101"]
     assert value(spark, values.extract_links, t) == ["www.x.example.com/q"]
     assert value(spark, values.extract_emails, None) == []
+
+
+def test_word_edges(spark):
+    """Letters that are not of ASCII belong to words, or don't where the caller says so."""
+    told = "am 5433 stä, T Oä, Type  Scriptß, 3 rd"
+    assert value(spark, text.repair_ocr_tokens, told) == "am 5433 stä, T Oä, Type Scriptß, 3rd"
+    assert value(spark, lambda t: text.repair_ocr_tokens(t, word=text.ASCII_WORD), told) == "am 5433stä, TOä, TypeScriptß, 3rd"
