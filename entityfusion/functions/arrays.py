@@ -21,8 +21,11 @@ def first_where(items: Column, wanted: Callable[[Column], Column]) -> Column:
 def headed(items: Column, head_of: Callable[[Column], Column]) -> Column:
     """Array of (head, item, rest): for each item that ``head_of`` gives a value for, that value, the item, and the items up to the next such one.
 
-    Items before the first head belong to none."""
+    Items before the first head belong to none. Items are worked out once a row, not once a head."""
+    return bound(items, lambda once: _headed(once, head_of))
 
+
+def _headed(items: Column, head_of: Callable[[Column], Column]) -> Column:
     def runs(marks: Column) -> Column:
         end = lambda k: F.coalesce(F.get(marks, k + 1)["at"], F.size(items))
         one = lambda m, k: F.struct(m["head"].alias("head"), F.get(items, m["at"]).alias("item"), F.slice(items, m["at"] + 2, end(k) - m["at"] - 1).alias("rest"))

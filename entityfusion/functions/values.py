@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound
 from .text import blank_to_null, normalize_whitespace, strip
 
 #: Patterns of contacts in running text.
@@ -55,13 +56,16 @@ def normalize_phone(raw: Column) -> Column:
 
 def normalize_url(raw: Column) -> Column:
     """Lower-cased, with a scheme, without ``www.`` and without slashes at the path's end; query and fragment stay."""
-    text = blank_to_null(strip(raw))
-    full = F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", "")))
-    part = lambda i: F.regexp_extract(full, r"(?s)^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", i)
-    host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
-    path = F.regexp_replace(part(3), "/+$", "")
-    query, fragment = (F.when(F.length(part(i)) > 1, part(i)).otherwise("") for i in (4, 5))
-    return F.when(text.isNotNull(), F.lower(F.concat(part(1), F.lit("://"), host, path, query, fragment)))
+
+    def cut(full: Column) -> Column:
+        part = lambda i: F.regexp_extract(full, r"(?s)^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", i)
+        host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
+        path = F.regexp_replace(part(3), "/+$", "")
+        query, fragment = (bound(part(i), lambda p: F.when(F.length(p) > 1, p).otherwise("")) for i in (4, 5))
+        return F.lower(F.concat(part(1), F.lit("://"), host, path, query, fragment))
+
+    full = lambda text: F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", "")))
+    return bound(bound(blank_to_null(strip(raw)), full), cut)
 
 
 def link_slot(url: Column) -> Column:
@@ -74,12 +78,24 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy", "d MMM yyyy", "MMM d,
 MONTH_FORMATS = ("MMM yyyy", "MMMM yyyy", "yyyy-MM", "MM/yyyy")
 
 
+def _dated(text: Column, form: str) -> Column:
+    """The date of a text in one format. A text without the format's separators in order is not tried: a failure costs an exception."""
+    shape = "".join(f"%{c}" for c in form if not c.isalpha()) + "%"
+    return F.when(text.like(shape), F.try_to_date(text, form))
+
+
 def parse_date(text: Column, default_day: int = 1) -> Column:
     """The date of a text in one of the formats known; null for others."""
-    t = normalize_whitespace(text)
-    month = F.coalesce(*(F.try_to_date(t, f) for f in MONTH_FORMATS))
-    day = F.least(F.lit(default_day), F.dayofmonth(F.last_day(month)))
-    return F.coalesce(F.try_to_date(F.substring(t, 1, 10), DATE_FORMATS[0]), *(F.try_to_date(t, f) for f in DATE_FORMATS[1:]), F.date_add(F.trunc(month, "month"), day - 1))
+
+    def in_month(month: Column) -> Column:
+        day = F.least(F.lit(default_day), F.dayofmonth(F.last_day(month)))
+        return F.date_add(F.trunc(month, "month"), day - 1)
+
+    def tried(t: Column) -> Column:
+        month = F.coalesce(*(_dated(t, f) for f in MONTH_FORMATS))
+        return F.coalesce(_dated(F.substring(t, 1, 10), DATE_FORMATS[0]), *(_dated(t, f) for f in DATE_FORMATS[1:]), bound(month, in_month))
+
+    return bound(normalize_whitespace(text), tried)
 
 
 def parse_year(text: Column) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entityfusion.functions import similarity, text, values
+from entityfusion.functions.arrays import headed
 
 
 def value(spark, make, *given, kind="string"):
@@ -86,3 +87,12 @@ def test_word_edges(spark):
     told = "am 5433 stä, T Oä, Type  Scriptß, 3 rd"
     assert value(spark, text.repair_ocr_tokens, told) == "am 5433 stä, T Oä, Type Scriptß, 3rd"
     assert value(spark, lambda t: text.repair_ocr_tokens(t, word=text.ASCII_WORD), told) == "am 5433stä, TOä, TypeScriptß, 3rd"
+
+
+def test_items_are_worked_out_once_a_row(spark):
+    """Heads, dates and links refer to what they are made of many times; it stands once in the plan."""
+    text_of = lambda made: spark.createDataFrame([("a b a c",)], "t string").select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    split = F.split(F.col("t"), " ")
+    assert text_of(headed(split, lambda x: F.when(x == "a", x))).count("split(") == 1
+    for use in (values.parse_date, values.normalize_url, text.blank_to_null):
+        assert text_of(use(F.concat(F.reverse("t"), F.col("t")))).count("reverse(") == 1, use
