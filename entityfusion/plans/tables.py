@@ -68,6 +68,16 @@ def few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+#: Rows a task sorts or collects at most, in the mean: tens of bytes to some hundred each.
+TASK_ROWS = 250_000
+
+
+def shares(spark: SparkSession, rows: int) -> int:
+    """Parts that so many rows are dealt over: as many as Spark's shuffles have at least, and more as rows grow, so that what one task holds does not. A
+    number that is stated is kept; adaptive execution joins other parts by their compressed bytes, however many rows those are."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def _renamed(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """df with the values of ``column`` that have a parent (node, up) replaced by it."""
     met = df.join(parents.select(F.col("node").alias("_node"), F.col("up").alias("_up")), F.col(column) == F.col("_node"), "left")
