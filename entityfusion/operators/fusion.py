@@ -95,13 +95,16 @@ def reason_of(field: str, competing: Column, selected: Column) -> Column:
     return F.when(F.size(counted) > 1, SEVERAL).otherwise(ONE)
 
 
-def merge_decisions(items: DataFrame, selected: DataFrame, field: str, by: str = "cluster", clusters: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
+def merge_decisions(items: DataFrame, selected: DataFrame, field: str, by: str = "cluster", clusters: DataFrame | None = None, settings: Settings = DEFAULT, parts: int | None = None) -> DataFrame:
     """cluster, field, strategy, competing, selected, rejected, reason, confidence, one row a cluster that has values (each cluster of ``clusters``
-    if given). items: cluster, ord, value; selected: cluster, value, and ``ord`` where the order of what was selected matters."""
+    if given). items: cluster, ord, value; selected: cluster, value, and ``ord`` where the order of what was selected matters.
+
+    parts: how many parts clusters are dealt over (``tables.shares`` of the items), which bounds what a task collects; by default as Spark sees fit, by bytes."""
     none = F.array().cast("array<string>")
-    competing = items.filter("value is not null").groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("value").cast("string").alias("value")))), lambda x: x["value"]).alias("competing"))
+    dealt = (lambda df: df.repartition(parts, by)) if parts else (lambda df: df)
+    competing = dealt(items.filter("value is not null")).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("value").cast("string").alias("value")))), lambda x: x["value"]).alias("competing"))
     place = F.col("ord") if "ord" in selected.columns else F.col("value").cast("string")
-    chosen = selected.filter("value is not null").groupBy(by).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("value").cast("string").alias("value")))), lambda x: x["value"])).alias("selected"))
+    chosen = dealt(selected.filter("value is not null")).groupBy(by).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("value").cast("string").alias("value")))), lambda x: x["value"])).alias("selected"))
     base = competing if clusters is None else clusters.select(by).distinct().join(competing, by, "left")
     out = base.join(chosen, by, "left").withColumns({"selected": F.coalesce("selected", none), "competing": F.coalesce("competing", none)})
     lists = field in ("emails", "phones", "skills", "experience", "education", "links")

@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from entityfusion.operators import asof, intervals, sampling
+from entityfusion.operators import asof, fusion, intervals, sampling
+from entityfusion.plans import tables
 from entityfusion.streaming import sessions
 
 
@@ -72,3 +73,18 @@ def test_told_bins_do_not_go_through_the_driver(spark, tmp_path):
     assert made.count() == 5 * 60 * 59 // 2
     made.collect()
     assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_grow_with_rows(spark, monkeypatch):
+    """However small the rows are in bytes: what one task sorts is bounded by their number."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    rows = spark.range(1500).selectExpr("id % 7 as k", "id as t")
+    made = asof.as_of(rows, rows.filter("t % 3 = 0"), "k", "t", "t", "t")
+    assert made.rdd.getNumPartitions() == 20
+    assert all(r["version"] is None or r["version"]["t"] <= r["t"] for r in made.collect()) and made.count() == 1500
+
+
+def test_decisions_are_dealt_by_rows(spark):
+    items = spark.range(900).selectExpr("id % 90 as cluster", "id as ord", "cast(id % 2 as string) as value")
+    made = fusion.merge_decisions(items, items.groupBy("cluster").agg(F.max("value").alias("value")), "headline", parts=9)
+    assert made.rdd.getNumPartitions() == 9 and {len(r["competing"]) for r in made.collect()} == {10}
