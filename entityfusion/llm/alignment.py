@@ -19,8 +19,11 @@ Repeated rows are documents of their own and count twice; a null doc_id is kept;
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import string
+from array import array
 from hashlib import sha256
 
 import numpy as np
@@ -69,10 +72,22 @@ def bytes_b(path: str):
     return made, spelt, " " + "".join(c for c in spaces if c != " " and c not in joined)
 
 
-def chunk_pattern(cuts: str) -> re.Pattern:
-    """Chunks: white space, other characters, and what follows up to a place before one of ``cuts``."""
-    space, other = f"[{WHITE_SPACE}]", f"[^{WHITE_SPACE}]"
-    return re.compile(f"{space}*{other}+(?:(?![{re.escape(cuts)}]){space}+{other}*)*|{space}+")
+def marks_apart(a, spelt_a: list[bytes], b, spelt_b: list[bytes]) -> str:
+    """Punctuation marks before which both tokenizers cut behind a letter of ASCII: A's pattern ends a match there, and no entry of either
+    vocabulary holds the two side by side, so no merge leads over the place."""
+    made = json.loads(a.pre_tokenizer.__getstate__()) if a.pre_tokenizer else {}
+    if a.normalizer or made.get("type") != "ByteLevel" or not made["use_regex"] or len(b.encode("a")) != 1:
+        return ""
+    joined = {m for t in (*spelt_a, *spelt_b) for m in re.findall(rb"[A-Za-z]([!-/:-@\[-`{-~])", t)}
+    return "".join(c for c in string.punctuation if c.encode() not in joined)
+
+
+def chunk_pattern(cuts: str, marks: str = "") -> re.Pattern:
+    """Chunks: white space, other characters, and what follows up to a place before one of ``cuts``, or between a letter of ASCII and one of ``marks``."""
+    space, letter, cut = f"[{WHITE_SPACE}]", "[A-Za-z]", f"(?![{re.escape(cuts)}])"
+    other, on = f"[^A-Za-z{WHITE_SPACE}]", f"[^A-Za-z{WHITE_SPACE}{re.escape(marks)}]"
+    rest = f"(?:{on}{other}*{letter}*)*"
+    return re.compile(f"{space}*(?:{other}+{letter}*|{letter}+){rest}(?:{cut}{space}+{other}*{letter}*{rest})*|{space}+")
 
 
 class Transducer:
@@ -152,25 +167,27 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.spelt_a = bytes_a(path_a)
         self.b, self.spelt_b, cuts = bytes_b(path_b)
-        self.word_start = self.b.piece_to_id("▁")
-        self.pattern, self.transducer = chunk_pattern(cuts), Transducer(self.spelt_a, self.spelt_b)
+        self.word_start, self.letter = self.b.piece_to_id("▁"), self.b.encode("a")
+        self.marks = marks_apart(self.a, self.spelt_a, self.b, self.spelt_b)
+        self.pattern, self.transducer = chunk_pattern(cuts, self.marks), Transducer(self.spelt_a, self.spelt_b)
         self.cache = ChunkCache(self._fill)
 
     def _pieces(self, chunks: list[str]) -> list[list[int]]:
-        """B's ids of each chunk. B puts a space before what it gets: that is a chunk's own first space, or is taken off again."""
-        given = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [(ids or [self.word_start]) if c[0] == " " else ids[1:] if ids[:1] == [self.word_start] else [] for c, ids in zip(chunks, given, strict=True)]
+        """B's ids of each chunk. B puts a space before what it gets: that is a chunk's own first space, or is taken off again, with a letter where
+        a chunk begins behind one."""
+        marks = self.marks
+        given = self.b.encode([c[1:] if c[0] == " " else f"a{c}" if c[0] in marks else c for c in chunks], num_threads=1)
+        start = lambda c: self.letter if c[0] in marks else [self.word_start]
+        return [(ids or [self.word_start]) if c[0] == " " else ids[1:] if ids[:1] == start(c) else [] for c, ids in zip(chunks, given, strict=True)]
 
     def _fill(self, chunks: list[str]):
         """For each chunk: groups, pairs (8 bytes each), tokens of A and of B; None where it is not spelt back."""
-        encoded = self.a.encode_batch_fast(chunks, add_special_tokens=False)
+        encoded, spelt = self.a.encode_batch_fast(chunks, add_special_tokens=False), self.spelt_a.__getitem__
         for c, e, b in zip(chunks, encoded, self._pieces(chunks), strict=True):
-            a, raw = e.ids, c.encode()
-            if b"".join(map(self.spelt_a.__getitem__, a)) != raw or b"".join(map(self.spelt_b.__getitem__, b)) != raw:
-                yield None
-            else:
-                made = self.transducer.align(a, b)
-                yield None if made is None else (made[0].encode(), np.array(made[1], np.int64).tobytes(), len(a), len(b))
+            a = e.ids
+            # what is aligned is spelt alike by both
+            made = self.transducer.align(a, b) if b"".join(map(spelt, a)) == c.encode() else None
+            yield None if made is None else (made[0].encode(), array("q", made[1]).tobytes(), len(a), len(b))
 
     def row(self, text: str) -> tuple:
         """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, times."""
@@ -180,9 +197,10 @@ class Aligner:
         self.cache.settle()
         if None in parts:
             return NONE
-        pairs, times = np.unique(np.frombuffer(b"".join([p[1] for p in parts]), np.int64), return_counts=True)
-        n_a, n_b, n_links = sum(p[2] for p in parts), sum(p[3] for p in parts), int(times.sum())
-        return n_a, n_b, n_a + n_b - n_links, n_links, sha256(b";".join([p[0] for p in parts])).hexdigest(), pairs, times
+        groups, linked, of_a, of_b = zip(*parts, strict=True)
+        pairs, times = np.unique(np.frombuffer(b"".join(linked), np.int64), return_counts=True)
+        n_a, n_b, n_links = sum(of_a), sum(of_b), int(times.sum())
+        return n_a, n_b, n_a + n_b - n_links, n_links, sha256(b";".join(groups)).hexdigest(), pairs, times
 
 
 @functools.cache

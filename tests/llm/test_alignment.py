@@ -110,3 +110,15 @@ def test_transducer():
     assert t.align([0, 2], [0, 1]) == ("0,2|0,1", [0 << alignment.SHIFT, 1, (2 << alignment.SHIFT) + 1])
     assert t.align([1, 3], [0, 1]) == ("1|0;3|1", [1 << alignment.SHIFT, (3 << alignment.SHIFT) + 1])
     assert t.align([0], [0]) is None and t.align([1], [0, 1]) is None and t.align([1], [2]) is None and t.align([1], [4, 0]) is None and t.align([], []) == ("", [])
+
+
+def test_chunks_end_before_marks():
+    """A word and the marks behind it are chunks of their own, so a word is worked out once whatever marks follow it."""
+    one = alignment.Aligner(A, B)
+    assert not set("|>") & set(one.marks) and set(",.;:!?'#") <= set(one.marks)
+    assert one.pattern.findall(" a, don't.\n,é,x|y 1,") == [" a", ",", " don", "'t", ".", "\n,é,x|y", " 1,"]
+    for t in ("word", "word,", "word.", "(word)###"):
+        one.row(t)
+    assert [c for c in one.cache.now if "word" in c] == [" word", " (word"]
+    for text in scraps(300, 9):
+        assert "".join(one.pattern.findall(" " + text)) == " " + text
