@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,34 +84,42 @@ def words_by_white_space(text: str) -> list[str]:
     return WORD.findall(text) if ODD_SEPARATORS.search(text) else text.split()
 
 
+#: What no chunk has as its value.
+ABSENT = object()
+
+
 class ChunkCache:
     """Chunk -> whatever ``fill`` computes for a list of unseen chunks.
 
     Natural text repeats its words, so most chunks cost one dictionary look-up. The size is bounded: two generations
-    of at most CACHE_ENTRIES short chunks; chunks met again move from the older to the newer one, and when the newer
+    of at most ``entries`` (CACHE_ENTRIES if not given) short chunks; chunks met again move from the older to the newer one, and when the newer
     one is full it becomes the older. Long chunks are dropped after the document.
     """
 
-    def __init__(self, fill: Callable[[list[str]], Iterable]):
-        self.fill, self.now, self.old, self.long = fill, {}, {}, []
+    def __init__(self, fill: Callable[[list[str]], Iterable], entries: int | None = None):
+        self.fill, self.entries, self.now, self.old, self.long = fill, entries, {}, {}, []
 
     def values(self, chunks: list[str]) -> Iterator:
         """The values of the chunks, in order."""
-        now, unseen = self.now, []
-        for c in set(chunks).difference(now):
-            if (known := self.old.get(c)) is None:
+        now, distinct, unseen = self.now, set(chunks), []
+        # a document's chunks meet again in a table of its own, which is small
+        mine = dict(zip(distinct, map(now.get, distinct, repeat(ABSENT)), strict=True))
+        for c in [c for c, v in mine.items() if v is ABSENT]:
+            if (known := self.old.get(c, ABSENT)) is ABSENT:
                 unseen.append(c)
             else:
-                now[c] = known
+                now[c] = mine[c] = known
         if unseen:
             self.long += [c for c in unseen if len(c) > CACHE_CHARS]
-            now.update(zip(unseen, self.fill(unseen), strict=True))
-        return map(now.__getitem__, chunks)
+            new = dict(zip(unseen, self.fill(unseen), strict=True))
+            now.update(new)
+            mine.update(new)
+        return map(mine.__getitem__, chunks)
 
     def settle(self) -> None:
         """Call between documents."""
         for c in self.long:
             self.now.pop(c, None)
         self.long = []
-        if len(self.now) > CACHE_ENTRIES:
+        if len(self.now) > (self.entries or CACHE_ENTRIES):
             self.old, self.now = self.now, {}

@@ -25,12 +25,12 @@ import itertools
 import json
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +51,31 @@ def tokenizer_at(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Words whose characters stay one by one under composition and lower-casing: printable Latin-1.
-PLAIN_WORD = re.compile("[!-~\xa1-\xff]+")
+def as_bytes(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit numbers."""
+    raw, ends = np.array(list(itertools.chain.from_iterable(ids)), "<u4").tobytes(), [0, *itertools.accumulate(4 * len(x) for x in ids)]
+    return [raw[a:b] for a, b in itertools.pairwise(ends)]
 
 
-def split_pattern(tokenizer) -> regex.Pattern | None:
-    """The pattern by which the tokenizer takes pieces from lower-cased words; None if it works in another way."""
-    made = json.loads(tokenizer.to_str())
-    steps = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", ())]
-    pre = (made.get("pre_tokenizer") or {}).get("pretokenizers", ())
+#: Words that are remembered; what is rare is put together from its pieces as fast.
+WORDS = 100_000
+#: Words, a line each, whose characters stay one by one under composition and lower-casing: printable Latin-1.
+PLAIN_WORDS = re.compile("[\n!-~\xa1-\xff]*")
+
+
+def split_pattern(tokenizer) -> re.Pattern | None:
+    """The pattern by which the tokenizer takes pieces from lower-cased words, as one of Latin-1 characters; None if it works in another way."""
+    state = lambda part: json.loads(part.__getstate__()) if part else {}
+    steps, pre = [n["type"] for n in state(tokenizer.normalizer).get("normalizers", ())], state(tokenizer.pre_tokenizer).get("pretokenizers", ())
     known = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
-    known = known and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not made.get("post_processor") and not made["model"].get("dropout")
-    return regex.compile(pre[0]["pattern"]["Regex"]) if known else None
+    known = known and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not tokenizer.post_processor and not tokenizer.model.dropout
+    if not known:
+        return None
+    letters, numbers = ("".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+    pattern = pre[0]["pattern"]["Regex"]
+    for written, of in ((r"[\p{L}]", f"[{letters}]"), (r"[\p{N}]", f"[{numbers}]"), (r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]")):
+        pattern = pattern.replace(written, of)
+    return re.compile(pattern) if r"\p" not in pattern else None
 
 
 class WordTokens:
@@ -76,19 +89,32 @@ class WordTokens:
         self.cut, self.model = split_pattern(self.tokenizer), self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.shown = {b: t for b in range(128, 256) if (t := "".join(byte_table()[x] for x in chr(b).encode("utf-8")))}
-        self.words, self.parts = ChunkCache(self._words), ChunkCache(self._parts)
+        self.words, self.parts = ChunkCache(self._words, WORDS), ChunkCache(self._parts)
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.shown))], "<u4").tobytes() for p in parts]
+        tokenize = self.model.tokenize
+        return as_bytes([[t.id for t in tokenize(p if p.isascii() else p.translate(self.shown))] for p in parts])
+
+    def _plain(self, words: str) -> bool:
+        return bool(self.cut and PLAIN_WORDS.fullmatch(words)) and not any(x in words for x in self.special)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        plain = [bool(self.cut and PLAIN_WORD.fullmatch(w)) and not any(x in w for x in self.special) for w in words]
-        cut = [self.cut.findall(w.lower()) for w, p in zip(words, plain, strict=True) if p]
-        parts = self.parts.values([x for c in cut for x in c])
-        joined = iter([b"".join(itertools.islice(parts, len(c))) for c in cut])
+        whole = "\n".join(words)
+        if not self._plain(whole):
+            plain = [self._plain(w) for w in words]
+            joined = iter(self._joined([w.lower() for w, p in zip(words, plain, strict=True) if p]))
+            rest = [w for w, p in zip(words, plain, strict=True) if not p]
+            others = iter(as_bytes([e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+            return [next(joined) if p else next(others) for p in plain]
+        return self._joined(whole.lower().split("\n"))
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Of plain words in lower case."""
+        cut = list(map(self.cut.findall, words)) if words else []
+        parts = self.parts.values(list(itertools.chain.from_iterable(cut)))
+        out = [next(parts) if len(c) == 1 else b"".join(itertools.islice(parts, len(c))) for c in cut]
         self.parts.settle()
-        whole = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
-        return [next(joined) if p else np.array(next(whole).ids, "<u4").tobytes() for p in plain]
+        return out
 
     def ids(self, text: str) -> bytes:
         out = b"".join(self.words.values(words_by_white_space(text)))

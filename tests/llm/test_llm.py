@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from entityfusion.llm import bpe, language_id, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, token_counts, vector_search, warc
-from entityfusion.llm.common import CHUNK, ChunkCache, Scratch
+from entityfusion.llm.common import CACHE_ENTRIES, CHUNK, ChunkCache, Scratch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, decoded string, fp string, spans string, lead string, piece string"
 LONG = "the quick brown fox jumps over it " * 3000
@@ -783,6 +783,19 @@ def test_word_tokens():
         assert words.ids(t) == np.array(packing.tokenizer_at(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_word_tokens_of_many_words():
+    """New words of a text are cut at once by a pattern of Latin-1; one that isn't plain sends only itself to the whole tokenizer."""
+    path = P.path("word_bpe_49k.json")
+    words, known = packing.WordTokens(path), packing.tokenizer_at(path)
+    whole = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    latin = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x100)]))
+    for w in (latin.lower(), *("a" + c + "1" + c + "'s" for c in latin.lower())):
+        assert words.cut.findall(w) == whole.findall(w)
+    for t in ("A b A's <|endoftext|> ÀÉ½ x", "日本 plain Words, ﬁ plain Å", " ".join(latin), ""):
+        assert words.ids(t) == np.array(known.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert words.words.entries < CACHE_ENTRIES
+
+
 def lengths_of(bins):
     out = Counter()
     for b, n in bins.items():
