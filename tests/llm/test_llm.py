@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from entityfusion.llm import bpe, language_id, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, token_counts, vector_search, warc
-from entityfusion.llm.common import CACHE_ENTRIES, CHUNK, ChunkCache, Scratch
+from entityfusion.llm.common import CACHE_ENTRIES, CHUNK, ChunkCache, Scratch, give_back
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, decoded string, fp string, spans string, lead string, piece string"
 LONG = "the quick brown fox jumps over it " * 3000
@@ -796,6 +796,17 @@ def test_word_tokens_of_many_words():
     assert words.words.entries < CACHE_ENTRIES
 
 
+def test_memory_is_given_back():
+    """What a task's models held is not kept by the C library for the stages after it."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    held = [bytes(100_000) for _ in range(3000)]
+    del held[::2]
+    keep = [bytes(100) for _ in range(10)]
+    before = resident()
+    give_back()
+    assert before - resident() > 100_000_000 and keep and held
+
+
 def lengths_of(bins):
     out = Counter()
     for b, n in bins.items():
