@@ -1,9 +1,13 @@
-"""Text functions as Columns. Regular expressions take \\s, \\w and \\d in their Unicode sense where ``(?U)`` is set."""
+"""Text functions as Columns. Regular expressions take \\s, \\w and \\d in their Unicode sense where ``(?U)`` is set.
+
+They run over whole texts, so each begins with a class of characters that few places have, and looks behind only there; and it matches only what it
+changes, as a text without a match is passed on as it is."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,13 +35,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_EDGES, "")
 
 
+def replaced(text: Column, pattern: str, by: str, signs: tuple[str, ...]) -> Column:
+    """regexp_replace for a pattern whose every match holds one of ``signs``: texts without any are found by a plain search, and stay as they are."""
+    return bound(text, lambda t: F.when(reduce(Column.__or__, (t.contains(c) for c in signs)), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def blank_to_null(text: Column) -> Column:
     return bound(text, lambda t: F.when(t != "", t))
 
 
 def normalize_whitespace(text: Column) -> Column:
     """Stripped, with each run of white space as one space; null stays null."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def split_multivalue(text: Column) -> Column:
@@ -49,25 +58,25 @@ def split_multivalue(text: Column) -> Column:
 def normalize_extracted_text(text: Column, compose: bool = True) -> Column:
     """Plain spaces and line ends, words rejoined over line breaks, bullets as line breaks, at most one empty line."""
     t = nfkc(text) if compose else text
-    t = F.regexp_replace(t, "[\u00a0\u2007\u202f]", " ")
-    t = F.regexp_replace(t, "\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?U)(?<=\w)[-‐‑‒–—]\s*\n\s*(?=\w)", "")
-    t = F.regexp_replace(t, "[•·●▪◦]", "\n")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
-    return F.regexp_replace(t, r"\n{3,}", "\n\n")
+    t = replaced(t, "[\u00a0\u2007\u202f]", " ", ("\u00a0", "\u2007", "\u202f"))
+    t = replaced(t, "\r\n?", "\n", ("\r",))
+    t = replaced(t, r"(?U)[-‐‑‒–—](?<=\w[-‐‑‒–—])\s*\n\s*(?=\w)", "", tuple("-‐‑‒–—"))
+    t = replaced(t, "[•·●▪◦]", "\n", tuple("•·●▪◦"))
+    t = replaced(t, r"[ \t]+\n", "\n", (" \n", "\t\n"))
+    return replaced(t, r"\n{3,}", "\n\n", ("\n\n\n",))
 
 
 def normalize_merged_words(text: Column, compose: bool = True) -> Column:
     """Spaces between lower and upper case, before the last capital of a run, and between letters and digits."""
     t = nfkc(text) if compose else text
-    t = F.regexp_replace(t, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    return normalize_whitespace(F.regexp_replace(t, r"(?U)(?<=[A-Za-z])(?=\d)|(?<=\d)(?=[A-Za-z])", " "))
+    t = F.regexp_replace(t, "(?=[A-Z])(?:(?<=[a-z])|(?<=[A-Z])(?=[A-Z][a-z]))", " ")
+    return normalize_whitespace(F.regexp_replace(t, r"(?U)(?=\d)(?<=[A-Za-z])|(?=[A-Za-z])(?<=\d)", " "))
 
 
 #: Characters that recognition confuses, and what they stand for.
 MISREAD = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "·": "-"}
 #: Compounds that recognition splits.
-COMPOUND = r"(?i)\b(Postgre|My|Micro|Type|Java|ECMA|Action)\s+(SQL|Script|Soft|Word|Office|Excel|Point|Server|Force|Sheet)\b"
+COMPOUND = r"(?i)(?=[PMTJEA])\b(Postgre|My|Micro|Type|Java|ECMA|Action)\s+(SQL|Script|Soft|Word|Office|Excel|Point|Server|Force|Sheet)\b"
 
 
 #: Characters of words, as a regular-expression class body: in Unicode's sense, and in the sense of engines whose word edges are of ASCII.
@@ -80,16 +89,16 @@ def repair_ocr_tokens(text: Column, compose: bool = True, word: str = WORD) -> C
     \\b is not used, as its sense depends on the version of Java."""
     edged = lambda pattern: pattern.replace(r"\b", f"(?<![{word}])", 1).replace(r"\b", f"(?![{word}])")
     t = nfkc(text) if compose else text
-    t = F.translate(t, "".join(MISREAD), "".join(MISREAD.values()))
-    t = F.regexp_replace(F.regexp_replace(t, "…", "..."), "\u00ad", "")
-    t = F.regexp_replace(t, r"(?U)(?<=\w)-\s+(?=[a-z])", "")
+    t = bound(t, lambda t: F.when(reduce(Column.__or__, (t.contains(c) for c in MISREAD)), F.translate(t, "".join(MISREAD), "".join(MISREAD.values()))).otherwise(t))
+    t = replaced(replaced(t, "…", "...", ("…",)), "\u00ad", "", ("\u00ad",))
+    t = replaced(t, r"(?U)-(?<=\w-)\s+(?=[a-z])", "", ("-",))
     t = F.regexp_replace(t, edged(COMPOUND), "$1$2")
-    t = F.regexp_replace(t, edged(r"(?U)\b([A-Z]{2,})\s+([A-Z][a-z]{1,2})(?=\s|$)"), "$1 $2")
+    t = F.regexp_replace(t, edged(r"(?U)(?=[A-Z]{2})\b([A-Z]{2,})\s+([A-Z][a-z]{1,2})(?=\s|$)"), "$1 $2")
     # both parts of the pattern have at most five letters together, so every match is a plausible acronym
-    t = F.regexp_replace(t, edged(r"\b([A-Z][a-z]?)\s+([A-Z])\s+([A-Z])\b"), "$1$2$3")
-    t = F.regexp_replace(t, edged(r"\b([A-Z][a-z]?)\s+([A-Z])\b"), "$1$2")
-    t = F.regexp_replace(t, edged(r"(?i)\b(\d{1,4})\s+(th|st|nd|rd)\b"), "$1$2")
-    return blank_to_null(strip(F.regexp_replace(t, r"(?U)[^\S\n]+", " ")))
+    t = F.regexp_replace(t, edged(r"(?=[A-Z])\b([A-Z][a-z]?)\s+([A-Z])\s+([A-Z])\b"), "$1$2$3")
+    t = F.regexp_replace(t, edged(r"(?=[A-Z])\b([A-Z][a-z]?)\s+([A-Z])\b"), "$1$2")
+    t = F.regexp_replace(t, edged(r"(?i)(?=\d)\b(\d{1,4})\s+(th|st|nd|rd)\b"), "$1$2")
+    return blank_to_null(F.btrim(F.regexp_replace(t, r"(?U)[\s&&[^ \n]][^\S\n]*| [^\S\n]+", " "), F.lit(" \n")))
 
 
 def normalize_company_name(name: Column, compose: bool = True) -> Column:

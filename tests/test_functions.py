@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -96,3 +97,19 @@ def test_items_are_worked_out_once_a_row(spark):
     assert text_of(headed(split, lambda x: F.when(x == "a", x))).count("split(") == 1
     for use in (values.parse_date, values.normalize_url, text.blank_to_null):
         assert text_of(use(F.concat(F.reverse("t"), F.col("t")))).count("reverse(") == 1, use
+
+
+def test_texts_that_patterns_leave_alone(spark):
+    """Patterns of whole texts begin with what few places have: no look-behind first, and no match that changes nothing."""
+    plans = {
+        "words": text.normalize_merged_words(F.col("t"), compose=False), "tokens": text.repair_ocr_tokens(F.col("t"), compose=False),
+        "extracted": text.normalize_extracted_text(F.col("t"), compose=False), "spaces": text.normalize_whitespace(F.col("t")),
+    }
+    rows = [("plain words  of\ta line",), ("fooBar USAtoday 3rd9a",), ("Type Script A B C 21 st well- known­ ‘x’…",), ("co-\n op • x \r\n\n\n\ny",), ("　  a  b\u0085",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "t string").coalesce(1).select(*(v.alias(k) for k, v in plans.items())).collect()
+    assert [r["spaces"] for r in got] == [None if t is None else re.sub(r"\s+", " ", t).strip(" ") for (t,) in rows]
+    assert [r["words"] for r in got][1:3] == ["foo Bar US Atoday 3 rd 9 a", "Type Script A B C 21 st well- known­ ‘x’…"]
+    assert [r["tokens"] for r in got][1:4] == ["fooBar USAtoday 3rd9a", "TypeScript ABC 21st wellknown 'x'...", "coop • x \n\n\n\ny"]
+    assert [r["extracted"] for r in got][3] == "coop\n x\n\ny"
+    for shown in (str(p) for p in plans.values()):
+        assert "(?U)(?<=" not in shown and "(?i)(?<!" not in shown and r"(?U)\s+" not in shown
