@@ -76,7 +76,7 @@ def normalize_merged_words(text: Column, compose: bool = True) -> Column:
 #: Characters that recognition confuses, and what they stand for.
 MISREAD = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "·": "-"}
 #: Compounds that recognition splits.
-COMPOUND = r"(?i)(?=[PMTJEA])\b(Postgre|My|Micro|Type|Java|ECMA|Action)\s+(SQL|Script|Soft|Word|Office|Excel|Point|Server|Force|Sheet)\b"
+COMPOUND = r"(?i)\b(Postgre|My|Micro|Type|Java|ECMA|Action)\s+(SQL|Script|Soft|Word|Office|Excel|Point|Server|Force|Sheet)\b"
 
 
 #: Characters of words, as a regular-expression class body: in Unicode's sense, and in the sense of engines whose word edges are of ASCII.
@@ -92,7 +92,7 @@ def repair_ocr_tokens(text: Column, compose: bool = True, word: str = WORD) -> C
     t = bound(t, lambda t: F.when(reduce(Column.__or__, (t.contains(c) for c in MISREAD)), F.translate(t, "".join(MISREAD), "".join(MISREAD.values()))).otherwise(t))
     t = replaced(replaced(t, "…", "...", ("…",)), "\u00ad", "", ("\u00ad",))
     t = replaced(t, r"(?U)-(?<=\w-)\s+(?=[a-z])", "", ("-",))
-    t = F.regexp_replace(t, edged(COMPOUND), "$1$2")
+    t = F.regexp_replace(t, edged(COMPOUND.replace("(?i)", "(?i)(?=[PMTJEA])", 1)), "$1$2")
     t = F.regexp_replace(t, edged(r"(?U)(?=[A-Z]{2})\b([A-Z]{2,})\s+([A-Z][a-z]{1,2})(?=\s|$)"), "$1 $2")
     # both parts of the pattern have at most five letters together, so every match is a plausible acronym
     t = F.regexp_replace(t, edged(r"(?=[A-Z])\b([A-Z][a-z]?)\s+([A-Z])\s+([A-Z])\b"), "$1$2$3")
